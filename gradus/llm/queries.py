@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import byte_bpe, packing, pii, quality, token_count, url_filter
+from gradus.llm import byte_bpe, near_dedup, packing, pii, quality, token_count, url_filter
 from gradus.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json")).drop("ids")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_near_dedup": op8_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
