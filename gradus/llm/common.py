@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +50,25 @@ def _drop(spark: SparkSession, root: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int):
+    """A broadcast bit set of fixed size in which each value of a long column has its bit: a first sieve, whose hits an exact join has to check.
+
+    However many the keys, ``bits / 8`` bytes are gathered; more keys only let more through."""
+    at = keys.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at"))
+    words = at.selectExpr("cast(at div 64 as int) as i", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask = np.zeros(bits // 64, np.int64)
+    mask[words.column("i").to_numpy()] = words.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
+
+
+def maybe_in(mask, column: str, bits: int):
+    """Whether the value of ``column`` may be among the keys of ``mask``."""
+
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((mask.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return hit(F.pmod(F.xxhash64(column), F.lit(bits)))

@@ -19,13 +19,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import partitions, stash
+from gradus.llm.common import bit_filter, maybe_in, partitions, stash
 from gradus.llm.components import components
 
 TREES, DEPTH, LEAST, REGION = 20, 6, 3, 1024
@@ -281,26 +280,15 @@ def _candidates(nodes: DataFrame, threshold: float, every: bool, name: str) -> D
 
 def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    spark = docs.sparkSession
     wanted = stash(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key"), "node"), "near-dedup-wanted")
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    bits = wanted.select(place.alias("at")).selectExpr("cast(at div 64 as int) as i", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("i").agg(F.bit_or("bit").alias("bits")).collect()
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    for i, b in bits:
-        mask[i] = b
-    shared = spark.sparkContext.broadcast(mask.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
+    mask = bit_filter(wanted, "node", FILTER_BITS)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(i, shingle_set(t, words)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for _, x in out], pa.binary()), pa.array([x.view(np.int64) for _, x in out], pa.list_(pa.int64()))], names=["node", "key", "own"])
 
-    some = docs.where(maybe(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))).mapInArrow(sets, "node long, key binary, own array<long>")
+    some = docs.where(maybe_in(mask, "doc_id", FILTER_BITS)).mapInArrow(sets, "node long, key binary, own array<long>")
     some = some.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
     left = pairs.join(some.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(some.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
@@ -312,7 +300,7 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (it is its own).
 
     Two texts are linked if their sets of shingles share ``threshold_pct`` percent of their union or more. Texts without words have no
-    shingles, are linked with nothing and kept. Repeated ids: each row is judged by its own text."""
+    shingles, are linked with nothing and kept. Repeated ids: each row is judged by its own text. Rows without an id are kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stash(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, key binary, signature binary"), "near-dedup-signed")
     keyed = signed.where("key is not null")
@@ -331,4 +319,4 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
             labels = components(links.unionByName(more))
     whole = signed.select("doc_id", "n_shingles", "key").join(reps, "key", "left").join(labels, "node", "left")
     own = F.coalesce("component", "node", "doc_id")
-    return whole.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    return whole.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

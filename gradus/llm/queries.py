@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import byte_bpe, near_dedup, packing, pii, quality, token_count, url_filter
+from gradus.llm import byte_bpe, near_dedup, packing, pii, quality, repeats, token_count, url_filter
 from gradus.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_near_dedup": op8_near_dedup,
+    "op9_repeats": op9_repeats,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
