@@ -4,7 +4,537 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gradus.functions import text as tx
+from gradus.operators import classify, evidence, jobs, paired, population, providers, ranking, regression, retrieval, sampling, thresholds, transitions, validate
+from gradus.plans import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, n: int = 9) -> DataFrame:
+    return df.withColumns({f.name: F.round(f.name, n) for f in df.schema.fields if f.dataType.simpleString() == "double"})
+
+
+def _truth(spark, d) -> DataFrame:
+    return ranking.qrel_grades(v.topics(spark, d), v.qrels(spark, d))
+
+
+def _scored(spark, d, which: str, ks) -> DataFrame:
+    ranked = v.rank_a(spark, d) if which == "a" else v.rank_b(spark, d)
+    return ranking.per_query(_truth(spark, d), retrieval.rankings(ranked), ks)
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------------
+
+
+@query(f"with {v.RANK_A} select query_id, document_id, rank, round(score, 9) as score from rank_a")
+def bm25_topk(spark, d):
+    return _round(v.rank_a(spark, d).select("query_id", "document_id", F.col("rank").cast("long").alias("rank"), "score"))
+
+
+@query(f"with {v.RANK_A} select token, count(*) as df, sum(tf)::bigint as cf, max(tf) as max_tf from post group by token")
+def bm25_postings_stats(spark, d):
+    post = retrieval.postings(retrieval.tokenized(v.corpus(spark, d), tx.ascii_tokens))
+    return post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+
+
+@query(f"with {v.RANK_A} select n_docs, round(avg_length, 9) as avg_length from stats")
+def bm25_corpus_stats(spark, d):
+    return _round(retrieval.corpus_statistics(retrieval.tokenized(v.corpus(spark, d), tx.ascii_tokens)))
+
+
+@query(f"with {v.RANK_A}, {v.RANK_B} select query_id, document_id, rank, score from rank_b")
+def shared_token_topk(spark, d):
+    return v.rank_b(spark, d).select("query_id", "document_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"with {v.TOPICS}, {v.CORPUS}, {v.QRELS} select * from qrels")
+def containment_qrels(spark, d):
+    return v.qrels(spark, d).distinct()
+
+
+def _per_query_sql(which: str) -> str:
+    return f"""{v.RANK_A}, {v.RANK_B}, {v.QRELS},
+rel as (select query_id, count(*) as n_rel from qrels group by 1),
+hits as (select r.query_id, r.rank from rank_{which} r join qrels using (query_id, document_id)),
+ks(k) as (values (1), (5), (10)),
+per as (select t.query_id, ks.k, coalesce(max(n_rel), 0) as n_rel, count(h.rank) filter (h.rank <= ks.k) as n, min(h.rank) as first,
+  coalesce(sum(1 / log2(h.rank + 1)) filter (h.rank <= ks.k), 0) as dcg from topics t cross join ks left join rel using (query_id) left join hits h on h.query_id = t.query_id group by all),
+scored as (select query_id, k, case when n_rel = 0 then 'SHOULD_ABSTAIN' when n > 0 then 'PASS' else 'RETRIEVAL_MISS' end as category, n / k as precision,
+  case when n_rel > 0 then n / n_rel else 0 end as recall, case when n > 0 then 1.0 else 0.0 end::double as hit_rate, coalesce(1 / first, 0) as mrr,
+  case when n_rel > 0 then dcg / (select sum(1 / log2(i + 1)) from range(1, 1 + least(n_rel, k)) x(i)) else 0 end as ndcg from per)"""
+
+
+_M = ", ".join(f"round({m}, 9) as {m}" for m in ranking.METRICS)
+_AVG = ", ".join(f"round(avg({m}), 9) as {m}" for m in ranking.METRICS)
+
+
+@query(f"with {_per_query_sql('a')} select query_id, k, category, {_M} from scored")
+def retrieval_per_query_metrics(spark, d):
+    return _round(_scored(spark, d, "a", (1, 5, 10)))
+
+
+@query(f"with {_per_query_sql('a')} select k, count(*) as queries, {_AVG} from scored group by k")
+def retrieval_macro_metrics_by_k(spark, d):
+    return _round(ranking.macro(_scored(spark, d, "a", (1, 5, 10))))
+
+
+@query(f"with {_per_query_sql('b')} select k, count(*) as queries, {_AVG} from scored group by k")
+def retrieval_macro_metrics_by_k_b(spark, d):
+    return _round(ranking.macro(_scored(spark, d, "b", (1, 5, 10))))
+
+
+@query(f"""with {_per_query_sql('a')} select k, count(*) filter (category = 'PASS') as "PASS", count(*) filter (category = 'RETRIEVAL_MISS') as "RETRIEVAL_MISS",
+count(*) filter (category = 'SHOULD_ABSTAIN') as "SHOULD_ABSTAIN" from scored group by k""")
+def retrieval_failure_counts(spark, d):
+    return ranking.failure_counts(_scored(spark, d, "a", (1, 5, 10)))
+
+
+@query(f"""with {v.RANK_A}, {v.QRELS}, t as (select distinct query_id from qrels), p as (select distinct query_id from rank_a),
+n as (select count(*) filter (t.query_id is not null and p.query_id is not null) as matching, count(*) filter (p.query_id is null) as missing, count(*) filter (t.query_id is null) as extra
+  from t full join p using (query_id))
+select *, concat_ws(',', case when missing > 0 then 'MISSING_PREDICTIONS' end, case when extra > 0 then 'EXTRA_PREDICTIONS' end) as warnings from n""")
+def retrieval_pair_validation(spark, d):
+    return ranking.pair_validation(v.qrels(spark, d).select("query_id").distinct(), v.rank_a(spark, d).select("query_id").distinct())
+
+
+@query(f"with {v.RANK_A}, {v.RANK_B} select query_id, rank, concat_ws(' ', query_id, 'Q0', document_id, rank, score::bigint, 'shared') as line from rank_b")
+def trec_run_lines(spark, d):
+    return ranking.trec_lines(v.rank_b(spark, d), "shared").withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---- regression, transitions, compatibility --------------------------------------------------------------------
+
+_POLICY = [("precision_at_5", "higher_is_better", 0.01, None, 0.0), ("recall_at_5", "higher_is_better", None, None, 0.05), ("hit_rate_at_5", "higher_is_better", None, None, 0.0), ("mrr", "higher_is_better", 0.9, None, 0.1), ("ndcg_at_5", "higher_is_better", None, None, 0.02), ("map_at_5", "higher_is_better", None, None, 0.0)]
+
+
+def _both_metrics(spark, d):
+    return (ranking.long_metrics(_scored(spark, d, w, (5,)), 5) for w in ("b", "a"))
+
+
+def _two(sql_of=_per_query_sql) -> str:
+    a = sql_of("a")
+    b = a[a.index("hits as (") :].replace("hits", "hits_b").replace("rank_a", "rank_b").replace("per as", "per_b as").replace("from per)", "from per_b)").replace("scored as", "scored_b as").replace("ks(k) as (values (1), (5), (10)),\n", "")
+    return f"{a}, {b}"
+
+
+_LONG = "unnest([{{m: 'precision_at_5', x: avg(precision)}}, {{m: 'recall_at_5', x: avg(recall)}}, {{m: 'hit_rate_at_5', x: avg(hit_rate)}}, {{m: 'mrr', x: avg(mrr)}}, {{m: 'ndcg_at_5', x: avg(ndcg)}}]) as u from {} where k = 5"
+
+
+@query(f"""with {_two()}, base as (select u.m as metric, u.x as baseline from (select {_LONG.format('scored')})), cur as (select u.m as metric, u.x as current from (select {_LONG.format('scored_b')})),
+rules(metric, low, allowed) as (values ('precision_at_5', 0.01, 0.0), ('recall_at_5', null, 0.05), ('hit_rate_at_5', null, 0.0), ('mrr', 0.9, 0.1), ('ndcg_at_5', null, 0.02), ('map_at_5', null, 0.0)),
+j as (select metric, current, baseline, low, allowed::double as allowed from rules left join cur using (metric) left join base using (metric)),
+r as (select *, case when current is null then 'MISSING_CURRENT' when current < low then 'BELOW_MINIMUM' when baseline is null then 'MISSING_BASELINE' when baseline - current > allowed then 'DEGRADED' else 'OK' end as reason from j)
+select metric, round(current, 9) as current, round(baseline, 9) as baseline, round(baseline - current, 9) as degradation, reason,
+case when reason = 'OK' then 'PASS' when starts_with(reason, 'MISSING') then 'MISSING' else 'REGRESSION' end as status from r""")
+def regression_report(spark, d):
+    current, baseline = _both_metrics(spark, d)
+    return _round(regression.compare(current, baseline, regression.rules_frame(spark, _POLICY)))
+
+
+@query(ORACLE_SQL["regression_report"].replace("select metric, round(current, 9)", ", fin as (select metric, round(current, 9)", 1).replace("as status from r", "as status from r) select coalesce(bool_and(status = 'PASS'), false) as passed, count(*) filter (status = 'REGRESSION') as regressions, count(*) filter (status = 'MISSING') as missing from fin"))
+def regression_verdict(spark, d):
+    return regression.verdict(regression_report(spark, d))
+
+
+_TRANSITION = "select query_id, x.category as baseline_category, y.category as candidate_category, case when x.category = 'PASS' and y.category = 'PASS' then '{0}' when x.category = 'PASS' then '{1}' when y.category = 'PASS' then '{2}' when x.category = y.category then '{3}' else '{4}' end as transition from scored x join scored_b y using (query_id, k) where k = 5"
+
+
+def _categories(spark, d):
+    return (_scored(spark, d, w, (5,)).select("query_id", "category") for w in ("a", "b"))
+
+
+@query(f"with {_two()} " + _TRANSITION.format("UNCHANGED_PASS", "REGRESSED", "IMPROVED", "PERSISTENT_FAILURE", "CHANGED_FAILURE"))
+def failure_transitions(spark, d):
+    return transitions.workspace_transitions(*_categories(spark, d))
+
+
+@query(f"with {_two()} " + _TRANSITION.format("STABLE_PASS", "INTRODUCED_FAILURE", "RESOLVED_FAILURE", "PERSISTENT_CATEGORY", "CHANGED_FAILURE_CATEGORY"))
+def console_transitions(spark, d):
+    return transitions.console_transitions(*_categories(spark, d))
+
+
+@query(f"with {_two()}, t as (" + _TRANSITION.format("UNCHANGED_PASS", "REGRESSED", "IMPROVED", "PERSISTENT_FAILURE", "CHANGED_FAILURE") + ") select * from t where (baseline_category = 'RETRIEVAL_MISS' or candidate_category = 'RETRIEVAL_MISS') and contains(query_id, '1')")
+def transition_filter(spark, d):
+    return transitions.filter_transitions(transitions.workspace_transitions(*_categories(spark, d)), category="RETRIEVAL_MISS", contains="1")
+
+
+def _long_per_query(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value")) for m in ranking.METRICS])))
+
+
+_UNPIVOT = ", ".join("{{m: '%s', x: round(%s, 9)}}" % (m, m) for m in ranking.METRICS)
+
+
+@query(f"with {_two()}, x as (select query_id, u.m as metric, u.x as baseline from (select query_id, unnest([{_UNPIVOT.format()}]) as u from scored where k = 5)), y as (select query_id, u.m as metric, u.x as candidate from (select query_id, unnest([{_UNPIVOT.format()}]) as u from scored_b where k = 5)) select query_id, metric, baseline, candidate, round(candidate - baseline, 9) as delta from x full join y using (query_id, metric) where baseline is distinct from candidate")
+def transition_metric_deltas(spark, d):
+    a, b = (_long_per_query(_scored(spark, d, w, (5,))) for w in ("a", "b"))
+    return _round(transitions.metric_deltas(a, b))
+
+
+def _config(spark, **own) -> DataFrame:
+    base = {"dataset": "documents", "dataset_version": "1", "retriever": "bm25", "retriever_version": "1", "embedding_model": None, "chunking": None, "top_k": 10, "evaluator": "ranking", "evaluator_version": "1", "metric_version": "1", "split": "test"} | own
+    return spark.range(1).select(*[F.lit(x).alias(k) for k, x in base.items()])
+
+
+@query("""select * from (values ('chunking', null, 'lines', 'CHUNKING_MISMATCH'), ('retriever', 'bm25', 'shared', 'RETRIEVER_MISMATCH'), ('top_k', '10', '5', 'TOP_K_MISMATCH')) t(field, baseline, candidate, reason)""")
+def compat_reasons(spark, d):
+    return population.compatibility(_config(spark), _config(spark, retriever="shared", chunking="lines", top_k=5))
+
+
+@query(f"with {v.TOPICS}, {v.CORPUS}, {v.QRELS} select count(*) as n_records, sha256(string_agg(query_id || ':' || document_id, chr(10) order by query_id || ':' || document_id)) as fingerprint from qrels")
+def population_fingerprint(spark, d):
+    return population.ordered_fingerprint(v.qrels(spark, d).distinct(), F.concat_ws(":", "query_id", "document_id"))
+
+
+# ---- classification --------------------------------------------------------------------------------------------
+
+
+@query(f"""with t as (select conv_id, turn, role, text, lead(role) over w as next_role, lead(text) over w as response from conversations window w as (partition by conv_id order by turn)),
+p as (select conv_id || '-' || turn as example_id, {v.OVERLAP} as c, {v.OVERLAP.replace('(text,', '(response,')} as r from t where role = 'user' and next_role = 'assistant'),
+s as (select example_id, case when len(r) = 0 then 1.0 when len(c) = 0 then 0.0 else len(list_intersect(r, c)) / len(r) end as support from p)
+select example_id, round(support, 9) as support, round(1 - support, 9) as score, case when support >= 0.4 then 'GROUNDED' else 'HALLUCINATED' end as predicted from s""")
+def heuristic_support(spark, d):
+    rows = v.turns(spark, d)
+    rows = rows.select("example_id", classify.overlap_support(tx.overlap_tokens(F.col("response")), tx.overlap_tokens(F.col("context"))).alias("support"))
+    return _round(rows.withColumns(classify.from_support(F.col("support"), 0.4)))
+
+
+@query(f"with {v.SCORED}, c as (select {v.CELLS} from scored) select total, tp, tn, fp, fn, {v.RATES} from c")
+def confusion_overall(spark, d):
+    return _round(classify.confusion(v.scored(spark, d)))
+
+
+@query(f"""with {v.SCORED}, c as (select case when grouping(task_type) = 0 then 'task_type' when grouping(model) = 0 then 'model' else 'all' end as dimension, coalesce(task_type, model, 'all') as value, {v.CELLS}
+from scored group by grouping sets ((), (task_type), (model))) select dimension, value, total, tp, tn, fp, fn, {v.RATES} from c""")
+def confusion_slices(spark, d):
+    return _round(classify.slices(v.scored(spark, d), ["task_type", "model"]))
+
+
+@query(f"with {v.SCORED} select example_id, case when predicted = 'HALLUCINATED' then 'FALSE_POSITIVE' else 'FALSE_NEGATIVE' end as kind from scored where human <> predicted")
+def fp_fn_ids(spark, d):
+    return classify.errors(v.scored(spark, d))
+
+
+@query(f"with {v.PREDICTIONS} select example_id, human, case when a and b then 'BOTH_CORRECT' when a then 'A_ONLY' when b then 'B_ONLY' else 'BOTH_WRONG' end as category from correct")
+def paired_categories(spark, d):
+    return paired.paired_categories(_correct(spark, d), "a", "b")
+
+
+def _correct(spark, d) -> DataFrame:
+    p = v.predictions(spark, d)
+    return paired.correctness(p.select("example_id", "human").distinct(), p, ["a", "b", "c"])
+
+
+@query(f"with {v.PREDICTIONS} select example_id, case when b then 'FIXED_' else 'NEW_' end || case when human = 'HALLUCINATED' then 'FALSE_NEGATIVE' else 'FALSE_POSITIVE' end as change from correct where a <> b")
+def paired_changes(spark, d):
+    return paired.changes(paired_categories(spark, d))
+
+
+@query(f"""with {v.PREDICTIONS}, n as (select count(*) filter (a and not b) as b, count(*) filter (b and not a) as c from correct),
+lf as (select i, coalesce(sum(ln(i)) filter (i > 0) over (order by i), 0) as lf from range(0, (select b + c + 1 from n)) r(i)),
+p as (select least(1, sum(exp((select lf from lf where i = b + c) - x.lf - y.lf + ln(2) - (b + c) * ln(2)))) as p from n, lf x, lf y where x.i <= least(b, c) and y.i = b + c - x.i)
+select b, c, round(case when b + c = 0 then 0 else pow(abs(b - c) - 1, 2) / (b + c) end, 9) as statistic, round(case when b + c = 0 then 1 else p end, 9) as p_value from n, p""")
+def mcnemar_exact(spark, d):
+    return _round(paired.mcnemar(spark, paired.discordant(paired_categories(spark, d))))
+
+
+_AGREE = """select example_id, unnest(list_filter([case when n = 3 then 'ALL_CORRECT' end, case when n = 0 then 'ALL_WRONG' end, case when n = 1 and a then 'A_ONLY' end, case when n = 1 and b then 'B_ONLY' end, case when n = 1 and c then 'C_ONLY' end,
+case when a and b then 'A_AND_B' end, case when a and c then 'A_AND_C' end, case when b and c then 'B_AND_C' end], lambda x: x is not null)) as category from (select *, a::int + b::int + c::int as n from correct)"""
+
+
+@query(f"with {v.PREDICTIONS} {_AGREE}")
+def three_evaluator_categories(spark, d):
+    return paired.agreement_three(_correct(spark, d), "a", "b", "c")
+
+
+@query(f"with {v.PREDICTIONS} select example_id, case a::int + b::int + c::int when 3 then 'ALL_CORRECT' when 0 then 'ALL_WRONG' when 1 then case when a then 'A_ONLY' when b then 'B_ONLY' else 'C_ONLY' end else case when a and b then 'A_AND_B' when a then 'A_AND_C' else 'B_AND_C' end end as category from correct")
+def multi_evaluator_categories(spark, d):
+    return paired.agreement_many(_correct(spark, d), ["a", "b", "c"])
+
+
+_SWEEP = f"with {v.EXAMPLES}, x as (select human, t as threshold, case when support_a < t then 'HALLUCINATED' else 'GROUNDED' end as predicted from examples, (values (0.1::double), (0.3::double), (0.5::double), (0.7::double), (0.9::double)) v(t)), c as (select threshold, {v.CELLS} from x group by threshold) select threshold, total, tp, tn, fp, fn, {v.RATES} from c"
+_STEPS = (0.1, 0.3, 0.5, 0.7, 0.9)
+
+
+def _supports(spark, d) -> DataFrame:
+    return v.examples(spark, d).select("human", F.col("support_a").alias("support"))
+
+
+@query(_SWEEP)
+def threshold_sweep(spark, d):
+    return _round(thresholds.sweep(_supports(spark, d), _STEPS))
+
+
+@query(f"select * from ({_SWEEP}) order by f1 desc, threshold limit 1")
+def threshold_select(spark, d):
+    return _round(thresholds.select_threshold(_supports(spark, d), _STEPS, split="validation"))
+
+
+_BINS = f"{v.SCORED}, p as (select score as p, (human = 'HALLUCINATED')::int::double as y from scored), b as (select least(9, greatest(0, floor(p * 10)))::int as bin, count(*) as n, avg(p) as mp, avg(y) as my from p group by 1)"
+
+
+def _probability(spark, d):
+    return v.scored(spark, d), F.col("score"), F.col("human") == classify.POSITIVE
+
+
+@query(f"with {_BINS} select i::int as bin, coalesce(n, 0) as n, round(mp, 9) as mean_probability, round(my, 9) as mean_outcome, round(abs(mp - my), 9) as gap from range(0, 10) r(i) left join b on b.bin = i")
+def calibration_bins(spark, d):
+    return _round(classify.calibration_bins(*_probability(spark, d)))
+
+
+@query(f"with {_BINS} select (select count(*) from p) as n, round((select avg(pow(p - y, 2)) from p), 9) as brier, round((select sum(n * abs(mp - my)) / sum(n) from b), 9) as ece")
+def ece_brier(spark, d):
+    return _round(classify.calibration(*_probability(spark, d)))
+
+
+@query(f"""with {v.SCORED}, q as (select *, 'Q' || (1 + least(3, ((row_number() over (order by n_chars, example_id) - 1) * 4) // count(*) over ())) as quartile from scored),
+c as (select quartile, min(n_chars) as min_length, max(n_chars) as max_length, {v.CELLS} from q group by quartile) select quartile, min_length, max_length, total, tp, tn, fp, fn, {v.RATES} from c""")
+def length_quartile_slices(spark, d):
+    rows = classify.length_quartiles(v.scored(spark, d), F.col("n_chars"))
+    bounds = rows.groupBy("quartile").agg(F.min("n_chars").alias("min_length"), F.max("n_chars").alias("max_length"))
+    return _round(classify.confusion(rows, ["quartile"]).join(bounds, "quartile"))
+
+
+_ERRORS = f"{v.SCORED}, e as (select *, case when predicted = 'HALLUCINATED' then 'FALSE_POSITIVE' else 'FALSE_NEGATIVE' end as kind, case when predicted = 'HALLUCINATED' then score else 1 - score end as sure from scored where human <> predicted)"
+
+
+@query(f"""with {_ERRORS} select case when grouping(task_type) = 0 then 'task_type' when grouping(model) = 0 then 'model' else 'all' end as dimension, coalesce(task_type, model, 'all') as value, kind, count(*) as n, round(avg(sure), 9) as mean_confidence
+from e group by grouping sets ((kind), (task_type, kind), (model, kind))""")
+def error_analysis(spark, d):
+    return _round(classify.error_analysis(v.scored(spark, d), ["task_type", "model"]))
+
+
+@query(f"with {_ERRORS} select example_id, human, predicted, round(sure, 9) as confidence from e where sure >= 0.8::double")
+def high_confidence_errors(spark, d):
+    return _round(classify.high_confidence_errors(v.scored(spark, d)))
+
+
+@query("select count(*) as responses, count(distinct source) as sources, count(*) filter (toxic = 1) as hallucinated, count(*) filter (quality = 1) as good from documents join labels using (doc_id)")
+def dataset_summary(spark, d):
+    rows = v.table(spark, d, "documents").select("doc_id", "source").join(v.table(spark, d, "labels"), "doc_id")
+    return rows.agg(F.count("*").alias("responses"), F.countDistinct("source").alias("sources"), F.expr("count_if(toxic = 1)").alias("hallucinated"), F.expr("count_if(quality = 1)").alias("good"))
+
+
+@query("select case when quality = 1 then 'good' else 'poor' end as quality, quality <> 1 as excluded, count(*) as n from labels group by all")
+def exclusion_reasons(spark, d):
+    good = F.col("quality") == 1
+    return v.table(spark, d, "labels").groupBy(F.when(good, "good").otherwise("poor").alias("quality"), (~good).alias("excluded")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {v.SCORED} select example_id, task_type, human, draw from (select *, row_number() over (partition by task_type, human order by md5('7:' || example_id), example_id) as draw from scored) where draw <= 20""")
+def stratified_sample(spark, d):
+    return sampling.stratified(v.scored(spark, d), ["task_type", "human"], 20, 7).select("example_id", "task_type", "human", F.col("draw").cast("long").alias("draw"))
+
+
+@query(f"with {v.SCORED} select task_type || ':' || human as stratum, count(*) as n from scored group by all")
+def stratum_counts(spark, d):
+    return v.scored(spark, d).groupBy(F.concat_ws(":", "task_type", "human").alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    wide = v.predictions(spark, d).groupBy("example_id", "human").agg(F.max(F.when(F.col("evaluator") == "a", F.col("predicted"))).alias("a"), F.max(F.when(F.col("evaluator") == "b", F.col("predicted"))).alias("b"))
+    return _round(sampling.bootstrap(wide, replicates=2000))
+
+
+@query(f"with {v.PREDICTIONS}, one as (select example_id from predictions where evaluator = 'a' and example_id % 10 <> 0), two as (select example_id from predictions where evaluator = 'a' and example_id % 7 <> 0) select case when two.example_id is null then 'MISSING_PREDICTION' else 'UNKNOWN_EXAMPLE' end as code, example_id from one full join two using (example_id) where one.example_id is null or two.example_id is null")
+def population_guard(spark, d):
+    rows = v.predictions(spark, d).where("evaluator = 'a'").select("example_id")
+    return classify.guard_populations(rows.where("example_id % 10 <> 0"), rows.where("example_id % 7 <> 0"))
+
+
+# ---- validation and spans --------------------------------------------------------------------------------------
+
+
+@query("select 'DUPLICATE_ID' as code, 'occurrence ' || n as message, key as record_id from (select md5(text) as key, row_number() over (partition by md5(text) order by doc_id) as n from documents) where n > 1")
+def validate_duplicates(spark, d):
+    return validate.duplicates(v.table(spark, d, "documents").select(F.md5("text").alias("key"), "doc_id"), "key", "doc_id")
+
+
+@query("select 'UNKNOWN_DOCUMENT' as code, cast(doc_id as varchar) as message, cast(doc_id as varchar) as record_id from labels where doc_id not in (select doc_id from documents where lang = 'en')")
+def validate_unknown_documents(spark, d):
+    english = v.table(spark, d, "documents").where("lang = 'en'")
+    return validate.unknown(v.table(spark, d, "labels").select("doc_id"), "doc_id", english, "doc_id", "UNKNOWN_DOCUMENT", "doc_id")
+
+
+@query(f"with {v.TOPICS}, {v.CORPUS}, {v.QRELS} select 'UNKNOWN_QUERY_ID' as code, query_id as message, query_id as record_id from qrels where query_id not in (select query_id from topics where length(text) > 200)")
+def validate_unknown_queries(spark, d):
+    return validate.unknown(v.qrels(spark, d), "query_id", v.topics(spark, d).where("length(text) > 200"), "query_id", "UNKNOWN_QUERY_ID", "query_id")
+
+
+@query()
+def near_duplicate_docs(spark, d):
+    short = v.table(spark, d, "documents").where("length(text) <= 400").select("doc_id", "text")
+    return _round(validate.near_duplicates(short, "doc_id", "text", "doc_id"))
+
+
+_SPANS = f"""{v.TOPICS}, {v.CORPUS}, s as (select document_id, query_id, strpos(c.text, t.text) - 1 as start, c.text, t.text as quoted from corpus c join topics t on contains(c.text, t.text)),
+sp as (select *, start + length(quoted) + cast(query_id as int) % 3 as "end" from s)"""
+
+
+def _spans(spark, d) -> DataFrame:
+    rows = v.qrels(spark, d).join(v.corpus(spark, d), "document_id").join(v.topics(spark, d).withColumnRenamed("text", "quoted"), "query_id")
+    rows = rows.withColumn("start", F.expr("instr(text, quoted) - 1"))
+    return rows.withColumn("end", F.col("start") + F.length("quoted") + F.col("query_id").cast("int") % 3)
+
+
+@query(f"""with {_SPANS}, i as (select document_id, query_id, unnest(list_filter([case when "end" > length(text) then 'END_OUT_OF_RANGE' end, case when "end" <= length(text) and substr(text, start + 1, "end" - start) <> quoted then 'TEXT_OFFSET_MISMATCH' end], lambda x: x is not null)) as code from sp) select * from i""")
+def span_issues(spark, d):
+    rows = _spans(spark, d)
+    return rows.select("document_id", "query_id", F.explode(tx.span_issues(F.col("text"), F.col("start"), F.col("end"), F.col("quoted"))).alias("code"))
+
+
+@query(f"""with {_SPANS}, x as (select document_id, query_id, greatest(0, least("end", start + 100) - greatest(start, 50)) as overlap, "end" - start as a, start + 100 - 50 as b from sp)
+select document_id, query_id, overlap::bigint as overlap, round(case when a + b - overlap = 0 then 0 else overlap / (a + b - overlap) end, 9) as iou from x""")
+def span_iou(spark, d):
+    rows = _spans(spark, d)
+    own = (F.col("start"), F.col("end"), F.lit(50), F.col("start") + 100)
+    return _round(rows.select("document_id", "query_id", tx.span_overlap(*own).cast("long").alias("overlap"), tx.span_iou(*own).alias("iou")))
+
+
+# ---- providers and jobs ----------------------------------------------------------------------------------------
+
+
+@query("select event_type as provider, count(value) as count, round(avg(value), 6) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1")
+def latency_summary(spark, d):
+    rows = v.attempts(spark, d).select("provider", "latency_ms")
+    return providers.latency(rows, "provider").withColumn("mean", F.round("mean", 6))
+
+
+@query(f"with {v.ATTEMPTS} select provider, count(*) as attempts, round(avg(api_success::int), 9) as api_success_rate, round(coalesce(sum(parse_success::int) / nullif(sum(api_success::int), 0), 0), 9) as parse_success_rate, round(avg((api_success and not parse_success)::int), 9) as schema_failure_rate from attempts group by provider")
+def provider_summary(spark, d):
+    rows = v.attempts(spark, d).withColumn("error_class", F.when(F.col("api_success") & ~F.col("parse_success"), "SCHEMA_VALIDATION_ERROR"))
+    return _round(providers.reliability(rows, "provider"))
+
+
+@query(f"with {v.ATTEMPTS} select provider, sum(k)::double as input_tokens, sum(case when k % 2 = 0 then k * 2 else 0 end)::double as output_tokens, sum(k * 3)::double as total_tokens from attempts group by provider")
+def usage_totals(spark, d):
+    k = F.col("k").cast("double")
+    even = F.map_concat(F.create_map(F.lit("prompt_tokens"), k, F.lit("totalTokenCount"), k * 3), F.when(F.col("k") % 2 == 0, F.create_map(F.lit("eval_count"), k * 2)).otherwise(F.create_map().cast("map<string,double>")))
+    return providers.usage(v.attempts(spark, d).withColumn("usage", even), "provider").select("provider", "input_tokens", "output_tokens", "total_tokens")
+
+
+@query(f"""with {v.ATTEMPTS}, g as (select example_id, count(*) as n, count(*) filter (label = 'HALLUCINATED') as h, avg(confidence) as m, max(confidence) - min(confidence) as r from attempts where label is not null and attempt <= 24 group by 1 having count(*) = 3)
+select count(*) as examples, round(coalesce(sum((h * (h - 1) + (3 - h) * (2 - h)) / 2) / (count(*) * 3), 0), 9) as pairwise_agreement, round(coalesce(avg((h = 0 or h = 3)::int), 0), 9) as unanimity, round(avg(m), 9) as mean_confidence, round(max(r), 9) as max_confidence_range from g""")
+def consistency_three_runs(spark, d):
+    return _round(paired.consistency(v.attempts(spark, d).where("attempt <= 24").select("example_id", "label", "confidence")))
+
+
+@query(f"""with {v.ATTEMPTS}, s as (select provider, round(avg((label = 'GROUNDED')::int), 9) as balanced_accuracy, round(avg(confidence), 9) as f1, round(avg((label = 'HALLUCINATED')::int), 9) as false_positive_rate, round(avg(parse_success::int), 9) as parse_success_rate,
+quantile_disc(latency_ms, 0.95) as p95, sum(k)::double as total_tokens, count(*) > 10 as complete from attempts group by 1)
+select *, row_number() over (order by balanced_accuracy desc, f1 desc, false_positive_rate, parse_success_rate desc, p95, total_tokens, provider) as place from s where complete""")
+def judge_recommendation(spark, d):
+    share = lambda c: F.round(F.avg(F.expr(c).cast("int")), 9)
+    rows = v.attempts(spark, d).groupBy("provider").agg(
+        share("label = 'GROUNDED'").alias("balanced_accuracy"), F.round(F.avg("confidence"), 9).alias("f1"), share("label = 'HALLUCINATED'").alias("false_positive_rate"), share("parse_success").alias("parse_success_rate"),
+        F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.sum("k").cast("double").alias("total_tokens"), (F.count("*") > 10).alias("complete"),
+    )
+    return providers.recommend(rows).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""with {v.ATTEMPTS}, m as (select distinct user_id as example_id, user_id as position from events union select max(user_id) + 1, max(user_id) + 1 from events), s as (select example_id, bool_or(status = 'SUCCESS') as ok from attempts where provider = 'click' group by 1)
+select position, example_id, case when ok then 'SUCCESSFUL' when ok is null then 'NEVER_ATTEMPTED' else 'PREVIOUSLY_FAILED' end as state, not coalesce(ok, false) as pending from m left join s using (example_id)""")
+def resume_partition(spark, d):
+    users = v.table(spark, d, "events").select("user_id")
+    manifest = users.distinct().unionByName(users.agg((F.max("user_id") + 1).alias("user_id"))).select(F.col("user_id").alias("position"), F.col("user_id").alias("example_id"))
+    return providers.resume(manifest, v.attempts(spark, d).where("provider = 'click'"))
+
+
+@query(f"""with {v.ATTEMPTS}, r as (select provider, example_id, event_id, ts, http_status = 429 as lim, sum((http_status <> 429)::int) over (partition by provider, example_id order by ts, event_id) as reset from attempts),
+s as (select *, sum(lim::int) over (partition by provider, example_id, reset order by ts, event_id rows unbounded preceding) as streak, epoch_us(ts) - epoch_us(lag(ts) over (partition by provider, example_id order by ts, event_id)) as gap from r)
+select event_id, streak::bigint as streak, round(gap / 1000000, 6) as gap_seconds, max(streak) over (partition by provider, example_id order by ts, event_id rows unbounded preceding) >= 3 as open from s""")
+def rate_limit_streaks(spark, d):
+    rows = v.attempts(spark, d).withColumns({"error_class": providers.http_class(F.col("http_status")), "who": F.concat_ws("|", "provider", F.col("example_id").cast("string"))})
+    return providers.streaks(rows, "who", ["ts", "event_id"]).select("event_id", "streak", F.round("gap_seconds", 6).alias("gap_seconds"), "open")
+
+
+@query(f"with {v.ATTEMPTS} select provider, case http_status when 200 then 'SUCCESS' when 401 then 'AUTHENTICATION' when 429 then 'RATE_LIMIT' else 'SERVER_ERROR' end as class, count(*) as n from attempts group by all")
+def status_classes(spark, d):
+    return v.attempts(spark, d).groupBy("provider", providers.http_class(F.col("http_status")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {v.ATTEMPTS} select case http_status when 401 then 'AUTHENTICATION' when 429 then 'RATE_LIMIT' else 'SERVER_ERROR' end as error_class, count(*) as n from attempts where http_status <> 200 group by 1")
+def error_counts(spark, d):
+    rows = v.attempts(spark, d).where("not api_success").withColumn("error_class", providers.http_class(F.col("http_status")))
+    return providers.error_counts(rows)
+
+
+@query("select count(*) as n, ceil((sum(ceil(length(text) / 3)) + count(*) * 64) * 1.25)::bigint as tokens from conversations")
+def token_estimate(spark, d):
+    return providers.token_estimate(v.table(spark, d, "conversations"), 64, "text")
+
+
+@query("select u.f as field, min(u.n) as min, quantile_disc(u.n, 0.5) as p50, quantile_disc(u.n, 0.95) as p95, max(u.n) as max, round(avg(u.n), 6) as mean from (select unnest([{f: 'text', n: length(text)}, {f: 'role', n: length(role)}]) as u from conversations) group by 1")
+def length_summary(spark, d):
+    return providers.lengths(v.table(spark, d, "conversations"), ["text", "role"]).withColumn("mean", F.round("mean", 6))
+
+
+_JOB_LAGS = f"{v.JOBS}, l as (select *, lag(state) over w as was, lag(cancel_requested) over w as asked from log window w as (partition by job_id order by revision))"
+
+
+@query(f"""with {_JOB_LAGS}, i as (select job_id, revision, unnest(list_filter([case when was in ('COMPLETE', 'FAILED', 'CANCELLED', 'INTERRUPTED') then 'TERMINAL' end,
+case when was <> state and was not in ('COMPLETE', 'FAILED') and not (was || '>' || state in ('QUEUED>VALIDATING', 'VALIDATING>EVALUATING', 'VALIDATING>FAILED', 'EVALUATING>ANALYZING', 'EVALUATING>FAILED', 'ANALYZING>FAILED')) then 'ILLEGAL_TRANSITION' end,
+case when asked and not cancel_requested then 'CANCEL_WITHDRAWN' end, case when was = state and asked = cancel_requested then 'NO_CHANGE' end], lambda x: x is not null)) as code from l) select * from i""")
+def job_fsm_violations(spark, d):
+    return jobs.fsm_violations(v.job_log(spark, d))
+
+
+@query(f"with {v.JOBS}, l as (select run_id, job_id, arg_max(state, revision) as state, arg_max(created_at, revision) as created_at from log group by 1, 2) select run_id, arg_max(job_id, (created_at, job_id)) as job_id, arg_max(state, (created_at, job_id)) as state from l group by run_id")
+def latest_job_per_run(spark, d):
+    return jobs.latest_per_run(v.job_log(spark, d))
+
+
+@query(f"with {v.JOBS}, l as (select job_id, arg_max(state, revision) as state from log group by 1) select job_id, case when state = 'QUEUED' then 'REQUEUE' else 'INTERRUPT' end as action from l where state not in ('COMPLETE', 'FAILED')")
+def job_recovery(spark, d):
+    return jobs.recovery(v.job_log(spark, d))
+
+
+# ---- evidence --------------------------------------------------------------------------------------------------
+
+
+def _artifacts(spark) -> DataFrame:
+    rows = [("run-1", "run", "LOCAL", "OFFICIAL_BENCHMARK", "BENCHMARK_RESULT", None, None), ("run-2", "run", "SYNTHETIC", "SYNTHETIC_FIXTURE", "BENCHMARK_RESULT", None, None), ("run-3", "run", "NOT_RUN", "SAMPLE", "PILOT", None, None),
+            ("cmp-1", "comparison", "LOCAL", "OFFICIAL_BENCHMARK", "BENCHMARK_RESULT", "run-1", "run-2"), ("cmp-2", "comparison", "LOCAL", "SAMPLE", "PILOT", "run-1", "run-1"), ("cmp-3", "comparison", "LOCAL", "SAMPLE", "PILOT", "run-1", "run-9")]
+    return spark.createDataFrame(rows, "artifact_id string, artifact_type string, verification string, data_kind string, claim_scope string, baseline_id string, candidate_id string")
+
+
+@query("select * from (values ('run-2', 'SYNTHETIC_NEEDS_INTEGRATION_ONLY'), ('run-2', 'BENCHMARK_RESULT_NEEDS_OFFICIAL_BENCHMARK'), ('run-3', 'NOT_RUN_IS_NOT_EVIDENCE')) t(artifact_id, code)")
+def claim_violations(spark, d):
+    return population.claim_violations(_artifacts(spark))
+
+
+@query("select * from (values ('cmp-2', 'SELF_COMPARISON'), ('cmp-3', 'UNKNOWN_RUN')) t(artifact_id, code)")
+def index_integrity(spark, d):
+    return evidence.index_violations(_artifacts(spark))
+
+
+@query("select * from (values ('cmp-1', 'STRONGER_THAN_OPERANDS'), ('cmp-2', 'SELF_COMPARISON'), ('cmp-3', 'UNKNOWN_CANDIDATE')) t(artifact_id, code)")
+def operand_violations(spark, d):
+    rows = _artifacts(spark)
+    return population.operand_violations(rows.where("artifact_type = 'comparison'"), rows.where("artifact_type = 'run'"))
+
+
+@query("select * from (values ('cmp-2', 'comparison'), ('cmp-3', 'comparison'), ('run-3', 'run')) t(artifact_id, artifact_type)")
+def catalog_filter(spark, d):
+    allowed = {"claim_scope": ("PILOT", "BENCHMARK_RESULT"), "verification": ("LOCAL", "SYNTHETIC", "NOT_RUN")}
+    return evidence.catalog_filter(_artifacts(spark), {"claim_scope": "PILOT", "verification": "nonsense"}, allowed).select("artifact_id", "artifact_type")
+
+
+@query("select doc_id, u.f as field, u.c as code from (select doc_id, unnest(list_filter([case when regexp_matches(text, '(?i)(api[_-]?key|secret|password|bearer\\s+[a-z0-9._-]{8,}|sk-[a-z0-9]{16,})') then {f: 'text', c: 'SECRET'} end, case when regexp_matches(text, '(?:^|[\\s\"''(])(?:/(?:home|root|Users|tmp|var|etc)/|[A-Za-z]:\\\\|\\\\\\\\)') then {f: 'text', c: 'LOCAL_PATH'} end, case when regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') then {f: 'text', c: 'CONTROL_CHARACTER'} end], lambda x: x is not null)) as u from documents)")
+def public_text_violations(spark, d):
+    return evidence.text_violations(v.table(spark, d, "documents"), "doc_id", ["text"])
