@@ -19,14 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import partitions, stash
+from gradus.llm.common import partitions
 
-#: Characters of text that make a block.
-BLOCK = 12_000_000
+#: Characters of text that make a block, and words that make a row of positions.
+BLOCK, CHUNK = 12_000_000, 500_000
 
 #: For texts of these characters, the pattern for letters and spaces of any script and this one cut the same way.
 _OTHER = re.compile("[^\x00-~¡§«»¿À-ÖØ-öø-ſ–—‘-„…€]")
@@ -34,8 +34,8 @@ _L = "A-Za-zÀ-ÖØ-öø-ſ"
 _S = " \t-\r"
 _WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
-_DDL = "block long, kind int, bucket long, doc_id long, data binary"
+_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("check", pa.int64()), ("data", pa.binary())])
+_DDL = "block long, kind int, bucket long, n long, check long, data binary"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -58,16 +58,28 @@ def _cutter(pattern: str):
 
 
 def _pack(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _row(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _SCHEMA)], schema=_SCHEMA)
 
 
-def _split(pattern: str, buckets: int):
+def _documents(some: list) -> bytes:
+    """Ids, whether they are null, and numbers of words."""
+    ids = np.array([d or 0 for d, _ in some], "<i8").tobytes()
+    return ids + bytes(d is None for d, _ in some) + np.array([len(x) for _, x in some], "<u4").tobytes()
+
+
+def _split(pattern: str, buckets: int, kind: int):
+    """kind 0: the blocks' distinct words, by bucket; 1: the documents as positions of these words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, part, n = _cutter(pattern), TaskContext.get().partitionId(), 0
+        cut, part, n = _cutter(pattern), 0, 0
         seen: dict[str, int] = {}
         docs: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -83,18 +95,33 @@ def _split(pattern: str, buckets: int):
             bounds = np.searchsorted(to[order], np.arange(buckets + 1))
             order = order.tolist()
             sent = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
-            lists = []
+            lists, check = [], 0
             for b in sent:
                 own = [words[i] for i in order[bounds[b] : bounds[b + 1]]]
                 lists.append(_pack(np.array([len(w) for w in own], "<u4").tobytes() + b"".join(own)))
-            if sent:
-                yield _row([block] * len(sent), [0] * len(sent), sent, [int(bounds[b + 1] - bounds[b]) for b in sent], lists)
-            for at in range(0, len(docs), 2000):
-                some = docs[at : at + 2000]
-                yield _row([block] * len(some), [1] * len(some), [at + i for i in range(len(some))], [d for d, _ in some], [_pack(place[x].tobytes()) for _, x in some])
+                check = zlib.crc32(b"\xff".join(own), check)
+            if kind == 0:
+                if sent:
+                    yield _row([block] * len(sent), [0] * len(sent), sent, [int(bounds[b + 1] - bounds[b]) for b in sent], [check] * len(sent), lists)
+            else:  # words are numbered by how often they occur, which packs better
+                every = np.concatenate([x for _, x in docs])
+                often = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), "<u4")
+                rank[often] = np.arange(len(words), dtype="<u4")
+                yield _row([block], [1], [0], [len(words)], [check], [_pack(place[often].tobytes())])
+                some, held, k = [], 0, 0
+                for doc in docs:
+                    some.append(doc)
+                    held += len(doc[1])
+                    if held >= CHUNK or doc is docs[-1]:
+                        at = rank[np.concatenate([x for _, x in some])]
+                        yield _row([block], [2], [k], [len(some)], [check], [_pack(_documents(some) + at.view(np.uint8).reshape(-1, 4).T.tobytes())])
+                        some, held, k = [], 0, k + 1
             n, seen, docs, size = n + 1, {}, [], 0
 
         for batch in batches:
+            if len(batch):
+                part = batch.column(2)[0].as_py()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = cut(text) if text else []
                 try:
@@ -119,8 +146,8 @@ def _encode(ranks_path: str):
         single = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            for block, bucket, n, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                data = zlib.decompress(data)
+            for block, bucket, n, check, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                data = _unpack(data)
                 ends = np.cumsum(np.frombuffer(data, "<u4", n)).astype(np.int64) + 4 * n
                 starts = np.concatenate(([4 * n], ends[:-1])).tolist()
                 out = []
@@ -130,7 +157,7 @@ def _encode(ranks_path: str):
                     if ids is None:
                         ids = known[word] = np.array(single(word), "<u4").tobytes()
                     out.append(ids)
-                yield _row([block], [0], [bucket], [n], [_pack(np.array([len(x) // 4 for x in out], "<u4").tobytes() + b"".join(out))])
+                yield _row([block], [0], [bucket], [n], [check], [_pack(np.array([len(x) // 4 for x in out], "<u4").tobytes() + b"".join(out))])
 
     return run
 
@@ -147,38 +174,56 @@ def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, at: np.ndarr
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    current, sizes, ids, ready = None, [], [], None
+    current = check = None
+    sizes, ids, ready = [], [], None
+    out: list[list] = [[], [], []]
+    held = 0
+
+    def rows() -> pa.RecordBatch:
+        nonlocal out, held
+        got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        out, held = [[], [], []], 0
+        return got
+
     for batch in batches:
-        out: list[list] = [[], [], []]
-        held = 0
-        for block, kind, doc, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+        for block, kind, n, sum_, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
             if block != current:
-                current, sizes, ids, ready = block, [], [], None
-            data = np.frombuffer(zlib.decompress(data), "<u4")
+                current, check, sizes, ids, ready = block, sum_, [], [], None
+            if sum_ != check:
+                raise ValueError("the input gave other rows, or another order, when it was read again; write it as a table first")
+            data = _unpack(data)
             if kind == 0:
-                sizes.append(data[:doc])
-                ids.append(data[doc:])
-                continue
-            if ready is None:
-                n = np.concatenate(sizes or [data[:0]]).astype(np.int64)
-                ready = (np.concatenate(ids or [data[:0]]), np.cumsum(n) - n, n)
-            got = _gather(*ready, data)
-            for column, value in zip(out, (doc, len(got), got.tobytes())):
-                column.append(value)
-            held += got.nbytes
-            if held > 16 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                out, held = [[], [], []], 0
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                data = np.frombuffer(data, "<u4")
+                sizes.append(data[:n])
+                ids.append(data[n:])
+            elif kind == 1:
+                size = np.concatenate(sizes or [np.empty(0, "<u4")]).astype(np.int64)
+                place = np.frombuffer(data, "<u4")
+                ready = (np.concatenate(ids or [np.empty(0, "<u4")]), (np.cumsum(size) - size)[place], size[place])
+            else:
+                doc, null = np.frombuffer(data, "<i8", n), data[8 * n : 9 * n]
+                words = np.frombuffer(data, "<u4", n, 9 * n).astype(np.int64)
+                at = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * int(words.sum()), 13 * n).reshape(4, -1).T).view("<u4").ravel()
+                end = np.cumsum(words)
+                for i, a, b in zip(range(n), (end - words).tolist(), end.tolist()):
+                    got = _gather(*ready, at[a:b])
+                    for column, value in zip(out, (None if null[i] else int(doc[i]), len(got), got.tobytes())):
+                        column.append(value)
+                    held += got.nbytes
+                    if held > 16 << 20:
+                        yield rows()
+    yield rows()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian 32-bit integers, one row for each row of ``docs``. Null and empty texts have none."""
+    """(doc_id, n_tokens, ids): ids as little-endian 32-bit integers, one row for each row of ``docs``. Null and empty texts have none.
+
+    Texts are read and cut twice, once for the words and once for the positions, which costs less than keeping both; ``docs`` has to
+    give the same rows in the same order each time, as a table does. If it doesn't, a checksum of each block's words stops the query."""
     buckets = partitions(docs.sparkSession)
-    split = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_split(pattern, buckets), _DDL), "byte-bpe")
-    words = split.where("kind = 0").repartition(buckets, "bucket").mapInArrow(_encode(ranks_path), _DDL)
-    both = words.unionByName(split.where("kind = 1")).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
+    words = texts.mapInArrow(_split(pattern, buckets, 0), _DDL).repartition(buckets, "bucket").mapInArrow(_encode(ranks_path), _DDL)
+    both = words.unionByName(texts.mapInArrow(_split(pattern, buckets, 1), _DDL)).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")
     return both.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
 
 
