@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_TOXIC, MOST_ORDINARY = 2000, 6500
-#: Bytes of a window and from one to the next, of the two dictionaries, and the level of compression.
-WINDOW, STEP, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 256, 128, 1024, 8192, 10
+#: Bytes of a window and from one to the next, of the ordinary dictionary, and the level of compression.
+WINDOW, STEP, ORDINARY_BYTES, LEVEL = 256, 128, 8192, 10
+#: Sizes of the toxic dictionary and of its segments that are tried, on so many training texts of each kind.
+TOXIC_BYTES, SEGMENTS, TRIAL = (768, 1024, 1536), (8, 10, 12, 16), 400
 LOW, HIGH = -8, 15
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,9 +93,18 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     # in the order of the ids' hashes: the trainer picks from one stretch of samples after another, so each should be a mixture
     beyond = dict.fromkeys(" ".join(["", *(w for w in _WORD.findall(t.lower()) if w in marked), ""]).encode() for t in kinds[0][: cut[0]])
     ordinary = [t.lower().encode() for t in kinds[1][: min(cut[1], 1500)]]
-    model = Model(_dictionary([x for x in beyond if len(x) > 8], TOXIC_BYTES, 10, 6), _dictionary(ordinary, ORDINARY_BYTES, 32, 8))
+    samples, plain = [x for x in beyond if len(x) > 8], _dictionary(ordinary, ORDINARY_BYTES, 32, 8)
+    unseen = [kind[n:] for kind, n in zip(kinds, cut)]
+    some = [kind[:TRIAL] for kind in unseen]
+    tried = [Model(_dictionary(samples, size, k, 6), plain) for size in TOXIC_BYTES for k in SEGMENTS]
+    best = max(tried, key=lambda m: _calibrated(m, some)[1])
+    return _calibrated(best, unseen)[0]
+
+
+def _calibrated(model: Model, kinds: list[list[str]]) -> tuple[Model, float]:
+    """The model with ratios and weights fitted on toxic and ordinary texts, and the chance that it ranks a pair of them rightly."""
     scorer = _Scorer(model)
-    found = [[scorer.evidence(t) for t in kind[n:]] for kind, n in zip(kinds, cut)]
+    found = [[scorer.evidence(t) for t in kind] for kind in kinds]
     shares = []
     for kind in found:
         h = np.full(HIGH - LOW + 1, 0.5)
@@ -101,7 +112,7 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
             value, n = np.unique(e - LOW, return_counts=True)
             h[value] += n / math.sqrt(len(e))
         shares.append(h / h.sum())
-    model = Model(model.toxic, model.ordinary, tuple(np.log(shares[0] / shares[1])))
+    model = replace(model, ratios=tuple(np.log(shares[0] / shares[1])))
     scorer = _Scorer(model)
     x = np.array([scorer.features(e) for kind in found for e in kind])
     y = np.repeat([1.0, 0.0], [len(kind) for kind in found])
@@ -109,9 +120,11 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     x = np.c_[(x - mean) / spread, np.ones(len(x))]
     weights = np.zeros(x.shape[1])
     for _ in range(40):
-        p = 1 / (1 + np.exp(-x @ weights))
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         weights -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(len(weights)), x.T @ (p - y) + 0.1 * weights)
-    return Model(model.toxic, model.ordinary, model.ratios, tuple(mean), tuple(spread), tuple(weights))
+    z = x @ weights
+    right = float((np.searchsorted(np.sort(z[y == 0]), z[y == 1])).mean() / max(1, (y == 0).sum()))
+    return replace(model, mean=tuple(mean), spread=tuple(spread), weights=tuple(weights)), right
 
 
 def held_out(doc_id: Column) -> Column:
