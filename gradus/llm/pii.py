@@ -211,7 +211,10 @@ def _masked(texts: pd.Series, found: pd.Series) -> pd.Series:
 
 
 def redact(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each span replaced by its kind in angle brackets; of spans that overlap, the first names the kind. Ids have to be unique."""
-    spans = detect(docs, text=text, id_col=id_col).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"))
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    return joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("__found")))).drop("__id", "__found")
+    """``docs`` with each span replaced by its kind in angle brackets; of spans that overlap, the first names the kind.
+
+    Rows are told apart by a hash of id and text, so rows without an id, or that repeat one, are treated alike."""
+    keyed = docs.withColumn("__key", F.xxhash64(id_col, text))
+    spans = detect(keyed, text=text, id_col="__key").where(F.size("found") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first("found").alias("__found"))
+    joined = keyed.join(spans, "__key", "left")
+    return joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("__found")))).drop("__key", "__found")
