@@ -39,13 +39,15 @@ def compare(current: DataFrame, baseline: DataFrame, rules: DataFrame) -> DataFr
     odd = lambda c: F.col(c).isNotNull() & (F.isnan(c) | (F.abs(c) == float("inf")))
     higher = F.col("direction") == "higher_is_better"
     degradation = F.when(higher, F.col("baseline") - F.col("current")).otherwise(F.col("current") - F.col("baseline"))
+    # the limit is taken from the baseline first: in floating point, exactly the allowed degradation then passes
+    worse = F.when(higher, F.col("current") < F.col("baseline") - F.col("max_degradation")).otherwise(F.col("current") > F.col("baseline") + F.col("max_degradation"))
     reason = (
         F.when(odd("current") | odd("baseline"), "NOT_FINITE")
         .when(F.col("current").isNull(), "MISSING_CURRENT")
         .when(higher & (F.col("current") < F.col("minimum_acceptable")), "BELOW_MINIMUM")
         .when(~higher & (F.col("current") > F.col("maximum_acceptable")), "ABOVE_MAXIMUM")
         .when(F.col("baseline").isNull(), "MISSING_BASELINE")
-        .when(degradation > F.col("max_degradation"), "DEGRADED")
+        .when(worse, "DEGRADED")
         .otherwise("OK")
     )
     status = F.when(F.col("reason") == "OK", "PASS").when(F.col("reason").startswith("MISSING"), "MISSING").when(F.col("reason") == "NOT_FINITE", "ERROR").otherwise("REGRESSION")

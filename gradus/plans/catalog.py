@@ -138,7 +138,7 @@ _LONG = "unnest([{{m: 'precision_at_5', x: avg(precision)}}, {{m: 'recall_at_5',
 @query(f"""with {_two()}, base as (select u.m as metric, u.x as baseline from (select {_LONG.format('scored')})), cur as (select u.m as metric, u.x as current from (select {_LONG.format('scored_b')})),
 rules(metric, low, allowed) as (values ('precision_at_5', 0.01, 0.0), ('recall_at_5', null, 0.05), ('hit_rate_at_5', null, 0.0), ('mrr', 0.9, 0.1), ('ndcg_at_5', null, 0.02), ('map_at_5', null, 0.0)),
 j as (select metric, current, baseline, low, allowed::double as allowed from rules left join cur using (metric) left join base using (metric)),
-r as (select *, case when current is null then 'MISSING_CURRENT' when current < low then 'BELOW_MINIMUM' when baseline is null then 'MISSING_BASELINE' when baseline - current > allowed then 'DEGRADED' else 'OK' end as reason from j)
+r as (select *, case when current is null then 'MISSING_CURRENT' when current < low then 'BELOW_MINIMUM' when baseline is null then 'MISSING_BASELINE' when current < baseline - allowed then 'DEGRADED' else 'OK' end as reason from j)
 select metric, round(current, 9) as current, round(baseline, 9) as baseline, round(baseline - current, 9) as degradation, reason,
 case when reason = 'OK' then 'PASS' when starts_with(reason, 'MISSING') then 'MISSING' else 'REGRESSION' end as status from r""")
 def regression_report(spark, d):
