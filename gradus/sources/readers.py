@@ -162,7 +162,7 @@ def mapped_csv(spark: SparkSession, path: str, kind: str, mapping: dict[str, str
         raise InputError("MISSING_COLUMN", ", ".join(sorted(missing)))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, mode="FAILFAST", multiLine=True, encoding="UTF-8")
-    ids = F.filter(F.transform(F.split(F.coalesce(F.col(f"`{mapping['document_ids']}`"), F.lit("")), "\\" + delimiter), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(F.col(f"`{mapping['document_ids']}`"), F.lit("")), "\\" + delimiter), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(F.trim(F.col(f"`{mapping['query_id']}`")).alias("query_id"), ids.alias("relevant" if kind == "ground_truth" else "retrieved"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("query_id"))
     return rows.withColumn("query_id", F.when(nth > 1, F.raise_error(F.concat(F.lit("DUPLICATE_QUERY_ID "), "query_id"))).otherwise(F.col("query_id")))
