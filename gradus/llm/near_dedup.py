@@ -7,10 +7,11 @@
 3. A sweep through each partition takes the runs whose first LEAST values agree. A run of more than REGION is
    split where deeper values differ, as deep as that region needs; what all values leave together is taken in pieces
    that share its first member. Rows at the ends of partitions are swept once more with the neighbouring partition's.
-4. In a region, documents are compared by sketches (four bits of each signature value). First only a spanning forest of the
-   closest pairs is handed on: a number of pairs linear in the rows. The pairs are confirmed on full sets.
-5. Their components label the documents, and a second sweep over the documents that had a pair hands on all pairs likely enough that
-   still cross components, for confirmation. Components of all confirmed links are the result.
+4. In a region, documents are compared by sketches (four bits of each signature value). A spanning forest of the
+   closest pairs is handed on, a number of pairs linear in the rows, and confirmed on full sets.
+5. The confirmed pairs' components label the documents of each family (what all pairs of the forest hold together). Where a
+   family has several labels, its members are compared across labels on full sets, block by block, so no link is missed that the forest
+   did not need. Components of all links are the result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from gradus.llm.common import bit_filter, maybe_in, partitions, stash
 from gradus.llm.components import components
 
-TREES, DEPTH, LEAST, REGION = 20, 6, 3, 1024
+TREES, DEPTH, LEAST, REGION, FAMILY = 20, 6, 3, 1024, 512
 HASHES = TREES * DEPTH
 #: How far below the wanted similarity a sketch's estimate may fall: over three of its standard errors at 0.8.
 SLACK = 0.13
@@ -90,14 +91,14 @@ def _sign(words: int):
     return run
 
 
-_NODE = pa.schema([("order", pa.binary()), ("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("sketch", pa.binary())])
-_NODE_DDL = "order binary, node long, n long, label long, sketch binary"
+_NODE = pa.schema([("order", pa.binary()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_NODE_DDL = "order binary, node long, n long, sketch binary"
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each tree: the tree and its values, big-endian, so that bytes sort as values do."""
     for batch in batches:
-        node, n, label, data = (batch.column(i).to_pylist() for i in range(4))
+        node, n, data = (batch.column(i).to_pylist() for i in range(3))
         for at in range(0, len(node), 1000):
             s = np.frombuffer(b"".join(data[at : at + 1000]), np.uint32).reshape(-1, HASHES)
             low = (s & np.uint32(15)).astype(np.uint8)
@@ -110,24 +111,21 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = order.tobytes()
             w = 1 + 4 * DEPTH
             yield pa.RecordBatch.from_arrays(
-                [pa.array([flat[i : i + w] for i in range(0, len(flat), w)], pa.binary()), *(pa.array(x[at : at + 1000] * TREES, pa.int64()) for x in (node, n, label)), pa.array(sketch * TREES, pa.binary())], schema=_NODE
+                [pa.array([flat[i : i + w] for i in range(0, len(flat), w)], pa.binary()), *(pa.array(x[at : at + 1000] * TREES, pa.int64()) for x in (node, n)), pa.array(sketch * TREES, pa.binary())], schema=_NODE
             )
 
 
 class _Region:
     """Pairs of a region: estimates from sketches, which sizes too unlike rule out."""
 
-    def __init__(self, threshold: float, every: bool):
-        self.low, self.size, self.every = threshold - SLACK, threshold, every
+    def __init__(self, threshold: float):
+        self.low, self.size = threshold - SLACK, threshold
         self.a: list[np.ndarray] = []
         self.b: list[np.ndarray] = []
 
-    def add(self, node: np.ndarray, n: np.ndarray, label: np.ndarray, sketch: list[bytes]) -> None:
-        if self.every and (label == label[0]).all():
-            return
+    def add(self, node: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> None:
         s = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
-        s = np.concatenate([s >> 4, s & 15], axis=1)
-        (self._all if self.every else self._forest)(node, n, label, s)
+        self._forest(node, n, np.concatenate([s >> 4, s & 15], axis=1))
 
     def _near(self, s: np.ndarray, n: np.ndarray, i: int, others) -> np.ndarray:
         match = np.count_nonzero(s[others] == s[i], axis=1) / s.shape[1]
@@ -139,13 +137,7 @@ class _Region:
         self.a.append(np.minimum(a, b)[differ])
         self.b.append(np.maximum(a, b)[differ])
 
-    def _all(self, node, n, label, s) -> None:
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            hit = np.flatnonzero((self._near(s, n, i, rest) >= self.low) & (label[rest] != label[i])) + i + 1
-            self._emit(np.full(len(hit), node[i]), node[hit])
-
-    def _forest(self, node, n, label, s) -> None:
+    def _forest(self, node, n, s) -> None:
         """Prim's algorithm: the closest pairs that hold together what can be held together."""
         left = np.arange(1, len(node))
         best, by = self._near(s, n, 0, left), np.zeros(len(left), np.int64)
@@ -163,21 +155,21 @@ class _Region:
                 best[closer], by[closer] = near[closer], i
         self._emit(np.array(a, np.int64), np.array(b, np.int64))
 
-    def split(self, order: np.ndarray, node, n, label, sketch: list[bytes], depth: int = LEAST) -> None:
+    def split(self, order: np.ndarray, node, n, sketch: list[bytes], depth: int = LEAST) -> None:
         """``order``: the values of rows that agree in the first ``depth``."""
         m = len(node)
         if m < 2:
             return
         if m <= REGION:
-            self.add(node, n, label, sketch)
+            self.add(node, n, sketch)
         elif depth < DEPTH:
             cuts = np.flatnonzero(order[1:, depth] != order[:-1, depth]) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), m]):
-                self.split(order[lo:hi], node[lo:hi], n[lo:hi], label[lo:hi], sketch[lo:hi], depth + 1)
+                self.split(order[lo:hi], node[lo:hi], n[lo:hi], sketch[lo:hi], depth + 1)
         else:
             for lo in range(0, m, REGION - 1):
                 pick = np.unique(np.concatenate(([0], np.arange(lo, min(lo + REGION, m)))))
-                self.add(node[pick], n[pick], label[pick], [sketch[i] for i in pick])
+                self.add(node[pick], n[pick], [sketch[i] for i in pick])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.a, self.b))
@@ -205,9 +197,9 @@ def _runs(values: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(new) + 1, [len(values)]))
 
 
-def _sweep(threshold: float, every: bool):
+def _sweep(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, part = _Region(threshold, every), TaskContext.get().partitionId()
+        region, part = _Region(threshold), TaskContext.get().partitionId()
         held: pa.Table | None = None
         first = True
 
@@ -225,11 +217,11 @@ def _sweep(threshold: float, every: bool):
                 held = rows
                 return
             stop = len(starts) - 1 if last or len(starts) == 2 else len(starts) - 2
-            node, n, label = (rows.column(i).to_numpy() for i in (1, 2, 3))
-            sketch = rows.column(4)
+            node, n = (rows.column(i).to_numpy() for i in (1, 2))
+            sketch = rows.column(3)
             for k in np.flatnonzero(np.diff(starts[: stop + 1]) > 1):
                 lo, hi = starts[k], starts[k + 1]
-                region.split(values[lo:hi], node[lo:hi], n[lo:hi], label[lo:hi], sketch.slice(lo, hi - lo).to_pylist())
+                region.split(values[lo:hi], node[lo:hi], n[lo:hi], sketch.slice(lo, hi - lo).to_pylist())
             yield _found(*region.pairs())
             if first:
                 yield ends(rows.slice(0, min(starts[1], REGION // 2)), part - 1)
@@ -252,48 +244,110 @@ def _sweep(threshold: float, every: bool):
     return run
 
 
-def _border(threshold: float, every: bool):
+def _border(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
-        region = _Region(threshold, every)
+        region = _Region(threshold)
         rows = rows.sort_by([("order", "ascending"), ("node", "ascending")]).combine_chunks()
         values, tree = _values(rows.column("order").to_pylist())
         starts = _runs(values, tree)
-        node, n, label = (rows.column(c).to_numpy() for c in ("node", "n", "label"))
+        node, n = (rows.column(c).to_numpy() for c in ("node", "n"))
         for k in np.flatnonzero(np.diff(starts) > 1):
             lo, hi = starts[k], starts[k + 1]
-            region.split(values[lo:hi], node[lo:hi], n[lo:hi], label[lo:hi], rows.column("sketch").slice(lo, hi - lo).to_pylist())
+            region.split(values[lo:hi], node[lo:hi], n[lo:hi], rows.column("sketch").slice(lo, hi - lo).to_pylist())
         a, b = region.pairs()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _candidates(nodes: DataFrame, threshold: float, every: bool, name: str) -> DataFrame:
-    """(a, b), distinct: pairs to confirm. ``nodes``: node, n, label, signature."""
+def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), distinct: pairs to confirm. ``nodes``: node, n, signature."""
     spark = nodes.sparkSession
-    rows = nodes.select("node", "n", "label", "signature").mapInArrow(_orders, _NODE_DDL)
-    swept = rows.repartitionByRange(partitions(spark), "order", "node").sortWithinPartitions("order", "node").mapInArrow(_sweep(threshold, every), _OUT_DDL)
-    swept = stash(swept, f"near-dedup-{name}")
-    border = swept.where("edge is not null").select("edge", "order", "node", "n", "label", "sketch").groupBy("edge").applyInArrow(_border(threshold, every), "a long, b long")
+    rows = nodes.select("node", "n", "signature").mapInArrow(_orders, _NODE_DDL)
+    swept = rows.repartitionByRange(partitions(spark), "order", "node").sortWithinPartitions("order", "node").mapInArrow(_sweep(threshold), _OUT_DDL)
+    swept = stash(swept, "near-dedup-forest")
+    border = swept.where("edge is not null").select("edge", "order", "node", "n", "sketch").groupBy("edge").applyInArrow(_border(threshold), "a long, b long")
     return swept.where("a is not null").select("a", "b").unionByName(border).distinct()
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    wanted = stash(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key"), "node"), "near-dedup-wanted")
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, own): the full sets of the wanted nodes (node, key), read from the texts again."""
     mask = bit_filter(wanted, "node", FILTER_BITS)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(i, shingle_set(t, words)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for _, x in out], pa.binary()), pa.array([x.view(np.int64) for _, x in out], pa.list_(pa.int64()))], names=["node", "key", "own"])
 
-    some = docs.where(maybe_in(mask, "doc_id", FILTER_BITS)).mapInArrow(sets, "node long, key binary, own array<long>")
-    some = some.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
+    some = docs.where(maybe_in(mask, "doc_id", FILTER_BITS)).mapInArrow(run, "node long, key binary, own array<long>")
+    return some.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    some = _sets(docs, stash(ends.join(nodes.select("node", "key"), "node"), "near-dedup-ends"), words)
     left = pairs.join(some.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(some.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    shared_n = F.size(F.array_intersect("own_a", "own_b"))
-    return both.where(100 * shared_n >= threshold_pct * (F.size("own_a") + F.size("own_b") - shared_n)).select("a", "b")
+    shared = F.size(F.array_intersect("own_a", "own_b"))
+    return both.where(100 * shared >= threshold_pct * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
+
+
+def _across(threshold_pct: int):
+    """Links between different labels of one or two blocks of a family, one for each two labels that it joins."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, label, block = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
+        own = rows.column("own").combine_chunks()
+        sizes = np.diff(own.offsets.to_numpy())
+        flat = np.unique(own.flatten().to_numpy(), return_inverse=True)[1]
+        start = np.cumsum(sizes) - sizes
+        left = np.flatnonzero(block == block.min())
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
+        a, b = [], []
+        here = np.zeros(len(flat) + 1, np.int32)
+        for i in left:
+            own_i = flat[start[i] : start[i] + sizes[i]]
+            here[own_i] = 1
+            shared = np.add.reduceat(here[flat], start)
+            here[own_i] = 0
+            near = (100 * shared >= threshold_pct * (sizes + sizes[i] - shared)) & (label != label[i])
+            for j in np.flatnonzero(near):
+                x, y = find(int(label[i])), find(int(label[j]))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _crossing(docs: DataFrame, near: DataFrame, links: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+    """Links that the forest missed, (a, b): between the components (labels) of a family, the documents that candidate pairs hold together.
+
+    A family's largest label needs no comparison within itself. Its members, and the others, are dealt over blocks of at most about
+    FAMILY, and each two blocks that differ in labels are compared at once on full sets: rows are members of blocks, not pairs."""
+    labels = components(links)
+    members = components(near).withColumnRenamed("component", "family").join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
+    members = stash(members, "near-dedup-members")
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
+    sizes = sizes.select("family", "main", F.ceil(F.col("n_main") / FAMILY).alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / FAMILY).alias("others"))
+    rows = members.join(sizes, "family")
+    salt = F.xxhash64("node")
+    block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others")))
+    rows = stash(rows.withColumn("block", block).join(nodes.select("node", "key"), "node"), "near-dedup-family")
+    with_sets = rows.drop("key").join(_sets(docs, rows.select("node", "key"), words), "node")
+    meets = F.when(F.col("label") == F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("mains") - 1))
+    dealt = with_sets.select("family", "node", "label", "block", "own", F.explode(meets).alias("other"))
+    dealt = dealt.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "label", "block", "own")
+    return dealt.groupBy("family", "x", "y").applyInArrow(_across(threshold_pct), "a long, b long").distinct()
 
 
 def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words: int = 5, threshold_pct: int = 80) -> DataFrame:
@@ -306,17 +360,10 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
     keyed = signed.where("key is not null")
     reps = stash(keyed.groupBy("key").agg(F.min("doc_id").alias("node")), "near-dedup-reps")
     nodes = stash(keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["doc_id"] == reps["node"])).select("node", keyed["key"], F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"]), "near-dedup-nodes")
-    threshold = threshold_pct / 100
-    near = stash(_candidates(nodes.withColumn("label", F.col("node")), threshold, False, "forest"), "near-dedup-pairs")
+    near = stash(_candidates(nodes, threshold_pct / 100), "near-dedup-pairs")
     links = stash(_confirm(docs, near, nodes, words, threshold_pct), "near-dedup-links")
-    labels = components(links)
-    active = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left")
-    active = nodes.join(active.select("node", F.coalesce("component", "node").alias("label")), "node")
-    crossing = stash(_candidates(active, threshold, True, "crossing").join(near, ["a", "b"], "left_anti"), "near-dedup-crossing")
-    if crossing.take(1):
-        more = stash(_confirm(docs, crossing, nodes, words, threshold_pct), "near-dedup-more")
-        if more.take(1):
-            labels = components(links.unionByName(more))
+    more = stash(_crossing(docs, near, links, nodes, words, threshold_pct), "near-dedup-more")
+    labels = components(links.unionByName(more))
     whole = signed.select("doc_id", "n_shingles", "key").join(reps, "key", "left").join(labels, "node", "left")
     own = F.coalesce("component", "node", "doc_id")
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
