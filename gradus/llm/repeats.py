@@ -1,16 +1,16 @@
 """Repeated passages: removal of each byte that a string of LENGTH bytes covers which also starts anywhere else.
 
-The named method, external induced suffix sorting, takes every suffix through priority queues one by one; the README has
-its measured rate in Python, over a hundred times what the limits allow. Here a sparse sample of positions stands for the
-suffixes, chosen so that equal strings are always met:
+The method first thought of, external induced suffix sorting, takes every suffix through disk-backed priority queues; the README has
+its measured rate in Python, some fifteen times over the limits. Here a sparse sample of positions stands for the suffixes,
+chosen so that equal strings are always met:
 
 1. In each window of LENGTH bytes, the SAMPLE-gram of the smallest hash (leftmost at ties) is its anchor. Equal
    windows have equal anchors at equal offsets. Windows in a row share anchors: one for every hundred bytes or so.
 2. An anchor's row has the hash of the anchor and of its context, the bytes that all windows of this anchor cover. Counts
    by both are summed before they move, so copies in any number are one row for each task. A context found twice or more:
    all its windows are repeated.
-3. An anchor found in different contexts, as at the ends of a shared passage: a second pass hashes its
-   windows one by one, again counted before they move.
+3. An anchor found in different contexts, as at the ends of a shared passage: the contexts' bytes meet by anchor and their
+   windows are compared one by one. An anchor in very many contexts is not gathered; its windows are counted as rows.
 4. The repeated windows of a document are merged, and their bytes go.
 
 Windows count as equal if 64-bit hashes of the anchor and of the context (or the window) are. All counts cover all documents.
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import bit_filter, maybe_in, stash
+from gradus.llm.common import bit_filter, maybe_in, partitions, stash
 
 LENGTH, SAMPLE = 400, 200
 #: Bytes of a text worked on at once (windows of the next part begin where those of the last end), and bits of the sieves.
 PART, BITS = 1 << 22, 1 << 24
+#: Contexts of one anchor that are compared in one task; of an anchor with more, windows are counted as rows.
+TOGETHER = 20_000
 
 _random = np.random.default_rng(9)
 _TABLE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -116,42 +118,99 @@ def _anchor_rows(length: int, sample: int):
     return run
 
 
-def _window_rows(length: int):
-    """For the wanted anchors of each text, a row for each window: (hash of anchor and offset, hash of the window)."""
+_PIECE_DDL = "anchor long, doc_id long, text_hash long, first long, place long, piece binary"
+
+
+def _pieces(length: int):
+    """For each wanted anchor of a text, a row with the bytes of its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
             held = 0
 
             def rows() -> pa.RecordBatch:
-                got = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out], names=["doc_id", "text_hash", "start", "place", "window"])
-                for x in out:
-                    x.clear()
+                nonlocal out, held
+                got = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], names=["anchor", "doc_id", "text_hash", "first", "place", "piece"])
+                out, held = [[] for _ in range(6)], 0
                 return got
 
             for doc, text_hash, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                want = np.array([(w["first"], w["last"], w["anchor"], w["place"]) for w in wanted], np.int64).reshape(-1, 4)
-                for at, data in _parts(text, length):
-                    here = want[(want[:, 0] >= at) & (want[:, 0] < at + PART)]
-                    if not len(here):
-                        continue
-                    size = here[:, 1] - here[:, 0] + 1
-                    start = np.repeat(here[:, 0] - at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    windows = _mix(_hashes(_TABLE[::-1][np.frombuffer(data, np.uint8)], length, _BASE_2))[start].view(np.int64)
-                    offset = np.repeat(here[:, 3], size) - start - at
-                    place = _mix(np.repeat(here[:, 2], size).view(np.uint64) + offset.astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
-                    for column, value in zip(out, (np.full(len(start), doc), np.full(len(start), text_hash), start + at, place, windows)):
+                data = text.encode()
+                for w in wanted:
+                    piece = data[w["first"] : w["last"] + length]
+                    held += len(piece)
+                    for column, value in zip(out, (w["anchor"], doc, text_hash, w["first"], w["place"], piece)):
                         column.append(value)
-                    held += len(start)
-                if held > 200_000:
+                if held > 8_000_000:
                     yield rows()
-                    held = 0
             yield rows()
 
     return run
 
 
+def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, hash of anchor and offset, hash of window) of every window of the pieces."""
+    pieces = rows.column("piece").to_pylist()
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    n = sizes - length + 1
+    row = np.repeat(np.arange(len(pieces)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    window = _mix(_hashes(_TABLE[::-1][data], length, _BASE_2))[(np.cumsum(sizes) - sizes)[row] + inside]
+    anchor, first, place = (rows.column(c).to_numpy() for c in ("anchor", "first", "place"))
+    start = first[row] + inside
+    spot = _mix(anchor[row].view(np.uint64) + (place[row] - start).astype(np.uint64) * np.uint64(_BASE))
+    return row, start, spot.view(np.int64), window.view(np.int64)
+
+
+def _match(length: int):
+    """Of pieces in order of their anchors: the runs of windows that another piece of the anchor has at the same offset."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        row, start, spot, window = _windows(rows, length)
+        order = np.lexsort((window, spot))
+        same = (spot[order][1:] == spot[order][:-1]) & (window[order][1:] == window[order][:-1])
+        again = np.zeros(len(row), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        at = np.flatnonzero(again)
+        new = np.concatenate(([True], (row[at][1:] != row[at][:-1]) | (start[at][1:] != start[at][:-1] + 1))) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:] - 1, [len(at) - 1])) if len(at) else first
+        take = row[at[first]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows.column("doc_id").to_numpy()[take], rows.column("text_hash").to_numpy()[take], start[at[first]], start[at[last]])], names=["doc_id", "text_hash", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            anchor = rows.column("anchor").to_numpy()
+            cut = int(np.searchsorted(-(anchor != anchor[-1]).astype(np.int8), 0))  # where the last anchor's rows begin
+            for at in range(0, cut, cut or 1):
+                yield found(rows.slice(at, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield found(held)
+
+    return run
+
+
+def _window_rows(length: int):
+    """(doc_id, text_hash, start, place, window): pieces as rows for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                rows = pa.Table.from_batches([batch.slice(at, 2000)])
+                row, start, spot, window = _windows(rows, length)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows.column("doc_id").to_numpy()[row], rows.column("text_hash").to_numpy()[row], start, spot, window)], names=["doc_id", "text_hash", "start", "place", "window"])
+
+    return run
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,17 +237,20 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, sample: int | None = None
     rows = stash(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, sample or length // 2), _ANCHOR_DDL), "repeats-anchors")
     counts = stash(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("one")), "repeats-contexts")
     found = counts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1")
-    found = stash(counts.withColumnRenamed("n", "same").join(found, "anchor").select("anchor", "context", "same", "one", (F.col("contexts") > 1).alias("mixed")), "repeats-found")
-    mask = bit_filter(found, "anchor", BITS)
-    rows = stash(rows.where(maybe_in(mask, "anchor", BITS)).join(found, ["anchor", "context"]), "repeats-rows")
+    found = stash(counts.withColumnRenamed("n", "same").join(found, "anchor").select("anchor", "context", "same", "one", "contexts"), "repeats-found")
+    rows = stash(rows.where(maybe_in(bit_filter(found, "anchor", BITS), "anchor", BITS)).join(found, ["anchor", "context"]), "repeats-rows")
     whole = rows.where("same > 1").select("doc_id", "text_hash", "first", "last")
-    wanted = rows.where("mixed and doc_id = one").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "anchor", "place")).alias("wanted"))
-    # the texts of a pair of keys are the same: one is enough
-    texts = docs.where(maybe_in(bit_filter(rows.where("mixed and doc_id = one"), "doc_id", BITS), "doc_id", BITS)).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    windows = stash(texts.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_window_rows(length), "doc_id long, text_hash long, start long, place long, window long"), "repeats-windows")
+    # one text for each context is enough: where there are more, all windows are repeated anyway
+    some = rows.where("contexts > 1 and doc_id = one")
+    wanted = some.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "anchor", "place")).alias("wanted"))
+    texts = docs.where(maybe_in(bit_filter(some, "doc_id", BITS), "doc_id", BITS)).join(wanted, ["doc_id", "text_hash"])
+    pieces = stash(texts.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_pieces(length), _PIECE_DDL).join(found.groupBy("anchor").agg(F.max("contexts").alias("contexts")), "anchor"), "repeats-pieces")
+    kind = "doc_id long, text_hash long, first long, last long"
+    few = pieces.where(F.col("contexts") <= TOGETHER).drop("contexts").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(_match(length), kind)
+    windows = pieces.where(F.col("contexts") > TOGETHER).drop("contexts").mapInArrow(_window_rows(length), "doc_id long, text_hash long, start long, place long, window long")
     again = windows.groupBy("place", "window").agg(F.count("*").alias("n")).where("n > 1").select("place", "window")
-    single = windows.join(again, ["place", "window"]).select("doc_id", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(single)
+    many = windows.join(again, ["place", "window"]).select("doc_id", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
+    return whole.unionByName(few).unionByName(many)
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, sample: int | None = None) -> DataFrame:
