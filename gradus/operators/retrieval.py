@@ -48,20 +48,20 @@ def rank(scores: DataFrame, k: int) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, document_id, score, rank). Only documents that share a token with the query appear.
 
-    Tokens of no query are dropped before postings are counted. A score is folded in token order, so it is the same in every
-    run and partitioning."""
+    Tokens of no query are dropped before postings are counted. Parts of a score are added up as integers of 15 decimal places (12 for queries
+    of over 200 tokens, so that sums fit), which makes a score the same for every order and partitioning, and equal documents equal."""
     docs = tokenized(corpus, tokenizer)
-    terms = query_terms(queries, tokenizer)
+    terms = queries.select("query_id", F.array_distinct(tokenizer(F.col("text"))).alias("terms"))
+    terms = terms.select("query_id", F.when(F.size("terms") > 200, 1e12).otherwise(1e15).alias("scale"), F.explode("terms").alias("token"))
     wanted = terms.select("token").distinct()
     used = docs.select("document_id", "length", F.explode("terms").alias("token")).join(wanted, "token", "left_semi")
-    used = used.groupBy("token", "document_id", "length").agg(F.count("*").alias("tf"))
+    used = used.groupBy("document_id", "length", "token").agg(F.count("*").alias("tf"))
     df = used.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(corpus_statistics(docs))).select("token", "avg_length", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     parts = used.join(idf, "token").select("token", "document_id", weight.alias("part")).join(terms, "token")
-    ordered = F.array_sort(F.collect_list(F.struct("token", "part")))
-    scores = parts.groupBy("query_id", "document_id").agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
-    return rank(scores, k)
+    scores = parts.groupBy("query_id", "document_id", "scale").agg(F.sum(F.round(F.col("part") * F.col("scale")).cast("long")).alias("units"))
+    return rank(scores.select("query_id", "document_id", (F.col("units") / F.col("scale")).alias("score")), k)
 
 
 def shared_tokens(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
