@@ -27,6 +27,29 @@ select h.page_id, host, path, m.rule as rule, coalesce(m.verdict, 'allow') as ve
 """
 
 
+def _repeated(n: int) -> str:
+    """Columns of SQL: whether a word lies in an n-gram that its document holds twice."""
+    return f"""g{n} as (select *, case when count(*) over span = {n} then string_agg(word, ' ') over span end as gram from words window span as (partition by doc_id order by i rows between current row and {n - 1} following)),
+d{n} as (select *, gram is not null and count(*) over (partition by doc_id, gram) > 1 as twice from g{n}),
+c{n} as (select doc_id, i, length(word) as chars, bool_or(twice) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as inside from d{n}),
+s{n} as (select doc_id, count(*) filter (inside) as n_words, coalesce(sum(chars) filter (inside), 0)::bigint as chars from c{n} group by doc_id)"""
+
+
+_SHARES = " and ".join([f"dup_line_chars <= {quality.LINE_SHARE}::double * word_chars", *(f"dup_chars_{n} <= {share}::double * word_chars" for n, share in quality.NGRAM_SHARE.items())])
+OP5_SQL = rf"""
+with words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)),
+{", ".join(_repeated(n) for n in quality.NGRAM_SHARE)},
+lines as (select doc_id, line, row_number() over (partition by doc_id, line order by k) as nth from (select doc_id, unnest(l) as line, unnest(range(len(l))) as k from (select doc_id, string_split(text, chr(10)) as l from documents)) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup as (select doc_id, count(*) as n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::bigint as chars from lines where nth > 1 group by doc_id),
+tot as (select doc_id, count(*) as n_words, sum(length(word))::bigint as word_chars from words group by doc_id),
+m as (select d.doc_id, coalesce(tot.n_words, 0) as n_words, coalesce(tot.word_chars, 0) as word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(dup.n, 0) as n_dup_lines, coalesce(s5.n_words, 0) as n_repeat_words, coalesce(dup.chars, 0) as dup_line_chars, {", ".join(f"coalesce(s{n}.chars, 0) as dup_chars_{n}" for n in quality.NGRAM_SHARE)}
+  from documents d left join tot using (doc_id) left join dup using (doc_id) {" ".join(f"left join s{n} using (doc_id)" for n in quality.NGRAM_SHARE)}),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select *, not base_failed and {_SHARES} as kept from f
+"""
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -92,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
 }
