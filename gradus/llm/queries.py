@@ -50,6 +50,19 @@ select *, not base_failed and {_SHARES} as kept from f
 """
 
 
+OP8_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+sized as (select * from sh join n using (doc_id)),
+links as (select a.doc_id as a, b.doc_id as b from sized a join sized b on a.s = b.s and a.doc_id < b.doc_id and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+sym as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, sym.b from reach join sym on reach.b = sym.a),
+c as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = doc_id as kept from c left join n using (doc_id)
+"""
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -116,4 +129,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op8_near_dedup": OP8_SQL,
 }
