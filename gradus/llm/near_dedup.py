@@ -42,7 +42,7 @@ _B = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -297,7 +297,7 @@ def _across(threshold_pct: int):
     """Links between different labels of one or two blocks of a family, one for each two labels that it joins."""
 
     def run(rows: pa.Table) -> pa.Table:
-        node, label, block = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
+        label, block = (rows.column(c).to_numpy() for c in ("label", "block"))
         own = rows.column("own").combine_chunks()
         sizes = np.diff(own.offsets.to_numpy())
         flat = np.unique(own.flatten().to_numpy(), return_inverse=True)[1]
@@ -322,19 +322,18 @@ def _across(threshold_pct: int):
                 x, y = find(int(label[i])), find(int(label[j]))
                 if x != y:
                     above[max(x, y)] = min(x, y)
-                    a.append(min(node[i], node[j]))
-                    b.append(max(node[i], node[j]))
+                    a.append(min(label[i], label[j]))
+                    b.append(max(label[i], label[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _crossing(docs: DataFrame, near: DataFrame, links: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
-    """Links that the forest missed, (a, b): between the components (labels) of a family, the documents that candidate pairs hold together.
+def _crossing(docs: DataFrame, near: DataFrame, labels: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+    """Links that the forest missed, as pairs (a, b) of labels: between the components of a family, the documents that candidate pairs hold together.
 
     A family's largest label needs no comparison within itself. Its members, and the others, are dealt over blocks of at most about
     FAMILY, and each two blocks that differ in labels are compared at once on full sets: rows are members of blocks, not pairs."""
-    labels = components(links)
     members = components(near).withColumnRenamed("component", "family").join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
     members = stash(members, "near-dedup-members")
     sizes = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
@@ -345,8 +344,8 @@ def _crossing(docs: DataFrame, near: DataFrame, links: DataFrame, nodes: DataFra
     rows = stash(rows.withColumn("block", block).join(nodes.select("node", "key"), "node"), "near-dedup-family")
     with_sets = rows.drop("key").join(_sets(docs, rows.select("node", "key"), words), "node")
     meets = F.when(F.col("label") == F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("mains") - 1))
-    dealt = with_sets.select("family", "node", "label", "block", "own", F.explode(meets).alias("other"))
-    dealt = dealt.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "label", "block", "own")
+    dealt = with_sets.select("family", "label", "block", "own", F.explode(meets).alias("other"))
+    dealt = dealt.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "label", "block", "own")
     return dealt.groupBy("family", "x", "y").applyInArrow(_across(threshold_pct), "a long, b long").distinct()
 
 
@@ -362,8 +361,12 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
     nodes = stash(keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["doc_id"] == reps["node"])).select("node", keyed["key"], F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"]), "near-dedup-nodes")
     near = stash(_candidates(nodes, threshold_pct / 100), "near-dedup-pairs")
     links = stash(_confirm(docs, near, nodes, words, threshold_pct), "near-dedup-links")
-    more = stash(_crossing(docs, near, links, nodes, words, threshold_pct), "near-dedup-more")
-    labels = components(links.unionByName(more))
+    labels = components(links)
+    more = stash(_crossing(docs, near, labels, nodes, words, threshold_pct), "near-dedup-more")
+    if more.take(1):  # joined labels; a document that had no link is its own
+        joined = components(more)
+        old = joined.select(F.col("node").alias("component"), F.col("component").alias("new"))
+        labels = labels.join(old, "component", "left").select("node", F.coalesce("new", "component").alias("component")).unionByName(joined).groupBy("node").agg(F.min("component").alias("component"))
     whole = signed.select("doc_id", "n_shingles", "key").join(reps, "key", "left").join(labels, "node", "left")
     own = F.coalesce("component", "node", "doc_id")
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
