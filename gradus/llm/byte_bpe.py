@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gradus.llm.common import partitions
 
 #: Characters of text that make a block, and words that make a row of positions.
-BLOCK, CHUNK = 12_000_000, 500_000
+BLOCK, CHUNK = 5_000_000, 500_000
 
 #: For texts of these characters, the pattern for letters and spaces of any script and this one cut the same way.
 _OTHER = re.compile("[^\x00-~¡§«»¿À-ÖØ-öø-ſ–—‘-„…€]")
@@ -122,7 +122,7 @@ def _split(pattern: str, buckets: int, kind: int):
         for batch in batches:
             if len(batch):
                 part = batch.column(2)[0].as_py()
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in ((d.as_py(), t.as_py()) for d, t in zip(batch.column(0), batch.column(1))):
                 words = cut(text) if text else []
                 try:
                     at = list(map(seen.__getitem__, words))
