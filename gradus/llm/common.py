@@ -12,7 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that go to a Python worker at once. Texts are long, so the usual 10,000 would be tens of megabytes on both sides.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in batches of BATCH_ROWS rows, or of fewer where the session says so."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +42,7 @@ _cleaned: set[str] = set()
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table below the shared folder and read it back. The folder goes when the driver ends."""
     spark = df.sparkSession
+    small_batches(spark)
     root = f"{shared_dir(spark).rstrip('/')}/gradus-{spark.sparkContext.applicationId}"
     if root not in _cleaned:
         _cleaned.add(root)

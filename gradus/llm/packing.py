@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gradus.llm.common import stash
 
 #: Entries of a worker's two caches, and bytes of ids in a batch that a worker hands back.
-WORDS, PARTS, BATCH = 200_000, 200_000, 8 << 20
+WORDS, PARTS, BATCH = 80_000, 80_000, 4 << 20
 
 #: Characters of which white space, lower case and composition are the same everywhere; other texts go to the library whole.
 _OTHER = re.compile("[^\t-\r -~¡§«»¿À-ÖØ-öø-įı-ňŊ-ž–—‘-„…€]")

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradus.llm.common import small_batches
+
 #: Rejected is a text with a greater share of its words' characters inside n-grams found twice or more (by n), or inside repeated lines.
 NGRAM_SHARE = {5: 0.25, 7: 0.22, 10: 0.20}
 LINE_SHARE = 0.30
 #: Characters that are worked on together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 
 _SYMBOLS, _SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +121,7 @@ def score(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     ``base_failed``: under 10 words, or over 20 % of the words in repeated 5-grams. ``kept``: not failed, and every
     share of characters within its limit. Null and empty texts have no words and fail. Repeated rows are judged alike."""
+    small_batches(docs.sparkSession)
     found = docs.withColumn("__measures", _measures(F.col(text)))
     found = found.withColumns({n: F.col(f"__measures.{n}") for n in FIELDS}).drop("__measures")
     found = found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
