@@ -26,14 +26,21 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ASCII_TOKEN), F.lit(0))
 
 
+def _fold(text: Column) -> Column:
+    """NFKC and case folding. For ASCII text that is lower case, so only other rows leave the JVM."""
+    text = F.coalesce(text, F.lit(""))
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _folded(F.when(other, text))).otherwise(F.lower(text))
+
+
 def _grams(run: Column, n: int) -> Column:
     return F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - n + 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(text: Column) -> Column:
     """Ranking tokens of any text: NFKC, case folding, then runs of Thai, Latin letters or digits. A Thai run gives
-    its bigrams, then its trigrams, or itself if it is one character. Only normalisation leaves the JVM."""
-    runs = F.regexp_extract_all(_folded(F.coalesce(text, F.lit(""))), F.lit(MIXED_TOKEN), F.lit(0))
+    its bigrams, then its trigrams, or itself if it is one character. Only normalisation of non-ASCII text leaves the JVM."""
+    runs = F.regexp_extract_all(_fold(text), F.lit(MIXED_TOKEN), F.lit(0))
     thai = lambda r: r.rlike(r"^[\x{0E00}-\x{0E7F}]")
     return F.flatten(F.transform(runs, lambda r: F.when(thai(r) & (F.length(r) > 1), F.concat(_grams(r, 2), _grams(r, 3))).otherwise(F.array(r))))
 

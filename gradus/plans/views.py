@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradus.functions.text import ascii_tokens, overlap_tokens
+from gradus.functions.text import overlap_tokens
 from gradus.operators import classify, retrieval
 
 K = 10
@@ -20,16 +20,16 @@ def topics(spark, d) -> DataFrame:
 
 
 def corpus(spark, d) -> DataFrame:
-    """Documents of ASCII text."""
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    """All documents."""
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
 
 
 def rank_a(spark, d) -> DataFrame:
-    return retrieval.bm25(corpus(spark, d), topics(spark, d), K, tokenizer=ascii_tokens)
+    return retrieval.bm25(corpus(spark, d), topics(spark, d), K)
 
 
 def rank_b(spark, d) -> DataFrame:
-    return retrieval.shared_tokens(corpus(spark, d), topics(spark, d), K, tokenizer=ascii_tokens)
+    return retrieval.shared_tokens(corpus(spark, d), topics(spark, d), K)
 
 
 def qrels(spark, d) -> DataFrame:

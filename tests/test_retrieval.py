@@ -1,10 +1,13 @@
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import text as tx
 from gradus.operators import ranking, regression, retrieval, transitions
+from gradus.plans import catalog
 
 TRUTH = [("Q1", ["001"]), ("Q2", []), ("Q3", ["002", "003"]), ("Q4", ["004"]), ("Q5", ["005", "006"])]
 FOUND = [("Q1", ["001", "999"]), ("Q2", ["999"]), ("Q3", ["003", "002"]), ("Q4", ["999"]), ("Q5", ["005", "999"]), ("extra", ["1"])]
@@ -102,3 +105,35 @@ def test_transitions(spark):
     y = spark.createDataFrame([("1", "mrr", 0.5), ("1", "p", 1.0)], "query_id string, metric string, value double")
     assert sorted((r.metric, r.delta) for r in transitions.metric_deltas(x, y).collect() if r.delta is not None) == [("mrr", -0.5)]
     assert transitions.metric_deltas(x, y).count() == 2
+
+
+MIXED = ["Die Straße nach Ａachen ist länger als jede andere Straße", "la niña come 3,5 kilos de piñas cada día en Perú", "plain words about the road", "ไทย ก ٣4", "THE ROAD is long", ""]
+
+
+def by_hand(text):
+    out = []
+    for t in re.findall(r"[\u0e00-\u0e7f]+|[a-z]+|\d+(?:[.,]\d+)?", unicodedata.normalize("NFKC", text).casefold()):
+        out += [t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)] if "\u0e00" <= t[0] <= "\u0e7f" and len(t) > 1 else [t]
+    return out
+
+
+def test_queries_rank_all_documents(spark, tmp_path):
+    asked = ["straße aachen road", "la niña come 3,5 kilos de piñas", "ไทย road"]
+    spark.createDataFrame(list(enumerate(MIXED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = {str(i): by_hand(t) for i, t in enumerate(MIXED)}
+    mean, wanted = sum(map(len, docs.values())) / len(docs), set()
+    for q, text in enumerate(asked):
+        for d, terms in docs.items():
+            score = 0.0
+            for t in set(by_hand(text)) & set(terms):
+                df, tf = sum(t in x for x in docs.values()), terms.count(t)
+                score += math.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / mean))
+            if score:
+                wanted.add((str(q), d, round(score, 9)))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.document_id, r.score) for r in run("bm25_topk")} == wanted
+    assert {(r.query_id, r.document_id, r.score) for r in run("shared_token_topk")} == {(str(q), d, float(n)) for q, a in enumerate(asked) for d, terms in docs.items() if (n := len(set(by_hand(a)) & set(terms)))}
+    assert {(r.token, r.df, r.cf) for r in run("bm25_postings_stats")} == {(t, sum(t in x for x in docs.values()), sum(x.count(t) for x in docs.values())) for x in docs.values() for t in x}
+    assert [tuple(r) for r in run("bm25_corpus_stats")] == [(6, round(mean, 9))]
+    assert {(r.query_id, r.document_id) for r in run("containment_qrels")} == {("1", "1")}
