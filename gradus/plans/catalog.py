@@ -379,8 +379,7 @@ def validate_unknown_queries(spark, d):
 
 @query()
 def near_duplicate_docs(spark, d):
-    short = v.table(spark, d, "documents").where("length(text) <= 400").select("doc_id", "text")
-    return _round(validate.near_duplicates(short, "doc_id", "text", "doc_id"))
+    return _round(validate.near_duplicates(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", "doc_id"))
 
 
 _SPANS = f"""{v.TOPICS}, {v.CORPUS}, s as (select document_id, query_id, strpos(c.text, t.text) - 1 as start, c.text, t.text as quoted from corpus c join topics t on contains(c.text, t.text)),
