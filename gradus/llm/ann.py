@@ -5,7 +5,8 @@
    directory (at most STEPS ** HASHES buckets for each table, at any size of the data) has the occupied ones with their rows.
 3. A query visits buckets in the order of the estimated probability that a near neighbour lies there. For unit vectors of
    cosine c, the neighbour's projection is normal around c times the query's; c is fitted to the table's size on a
-   bounded sample. It goes on until the probabilities add up to TARGET, so probes follow the data and have no cap.
+   bounded sample. It goes on until the probabilities add up to TARGET and the buckets hold k ids besides the query's own, or all
+   buckets are visited, so probes follow the data and have no cap.
 4. Buckets in a row fill blocks of BLOCK rows; a bucket that holds more is dealt over several by a hash of the id. Each block
    compares its rows with the queries that visit them, a chunk of queries at a time, and hands on each query's best.
 5. The tables' candidates are merged and ranked by the exact cosine.
@@ -124,7 +125,7 @@ def _compare(k: int):
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that ``is_query`` marks (a condition on the column ``id``), its k nearest others found.
+    """(query_id, rank, vec_id, score): for each row that ``is_query`` marks (a condition on the column ``id``), its k nearest others found, or all others if there are fewer.
 
     Larger cosine first, smaller id at ties. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
     do those of another length than most of the sample. Of rows that repeat an id, the smallest vector counts."""
@@ -147,14 +148,14 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
         for pdf in batches:
             if len(pdf):
                 unit = _unit(_matrix(pdf["v"]))
-                yield pd.concat([pd.DataFrame({"table": t, "bucket": hashing.bucket(unit, t)}) for t in range(TABLES)])
+                yield pd.concat([pd.DataFrame({"table": t, "bucket": hashing.bucket(unit, t), "n": pdf["n"]}) for t in range(TABLES)])
 
-    counts = reps.select("v").mapInPandas(place, "table int, bucket long").groupBy("table", "bucket").count().orderBy("table", "bucket").toPandas()
+    counts = reps.select("v", F.size("ids").alias("n")).mapInPandas(place, "table int, bucket long, n long").groupBy("table", "bucket").agg(F.count("*").alias("count"), F.sum("n").alias("ids")).orderBy("table", "bucket").toPandas()
     directory = []
     for t in range(TABLES):
         own = counts[counts["table"] == t]
         size = own["count"].to_numpy()
-        directory.append((own["bucket"].to_numpy(), np.cumsum(size) - size, size))
+        directory.append((own["bucket"].to_numpy(), np.cumsum(size) - size, size, own["ids"].to_numpy()))
     shared = spark.sparkContext.broadcast(directory)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +163,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
             if not len(pdf):
                 continue
             unit = _unit(_matrix(pdf["v"]))
-            for t, (buckets, first, size) in enumerate(shared.value):
+            for t, (buckets, first, size, _) in enumerate(shared.value):
                 bucket = hashing.bucket(unit, t)
                 at = np.searchsorted(buckets, bucket)
                 yield pd.DataFrame({"table": t, "block": (first[at] + pdf["salt"].to_numpy() % size[at]) // BLOCK, "bucket": bucket, "ids": pdf["ids"], "v": pdf["v"]})
@@ -173,11 +174,13 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
                 part = pdf.iloc[at : at + 64]
                 unit = _unit(_matrix(part["v"]))
                 rows: list[tuple] = []
-                for t, (buckets, first, size) in enumerate(shared.value):
+                for t, (buckets, first, size, ids) in enumerate(shared.value):
                     chance = hashing.chances(unit, t, buckets, cosine)
                     order = np.argsort(-chance, axis=1, kind="stable")
                     mass = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
                     stop = (mass < TARGET * mass[:, -1:]).sum(1) + 1
+                    held = np.cumsum(ids[order], axis=1)
+                    stop = np.minimum(np.maximum(stop, (held < k + 1).sum(1) + 1), len(buckets))
                     for i, query_id in enumerate(part["query_id"]):
                         visit = order[i, : stop[i]]
                         lo, hi = first[visit] // BLOCK, (first[visit] + size[visit] - 1) // BLOCK

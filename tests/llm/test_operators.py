@@ -259,6 +259,21 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_ann_small_tables(spark):
+    for n in range(2, 11):
+        draw = np.random.default_rng(n)
+        vectors = draw.standard_normal((n, 64))
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").coalesce(1)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        got = {}
+        for r in ann.search(rows, F.col("id") >= 0).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        for i in range(n):
+            assert len(got[i]) == min(5, n - 1)
+            if n <= 6:  # all others are found, so they are in exact order
+                assert [v for _, v in sorted(got[i])] == sorted(set(range(n)) - {i}, key=lambda j: -unit[i] @ unit[j])
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(7)
     words = ["".join(rng.choice(list("aeiourstnl"), 5)) for _ in range(3000)]
