@@ -18,15 +18,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest id; of rows that repeat an id, one. Rows without an id stay."""
-    groups = near_dedup.group(docs)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group, that of the smallest id; of rows equal in id and text, one. Rows without an id stay.
+
+    Where ids repeat, rows are told apart by a hash of id and text."""
     rest = docs.where("doc_id is null")
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi")
+    named = docs.where("doc_id is not null")
+    again = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.take(1):
-        one = one.join(again, "doc_id", "left_anti").unionByName(one.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return one.unionByName(rest).select(*docs.columns)
+        rows = named.withColumn("__row", F.xxhash64("doc_id", "text"))
+        groups = near_dedup.group(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+        first = F.min(F.struct("doc_id", "__row")).alias("first")
+        kept = groups.join(rows.select("__row", "doc_id").distinct(), "__row").groupBy("component_id").agg(first).select("first.__row")
+        one = rows.join(kept, "__row", "left_semi")
+        one = one.join(again, "doc_id", "left_anti").unionByName(one.join(again, "doc_id", "left_semi").dropDuplicates(["__row"]))
+    else:
+        one = named.join(near_dedup.group(docs).where("kept and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    return one.select(*docs.columns).unionByName(rest)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,6 +349,15 @@ def _crossing(docs: DataFrame, near: DataFrame, labels: DataFrame, nodes: DataFr
     return dealt.groupBy("family", "x", "y").applyInArrow(_across(threshold_pct), "a long, b long").distinct()
 
 
+def _group_rows(docs: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+    """``group`` where different sets have the same smallest id: rows are told apart by a hash of id and text."""
+    rows = docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    judged = stash(group(rows, id_col="row", words=words, threshold_pct=threshold_pct).withColumnRenamed("doc_id", "row"), "near-dedup-rows")
+    own = judged.drop("kept").join(rows.where("row is not null").select("row", "doc_id").distinct(), "row", "left")
+    smallest = own.groupBy("component_id").agg(F.min("doc_id").alias("smallest"))
+    return own.join(smallest, "component_id", "left").select("doc_id", "n_shingles", F.col("smallest").alias("component_id"), F.coalesce(F.col("smallest") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
 def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words: int = 5, threshold_pct: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (it is its own).
 
@@ -358,6 +367,8 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
     signed = stash(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, key binary, signature binary"), "near-dedup-signed")
     keyed = signed.where("key is not null")
     reps = stash(keyed.groupBy("key").agg(F.min("doc_id").alias("node")), "near-dedup-reps")
+    if reps.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        return _group_rows(docs, words, threshold_pct)
     nodes = stash(keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["doc_id"] == reps["node"])).select("node", keyed["key"], F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"]), "near-dedup-nodes")
     near = stash(_candidates(nodes, threshold_pct / 100), "near-dedup-pairs")
     links = stash(_confirm(docs, near, nodes, words, threshold_pct), "near-dedup-links")

@@ -24,3 +24,16 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in e.collect())
     assert not e.where(r"text rlike '[a-z]@mail[0-9]'").count()
     assert packed.selectExpr("sum(length)").first()[0] == packed.select("doc_id", "doc_tokens").distinct().selectExpr("sum(doc_tokens)").first()[0]
+
+
+def test_repeated_ids_of_different_texts(spark):
+    words = [f"w{i}" for i in range(400)]
+    copied, clean, other, third = (" ".join(words[a : a + 60]) for a in (0, 80, 160, 240))
+    near = other.replace("w200 ", "")
+    rows = [(1, copied), (2, copied), (2, clean), (3, clean), (4, other), (4, near), (5, third), (5, third), (5, clean + " " + third), (6, near)]
+    docs = spark.createDataFrame([(*r, "en", "x", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 4):
+        got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(n), SMALL).collect())
+        assert len(got) == 5 and set(got) - {(4, other), (4, near)} == {(1, copied), (2, clean), (5, third), (5, clean + " " + third)}
+        found = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.group(docs.repartition(n)).collect()}
+        assert found == {(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True), (6, 4, False)}
