@@ -7,7 +7,7 @@
    in their slots the instance side.
 3. A pattern's confidence is the score of what fills its slots over how often its words occur at all, whatever
    follows. An instance scores one if known, else one minus the product of its patterns' doubts. Both are
-   iterated. Patterns of CONFIDENCE and more make their instances known, which may support new patterns, and so on.
+   iterated. Patterns of CONFIDENCE and more make their instances known, which may support new patterns, and so on until nothing new is known.
 
 Patterns and instances stay in Spark. The patterns to be counted go to the workers in blocks of at most BLOCK, one pass for each
 block, so what is broadcast is bounded at any size of the corpus.
@@ -16,6 +16,7 @@ block, so what is broadcast is bounded at any size of the corpus.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from gradus.llm.common import stash
 
-SUPPORT, CONFIDENCE, ROUNDS, STEPS, BLOCK = 3, 0.8, 2, 2, 100_000
+SUPPORT, CONFIDENCE, STEPS, BLOCK = 3, 0.8, 2, 100_000
 #: The added kind, after the base kinds in their order.
 KINDS = ("email", "ip", "card", "phone", "id")
 
@@ -81,14 +82,19 @@ def _token_start(text: str, at: int) -> int:
 
 
 def _context(text: str, start: int) -> str | None:
-    """The two words before the token at ``start``, lower-cased, the last 64 characters of each."""
-    before = text[max(0, start - 400) : start].lower().split()[-2:]
-    return "\t".join(w[-_LAST:] for w in before) if len(before) == 2 else None
+    """The two words before the token at ``start``, lower-cased, the last 64 characters of each; None if there are fewer."""
+    low = max(0, start - 400)
+    while True:
+        before = text[low:start].split()
+        whole = low == 0 or len(before) > 2 or len(before) == 2 and (len(before[0]) >= _LAST or text[low - 1 : low + 1].strip() != text[low - 1 : low + 1])
+        if whole:
+            return "\t".join(w.lower()[-_LAST:] for w in before[-2:]) if len(before) >= 2 else None
+        low = max(0, start - 4 * (start - low))
 
 
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, instance, context, is_seed) of seeds and of other tokens with a digit or @."""
-    out = [(a, b, text[a:b].lower()[:256], c, True) for a, _, b in base if (c := _context(text, _token_start(text, a)))]
+    """(start, end, instance, context, is_seed) of seeds and of other tokens with a digit or @. A context may be None: no pattern, but a known instance is found."""
+    out = [(a, b, text[a:b].lower()[:256], _context(text, _token_start(text, a)), True) for a, _, b in base]
     ends = sorted((a, b) for a, _, b in base)
     done = k = reach = 0
     while m := _ANY.search(text, done):
@@ -102,8 +108,8 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         while k < len(ends) and ends[k][0] < end:
             reach = max(reach, ends[k][1])
             k += 1
-        if len(token) >= 4 and reach <= start and (c := _context(text, start)):
-            out.append((start + left, start + left + len(token), token.lower()[:256], c, False))
+        if len(token) >= 4 and reach <= start:
+            out.append((start + left, start + left + len(token), token.lower()[:256], _context(text, start), False))
     return out
 
 
@@ -157,24 +163,25 @@ def detect(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Da
     slots = scanned.select("row", F.inline("found"))
     pairs = stash(slots.groupBy("context", "instance").agg(F.count("*").alias("n"), F.max("is_seed").alias("is_seed")), "pii-pairs")
     known = pairs.where("is_seed").select("instance").distinct()
-    patterns = None
-    for round_ in range(ROUNDS):
-        supported = pairs.join(known, "instance", "left_semi").groupBy("context").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).select("context")
+    patterns = edges = None
+    for round_ in itertools.count():
+        supported = pairs.where("context is not null").join(known, "instance", "left_semi").groupBy("context").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).select("context")
         if patterns is not None:
             supported = supported.join(patterns, "context", "left_anti")
         supported = stash(supported, f"pii-supported-{round_}")
         n = supported.count()
-        if not n:
+        if n:
+            blocks = -(-n // BLOCK)
+            counted = None
+            for b in range(blocks):
+                some = [c for (c,) in supported.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == b).collect()]
+                part = _occurrences(docs, some)
+                counted = part if counted is None else counted.unionByName(part)
+            counted = supported.join(counted, "context", "left").select("context", F.coalesce("total", F.lit(0)).alias("total"))
+            patterns = stash(counted if patterns is None else patterns.unionByName(counted), f"pii-patterns-{round_}")
+            edges = stash(pairs.join(patterns, "context"), f"pii-edges-{round_}")
+        elif patterns is None:
             break
-        blocks = -(-n // BLOCK)
-        counted = None
-        for b in range(blocks):
-            some = [c for (c,) in supported.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == b).collect()]
-            part = _occurrences(docs, some)
-            counted = part if counted is None else counted.unionByName(part)
-        counted = supported.join(counted, "context", "left").select("context", F.coalesce("total", F.lit(0)).alias("total"))
-        patterns = stash(counted if patterns is None else patterns.unionByName(counted), f"pii-patterns-{round_}")
-        edges = stash(pairs.join(patterns, "context"), f"pii-edges-{round_}")
         score = known.withColumn("score", F.lit(1.0))
         for _ in range(STEPS):
             trust = edges.join(score, "instance", "left").groupBy("context").agg((F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence"))

@@ -172,6 +172,18 @@ def test_pii_bootstrap(spark):
     assert pii.detect(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_pii_bootstrap_goes_on_and_needs_no_context(spark):
+    texts = [f"please mail to: u{i}@x.org now" for i in range(12)] + [f"please mail to: one-{i}1 now" for i in range(3)]
+    texts += [f"the code is one-{i % 3}1 here" for i in range(12)] + [f"the code is two-{i}2 here" for i in range(3)]
+    texts += [f"a ref no two-{i % 3}2 end" for i in range(12)] + [f"a ref no three-{i}3 end" for i in range(3)]
+    texts += ["one-01 is first", "then one-01", "a " + "w" * 500 + " one-01", "three-03", "u1@x.org", "other-77 x", "then other-77"]
+    found = {texts[r.doc_id]: r.spans for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), EMPTY)).collect()}
+    assert [found[f"a ref no three-{i}3 end"] for i in range(3)] == ["id:9:17"] * 3
+    assert [found[t] for t in texts[-7:]] == ["id:0:6", "id:5:11", "id:503:509", "id:0:8", "email:0:8", "", ""]
+    long = "f" * 90 + " " + "g" * 700 + " x1yz"
+    assert pii._context(long, len(long) - 4) == "f" * 64 + "\t" + "g" * 64 and pii._context("b" * 390 + " cd ef12", 394) == "b" * 64 + "\tcd"
+
+
 def components_of(docs, words, pct=80):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
