@@ -349,7 +349,7 @@ def stratum_counts(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     wide = v.predictions(spark, d).groupBy("example_id", "human").agg(F.max(F.when(F.col("evaluator") == "a", F.col("predicted"))).alias("a"), F.max(F.when(F.col("evaluator") == "b", F.col("predicted"))).alias("b"))
-    return _round(sampling.bootstrap(wide, replicates=2000))
+    return _round(sampling.bootstrap(wide))
 
 
 @query(f"with {v.PREDICTIONS}, one as (select example_id from predictions where evaluator = 'a' and example_id % 10 <> 0), two as (select example_id from predictions where evaluator = 'a' and example_id % 7 <> 0) select case when two.example_id is null then 'MISSING_PREDICTION' else 'UNKNOWN_EXAMPLE' end as code, example_id from one full join two using (example_id) where one.example_id is null or two.example_id is null")

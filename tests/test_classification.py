@@ -1,8 +1,11 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import text as tx
 from gradus.operators import classify, paired, sampling, thresholds
+from gradus.plans import catalog
 
 H, G = "HALLUCINATED", "GROUNDED"
 DDL = "example_id string, human string, predicted string, task string, score double"
@@ -101,3 +104,11 @@ def test_spans(spark):
     rows = spark.createDataFrame([("abcé", 0, 4, "abcé"), ("abc", 2, 1, ""), ("abc", 0, 9, "abc"), ("abc", 0, 2, "xx"), ("abc", 5, 9, "")], "t string, s long, e long, q string")
     got = [r[0] for r in rows.select(tx.span_issues(F.col("t"), F.col("s"), F.col("e"), F.col("q"))).collect()]
     assert got == [[], ["END_BEFORE_START"], ["END_OUT_OF_RANGE"], ["TEXT_OFFSET_MISMATCH"], ["END_OUT_OF_RANGE", "START_OUT_OF_RANGE"]]
+
+
+def test_registered_bootstrap_draws_the_default(spark, monkeypatch):
+    seen, real = [], sampling.bootstrap
+    monkeypatch.setattr(sampling, "bootstrap", lambda rows, **own: seen.append(inspect.signature(real).bind(rows, **own)) or real(rows, **own))
+    assert catalog.QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001").count() == 12
+    seen[0].apply_defaults()
+    assert seen[0].arguments["replicates"] == 10_000
