@@ -431,7 +431,7 @@ def usage_totals(spark, d):
 @query(f"""with {v.ATTEMPTS}, g as (select example_id, count(*) as n, count(*) filter (label = 'HALLUCINATED') as h, avg(confidence) as m, max(confidence) - min(confidence) as r from attempts where label is not null and attempt <= 24 group by 1 having count(*) = 3)
 select count(*) as examples, round(coalesce(sum((h * (h - 1) + (3 - h) * (2 - h)) / 2) / (count(*) * 3), 0), 9) as pairwise_agreement, round(coalesce(avg((h = 0 or h = 3)::int), 0), 9) as unanimity, round(avg(m), 9) as mean_confidence, round(max(r), 9) as max_confidence_range from g""")
 def consistency_three_runs(spark, d):
-    return _round(paired.consistency(v.attempts(spark, d).where("attempt <= 24").select("example_id", "label", "confidence")))
+    return _round(paired.consistency(v.attempts(spark, d).select("example_id", "label", "confidence")))
 
 
 @query(f"""with {v.ATTEMPTS}, s as (select provider, round(avg((label = 'GROUNDED')::int), 9) as balanced_accuracy, round(avg(confidence), 9) as f1, round(avg((label = 'HALLUCINATED')::int), 9) as false_positive_rate, round(avg(parse_success::int), 9) as parse_success_rate,

@@ -112,3 +112,12 @@ def test_registered_bootstrap_draws_the_default(spark, monkeypatch):
     assert catalog.QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001").count() == 12
     seen[0].apply_defaults()
     assert seen[0].arguments["replicates"] == 10_000
+
+
+def test_registered_consistency_counts_all_attempts(spark, tmp_path):
+    ks = {1: [7] * 24 + [1, 2, 3], 2: [1, 2, 4] + [7] * 21 + [1], 3: [3, 6, 9]}  # a multiple of 7 is an attempt without a decision
+    rows = [(100 * user + i, user, "click", float(i), f'{{"k": {k}}}') for user, own in ks.items() for i, k in enumerate(own)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    row = catalog.QUERIES["consistency_three_runs"](spark, str(tmp_path)).first()
+    assert (row["examples"], row["pairwise_agreement"], row["unanimity"]) == (2, 0.666666667, 0.5)
