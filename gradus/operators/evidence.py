@@ -5,24 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a public text must not hold.
-FORBIDDEN = {
-    "SECRET": r"(?i)(api[_-]?key|secret|password|bearer\s+[a-z0-9._-]{8,}|sk-[a-z0-9]{16,})",
-    "LOCAL_PATH": r"(?:^|[\s\"'(])(?:/(?:home|root|Users|tmp|var|etc)/|[A-Za-z]:\\|\\\\)",
-    "CONTROL_CHARACTER": r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]",
+# Names and texts that look like secrets, Windows paths, the length of a public text, public fields of a run, and values of catalog filters.
+UNSAFE_NAME = r"(?i)^(?:api[_-]?key|authorization|bearer|password|secret|token)(?:[_-]?value)?$"
+UNSAFE_TEXT = r"(?i)(?:api[_-]?key|authorization|bearer|password|secret|token)\s*[:=]"
+WINDOWS_PATH = r"^[A-Za-z]:[\\/]"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+MOST_CHARACTERS = 500
+PUBLIC_FIELDS = (
+    "evaluation_type", "run_id", "dataset_name", "dataset_version", "dataset_revision", "system_name", "model", "model_provider", "benchmark", "language", "split", "retriever", "retriever_version",
+    "tokenization_strategy", "top_k", "evaluator_versions", "random_seed", "timestamp", "git_commit",
+)
+FILTERS = {
+    "verification": ("verification_status", ("VERIFIED", "PARTIAL", "UNVERIFIED", "NOT_RUN")),
+    "data": ("data_kind", ("SYNTHETIC_FIXTURE", "CURATED_DATASET", "OFFICIAL_BENCHMARK")),
+    "scope": ("claim_scope", ("INTEGRATION_ONLY", "PROTOCOL_SPECIFIC", "BENCHMARK_RESULT")),
+    "population": ("population_compatibility", ("MATCHED", "UNVERIFIED", "INCOMPATIBLE")),
+    "result": ("result", ("PASS", "REGRESSION")),
 }
-IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
-PUBLIC_FIELDS = ("dataset", "dataset_version", "retriever", "retriever_version", "embedding_model", "chunking", "top_k", "evaluator", "evaluator_version", "metric_version", "split", "code_revision", "created_at")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _unsafe(text: Column) -> Column:
+    return text.rlike(UNSAFE_NAME) | text.rlike(UNSAFE_TEXT)
+
+
+def text_violation(text: Column, most: int = MOST_CHARACTERS) -> Column:
+    """Why a text may not be published, the first of: EMPTY_TEXT, TEXT_TOO_LONG, UNSAFE_TEXT (secrets, paths), CONTROL_CHARACTER; else null."""
+    t = _stripped(F.coalesce(text, F.lit("")))
+    return F.when(t == "", "EMPTY_TEXT").when(F.length(t) > most, "TEXT_TOO_LONG").when(_unsafe(t) | t.rlike(WINDOWS_PATH) | t.startswith("/"), "UNSAFE_TEXT").when(t.rlike(CONTROL), "CONTROL_CHARACTER")
 
 
 def text_violations(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, field, code) of texts that may not be published."""
-    checks = F.array(*[F.when(F.col(c).rlike(p), F.struct(F.lit(c).alias("field"), F.lit(code).alias("code"))) for c in columns for code, p in FORBIDDEN.items()])
+    checks = F.array(*[F.when(text_violation(F.col(c)).isNotNull(), F.struct(F.lit(c).alias("field"), text_violation(F.col(c)).alias("code"))) for c in columns])
     return rows.select(key, F.inline(F.array_compact(checks)))
 
 
 def safe_identifier(name: Column) -> Column:
-    return name.rlike(IDENTIFIER)
+    """Whether a name can't be taken for a path and doesn't look like a secret."""
+    t = _stripped(F.coalesce(name, F.lit("")))
+    return (t != "") & ~t.isin(".", "..") & ~t.rlike(r"[/\\]") & ~_unsafe(t)
 
 
 def finite(value: Column) -> Column:
@@ -32,7 +57,7 @@ def finite(value: Column) -> Column:
 def run_artifact(run: DataFrame, metrics: DataFrame, per_query: DataFrame | None = None) -> DataFrame:
     """A run's public form: allowed fields and finite metrics; evidence of single queries only for synthetic fixtures."""
     values = metrics.where(finite(F.col("value"))).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round("value", 12))))).alias("metrics"))
-    out = run.join(values, "run_id", "left").select(F.col("run_id").alias("artifact_id"), F.lit("run").alias("artifact_type"), F.lit("public-evidence-v1").alias("schema_version"), "verification", "data_kind", "claim_scope", *[c for c in PUBLIC_FIELDS if c in run.columns], F.array_sort(F.array_distinct("limitations")).alias("limitations"), "metrics")
+    out = run.join(values, "run_id", "left").select(F.col("run_id").alias("artifact_id"), F.lit("run").alias("artifact_type"), F.lit("public-evidence-v1").alias("schema_version"), "verification_status", "data_kind", "claim_scope", F.struct(*[c for c in PUBLIC_FIELDS if c in run.columns]).alias("run"), F.array_sort(F.array_distinct("limitations")).alias("limitations"), "metrics")
     if per_query is not None:
         rows = per_query.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "category"))).alias("queries"))
         out = out.join(rows.withColumnRenamed("run_id", "artifact_id"), "artifact_id", "left").withColumn("queries", F.when(F.col("data_kind") == "SYNTHETIC_FIXTURE", F.col("queries")))
@@ -46,9 +71,9 @@ def comparison_artifact(artifact_id: str, baseline_id: str, candidate_id: str, c
 
 def index(runs: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Summaries of all artifacts, by id."""
-    a = runs.select("artifact_id", F.lit("run").alias("artifact_type"), "verification", "data_kind", "claim_scope")
+    a = runs.select("artifact_id", F.lit("run").alias("artifact_type"), "verification_status", "data_kind", "claim_scope")
     none = F.lit(None).cast("string")
-    b = comparisons.select("artifact_id", F.lit("comparison").alias("artifact_type"), *[(F.col(c) if c in comparisons.columns else none).alias(c) for c in ("verification", "data_kind", "claim_scope")])
+    b = comparisons.select("artifact_id", F.lit("comparison").alias("artifact_type"), *[(F.col(c) if c in comparisons.columns else none).alias(c) for c in ("verification_status", "data_kind", "claim_scope")])
     return a.unionByName(b).orderBy("artifact_id")
 
 
@@ -61,14 +86,20 @@ def index_violations(artifacts: DataFrame) -> DataFrame:
     return again.unionByName(gone).unionByName(ends.where("same").select("artifact_id", F.lit("SELF_COMPARISON").alias("code"))).distinct()
 
 
-def catalog_filter(rows: DataFrame, filters: dict[str, str], allowed: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Rows that match every filter; one with a value that its field doesn't have is ignored."""
-    for field, value in filters.items():
-        if value in allowed.get(field, ()):
-            rows = rows.where(F.col(field) == value)
+def catalog_filter(rows: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
+    """Rows that match every filter of FILTERS that is chosen with exactly one of its values; others are ignored."""
+    for name, values in chosen.items():
+        column, allowed = FILTERS.get(name, (name, ()))
+        if len(values) == 1 and values[0] in allowed:
+            rows = rows.where(F.col(column) == values[0])
     return rows
 
 
+def sorted_failures(rows: DataFrame) -> DataFrame:
+    """Failures by record, category and class, a missing class first."""
+    return rows.orderBy("record_ref", "category", F.coalesce("failure_class", F.lit("")))
+
+
 def first_metrics(metrics: DataFrame, n: int = 3) -> DataFrame:
     from pyspark.sql import Window
 

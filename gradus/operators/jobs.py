@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # From which state a job may go where.
 NEXT = {
-    "QUEUED": ("VALIDATING", "CANCELLED", "INTERRUPTED"),
+    "QUEUED": ("VALIDATING", "CANCELLED", "FAILED"),
     "VALIDATING": ("EVALUATING", "FAILED", "CANCELLED", "INTERRUPTED"),
     "EVALUATING": ("ANALYZING", "FAILED", "CANCELLED", "INTERRUPTED"),
     "ANALYZING": ("WRITING_ARTIFACT", "FAILED", "CANCELLED", "INTERRUPTED"),
-    "WRITING_ARTIFACT": ("COMPLETE", "FAILED", "INTERRUPTED"),
+    "WRITING_ARTIFACT": ("COMPLETE", "FAILED", "CANCELLED", "INTERRUPTED"),
     "COMPLETE": (), "FAILED": (), "CANCELLED": (), "INTERRUPTED": (),
 }
 TERMINAL = tuple(s for s, n in NEXT.items() if not n)

@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The fields that two runs have to share, strengths of verification, and what kinds of data may claim.
-RUN_FIELDS = ("dataset", "dataset_version", "retriever", "retriever_version", "embedding_model", "chunking", "top_k", "evaluator", "evaluator_version", "metric_version", "split")
-STRENGTH = {"NOT_RUN": 0, "SYNTHETIC": 1, "LOCAL": 2, "VERIFIED": 3}
+# Configuration that two local runs have to share, and metadata that two published runs have to.
+RUN_FIELDS = ("annotation_policy", "benchmark", "dataset_name", "dataset_revision", "dataset_version", "evaluator_config", "evaluator_versions", "language", "quality_filter", "split", "top_k")
+POPULATION_FIELDS = ("dataset_name", "dataset_version", "dataset_revision", "evaluation_type", "benchmark", "language", "split", "top_k", "evaluator_versions")
+# How strong evidence is, what it is made of, and what it may claim.
+STRENGTH = {"UNVERIFIED": 0, "PARTIAL": 1, "VERIFIED": 2}
+DATA_KINDS = ("SYNTHETIC_FIXTURE", "CURATED_DATASET", "OFFICIAL_BENCHMARK")
+CLAIM_SCOPES = ("INTEGRATION_ONLY", "PROTOCOL_SPECIFIC", "BENCHMARK_RESULT")
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,46 +30,113 @@ def ordered_fingerprint(rows: DataFrame, line: Column) -> DataFrame:
     return rows.select(line.alias("l")).agg(F.count("*").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("fingerprint"))
 
 
-def compatibility(baseline: DataFrame, candidate: DataFrame, fields: Sequence[str] = RUN_FIELDS) -> DataFrame:
-    """(field, baseline, candidate, reason), sorted by field: a row for each field that differs, nulls being equal to each other."""
-    both = baseline.select(F.struct(*fields).alias("a")).crossJoin(candidate.select(F.struct(*fields).alias("b")))
-    text = lambda side, f: F.col(f"{side}.{f}").cast("string")
-    found = F.array(*[F.when(~text("a", f).eqNullSafe(text("b", f)), F.struct(F.lit(f).alias("field"), text("a", f).alias("baseline"), text("b", f).alias("candidate"), F.lit(f"{f.upper()}_MISMATCH").alias("reason"))) for f in fields])
-    return both.select(F.inline(F.array_compact(found))).orderBy("field")
-
-
-def status(reasons: DataFrame) -> DataFrame:
-    return reasons.agg(F.when(F.count("*") == 0, "COMPARABLE").otherwise("NOT_COMPARABLE").alias("status"), F.count("*").alias("reasons"))
+def _sides(pairs: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
+    """``pairs`` (baseline_id, candidate_id) with both runs as structs a and b."""
+    whole = F.struct(*runs.columns)
+    for name, side in (("baseline", "a"), ("candidate", "b")):
+        pairs = pairs.join(runs.select(F.col(key).alias(f"{name}_id"), whole.alias(side)), f"{name}_id", "left")
+    return pairs
+
+
+def compatibility(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(comparison_id, field, baseline, candidate): why two local retrieval runs can't be compared; none if they can.
+
+    ``pairs``: comparison_id, baseline_id, candidate_id. ``runs``: run_id, schema_version, workspace_id, evaluation_type, the RUN_FIELDS, identity_valid (the
+    result belongs to the run's frozen configuration), truth_fingerprint, query_fingerprint and prediction_fingerprint (null: not verified), prediction_count and
+    reported_count. Only top_k shows its values; of other fields a row says whether they are there, are missing or differ. Retrievers may differ: they
+    are what is compared."""
+    rows = _sides(pairs.select("comparison_id", "baseline_id", "candidate_id"), runs)
+    a, b = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
+    veiled = lambda f, x, y: F.struct(F.lit(f).alias("field"), F.when(x, "missing").otherwise("present").alias("baseline"), F.when(y, "missing").otherwise("different").alias("candidate"))
+    differ = lambda f, name=None: F.when(~a(f).eqNullSafe(b(f)), veiled(name or f, a(f).isNull(), b(f).isNull()))
+    invalid = lambda name, bad: F.when(bad, veiled(name, F.lit(True), F.lit(False)))
+    unverified = a("truth_fingerprint").isNull() | b("truth_fingerprint").isNull()
+    both = lambda x: F.when(~unverified, x)
+    found = [differ("schema_version", "run_schema_version"), differ("workspace_id"), differ("evaluation_type")]
+    found.append(F.when((a("evaluation_type") != "retrieval") | (b("evaluation_type") != "retrieval"), veiled("retrieval_only", a("evaluation_type").isNull(), b("evaluation_type").isNull())))
+    found += [F.when(~a(f).eqNullSafe(b(f)), F.struct(F.lit(f).alias("field"), a(f).cast("string").alias("baseline"), b(f).cast("string").alias("candidate"))) if f == "top_k" else differ(f) for f in RUN_FIELDS]
+    found.append(F.when(unverified, veiled("verified_population", a("truth_fingerprint").isNull(), b("truth_fingerprint").isNull())))
+    found += [both(differ("truth_fingerprint", "ground_truth_population")), both(differ("query_fingerprint", "query_population"))]
+    for side, name in ((a, "baseline"), (b, "candidate")):
+        found.append(invalid(f"{name}_result_identity", ~side("identity_valid")))
+        found.append(both(invalid(f"{name}_prediction_coverage", side("prediction_fingerprint") != side("query_fingerprint"))))
+        found.append(both(invalid(f"{name}_prediction_count", ~side("reported_count").eqNullSafe(side("prediction_count")))))
+    return rows.select("comparison_id", F.inline(F.array_sort(F.array_compact(F.array(*found)))))
+
+
+def status(pairs: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(comparison_id, status, reasons): COMPARABLE without reasons, else NON_COMPARABLE. A canonical comparison needs the first, an exploratory one doesn't."""
+    n = reasons.groupBy("comparison_id").agg(F.count("*").alias("reasons"))
+    return pairs.select("comparison_id").join(n, "comparison_id", "left").select("comparison_id", F.when(F.col("reasons").isNull(), "COMPARABLE").otherwise("NON_COMPARABLE").alias("status"), F.coalesce("reasons", F.lit(0)).alias("reasons"))
+
+
+def population_match(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(comparison_id, population_compatibility): MATCHED if two published runs agree on all POPULATION_FIELDS, else INCOMPATIBLE. ``runs``: artifact_id and the fields."""
+    same = F.lit(True)
+    for f in POPULATION_FIELDS:
+        same &= F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
+    rows = _sides(pairs.select("comparison_id", "baseline_id", "candidate_id"), runs, "artifact_id")
+    return rows.select("comparison_id", F.when(same, "MATCHED").otherwise("INCOMPATIBLE").alias("population_compatibility"))
 
 
 def claim_violations(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, code). ``artifacts``: artifact_id, verification, data_kind, claim_scope."""
+    """(artifact_id, code). ``artifacts``: artifact_id, verification_status, data_kind, claim_scope."""
     rules = F.array(
-        F.when(F.col("verification") == "NOT_RUN", "NOT_RUN_IS_NOT_EVIDENCE"),
-        F.when(F.col("data_kind").startswith("SYNTHETIC") & (F.col("claim_scope") != "INTEGRATION_ONLY"), "SYNTHETIC_NEEDS_INTEGRATION_ONLY"),
+        F.when(F.col("verification_status") == "NOT_RUN", "NOT_RUN_IS_NOT_EVIDENCE"),
+        F.when((F.col("data_kind") == "SYNTHETIC_FIXTURE") & (F.col("claim_scope") != "INTEGRATION_ONLY"), "SYNTHETIC_FIXTURE_NEEDS_INTEGRATION_ONLY"),
         F.when((F.col("claim_scope") == "BENCHMARK_RESULT") & (F.col("data_kind") != "OFFICIAL_BENCHMARK"), "BENCHMARK_RESULT_NEEDS_OFFICIAL_BENCHMARK"),
     )
     return artifacts.select("artifact_id", F.explode(F.array_compact(rules)).alias("code"))
 
 
 def strength(verification: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv]), verification), F.lit(0))
+    """Null for a status that is no evidence, such as NOT_RUN."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv]), verification)
 
 
 def operand_violations(comparisons: DataFrame, runs: DataFrame) -> DataFrame:
-    """(artifact_id, code): comparisons that name unknown runs, themselves, or claim more than their weakest operand."""
-    own = runs.select(F.col("artifact_id").alias("id"), strength(F.col("verification")).alias("s"))
-    rows = comparisons.join(own.select(F.col("id").alias("baseline_id"), F.col("s").alias("s_a")), "baseline_id", "left").join(own.select(F.col("id").alias("candidate_id"), F.col("s").alias("s_b")), "candidate_id", "left")
+    """(artifact_id, code): comparisons that contradict the runs that they compare.
+
+    ``comparisons``: artifact_id, baseline_id, candidate_id, verification_status, data_kind, claim_scope, population_compatibility; ``runs``: artifact_id, the same three
+    claims and POPULATION_FIELDS. A comparison names two different known runs, shares kind and scope with both, is no stronger than the weaker one, and
+    calls their populations matched only if they are."""
+    rows = _sides(comparisons, runs, "artifact_id")
+    a, b = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
+    known = a("artifact_id").isNotNull() & b("artifact_id").isNotNull()
+    same = F.lit(True)
+    for f in POPULATION_FIELDS:
+        same &= a(f).eqNullSafe(b(f))
+    weakest = F.least(strength(a("verification_status")), strength(b("verification_status")))
     rules = F.array(
-        F.when(F.col("s_a").isNull(), "UNKNOWN_BASELINE"), F.when(F.col("s_b").isNull(), "UNKNOWN_CANDIDATE"),
-        F.when(F.col("baseline_id") == F.col("candidate_id"), "SELF_COMPARISON"), F.when(strength(F.col("verification")) > F.least("s_a", "s_b"), "STRONGER_THAN_OPERANDS"),
+        F.when(a("artifact_id").isNull(), "UNKNOWN_BASELINE"), F.when(b("artifact_id").isNull(), "UNKNOWN_CANDIDATE"), F.when(F.col("baseline_id") == F.col("candidate_id"), "SELF_COMPARISON"),
+        *[F.when(known & ((F.col(c) != a(c)) | (F.col(c) != b(c))), f"{c.upper()}_MISMATCH") for c in ("data_kind", "claim_scope")],
+        F.when(known & (strength(F.col("verification_status")) > weakest), "STRONGER_THAN_OPERANDS"), F.when(known & (F.col("population_compatibility") == "MATCHED") & ~same, "POPULATION_MISMATCH"),
     )
     return rows.select("artifact_id", F.explode(F.array_compact(rules)).alias("code"))
 
 
 def recomputed_deltas(comparisons: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(artifact_id, metric, delta, recomputed, matches). ``comparisons``: artifact_id, baseline_id, candidate_id, metric, delta; ``metrics``: artifact_id, metric, value."""
+    """(artifact_id, metric, delta, recomputed, matches). ``comparisons``: artifact_id, baseline_id, candidate_id, metric, delta; ``metrics``: artifact_id, metric, value.
+    A metric that an operand lacks doesn't match."""
     side = lambda name: metrics.select(F.col("artifact_id").alias(f"{name}_id"), "metric", F.col("value").alias(name))
     rows = comparisons.join(side("baseline"), ["baseline_id", "metric"], "left").join(side("candidate"), ["candidate_id", "metric"], "left")
     again = F.col("candidate") - F.col("baseline")
-    return rows.select("artifact_id", "metric", "delta", again.alias("recomputed"), F.col("delta").eqNullSafe(again).alias("matches"))
+    return rows.select("artifact_id", "metric", "delta", again.alias("recomputed"), F.coalesce(F.col("delta") == again, F.lit(False)).alias("matches"))
+
+
+def recomputed_verdicts(comparisons: DataFrame) -> DataFrame:
+    """(artifact_id, passed, recomputed, matches): a comparison passes if each of its metrics does. ``comparisons``: artifact_id, passed, status, a row for each metric."""
+    rows = comparisons.groupBy("artifact_id").agg(F.first("passed").alias("passed"), F.bool_and(F.coalesce(F.col("status") == "PASS", F.lit(False))).alias("recomputed"))
+    return rows.withColumn("matches", F.col("passed") == F.col("recomputed"))
+
+
+def local_recommendation(local: DataFrame, other: DataFrame, wins: DataFrame) -> DataFrame:
+    """One row: status and decision_gate of a full local run after a pilot.
+
+    ``local`` and ``other``: one row each of balanced_accuracy, f1, false_positive_rate (``local`` also missing_count, parse_success_rate); ``wins``: one row of local_only and
+    other_only, the examples that one alone has right. Incomplete pilots are inconclusive; else the local judge has to be at least as good in each of the four."""
+    both = local.select(F.struct(*local.columns).alias("a")).crossJoin(other.select(F.struct(*other.columns).alias("b"))).crossJoin(wins)
+    of = lambda side, c, default: F.coalesce(F.col(f"{side}.{c}").cast("double"), F.lit(default))
+    fine = (of("a", "balanced_accuracy", 0.0) >= of("b", "balanced_accuracy", 0.0)) & (of("a", "f1", 0.0) >= of("b", "f1", 0.0)) & (of("a", "false_positive_rate", 1.0) <= of("b", "false_positive_rate", 1.0)) & (F.col("local_only") >= F.col("other_only"))
+    whole = F.coalesce((F.col("a.missing_count") == 0) & (F.col("a.parse_success_rate") == 1.0), F.lit(False))
+    return both.select(F.when(~whole, "INCONCLUSIVE").when(fine, "RECOMMEND_FULL_LOCAL_RUN").otherwise("RECOMMEND_NO_FULL_LOCAL_RUN").alias("status"), F.lit("OWNER_AUTHORIZATION_REQUIRED").alias("decision_gate"), "local_only", "other_only")

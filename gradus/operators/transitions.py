@@ -41,14 +41,18 @@ def changed_records(transitions: DataFrame, deltas: DataFrame) -> DataFrame:
     return moved.unionByName(deltas.select("query_id")).distinct()
 
 
-def filter_transitions(rows: DataFrame, *, transition: str | None = None, category: str | None = None, query_id: str | None = None, contains: str | None = None, ignore_case: bool = False) -> DataFrame:
-    """A category may be on either side; ``contains`` looks for a part of the id."""
+def filter_transitions(
+    rows: DataFrame, *, transition: str | None = None, category: str | None = None, candidate_category: str | None = None, query_id: str | None = None, contains: str | None = None, ignore_case: bool = False, changed: DataFrame | None = None
+) -> DataFrame:
+    """``category`` may be on either side; ``contains`` looks for a part of the id; ``changed`` (ids of ``changed_records``) keeps only those."""
     if transition is not None:
         rows = rows.where(F.col("transition") == transition)
     if category is not None:
         rows = rows.where((F.col("baseline_category") == category) | (F.col("candidate_category") == category))
+    if candidate_category is not None:
+        rows = rows.where(F.col("candidate_category") == candidate_category)
     if query_id is not None:
         rows = rows.where(F.col("query_id") == query_id)
     if contains is not None:
         rows = rows.where(F.lower("query_id").contains(contains.lower()) if ignore_case else F.col("query_id").contains(contains))
-    return rows
+    return rows if changed is None else rows.join(changed.select("query_id").distinct(), "query_id", "left_semi")

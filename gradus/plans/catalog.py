@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import text as tx
-from gradus.operators import classify, evidence, jobs, paired, population, providers, ranking, regression, retrieval, sampling, thresholds, transitions, validate
+from gradus.operators import benchmarks, classify, evidence, jobs, paired, population, providers, ranking, regression, retrieval, sampling, thresholds, transitions, validate
 from gradus.plans import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,18 @@ def trec_run_lines(spark, d):
     return ranking.trec_lines(v.rank_b(spark, d), "shared").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("select (select count(*) from benchmark) as query_count, (select count(*) from documents) as corpus_count, (select count(*) from benchmark t join documents c on contains(c.text, t.text)) as qrel_count")
+def benchmark_counts(spark, d):
+    return benchmarks.counts(v.topics(spark, d), v.qrels(spark, d), v.corpus(spark, d))
+
+
+@query(f"with {v.TOPICS}, {v.CORPUS}, {v.QRELS}, c as (select count(*) as n, count(distinct query_id) as q from qrels) select 'UNKNOWN_QUERY_ID' as code, query_id as message, query_id as record_id from qrels where query_id in (select query_id from topics where length(text) < 150) "
+       "union all select 'UNKNOWN_CORPUS_DOCUMENT_ID', document_id, query_id from qrels join documents on doc_id = cast(document_id as bigint) where lang = 'de'")
+def qrel_issues(spark, d):
+    other = v.table(spark, d, "documents").where("lang <> 'de'").select(F.col("doc_id").cast("string").alias("document_id"))
+    return validate.qrels(v.topics(spark, d).where("length(text) >= 150"), v.qrels(spark, d), other, "text")
+
+
 # ---- regression, transitions, compatibility --------------------------------------------------------------------
 
 _POLICY = [("precision_at_5", "higher_is_better", 0.01, None, 0.0), ("recall_at_5", "higher_is_better", None, None, 0.05), ("hit_rate_at_5", "higher_is_better", None, None, 0.0), ("mrr", "higher_is_better", 0.9, None, 0.1), ("ndcg_at_5", "higher_is_better", None, None, 0.02), ("map_at_5", "higher_is_better", None, None, 0.0)]
@@ -168,9 +180,9 @@ def console_transitions(spark, d):
     return transitions.console_transitions(*_categories(spark, d))
 
 
-@query(f"with {_two()}, t as (" + _TRANSITION.format("UNCHANGED_PASS", "REGRESSED", "IMPROVED", "PERSISTENT_FAILURE", "CHANGED_FAILURE") + ") select * from t where (baseline_category = 'RETRIEVAL_MISS' or candidate_category = 'RETRIEVAL_MISS') and contains(query_id, '1')")
+@query(f"with {_two()}, t as (" + _TRANSITION.format("UNCHANGED_PASS", "REGRESSED", "IMPROVED", "PERSISTENT_FAILURE", "CHANGED_FAILURE") + ") select * from t where candidate_category = 'PASS' and (baseline_category = 'PASS' or candidate_category = 'PASS') and contains(query_id, '1')")
 def transition_filter(spark, d):
-    return transitions.filter_transitions(transitions.workspace_transitions(*_categories(spark, d)), category="RETRIEVAL_MISS", contains="1")
+    return transitions.filter_transitions(transitions.workspace_transitions(*_categories(spark, d)), category="PASS", candidate_category="PASS", contains="1")
 
 
 def _long_per_query(rows: DataFrame) -> DataFrame:
@@ -186,19 +198,69 @@ def transition_metric_deltas(spark, d):
     return _round(transitions.metric_deltas(a, b))
 
 
-def _config(spark, **own) -> DataFrame:
-    base = {"dataset": "documents", "dataset_version": "1", "retriever": "bm25", "retriever_version": "1", "embedding_model": None, "chunking": None, "top_k": 10, "evaluator": "ranking", "evaluator_version": "1", "metric_version": "1", "split": "test"} | own
-    return spark.range(1).select(*[F.lit(x).alias(k) for k, x in base.items()])
+def _pairs(spark, d) -> DataFrame:
+    return v.comparisons(spark, d).select(F.col("artifact_id").alias("comparison_id"), "baseline_id", "candidate_id")
+
+
+_CONFIG = ("annotation_policy", "benchmark", "dataset_name", "dataset_revision", "dataset_version", "evaluator_config", "evaluator_versions", "language", "quality_filter", "split")
+_VEILED = "case when {test} then {{{{f: '{name}', b: case when {x} then 'missing' else 'present' end, c: case when {y} then 'missing' else 'different' end}}}} end"
 
 
-@query("""select * from (values ('chunking', null, 'lines', 'CHUNKING_MISMATCH'), ('retriever', 'bm25', 'shared', 'RETRIEVER_MISMATCH'), ('top_k', '10', '5', 'TOP_K_MISMATCH')) t(field, baseline, candidate, reason)""")
+def _compat_sql() -> str:
+    differ = lambda f, name=None: _VEILED.format(test=f"a.{f} is distinct from b.{f}", name=name or f, x=f"a.{f} is null", y=f"b.{f} is null")
+    seen = "a.truth_fingerprint is not null and b.truth_fingerprint is not null and "
+    rows = [differ("schema_version", "run_schema_version"), differ("workspace_id"), differ("evaluation_type"), *map(differ, _CONFIG)]
+    rows.append("case when a.top_k <> b.top_k then {{f: 'top_k', b: cast(a.top_k as varchar), c: cast(b.top_k as varchar)}} end")
+    rows.append(_VEILED.format(test="a.evaluation_type <> 'retrieval' or b.evaluation_type <> 'retrieval'", name="retrieval_only", x="false", y="false"))
+    rows.append(_VEILED.format(test="a.truth_fingerprint is null or b.truth_fingerprint is null", name="verified_population", x="a.truth_fingerprint is null", y="b.truth_fingerprint is null"))
+    rows += [_VEILED.format(test=f"{seen} a.{f} <> b.{f}", name=n, x="false", y="false") for f, n in (("truth_fingerprint", "ground_truth_population"), ("query_fingerprint", "query_population"))]
+    for side, name in (("a", "baseline"), ("b", "candidate")):
+        for test, what in ((f"not {side}.identity_valid", "result_identity"), (f"{seen} {side}.prediction_fingerprint <> {side}.query_fingerprint", "prediction_coverage"), (f"{seen} {side}.reported_count <> {side}.prediction_count", "prediction_count")):
+            rows.append(_VEILED.format(test=test, name=f"{name}_{what}", x="true", y="false"))
+    listed = ", ".join(rows).replace("{{", "{").replace("}}", "}")
+    return f"""with {v.RUNS},
+loc as (select artifact_id as run_id, 'workspace-run-v1' as schema_version, case when k % 14 = 2 then 'ws-2' else 'ws-1' end as workspace_id, evaluation_type, case when k % 3 = 0 then 'strict-groundedness' end as annotation_policy, benchmark,
+  dataset_name, dataset_revision, dataset_version, 'k1=1.2' as evaluator_config, evaluator_versions, language, 'good' as quality_filter, split, top_k, k % 13 <> 0 as identity_valid,
+  case when k % 17 <> 0 then 't' || (k % 2) end as truth_fingerprint, case when k % 17 <> 0 then 'q' || (k % 2) end as query_fingerprint, case when k % 6 = 0 then 'other' else 'q' || (k % 2) end as prediction_fingerprint,
+  40 as prediction_count, case when k % 8 = 0 then 39 else 40 end as reported_count from runs),
+known as (select c.* from comparisons c where baseline_id in (select run_id from loc) and candidate_id in (select run_id from loc)),
+reasons as (select comparison_id, u.f as field, u.b as baseline, u.c as candidate from (
+  select c.artifact_id as comparison_id, unnest(list_filter([{listed}], lambda x: x is not null)) as u from known c join loc a on a.run_id = c.baseline_id join loc b on b.run_id = c.candidate_id))"""
+
+
+def _known_pairs(spark, d) -> DataFrame:
+    ids = v.runs(spark, d).select("artifact_id")
+    pairs = _pairs(spark, d)
+    for side in ("baseline_id", "candidate_id"):
+        pairs = pairs.join(ids.withColumnRenamed("artifact_id", side), side, "left_semi")
+    return pairs
+
+
+@query(_compat_sql() + " select * from reasons")
 def compat_reasons(spark, d):
-    return population.compatibility(_config(spark), _config(spark, retriever="shared", chunking="lines", top_k=5))
+    return population.compatibility(_known_pairs(spark, d), v.local_runs(spark, d))
+
 
+@query(_compat_sql() + " select artifact_id as comparison_id, case when n is null then 'COMPARABLE' else 'NON_COMPARABLE' end as status, coalesce(n, 0) as reasons from known left join (select comparison_id, count(*) as n from reasons group by 1) r on r.comparison_id = known.artifact_id")
+def compat_status(spark, d):
+    return population.status(_known_pairs(spark, d), compat_reasons(spark, d))
 
-@query(f"with {v.TOPICS}, {v.CORPUS}, {v.QRELS} select count(*) as n_records, sha256(string_agg(query_id || ':' || document_id, chr(10) order by query_id || ':' || document_id)) as fingerprint from qrels")
+
+_SAME = " and ".join(f"a.{f} is not distinct from b.{f}" for f in ("dataset_name", "dataset_version", "dataset_revision", "evaluation_type", "benchmark", "language", "split", "top_k", "evaluator_versions"))
+
+
+@query(f"with {v.RUNS} select c.artifact_id as comparison_id, case when {_SAME} then 'MATCHED' else 'INCOMPATIBLE' end as population_compatibility from comparisons c join runs a on a.artifact_id = c.baseline_id join runs b on b.artifact_id = c.candidate_id")
+def population_match(spark, d):
+    return population.population_match(_known_pairs(spark, d), v.runs(spark, d))
+
+
+_PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint)::hugeint as p{i}" for i in range(4))
+
+
+@query(f"""with {v.TOPICS}, {v.CORPUS}, {v.QRELS}, h as (select sha256(to_json({{query_id: query_id, document_id: document_id}})::varchar) as h from qrels), t as (select count(*) as n_records, {_PARTS} from h)
+select n_records, sha256(concat_ws(':', n_records, p0, p1, p2, p3)) as fingerprint from t""")
 def population_fingerprint(spark, d):
-    return population.ordered_fingerprint(v.qrels(spark, d).distinct(), F.concat_ws(":", "query_id", "document_id"))
+    return population.fingerprint(v.qrels(spark, d).distinct(), ["query_id", "document_id"])
 
 
 # ---- classification --------------------------------------------------------------------------------------------
@@ -358,6 +420,129 @@ def population_guard(spark, d):
     return classify.guard_populations(rows.where("example_id % 10 <> 0"), rows.where("example_id % 7 <> 0"))
 
 
+def _examples(spark, d) -> DataFrame:
+    rows = v.examples(spark, d)
+    return rows.withColumn("quality", F.when(F.col("quality") == 1, "good").otherwise("poor"))
+
+
+_GOOD = f"{v.SCORED}, {v.TOPICS}, {v.CORPUS}, good as (select * from scored where quality = 1)"
+
+
+@query(f"""with {v.SCORED} select 'total' as part, 'all' as reason, count(*) as n from scored union all select 'included', 'all', count(*) from scored where quality = 1 union all select 'excluded', 'all', count(*) from scored where quality <> 1
+union all select 'exclusion', 'quality:poor', count(*) from scored where quality <> 1""")
+def groundedness_counts(spark, d):
+    parts = _groundedness(spark, d)
+    n = parts["counts"].select(F.inline(F.array(*[F.struct(F.lit(c).alias("part"), F.lit("all").alias("reason"), F.col(c).alias("n")) for c in ("total", "included", "excluded")])))
+    return n.unionByName(parts["exclusion_reasons"].select(F.lit("exclusion").alias("part"), "reason", "n"))
+
+
+def _groundedness(spark, d) -> dict[str, DataFrame]:
+    predictions = v.scored(spark, d).where("quality = 1").select("example_id", "predicted", "score")
+    found = span_issues(spark, d).select("code", F.col("document_id").alias("record_id"))
+    return benchmarks.groundedness_benchmark(_examples(spark, d), predictions, found)
+
+
+@query(f"""with {_GOOD}, c as (select case when grouping(task_type) = 0 then 'task_type' when grouping(model) = 0 then 'model' else 'all' end as dimension, coalesce(task_type, model, 'all') as value, {v.CELLS}
+from good group by grouping sets ((), (task_type), (model))) select dimension, value, total, tp, tn, fp, fn, {v.RATES} from c""")
+def groundedness_slices(spark, d):
+    return _round(_groundedness(spark, d)["slices"])
+
+
+@query(f"""with {_GOOD}, s as (select document_id, query_id, strpos(c.text, t.text) - 1 as start, c.text, t.text as quoted from corpus c join topics t on contains(c.text, t.text)), sp as (select *, start + length(quoted) + cast(query_id as int) % 3 as "end" from s),
+i as (select document_id, unnest(list_filter([case when "end" > length(text) then 'END_OUT_OF_RANGE' end, case when "end" <= length(text) and substr(text, start + 1, "end" - start) <> quoted then 'TEXT_OFFSET_MISMATCH' end], lambda x: x is not null)) as code from sp)
+select case when predicted = 'HALLUCINATED' then 1 else 2 end as section, case when predicted = 'HALLUCINATED' then 'HALLUCINATION_FALSE_POSITIVE' else 'HALLUCINATION_FALSE_NEGATIVE' end as category, 'EVALUATOR_UNCERTAINTY' as failure_class,
+cast(example_id as varchar) as record_id, null::varchar as code from good where human <> predicted union all select 3, 'DATASET_AMBIGUOUS', 'DATASET', document_id, code from i""")
+def groundedness_failures(spark, d):
+    return _groundedness(spark, d)["failures"]
+
+
+def _full(spark, d) -> dict[str, DataFrame]:
+    rows = v.scored(spark, d)
+    lengths = rows.select("example_id", F.col("n_chars").alias("response_chars"), (F.col("n_chars") * 7919 % 10007).alias("source_context_chars"))
+    return benchmarks.full_summary(rows.select("example_id", "human", "task_type", "model"), rows.select("example_id", "predicted", "score"), lengths)
+
+
+@query(f"""with {v.SCORED}, l as (select *, u.f as length, u.n as size from (select *, unnest([{{f: 'response_chars', n: n_chars}}, {{f: 'source_context_chars', n: n_chars * 7919 % 10007}}]) as u from scored)),
+q as (select *, 'Q' || (1 + least(3, ((row_number() over (partition by length order by size, example_id) - 1) * 4) // count(*) over (partition by length))) as quartile from l),
+c as (select length, quartile, min(size) as min_length, max(size) as max_length, {v.CELLS} from q group by all) select length, quartile, min_length, max_length, total, tp, tn, fp, fn, {v.RATES} from c""")
+def full_length_slices(spark, d):
+    return _round(_full(spark, d)["length_slices"])
+
+
+@query(f"""with {v.SCORED}, one as (select count(*) filter (quality = 1) as good, count(distinct example_id) filter (quality = 1) as ids, (select count(*) from documents c join benchmark t on contains(c.text, t.text)) as issues from scored)
+select r.name as "check", r.passed as passed from (select unnest([{{name: 'total', passed: true}}, {{name: 'included', passed: good = 0}}, {{name: 'validation_issues', passed: issues = 0}}, {{name: 'unique_included_ids', passed: good = ids}},
+{{name: 'excluded_quality_counts', passed: true}}, {{name: 'response_checksum', passed: true}}, {{name: 'source_checksum', passed: false}}]) as r from one)""")
+def population_checks(spark, d):
+    rows = _examples(spark, d).select("example_id", "quality")
+    n, poor = rows.count(), rows.where("quality = 'poor'").count()
+    expected = {"total": n, "included": 0, "excluded_by_quality": {"poor": poor}, "checksums": {"response": "a", "source": "b"}}
+    return validate.population_checks(rows, v.qrels(spark, d), expected, {"response": "a", "source": "c"})
+
+
+@query(f"""with {v.EXAMPLES}, m as (select example_id, task_type || ':' || case when example_id % 9 = 0 then 'OTHER' else human end as stratum, task_type, case when example_id % 7 = 0 then 'GROUNDED' else human end as human, human as own, quality, example_id % 11 = 0 as gone from examples)
+select example_id, unnest(list_filter([case when stratum <> task_type || ':' || human then 'MANIFEST_LABEL_MISMATCH' end, case when gone then 'MANIFEST_ID_MISSING' end, case when not gone and quality <> 1 then 'EXAMPLE_OUTSIDE_FROZEN_POPULATION' end,
+case when not gone and own <> human then 'HUMAN_LABEL_MISMATCH' end], lambda x: x is not null)) as code from m""")
+def manifest_guard(spark, d):
+    rows = _examples(spark, d).withColumn("split", F.lit("test"))
+    k = F.col("example_id")
+    manifest = rows.select("example_id", F.concat_ws(":", "task_type", F.when(k % 9 == 0, "OTHER").otherwise(F.col("human"))).alias("stratum"), "task_type", F.when(k % 7 == 0, "GROUNDED").otherwise(F.col("human")).alias("human"))
+    return validate.manifest_guard(manifest, rows.where("example_id % 11 <> 0"))
+
+
+@query(f"""with {v.ATTEMPTS}, m as (select distinct user_id as example_id from events where user_id % 10 <> 0) select provider, example_id, unnest(list_filter([case when provider <> 'click' then 'EXPERIMENT_MIX' end,
+case when example_id not in (select example_id from m) then 'ID_MISMATCH' end, case when status = 'SUCCESS' and k % 8 = 0 then 'SUCCESS_PROVENANCE_FAILED' end], lambda x: x is not null)) as code from attempts""")
+def state_guard(spark, d):
+    rows = v.attempts(spark, d).withColumn("prompt_sha256", F.when(F.col("k") % 8 == 0, "old").otherwise("new"))
+    manifest = v.table(spark, d, "events").where("user_id % 10 <> 0").select(F.col("user_id").alias("example_id"))
+    return validate.state_guard(rows, "click", manifest, {"prompt_sha256": "new"})
+
+
+@query(f"""with {v.PREDICTIONS}, p as (select evaluator, count(*) filter (human = 'HALLUCINATED' and predicted = 'HALLUCINATED') as tp, count(*) filter (human <> 'HALLUCINATED' and predicted <> 'HALLUCINATED') as tn,
+count(*) filter (human <> 'HALLUCINATED' and predicted = 'HALLUCINATED') as fp, count(*) filter (human = 'HALLUCINATED' and predicted <> 'HALLUCINATED') as fn from predictions group by 1), m as (select evaluator, {v.RATES} from p),
+w as (select count(*) filter (a and not b) as local_only, count(*) filter (b and not a) as other_only from correct)
+select case when x.balanced_accuracy >= y.balanced_accuracy and x.f1 >= y.f1 and x.false_positive_rate <= y.false_positive_rate and local_only >= other_only then 'RECOMMEND_FULL_LOCAL_RUN' else 'RECOMMEND_NO_FULL_LOCAL_RUN' end as status,
+'OWNER_AUTHORIZATION_REQUIRED' as decision_gate, local_only, other_only from m x, m y, w where x.evaluator = 'a' and y.evaluator = 'b'""")
+def local_recommendation(spark, d):
+    metrics = _round(classify.confusion(v.predictions(spark, d), ["evaluator"]))
+    paired_rows = paired_categories(spark, d)
+    wins = paired_rows.agg(F.expr("count_if(category = 'A_ONLY')").alias("local_only"), F.expr("count_if(category = 'B_ONLY')").alias("other_only"))
+    local = metrics.where("evaluator = 'a'").withColumns({"missing_count": F.lit(0), "parse_success_rate": F.lit(1.0)})
+    return population.local_recommendation(local, metrics.where("evaluator = 'b'"), wins)
+
+
+@query("""select min(id) as model_id from (select case when (p_partkey % 3) = 0 then '0:' else '1:' end as plain, 'm-' || p_partkey || case when p_size % 4 = 0 then ':free' else '' end as id, p_type from part)
+where contains(id, ':free') and p_type <> 'ECONOMY' and plain = (select min(case when (p_partkey % 3) = 0 then '0:' else '1:' end) from part where p_size % 4 = 0 and p_type <> 'ECONOMY')""")
+def free_model(spark, d):
+    rows = v.table(spark, d, "part")
+    name = F.concat(F.lit("m-"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 4 == 0, ":free").otherwise(""))
+    modality = F.when(F.col("p_type") == "ECONOMY", "image->text").when(F.col("p_type") != "STANDARD", "text->text")
+    return providers.free_model(rows.select(name.alias("model_id"), modality.alias("modality"), F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("tools"), F.lit("response_format"))).alias("supported_parameters")))
+
+
+_LABELS = "(['Gemini Flash', 'deepseek-v4-pro', 'qwen3.5-9b', 'my mistral', 'llama tts', 'Claude X', 'gpt-9', 'grok', 'nova preview', 'perplexity', 'phi', 'gemma vision'])[p_partkey % 12 + 1]"
+
+
+@query(f"""with m as (select 'm-' || p_partkey as model_id, {_LABELS} as name, case when p_size % 5 <> 0 then p_size end as quota from part) select case when contains(name, 'Gemini') or contains(name, 'gemma') then 'Gemini' when contains(name, 'deepseek') then 'DeepSeek' when contains(name, 'qwen') then 'Qwen'
+when contains(name, 'mistral') then 'Mistral' when contains(name, 'llama') then 'Meta/Llama' when contains(name, 'Claude') then 'Claude' when contains(name, 'gpt-') then 'OpenAI' when contains(name, 'grok') then 'xAI' when contains(name, 'nova') then 'Nova'
+when contains(name, 'perplexity') then 'Perplexity' else 'Other' end as family, not regexp_matches(lower(name), 'embedding|rerank|vision|image|audio|tts') as text_chat, count(*) as n from m group by all""")
+def model_families(spark, d):
+    rows = _models(spark, d)
+    name = F.concat_ws(" ", "model_id", "name")
+    return rows.groupBy(providers.model_family(name).alias("family"), providers.is_text_chat(name).alias("text_chat")).agg(F.count("*").alias("n"))
+
+
+def _models(spark, d) -> DataFrame:
+    names = ("Gemini Flash", "deepseek-v4-pro", "qwen3.5-9b", "my mistral", "llama tts", "Claude X", "gpt-9", "grok", "nova preview", "perplexity", "phi", "gemma vision")
+    k = F.col("p_partkey")
+    return v.table(spark, d, "part").select(F.concat(F.lit("m-"), k.cast("string")).alias("model_id"), F.get(F.array(*map(F.lit, names)), (k % 12).cast("int")).alias("name"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("quota"))
+
+
+@query(f"""with m as (select 'm-' || p_partkey as model_id, {_LABELS} as name, case when p_size % 5 <> 0 then p_size end as quota from part)
+select model_id, name from m where not regexp_matches(lower(name), 'gemini|gemma|google|embedding|rerank|vision|image|audio|tts') order by contains(name, 'preview'), coalesce(quota, -1) desc, model_id limit 3""")
+def model_candidates(spark, d):
+    return providers.model_candidates(_models(spark, d)).select("model_id", "name")
+
+
 # ---- validation and spans --------------------------------------------------------------------------------------
 
 
@@ -415,10 +600,41 @@ def latency_summary(spark, d):
     return providers.latency(rows, "provider").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"with {v.ATTEMPTS} select provider, count(*) as attempts, round(avg(api_success::int), 9) as api_success_rate, round(coalesce(sum(parse_success::int) / nullif(sum(api_success::int), 0), 0), 9) as parse_success_rate, round(avg((api_success and not parse_success)::int), 9) as schema_failure_rate from attempts group by provider")
+@query(f"""with {v.ATTEMPTS} select provider, count(*) as total, count(label) as evaluated_count, count(*) - count(label) as missing_count, round(avg(api_success::int), 9) as api_success_rate, round(avg(parse_success::int), 9) as parse_success_rate,
+round(avg((api_success and not parse_success)::int), 9) as schema_validation_failure_rate from attempts group by provider""")
 def provider_summary(spark, d):
-    rows = v.attempts(spark, d).withColumn("error_class", F.when(F.col("api_success") & ~F.col("parse_success"), "SCHEMA_VALIDATION_ERROR"))
-    return _round(providers.reliability(rows, "provider"))
+    return _round(providers.reliability(_failed(spark, d), "provider"))
+
+
+def _failed(spark, d) -> DataFrame:
+    """Attempts with the class of what went wrong."""
+    api = F.col("api_success")
+    return v.attempts(spark, d).withColumn("error_class", F.when(~api, providers.error_class(F.col("http_status"))).when(~F.col("parse_success"), F.when(F.col("k") % 2 == 0, "PARSE_ERROR").otherwise("SCHEMA_VALIDATION_ERROR")))
+
+
+@query(f"""with {v.ATTEMPTS}, t as (select provider, count(*) as total_records, count(*) filter (api_success) as api_success_count, count(*) filter (parse_success) as parse_success_count, count(label) as valid_success_count,
+count(*) - count(label) as terminal_failure_count, count(*) filter (attempt > 1) as retry_record_count from attempts group by 1)
+select *, round(valid_success_count / total_records, 9) as validity_rate, case when terminal_failure_count >= 10 or total_records >= 100 and valid_success_count / total_records < 0.98 then 'TRIPPED' else 'NOT_TRIPPED' end as circuit_breaker from t""")
+def technical_reliability(spark, d):
+    return _round(providers.technical_reliability(v.attempts(spark, d), "provider"))
+
+
+@query(f"""with {v.ATTEMPTS}, m as (select user_id as example_id, row_number() over (order by user_id desc) as position from (select distinct user_id from events)),
+f as (select example_id, case when http_status = 401 then 'API_AUTH_ERROR' when http_status = 429 then 'API_RATE_LIMIT' when http_status = 503 then 'API_SERVER_ERROR' when k % 2 <> 0 then 'PERSISTED_SCHEMA_VALIDATION_SUBTYPE_UNKNOWN'
+  when k % 3 = 0 then 'OUTPUT_TOKEN_LIMIT' else 'PERSISTED_PARSE_ERROR_SUBTYPE_UNKNOWN' end as category from attempts where status <> 'SUCCESS' and provider = 'click')
+select category, position, example_id from f join m using (example_id)""")
+def failure_breakdown(spark, d):
+    rows = _failed(spark, d).where("provider = 'click'").withColumn("finish_reason", F.when(F.col("k") % 3 == 0, "length").otherwise("stop"))
+    manifest = v.table(spark, d, "events").select(F.col("user_id").alias("example_id")).distinct().withColumn("position", F.row_number().over(Window.orderBy(F.desc("example_id"))).cast("long"))
+    return providers.failure_breakdown(rows, manifest)
+
+
+@query(f"""with {v.ATTEMPTS} select provider, count(latency_ms) as load_count, round(avg(latency_ms * 1000 / 1000000), 9) as load_mean_ms, round(max(latency_ms * 1000 / 1000000), 9) as load_max_ms, sum(k)::double as completion_tokens, round(sum(k * 1000.0::double) / 1000000000, 9) as eval_seconds,
+round(avg(latency_ms), 6) as latency_mean_ms, round(sum(k) / (sum(k * 1000.0::double) / 1000000000), 3) as tokens_per_second, round(avg(latency_ms) * 2675 / 3600000, 9) as projected_hours from attempts group by 1""")
+def operational_summary(spark, d):
+    k = F.col("k").cast("double")
+    use = F.create_map(F.lit("load_duration_ns"), F.col("latency_ms") * 1000, F.lit("eval_duration_ns"), k * 1000, F.lit("completion_tokens"), k)
+    return _round(providers.operational(v.attempts(spark, d).withColumn("usage", use), "provider")).withColumns({"latency_mean_ms": F.round("latency_mean_ms", 6), "tokens_per_second": F.round("tokens_per_second", 3)})
 
 
 @query(f"with {v.ATTEMPTS} select provider, sum(k)::double as input_tokens, sum(case when k % 2 = 0 then k * 2 else 0 end)::double as output_tokens, sum(k * 3)::double as total_tokens from attempts group by provider")
@@ -428,22 +644,35 @@ def usage_totals(spark, d):
     return providers.usage(v.attempts(spark, d).withColumn("usage", even), "provider").select("provider", "input_tokens", "output_tokens", "total_tokens")
 
 
-@query(f"""with {v.ATTEMPTS}, g as (select example_id, count(*) as n, count(*) filter (label = 'HALLUCINATED') as h, avg(confidence) as m, max(confidence) - min(confidence) as r from attempts where label is not null and attempt <= 24 group by 1 having count(*) = 3)
+@query(f"""with {v.ATTEMPTS}, g as (select event_id // 6 as example_id, count(*) as n, count(*) filter (label = 'HALLUCINATED') as h, avg(confidence) as m, max(confidence) - min(confidence) as r from attempts where label is not null group by 1 having count(*) = 3)
 select count(*) as examples, round(coalesce(sum((h * (h - 1) + (3 - h) * (2 - h)) / 2) / (count(*) * 3), 0), 9) as pairwise_agreement, round(coalesce(avg((h = 0 or h = 3)::int), 0), 9) as unanimity, round(avg(m), 9) as mean_confidence, round(max(r), 9) as max_confidence_range from g""")
 def consistency_three_runs(spark, d):
-    return _round(paired.consistency(v.attempts(spark, d).select("example_id", "label", "confidence")))
+    return _round(paired.consistency(v.attempts(spark, d).select(F.floor(F.col("event_id") / 6).alias("example_id"), "label", "confidence")))
 
 
-@query(f"""with {v.ATTEMPTS}, s as (select provider, round(avg((label = 'GROUNDED')::int), 9) as balanced_accuracy, round(avg(confidence), 9) as f1, round(avg((label = 'HALLUCINATED')::int), 9) as false_positive_rate, round(avg(parse_success::int), 9) as parse_success_rate,
-quantile_disc(latency_ms, 0.95) as p95, sum(k)::double as total_tokens, count(*) > 10 as complete from attempts group by 1)
-select *, row_number() over (order by balanced_accuracy desc, f1 desc, false_positive_rate, parse_success_rate desc, p95, total_tokens, provider) as place from s where complete""")
-def judge_recommendation(spark, d):
+_JUDGES = f"""with {v.ATTEMPTS}, s as (select provider || '-' || (event_id // 4) as provider, round(avg((label = 'GROUNDED')::int), 9) as balanced_accuracy, round(avg(confidence), 9) as f1, round(avg((label = 'HALLUCINATED')::int), 9) as false_positive_rate,
+count(*) - count(label) as missing_count, round(avg(api_success::int), 9) as api_success_rate, round(avg(parse_success::int), 9) as parse_success_rate, quantile_disc(latency_ms, 0.95) as p95, sum(k)::double as total_tokens from attempts group by 1),
+r as (select *, row_number() over (order by balanced_accuracy desc, f1 desc, false_positive_rate, parse_success_rate desc, p95, total_tokens, provider) as place from s where missing_count = 0 and api_success_rate = 1 and parse_success_rate = 1)"""
+
+
+def _judges(spark, d) -> DataFrame:
+    """Judges: a provider and a few events in a row; few enough that some are complete."""
     share = lambda c: F.round(F.avg(F.expr(c).cast("int")), 9)
-    rows = v.attempts(spark, d).groupBy("provider").agg(
-        share("label = 'GROUNDED'").alias("balanced_accuracy"), F.round(F.avg("confidence"), 9).alias("f1"), share("label = 'HALLUCINATED'").alias("false_positive_rate"), share("parse_success").alias("parse_success_rate"),
-        F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.sum("k").cast("double").alias("total_tokens"), (F.count("*") > 10).alias("complete"),
+    rows = v.attempts(spark, d).withColumn("provider", F.concat_ws("-", "provider", F.floor(F.col("event_id") / 4).cast("string")))
+    return rows.groupBy("provider").agg(
+        share("label = 'GROUNDED'").alias("balanced_accuracy"), F.round(F.avg("confidence"), 9).alias("f1"), share("label = 'HALLUCINATED'").alias("false_positive_rate"), (F.count("*") - F.count("label")).alias("missing_count"),
+        share("api_success").alias("api_success_rate"), share("parse_success").alias("parse_success_rate"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.sum("k").cast("double").alias("total_tokens"),
     )
-    return providers.recommend(rows).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_JUDGES + " select * from r")
+def judge_recommendation(spark, d):
+    return providers.recommend(_judges(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_JUDGES + " select case when count(*) = 0 then 'UNVERIFIED' else 'RECOMMENDED' end as status, arg_min(provider, place) as provider from r")
+def judge_choice(spark, d):
+    return providers.recommendation(_judges(spark, d))
 
 
 @query(f"""with {v.ATTEMPTS}, m as (select distinct user_id as example_id, user_id as position from events union select max(user_id) + 1, max(user_id) + 1 from events), s as (select example_id, bool_or(status = 'SUCCESS') as ok from attempts where provider = 'click' group by 1)
@@ -458,19 +687,33 @@ def resume_partition(spark, d):
 s as (select *, sum(lim::int) over (partition by provider, example_id, reset order by ts, event_id rows unbounded preceding) as streak, epoch_us(ts) - epoch_us(lag(ts) over (partition by provider, example_id order by ts, event_id)) as gap from r)
 select event_id, streak::bigint as streak, round(gap / 1000000, 6) as gap_seconds, max(streak) over (partition by provider, example_id order by ts, event_id rows unbounded preceding) >= 3 as open from s""")
 def rate_limit_streaks(spark, d):
-    rows = v.attempts(spark, d).withColumns({"error_class": providers.http_class(F.col("http_status")), "who": F.concat_ws("|", "provider", F.col("example_id").cast("string"))})
+    rows = v.attempts(spark, d).withColumns({"error_class": F.when(~F.col("api_success"), providers.error_class(F.col("http_status"))), "who": F.concat_ws("|", "provider", F.col("example_id").cast("string"))})
     return providers.streaks(rows, "who", ["ts", "event_id"]).select("event_id", "streak", F.round("gap_seconds", 6).alias("gap_seconds"), "open")
 
 
-@query(f"with {v.ATTEMPTS} select provider, case http_status when 200 then 'SUCCESS' when 401 then 'AUTHENTICATION' when 429 then 'RATE_LIMIT' else 'SERVER_ERROR' end as class, count(*) as n from attempts group by all")
+_CODES = "codes as (select event_id, ([0, 200, 204, 302, 400, 401, 402, 403, 404, 408, 429, 500, 502, 503, 504, 505])[event_id % 16 + 1] as status, ['completion', 'discovery', 'timeout'][event_id % 3 + 1] as phase, ['', 'CUDA out of memory', 'model failed to load', 'quota rpd'][event_id % 4 + 1] as body from events)"
+
+
+def _codes(spark, d) -> DataFrame:
+    """HTTP outcomes, one for each event: status, phase, body."""
+    at = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("event_id") % n).cast("int"))
+    return v.table(spark, d, "events").select("event_id", at((0, 200, 204, 302, 400, 401, 402, 403, 404, 408, 429, 500, 502, 503, 504, 505), 16).alias("status"), at(("completion", "discovery", "timeout"), 3).alias("phase"), at(("", "CUDA out of memory", "model failed to load", "quota rpd"), 4).alias("body"))
+
+
+@query(f"""with {_CODES} select phase, case when status between 200 and 299 then 'PASS' when status in (401, 403) then 'AUTH_FAILED' when status = 402 then 'QUOTA_EXHAUSTED' when status = 404 and phase = 'completion' then 'MODEL_UNAVAILABLE'
+when status = 429 then 'RATE_LIMITED' when status in (0, 408, 500, 502, 503, 504) or phase = 'timeout' then 'NETWORK_FAILED' else 'INVALID_RESPONSE' end as health,
+case when status in (401, 403) then 'API_AUTH_ERROR' when status = 402 then 'API_QUOTA_ERROR' when status = 429 then 'API_RATE_LIMIT' when status in (408, 504) then 'API_TIMEOUT' when status between 500 and 599 then 'API_SERVER_ERROR' else 'API_ERROR' end as hosted,
+case when contains(body, 'out of memory') then 'LOCAL_OOM' when contains(body, 'failed to load') then 'LOCAL_RESOURCE_ERROR' when status = 404 then 'LOCAL_MODEL_NOT_FOUND' when status in (408, 504) then 'LOCAL_TIMEOUT'
+when status between 500 and 599 then 'LOCAL_SERVER_ERROR' else 'LOCAL_REQUEST_ERROR' end as local, case when status = 429 then case when contains(body, 'rpd') then 'RPD' else 'OTHER' end end as dimension, count(*) as n from codes group by all""")
 def status_classes(spark, d):
-    return v.attempts(spark, d).groupBy("provider", providers.http_class(F.col("http_status")).alias("class")).agg(F.count("*").alias("n"))
+    rows, status = _codes(spark, d), F.col("status")
+    health = F.coalesce(*[F.when(F.col("phase") == p, providers.health_status(status, p)) for p in ("completion", "discovery", "timeout")])
+    return rows.groupBy("phase", health.alias("health"), providers.error_class(status).alias("hosted"), providers.local_error_class(status, F.col("body")).alias("local"), providers.rate_limit_dimension(status, F.col("body")).alias("dimension")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {v.ATTEMPTS} select case http_status when 401 then 'AUTHENTICATION' when 429 then 'RATE_LIMIT' else 'SERVER_ERROR' end as error_class, count(*) as n from attempts where http_status <> 200 group by 1")
+@query(f"with {v.ATTEMPTS} select case when http_status = 401 then 'API_AUTH_ERROR' when http_status = 429 then 'API_RATE_LIMIT' when http_status = 503 then 'API_SERVER_ERROR' when k % 2 = 0 then 'PARSE_ERROR' else 'SCHEMA_VALIDATION_ERROR' end as error_class, count(*) as n from attempts where not parse_success group by 1")
 def error_counts(spark, d):
-    rows = v.attempts(spark, d).where("not api_success").withColumn("error_class", providers.http_class(F.col("http_status")))
-    return providers.error_counts(rows)
+    return providers.error_counts(_failed(spark, d))
 
 
 @query("select count(*) as n, ceil((sum(ceil(length(text) / 3)) + count(*) * 64) * 1.25)::bigint as tokens from conversations")
@@ -487,7 +730,8 @@ _JOB_LAGS = f"{v.JOBS}, l as (select *, lag(state) over w as was, lag(cancel_req
 
 
 @query(f"""with {_JOB_LAGS}, i as (select job_id, revision, unnest(list_filter([case when was in ('COMPLETE', 'FAILED', 'CANCELLED', 'INTERRUPTED') then 'TERMINAL' end,
-case when was <> state and was not in ('COMPLETE', 'FAILED') and not (was || '>' || state in ('QUEUED>VALIDATING', 'VALIDATING>EVALUATING', 'VALIDATING>FAILED', 'EVALUATING>ANALYZING', 'EVALUATING>FAILED', 'ANALYZING>FAILED')) then 'ILLEGAL_TRANSITION' end,
+case when was <> state and was not in ('COMPLETE', 'FAILED', 'CANCELLED', 'INTERRUPTED') and not list_contains(case was when 'QUEUED' then ['VALIDATING', 'CANCELLED', 'FAILED'] when 'VALIDATING' then ['EVALUATING', 'FAILED', 'CANCELLED', 'INTERRUPTED']
+when 'EVALUATING' then ['ANALYZING', 'FAILED', 'CANCELLED', 'INTERRUPTED'] when 'ANALYZING' then ['WRITING_ARTIFACT', 'FAILED', 'CANCELLED', 'INTERRUPTED'] else ['COMPLETE', 'FAILED', 'CANCELLED', 'INTERRUPTED'] end, state) then 'ILLEGAL_TRANSITION' end,
 case when asked and not cancel_requested then 'CANCEL_WITHDRAWN' end, case when was = state and asked = cancel_requested then 'NO_CHANGE' end], lambda x: x is not null)) as code from l) select * from i""")
 def job_fsm_violations(spark, d):
     return jobs.fsm_violations(v.job_log(spark, d))
@@ -498,7 +742,7 @@ def latest_job_per_run(spark, d):
     return jobs.latest_per_run(v.job_log(spark, d))
 
 
-@query(f"with {v.JOBS}, l as (select job_id, arg_max(state, revision) as state from log group by 1) select job_id, case when state = 'QUEUED' then 'REQUEUE' else 'INTERRUPT' end as action from l where state not in ('COMPLETE', 'FAILED')")
+@query(f"with {v.JOBS}, l as (select job_id, arg_max(state, revision) as state from log group by 1) select job_id, case when state = 'QUEUED' then 'REQUEUE' else 'INTERRUPT' end as action from l where state not in ('COMPLETE', 'FAILED', 'CANCELLED', 'INTERRUPTED')")
 def job_recovery(spark, d):
     return jobs.recovery(v.job_log(spark, d))
 
@@ -506,34 +750,64 @@ def job_recovery(spark, d):
 # ---- evidence --------------------------------------------------------------------------------------------------
 
 
-def _artifacts(spark) -> DataFrame:
-    rows = [("run-1", "run", "LOCAL", "OFFICIAL_BENCHMARK", "BENCHMARK_RESULT", None, None), ("run-2", "run", "SYNTHETIC", "SYNTHETIC_FIXTURE", "BENCHMARK_RESULT", None, None), ("run-3", "run", "NOT_RUN", "SAMPLE", "PILOT", None, None),
-            ("cmp-1", "comparison", "LOCAL", "OFFICIAL_BENCHMARK", "BENCHMARK_RESULT", "run-1", "run-2"), ("cmp-2", "comparison", "LOCAL", "SAMPLE", "PILOT", "run-1", "run-1"), ("cmp-3", "comparison", "LOCAL", "SAMPLE", "PILOT", "run-1", "run-9")]
-    return spark.createDataFrame(rows, "artifact_id string, artifact_type string, verification string, data_kind string, claim_scope string, baseline_id string, candidate_id string")
-
-
-@query("select * from (values ('run-2', 'SYNTHETIC_NEEDS_INTEGRATION_ONLY'), ('run-2', 'BENCHMARK_RESULT_NEEDS_OFFICIAL_BENCHMARK'), ('run-3', 'NOT_RUN_IS_NOT_EVIDENCE')) t(artifact_id, code)")
+@query(f"""with {v.RUNS}, a as (select artifact_id, verification_status, data_kind, claim_scope from runs union all select artifact_id, verification_status, data_kind, claim_scope from comparisons)
+select artifact_id, unnest(list_filter([case when verification_status = 'NOT_RUN' then 'NOT_RUN_IS_NOT_EVIDENCE' end, case when data_kind = 'SYNTHETIC_FIXTURE' and claim_scope <> 'INTEGRATION_ONLY' then 'SYNTHETIC_FIXTURE_NEEDS_INTEGRATION_ONLY' end,
+case when claim_scope = 'BENCHMARK_RESULT' and data_kind <> 'OFFICIAL_BENCHMARK' then 'BENCHMARK_RESULT_NEEDS_OFFICIAL_BENCHMARK' end], lambda x: x is not null)) as code from a""")
 def claim_violations(spark, d):
-    return population.claim_violations(_artifacts(spark))
+    claims = ["artifact_id", "verification_status", "data_kind", "claim_scope"]
+    return population.claim_violations(v.runs(spark, d).select(*claims).unionByName(v.comparisons(spark, d).select(*claims)))
 
 
-@query("select * from (values ('cmp-2', 'SELF_COMPARISON'), ('cmp-3', 'UNKNOWN_RUN')) t(artifact_id, code)")
+@query(f"""with {v.RUNS}, a as (select artifact_id, 'run' as artifact_type, null as baseline_id, null as candidate_id from runs union all select artifact_id, 'run', null, null from runs where k % 25 = 7
+union all select artifact_id, 'comparison', baseline_id, candidate_id from comparisons)
+select artifact_id, 'DUPLICATE_ARTIFACT' as code from a group by 1 having count(*) > 1 union all select artifact_id, 'SELF_COMPARISON' from a where baseline_id = candidate_id
+union all select artifact_id, 'UNKNOWN_RUN' from a where artifact_type = 'comparison' and (baseline_id not in (select artifact_id from runs) or candidate_id not in (select artifact_id from runs))""")
 def index_integrity(spark, d):
-    return evidence.index_violations(_artifacts(spark))
-
-
-@query("select * from (values ('cmp-1', 'STRONGER_THAN_OPERANDS'), ('cmp-2', 'SELF_COMPARISON'), ('cmp-3', 'UNKNOWN_CANDIDATE')) t(artifact_id, code)")
+    none = F.lit(None).cast("string")
+    run = v.runs(spark, d).select("artifact_id", "artifact_type", none.alias("baseline_id"), none.alias("candidate_id"))
+    again = run.where("cast(substring(artifact_id, 5) as long) % 25 = 7")
+    return evidence.index_violations(run.unionByName(again).unionByName(v.comparisons(spark, d).select(*run.columns)))
+
+
+@query(f"""with {v.RUNS}, s as (select * from (values ('UNVERIFIED', 0), ('PARTIAL', 1), ('VERIFIED', 2)) t(status, s)),
+j as (select c.*, a.artifact_id as a_id, b.artifact_id as b_id, a.data_kind as a_kind, b.data_kind as b_kind, a.claim_scope as a_scope, b.claim_scope as b_scope, cs.s as own, least(sa.s, sb.s) as weakest, {_SAME} as same
+  from comparisons c left join runs a on a.artifact_id = c.baseline_id left join runs b on b.artifact_id = c.candidate_id left join s cs on cs.status = c.verification_status
+  left join s sa on sa.status = a.verification_status left join s sb on sb.status = b.verification_status)
+select artifact_id, unnest(list_filter([case when a_id is null then 'UNKNOWN_BASELINE' end, case when b_id is null then 'UNKNOWN_CANDIDATE' end, case when baseline_id = candidate_id then 'SELF_COMPARISON' end,
+case when a_id is not null and b_id is not null and (data_kind <> a_kind or data_kind <> b_kind) then 'DATA_KIND_MISMATCH' end, case when a_id is not null and b_id is not null and (claim_scope <> a_scope or claim_scope <> b_scope) then 'CLAIM_SCOPE_MISMATCH' end,
+case when a_id is not null and b_id is not null and own > weakest then 'STRONGER_THAN_OPERANDS' end, case when a_id is not null and b_id is not null and population_compatibility = 'MATCHED' and not same then 'POPULATION_MISMATCH' end], lambda x: x is not null)) as code from j""")
 def operand_violations(spark, d):
-    rows = _artifacts(spark)
-    return population.operand_violations(rows.where("artifact_type = 'comparison'"), rows.where("artifact_type = 'run'"))
+    return population.operand_violations(v.comparisons(spark, d), v.runs(spark, d))
 
 
-@query("select * from (values ('cmp-2', 'comparison'), ('cmp-3', 'comparison'), ('run-3', 'run')) t(artifact_id, artifact_type)")
+@query(f"with {v.RUNS} select artifact_id, verification_status, data_kind, claim_scope from runs where verification_status = 'PARTIAL' and claim_scope = 'PROTOCOL_SPECIFIC'")
 def catalog_filter(spark, d):
-    allowed = {"claim_scope": ("PILOT", "BENCHMARK_RESULT"), "verification": ("LOCAL", "SYNTHETIC", "NOT_RUN")}
-    return evidence.catalog_filter(_artifacts(spark), {"claim_scope": "PILOT", "verification": "nonsense"}, allowed).select("artifact_id", "artifact_type")
+    chosen = {"verification": ["PARTIAL"], "scope": ["PROTOCOL_SPECIFIC"], "data": ["nonsense"], "population": ["MATCHED", "UNVERIFIED"]}
+    return evidence.catalog_filter(v.runs(spark, d), chosen).select("artifact_id", "verification_status", "data_kind", "claim_scope")
+
+
+@query(f"with {v.RUNS} select artifact_id, population_compatibility, result from comparisons where population_compatibility = 'MATCHED' and result = 'REGRESSION' and data_kind = 'CURATED_DATASET'")
+def comparison_filter(spark, d):
+    chosen = {"population": ["MATCHED"], "result": ["REGRESSION"], "data": ["CURATED_DATASET"], "scope": ["PILOT"]}
+    return evidence.catalog_filter(v.comparisons(spark, d), chosen).select("artifact_id", "population_compatibility", "result")
+
 
+_SECRETS = "(?i)(?:api[_-]?key|authorization|bearer|password|secret|token)\\s*[:=]"
+_NAMES = "(?i)^(?:api[_-]?key|authorization|bearer|password|secret|token)(?:[_-]?value)?$"
 
-@query("select doc_id, u.f as field, u.c as code from (select doc_id, unnest(list_filter([case when regexp_matches(text, '(?i)(api[_-]?key|secret|password|bearer\\s+[a-z0-9._-]{8,}|sk-[a-z0-9]{16,})') then {f: 'text', c: 'SECRET'} end, case when regexp_matches(text, '(?:^|[\\s\"''(])(?:/(?:home|root|Users|tmp|var|etc)/|[A-Za-z]:\\\\|\\\\\\\\)') then {f: 'text', c: 'LOCAL_PATH'} end, case when regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') then {f: 'text', c: 'CONTROL_CHARACTER'} end], lambda x: x is not null)) as u from documents)")
+
+def _policy_sql(most: int) -> str:
+    t = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    return f"""select doc_id, 'text' as field, code from (select doc_id, case when t = '' then 'EMPTY_TEXT' when length(t) > {most} then 'TEXT_TOO_LONG' when regexp_matches(t, '{_SECRETS}') or regexp_matches(t, '{_NAMES}')
+or regexp_matches(t, '^[A-Za-z]:[\\\\/]') or starts_with(t, '/') then 'UNSAFE_TEXT' when regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') then 'CONTROL_CHARACTER' end as code from (select doc_id, {t} as t from documents)) where code is not null"""
+
+
+@query(_policy_sql(500))
 def public_text_violations(spark, d):
     return evidence.text_violations(v.table(spark, d, "documents"), "doc_id", ["text"])
+
+
+@query(_policy_sql(1_000_000))
+def unsafe_texts(spark, d):
+    rows = v.table(spark, d, "documents").select("doc_id", F.lit("text").alias("field"), evidence.text_violation(F.col("text"), 1_000_000).alias("code"))
+    return rows.where("code is not null")

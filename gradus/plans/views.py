@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import overlap_tokens
-from gradus.operators import classify, retrieval
+from gradus.operators import classify, population, retrieval
 
 K = 10
+JOB_STATES = ("QUEUED", "VALIDATING", "EVALUATING", "ANALYZING", "WRITING_ARTIFACT", "COMPLETE", "FAILED", "CANCELLED", "INTERRUPTED")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,17 +100,66 @@ def attempts(spark, d) -> DataFrame:
 def job_log(spark, d) -> DataFrame:
     """A log made of events: a job for each user and event type, its revisions in order of time."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    states = F.array(*[F.lit(s) for s in ("QUEUED", "VALIDATING", "EVALUATING", "ANALYZING", "COMPLETE", "FAILED")])
+    states = F.array(*map(F.lit, JOB_STATES))
     rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.row_number().over(w).alias("n"))
     return rows.select(
         F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("job_id"), F.col("user_id").cast("string").alias("run_id"), F.col("n").cast("long").alias("revision"),
-        F.when(F.col("n") == 1, "QUEUED").otherwise(F.get(states, (F.col("event_id") % 6).cast("int"))).alias("state"), (F.col("event_id") % 4 == 0).alias("cancel_requested"), F.col("event_id").alias("created_at"),
+        F.when(F.col("n") == 1, "QUEUED").otherwise(F.get(states, (F.col("event_id") % len(JOB_STATES)).cast("int"))).alias("state"), (F.col("event_id") % 4 == 0).alias("cancel_requested"), F.col("event_id").alias("created_at"),
     )
 
 
+def runs(spark, d) -> DataFrame:
+    """Published runs, one for each supplier: artifact_id, claims and the metadata that makes a population."""
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), by.cast("int"))
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = table(spark, d, "supplier").select(
+        F.concat(F.lit("run-"), k.cast("string")).alias("artifact_id"), F.lit("run").alias("artifact_type"), pick(("VERIFIED", "PARTIAL", "UNVERIFIED", "NOT_RUN"), k % 4).alias("verification_status"),
+        pick(population.DATA_KINDS, F.floor(k / 4) % 3).alias("data_kind"), pick(population.CLAIM_SCOPES, n % 3).alias("claim_scope"), F.lit("documents").alias("dataset_name"),
+        F.when(k % 10 == 3, "2").otherwise("1").alias("dataset_version"), F.when(k % 5 != 0, "r1").alias("dataset_revision"), F.when(k % 11 == 0, "hallucination").otherwise("retrieval").alias("evaluation_type"),
+        F.lit("passages").alias("benchmark"), F.when(n % 7 == 0, "th").otherwise("en").alias("language"), F.lit("test").alias("split"), F.when(k % 9 == 0, 5).otherwise(10).cast("int").alias("top_k"),
+        F.when(n % 8 == 1, "retrieval=2").otherwise("retrieval=1").alias("evaluator_versions"),
+    )
+    return rows
+
+
+def comparisons(spark, d) -> DataFrame:
+    """Published comparisons, one for each customer, between two of ``runs`` or, now and then, with one that isn't there."""
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), by.cast("int"))
+    k = F.col("c_custkey")
+    name = lambda x: F.concat(F.lit("run-"), x.cast("string"))
+    return table(spark, d, "customer").select(
+        F.concat(F.lit("cmp-"), k.cast("string")).alias("artifact_id"), F.lit("comparison").alias("artifact_type"), name(k % 97).alias("baseline_id"), name((k * 7) % 103).alias("candidate_id"),
+        pick(("UNVERIFIED", "PARTIAL", "VERIFIED"), k % 3).alias("verification_status"), pick(population.DATA_KINDS, F.col("c_nationkey") % 3).alias("data_kind"), pick(population.CLAIM_SCOPES, F.floor(k / 3) % 3).alias("claim_scope"),
+        pick(("MATCHED", "UNVERIFIED", "INCOMPATIBLE"), k % 3).alias("population_compatibility"), F.when(F.col("c_acctbal") < 0, "REGRESSION").otherwise("PASS").alias("result"),
+    )
+
+
+def local_runs(spark, d) -> DataFrame:
+    """The same runs as local ones, with configuration and fingerprints: run_id and what ``population.compatibility`` reads."""
+    k = F.substring("artifact_id", 5, 20).cast("long")
+    none = F.lit(None).cast("string")
+    return runs(spark, d).select(
+        F.col("artifact_id").alias("run_id"), F.lit("workspace-run-v1").alias("schema_version"), F.when(k % 14 == 2, "ws-2").otherwise("ws-1").alias("workspace_id"), "evaluation_type", F.when(k % 3 == 0, "strict-groundedness").otherwise(none).alias("annotation_policy"),
+        "benchmark", "dataset_name", "dataset_revision", "dataset_version", F.lit("k1=1.2").alias("evaluator_config"), "evaluator_versions", "language", F.lit("good").alias("quality_filter"), "split", "top_k",
+        (k % 13 != 0).alias("identity_valid"), F.when(k % 17 != 0, F.concat(F.lit("t"), (k % 2).cast("string"))).alias("truth_fingerprint"), F.when(k % 17 != 0, F.concat(F.lit("q"), (k % 2).cast("string"))).alias("query_fingerprint"),
+        F.when(k % 6 == 0, "other").otherwise(F.concat(F.lit("q"), (k % 2).cast("string"))).alias("prediction_fingerprint"), F.lit(40).alias("prediction_count"), F.when(k % 8 == 0, 39).otherwise(40).alias("reported_count"),
+    )
+
+
+RUNS = """
+runs as (select 'run-' || s_suppkey as artifact_id, 'run' as artifact_type, ['VERIFIED', 'PARTIAL', 'UNVERIFIED', 'NOT_RUN'][s_suppkey % 4 + 1] as verification_status,
+  ['SYNTHETIC_FIXTURE', 'CURATED_DATASET', 'OFFICIAL_BENCHMARK'][(s_suppkey // 4) % 3 + 1] as data_kind, ['INTEGRATION_ONLY', 'PROTOCOL_SPECIFIC', 'BENCHMARK_RESULT'][s_nationkey % 3 + 1] as claim_scope,
+  'documents' as dataset_name, case when s_suppkey % 10 = 3 then '2' else '1' end as dataset_version, case when s_suppkey % 5 <> 0 then 'r1' end as dataset_revision,
+  case when s_suppkey % 11 = 0 then 'hallucination' else 'retrieval' end as evaluation_type, 'passages' as benchmark, case when s_nationkey % 7 = 0 then 'th' else 'en' end as language, 'test' as split,
+  case when s_suppkey % 9 = 0 then 5 else 10 end as top_k, case when s_nationkey % 8 = 1 then 'retrieval=2' else 'retrieval=1' end as evaluator_versions, s_suppkey as k from supplier),
+comparisons as (select 'cmp-' || c_custkey as artifact_id, 'comparison' as artifact_type, 'run-' || (c_custkey % 97) as baseline_id, 'run-' || ((c_custkey * 7) % 103) as candidate_id,
+  ['UNVERIFIED', 'PARTIAL', 'VERIFIED'][c_custkey % 3 + 1] as verification_status, ['SYNTHETIC_FIXTURE', 'CURATED_DATASET', 'OFFICIAL_BENCHMARK'][c_nationkey % 3 + 1] as data_kind,
+  ['INTEGRATION_ONLY', 'PROTOCOL_SPECIFIC', 'BENCHMARK_RESULT'][(c_custkey // 3) % 3 + 1] as claim_scope, ['MATCHED', 'UNVERIFIED', 'INCOMPATIBLE'][c_custkey % 3 + 1] as population_compatibility,
+  case when c_acctbal < 0 then 'REGRESSION' else 'PASS' end as result from customer)"""
 TOPICS = "topics as (select cast(item_id as varchar) as query_id, text from benchmark)"
-CORPUS = "corpus as (select cast(doc_id as varchar) as document_id, text from documents where not regexp_matches(text, '[^\\x00-\\x7F]'))"
-TOKENS = r"regexp_extract_all(lower(text), '[a-z]+|[0-9]+(?:[.,][0-9]+)?')"
+CORPUS = "corpus as (select cast(doc_id as varchar) as document_id, text from documents)"
+# the tables' letters beyond ASCII are Latin ones, which normalisation leaves alone and of which only ß folds to others
+TOKENS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z]+|[0-9]+(?:[.,][0-9]+)?')"
 RANK_A = f"""
 {TOPICS}, {CORPUS},
 toks as (select document_id, {TOKENS} as terms from corpus),
@@ -149,7 +199,7 @@ attempts as (select *, http_status = 200 as api_success, http_status = 200 and k
 JOBS = """
 nth as (select user_id, event_type, event_id, ts, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events),
 log as (select user_id || '-' || event_type as job_id, cast(user_id as varchar) as run_id, n::bigint as revision,
-  case when n = 1 then 'QUEUED' else ['QUEUED', 'VALIDATING', 'EVALUATING', 'ANALYZING', 'COMPLETE', 'FAILED'][event_id % 6 + 1] end as state, event_id % 4 = 0 as cancel_requested, event_id as created_at from nth)"""
+  case when n = 1 then 'QUEUED' else ['QUEUED', 'VALIDATING', 'EVALUATING', 'ANALYZING', 'WRITING_ARTIFACT', 'COMPLETE', 'FAILED', 'CANCELLED', 'INTERRUPTED'][event_id % 9 + 1] end as state, event_id % 4 = 0 as cancel_requested, event_id as created_at from nth)"""
 CELLS = """count(*) as total, count(*) filter (human = 'HALLUCINATED' and predicted = 'HALLUCINATED') as tp, count(*) filter (human <> 'HALLUCINATED' and predicted <> 'HALLUCINATED') as tn,
   count(*) filter (human <> 'HALLUCINATED' and predicted = 'HALLUCINATED') as fp, count(*) filter (human = 'HALLUCINATED' and predicted <> 'HALLUCINATED') as fn"""
 _R = "coalesce(({})::double / nullif({}, 0), 0.0)"

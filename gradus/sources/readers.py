@@ -25,17 +25,42 @@ def _issue(code: str, message: Column, record: Column) -> list[Column]:
     return [F.lit(code).alias("code"), message.cast("string").alias("message"), record.cast("string").alias("record_id")]
 
 
-def read_jsonl(spark: SparkSession, path, schema: T.StructType, *, key: str | None = None, code: str = "INVALID_JSONL") -> tuple[DataFrame, DataFrame]:
-    """Records and issues: lines that don't parse, lack the key or repeat it. Blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("__bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r")).select("value", "r.*")
-    bad = F.col("__bad").isNotNull() | (F.coalesce(F.trim(F.col(key)), F.lit("")) == "" if key else F.lit(False))
-    issues = parsed.where(bad).select(*_issue(code, F.substring("value", 1, 200), F.col(key) if key else F.lit(None)))
-    good = parsed.where(~bad).drop("__bad", "value")
+def numbered(spark: SparkSession, path) -> DataFrame:
+    """(value, file, line): lines of text with their numbers from 1 in each file.
+
+    A file is read in blocks by several tasks; lines are counted for each block, so a line's number is its place in the block after the lines of the blocks
+    before. No file is gathered in one task."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).select("file", "block", "first", "before")
+    return rows.join(before, ["file", "block"]).select("value", "file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"))
+
+
+def read_jsonl(spark: SparkSession, path, schema: T.StructType, *, key: str | None = None, code: str = "INVALID_JSONL", each_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records and issues: lines that don't parse or lack the key, and every record of a key that occurs again (in one file, with ``each_file``); these are left out of
+    the records. Blank lines are skipped. An issue's message begins with its line; lines are numbered only if issues are asked for."""
+
+    def parsed(lines: DataFrame) -> DataFrame:
+        kind = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+        rows = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+        return rows.withColumn("__broken", F.col("r.__bad").isNotNull() | (F.coalesce(F.trim(F.col(f"r.{key}")), F.lit("")) == "" if key else F.lit(False)))
+
+    plain = parsed(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+    fields = [F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields]
+    by = ["file", key] if each_file else [key]
+    fine = plain.where("not __broken").select("file", *fields)
+    good = fine
+    lines = parsed(numbered(spark, path))
+    at = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "))
+    issues = lines.where("__broken").select(*_issue(code, F.concat(at, F.substring("value", 1, 200)), F.col(f"r.{key}") if key else F.lit(None)))
     if key:
-        again = good.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-        issues = issues.unionByName(again.select(*_issue(f"DUPLICATE_{key.upper()}", F.concat(F.col("n").cast("string"), F.lit(" records")), F.col(key))))
-    return good, issues
+        again = fine.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+        good = fine.join(again, by, "left_anti")
+        repeats = lines.where("not __broken").select("file", "line", F.col(f"r.{key}").alias(key)).join(again, by, "left_semi")
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("file", "line"))
+        repeats = repeats.withColumn("nth", nth).where("nth > 1")
+        issues = issues.unionByName(repeats.select(*_issue(f"DUPLICATE_{key.upper()}", F.concat(at, F.lit("occurrence "), F.col("nth").cast("string")), F.col(key))))
+    return good.select(*schema.names), issues
 
 
 def strict(records: DataFrame, issues: DataFrame) -> DataFrame:
@@ -67,20 +92,20 @@ def topics(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
 
 def qrels(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """``id Q0 document relevance``, four fields, a relevance of 0 or more, each pair once. Blank lines are issues."""
+    """``id Q0 document relevance``, four fields, a relevance of 0 or more, each pair once; pairs that repeat are left out. Blank lines are issues."""
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select("value", F.size(parts).alias("n"), *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(("query_id", "q0", "document_id"))], F.get(parts, F.lit(3)).try_cast("bigint").alias("relevance"))
     good = (F.col("n") == 4) & (F.col("q0") == "Q0") & F.coalesce(F.col("relevance") >= 0, F.lit(False))
     issues = rows.where(~good).select(*_issue("INVALID_QREL", F.col("value"), F.col("query_id")))
     kept = rows.where(good).select("query_id", "document_id", "relevance")
     again = kept.groupBy("query_id", "document_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept, issues.unionByName(again.select(*_issue("DUPLICATE_QREL", F.col("document_id"), F.col("query_id"))))
+    return kept.join(again, ["query_id", "document_id"], "left_anti"), issues.unionByName(again.select(*_issue("DUPLICATE_QREL", F.col("document_id"), F.col("query_id"))))
 
 
 def corpus(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Shards of ``docid, title?, text``; duplicates are looked for over all shards."""
+    """Shards of ``docid, title?, text``; an id may not occur again in its own shard."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("docid", "title", "text")])
-    records, issues = read_jsonl(spark, paths, schema, key="docid")
+    records, issues = read_jsonl(spark, paths, schema, key="docid", each_file=True)
     return records.select(F.col("docid").alias("document_id"), F.coalesce("title", F.lit("")).alias("title"), "text"), issues
 
 
@@ -120,8 +145,12 @@ def labelled_responses(spark: SparkSession, responses, sources, *, split: str |
 
 
 def rag_cases(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    records, issues = read_jsonl(spark, path, schemas.RAG_CASE)
-    return records.withColumn("line", F.monotonically_increasing_id()), issues
+    """Cases with the number of their line, and issues that begin with it. ``strict`` fails at any of them."""
+    kind = T.StructType([*schemas.RAG_CASE.fields, T.StructField("__bad", T.StringType())])
+    rows = numbered(spark, path).where(F.trim("value") != "").withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    bad = F.col("r.__bad").isNotNull()
+    issues = rows.where(bad).select(*_issue("INVALID_JSONL", F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.substring("value", 1, 200)), F.col("r.id")))
+    return rows.where(~bad).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schemas.RAG_CASE.fields], "line"), issues
 
 
 def catalog(spark: SparkSession, path) -> DataFrame:
@@ -144,6 +173,16 @@ def checked_file(spark: SparkSession, path: str, sha256: str | None = None) -> D
     return rows
 
 
+def registered_input(spark: SparkSession, path: str, kind: str, sha256: str | None = None) -> DataFrame:
+    """One row: kind, records, length, sha256 of a file of ground truth or predictions within the size limit. Any issue, or another hash than the one expected, is an error."""
+    if kind not in ("ground_truth", "predictions"):
+        raise InputError("UNSUPPORTED_KIND", kind)
+    records, issues = (ground_truth if kind == "ground_truth" else predictions)(spark, path)
+    file = checked_file(spark, path, sha256).select("length", "sha256", F.length("content").alias("read"))
+    n = strict(records, issues).agg(F.count("*").alias("records"))
+    return n.crossJoin(file.where("read = length")).select(F.lit(kind).alias("kind"), "records", "length", "sha256")
+
+
 def mapped_csv(spark: SparkSession, path: str, kind: str, mapping: dict[str, str], delimiter: str = "|") -> DataFrame:
     """Ground truth or predictions from two named columns of a CSV file; the ids of a cell are split, trimmed and blanks dropped."""
     if kind not in ("ground_truth", "predictions"):
