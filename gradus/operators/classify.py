@@ -30,6 +30,18 @@ def overlap_support(response: Column, context: Column) -> Column:
     return F.when(F.size(response) == 0, 1.0).when(F.size(context) == 0, 0.0).otherwise(shared / F.size(response))
 
 
+def with_common_support(rows: DataFrame, key: str, tokens: str, context: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the column ``name`` instead of the set ``tokens``: the share of them that one context for all rows has (one column of distinct tokens).
+
+    Tokens meet the context's by a join. Keys have to be unique."""
+    word = context.columns[0]
+    hits = rows.select(key, F.explode(tokens).alias(word)).join(context, word, "left_semi").groupBy(key).agg(F.count("*").alias("__hits"))
+    some = context.limit(1).agg(F.count("*").alias("__some"))
+    n = F.size(tokens)
+    support = F.when(n == 0, 1.0).when(F.col("__some") == 0, 0.0).otherwise(F.coalesce("__hits", F.lit(0)) / n)
+    return rows.join(hits, key, "left").crossJoin(F.broadcast(some)).withColumn(name, support).drop("__hits", "__some", tokens)
+
+
 def from_support(support: Column, threshold: float) -> dict[str, Column]:
     """Label by the support as it is, score from it rounded to 12 places."""
     return {"predicted": F.when(support >= F.lit(float(threshold)), NEGATIVE).otherwise(POSITIVE), "score": F.round(1 - support, 12)}

@@ -95,6 +95,19 @@ def catalog_filter(rows: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
     return rows
 
 
+def run_items(index: DataFrame) -> DataFrame:
+    """What a catalog shows of a run."""
+    return index.where("artifact_type = 'run'").select("artifact_id", "run_id", "dataset_name", "evaluation_type", "verification_status", "data_kind", "claim_scope", "metrics")
+
+
+def comparison_items(comparisons: DataFrame) -> DataFrame:
+    """What a catalog shows of a comparison: its claims, result (PASS, REGRESSION, or null where neither) and regression_count. ``comparisons``: passed, and statuses
+    (an array) of its metrics."""
+    n = F.size(F.filter("statuses", lambda s: s == "REGRESSION"))
+    result = F.when(F.col("passed"), "PASS").when(n > 0, "REGRESSION")
+    return comparisons.select("artifact_id", "baseline_id", "candidate_id", "verification_status", "data_kind", "claim_scope", "population_compatibility", result.alias("result"), n.alias("regression_count"))
+
+
 def sorted_failures(rows: DataFrame) -> DataFrame:
     """Failures by record, category and class, a missing class first."""
     return rows.orderBy("record_ref", "category", F.coalesce("failure_class", F.lit("")))

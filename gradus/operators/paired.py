@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def correctness(labels: DataFrame, predictions: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -41,20 +44,40 @@ def discordant(paired: DataFrame) -> DataFrame:
     return n.withColumn("statistic", F.when(total == 0, 0.0).otherwise(F.pow(F.abs(F.col("b") - F.col("c")) - 1, F.lit(2)) / total))
 
 
-def mcnemar(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """``counts`` (b, c, statistic) with the exact two-sided p.
-
-    Twice the binomial tail up to the smaller count, at most 1, as a sum of exponentials of log factorials, so no
-    count overflows. The log factorials are running sums over as many integers as there are discordant pairs."""
-    steps = counts.select(F.explode(F.sequence(F.lit(0), F.col("b") + F.col("c"))).alias("i"))
-    logs = steps.select("i", F.sum(F.when(F.col("i") > 0, F.log(F.col("i").cast("double"))).otherwise(0.0)).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("lf"))
-    one = counts.withColumns({"n": F.col("b") + F.col("c"), "low": F.least("b", "c")})
-    lf = logs.alias("lf")
-    up = one.join(logs.select(F.col("i").alias("n"), F.col("lf").alias("lf_n")), "n")
-    down = logs.select((F.lit(0) + F.col("i")).alias("j"), F.col("lf").alias("lf_j"))
-    terms = up.join(lf, F.col("lf.i") <= F.col("low")).join(down, F.col("n") - F.col("lf.i") == F.col("j"))
-    p = F.least(F.lit(1.0), F.sum(F.exp(F.col("lf_n") - F.col("lf.lf") - F.col("lf_j") + F.log(F.lit(2.0)) - F.col("n") * F.log(F.lit(2.0)))))
-    return terms.groupBy("b", "c", "statistic").agg(p.alias("p_value")).withColumn("p_value", F.when(F.col("b") + F.col("c") == 0, 1.0).otherwise(F.col("p_value")))
+def exact_p(b: int, c: int) -> float:
+    """Twice the binomial tail up to the smaller count, at most 1.
+
+    The tail's terms fall from the largest, so they are added from there until they no longer count: some square root of the discordant pairs, and no
+    factorial overflows."""
+    n, low = b + c, min(b, c)
+    if n == 0:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2))
+    total, i = 0.0, low
+    while term > total * 1e-18 and i >= 0:
+        total += term
+        term *= i / (n - i + 1)
+        i -= 1
+    return min(1.0, 2 * total)
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([exact_p(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")
+
+
+def mcnemar(counts: DataFrame) -> DataFrame:
+    """``counts`` (b, c, statistic) with the exact two-sided p."""
+    return counts.withColumn("p_value", _exact_p("b", "c"))
+
+
+def pairing_violations(first: DataFrame, second: DataFrame, *, subset: bool = False) -> DataFrame:
+    """(example_id, code) of two artifacts (example_id, human) that can't be paired: ids of one side only, and other human labels. With ``subset`` the second
+    may have more ids than the first, as a baseline that a pilot is compared with."""
+    both = first.select("example_id", F.col("human").alias("a")).join(second.select("example_id", F.col("human").alias("b")), "example_id", "full_outer")
+    extra = F.when(F.col("a").isNull() & F.lit(not subset), "ONLY_IN_SECOND")
+    code = F.when(F.col("b").isNull(), "ONLY_IN_FIRST").when(F.col("a").isNotNull() & (F.col("a") != F.col("b")), "HUMAN_LABEL_MISMATCH").otherwise(extra)
+    return both.select("example_id", code.alias("code")).where("code is not null")
 
 
 def agreement_three(correct: DataFrame, a: str, b: str, c: str) -> DataFrame:

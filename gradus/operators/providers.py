@@ -25,6 +25,23 @@ NO_CHAT = ("embedding", "rerank", "vision", "image", "audio", "tts")
 PREFERRED = ("deepseek-v4-flash", "deepseek-v4-pro", "qwen3.6-flash", "qwen3.5-9b", "mistral-medium-3.1", "llama-4-scout", "llama-4-maverick")
 
 
+# What a trace may show of a request: no content, no reasoning.
+TRACE_FIELDS = (
+    "provider", "requested_model", "gateway", "catalog_model_name", "returned_model", "model_version", "response_id", "observed_at", "returned_provider", "backend_revision", "api_success", "http_status",
+    "response_object_type", "finish_reason", "assistant_content_present", "assistant_content_length", "reasoning_present", "reasoning_length", "tool_calls_present", "usage_metadata_present", "usage", "quota",
+    "request_id", "latency_ms", "retry_after_seconds", "rate_limit_dimension", "structured_requested", "requested_output_mode", "actual_output_mode", "provider_schema_enforced", "local_schema_validated",
+    "error_class", "safe_error_summary",
+)
+PROGRESS_FIELDS = (
+    "api_success", "parse_success", "structured_output_status", "requested_model", "model_version", "response_id", "observed_at", "usage", "latency_ms", "error_class", "rate_limit_dimension", "retry_after_seconds",
+)
+
+
+def safe_projection(rows: DataFrame, key: list[str], allowed: tuple[str, ...] = TRACE_FIELDS) -> DataFrame:
+    """The key and those columns that may be shown, in their fixed order; all others are dropped."""
+    return rows.select(*key, *[c for c in allowed if c in rows.columns and c not in key])
+
+
 def latency(rows: DataFrame, by: str | None = None, column: str = "latency_ms") -> DataFrame:
     """count, mean, p50 and p95 by nearest rank; zeros for no rows."""
     at = lambda p: F.expr(f"percentile_disc({p}) within group (order by `{column}`)")
@@ -161,6 +178,20 @@ def resume(manifest: DataFrame, attempts: DataFrame) -> DataFrame:
     return manifest.join(per, "example_id", "left").select("position", "example_id", state.alias("state"), (state != "SUCCESSFUL").alias("pending"))
 
 
+def retry_plan(attempts: DataFrame, by: list[str], order: list[str], most: int = 2) -> DataFrame:
+    """Each attempt with ``retries`` (how many followed a failure that may be tried again, up to here) and delay_seconds before the next one; null where there is none: after
+    success, after a failure of another kind, and when ``most`` retries are used up."""
+    may = F.coalesce(F.col("error_class").isin(*RETRYABLE), F.lit(False))
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = attempts.withColumn("retries", F.coalesce(F.sum(may.cast("int")).over(before), F.lit(0)))
+    return rows.withColumn("delay_seconds", F.when(may & (F.col("retries") < most), F.least(F.lit(2.0), 0.1 * F.pow(F.lit(2.0), F.col("retries").cast("double")))))
+
+
+def within_budget(pending: DataFrame, budget: int, used: int = 0) -> DataFrame:
+    """Pending examples (position, pending) that the rest of a budget of requests covers, in the manifest's order."""
+    return pending.where("pending").orderBy("position").limit(max(0, budget - used))
+
+
 def streaks(attempts: DataFrame, by: str, order: list[str], limit: int = 3) -> DataFrame:
     """Each attempt with the gap to the one before, the length of the run of rate limits that it ends, and whether the breaker is open: after ``limit`` in a row, or at
     once if ``rate_limit_dimension`` is there and says that a day's requests are used up."""

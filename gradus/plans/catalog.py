@@ -312,7 +312,7 @@ lf as (select i, coalesce(sum(ln(i)) filter (i > 0) over (order by i), 0) as lf
 p as (select least(1, sum(exp((select lf from lf where i = b + c) - x.lf - y.lf + ln(2) - (b + c) * ln(2)))) as p from n, lf x, lf y where x.i <= least(b, c) and y.i = b + c - x.i)
 select b, c, round(case when b + c = 0 then 0 else pow(abs(b - c) - 1, 2) / (b + c) end, 9) as statistic, round(case when b + c = 0 then 1 else p end, 9) as p_value from n, p""")
 def mcnemar_exact(spark, d):
-    return _round(paired.mcnemar(spark, paired.discordant(paired_categories(spark, d))))
+    return _round(paired.mcnemar(paired.discordant(paired_categories(spark, d))))
 
 
 _AGREE = """select example_id, unnest(list_filter([case when n = 3 then 'ALL_CORRECT' end, case when n = 0 then 'ALL_WRONG' end, case when n = 1 and a then 'A_ONLY' end, case when n = 1 and b then 'B_ONLY' end, case when n = 1 and c then 'C_ONLY' end,
@@ -637,6 +637,12 @@ def operational_summary(spark, d):
     return _round(providers.operational(v.attempts(spark, d).withColumn("usage", use), "provider")).withColumns({"latency_mean_ms": F.round("latency_mean_ms", 6), "tokens_per_second": F.round("tokens_per_second", 3)})
 
 
+@query(f"""with {v.ATTEMPTS}, r as (select event_id, http_status in (429, 503) as may, coalesce(sum((http_status in (429, 503))::int) over (partition by provider, example_id order by attempt rows between unbounded preceding and 1 preceding), 0)::bigint as retries from attempts)
+select event_id, retries, case when may and retries < 2 then least(2.0::double, 0.1::double * pow(2, retries)) end as delay_seconds from r""")
+def retry_plan(spark, d):
+    return _round(providers.retry_plan(_failed(spark, d), ["provider", "example_id"], ["attempt"]).select("event_id", "retries", "delay_seconds"))
+
+
 @query(f"with {v.ATTEMPTS} select provider, sum(k)::double as input_tokens, sum(case when k % 2 = 0 then k * 2 else 0 end)::double as output_tokens, sum(k * 3)::double as total_tokens from attempts group by provider")
 def usage_totals(spark, d):
     k = F.col("k").cast("double")
@@ -747,6 +753,13 @@ def job_recovery(spark, d):
     return jobs.recovery(v.job_log(spark, d))
 
 
+@query(f"""with {v.EXAMPLES}, a as (select example_id, human from examples where example_id % 6 <> 0), b as (select example_id, case when example_id % 7 = 0 then 'GROUNDED' else human end as human from examples where example_id % 5 <> 0)
+select example_id, case when b.human is null then 'ONLY_IN_FIRST' when a.human is null then 'ONLY_IN_SECOND' else 'HUMAN_LABEL_MISMATCH' end as code from a full join b using (example_id) where a.human is distinct from b.human""")
+def pairing_violations(spark, d):
+    rows = v.examples(spark, d).select("example_id", "human")
+    return paired.pairing_violations(rows.where("example_id % 6 <> 0"), rows.where("example_id % 5 <> 0").withColumn("human", F.when(F.col("example_id") % 7 == 0, "GROUNDED").otherwise(F.col("human"))))
+
+
 # ---- evidence --------------------------------------------------------------------------------------------------
 
 

@@ -218,6 +218,19 @@ def test_http_outcomes(spark):
     assert [(r.streak, r.open) for r in providers.streaks(log, "who", ["i"]).orderBy("i").collect()] == [(1, False), (2, False), (0, False), (1, False), (2, True), (3, True)]
 
 
+def test_retries_budgets_and_projections(spark):
+    log = spark.createDataFrame([("e", i, c) for i, c in enumerate(["API_TIMEOUT", "LOCAL_TIMEOUT", "API_RATE_LIMIT"])] + [("f", 0, "API_AUTH_ERROR"), ("g", 0, None)], "example_id string, attempt int, error_class string")
+    got = {(r.example_id, r.attempt): r.delay_seconds for r in providers.retry_plan(log, ["example_id"], ["attempt"]).collect()}
+    assert got == {("e", 0): 0.1, ("e", 1): 0.2, ("e", 2): None, ("f", 0): None, ("g", 0): None}
+    pending = spark.createDataFrame([(i, i % 2 == 0) for i in range(10)], "position int, pending boolean")
+    assert [r.position for r in providers.within_budget(pending, 5, 2).collect()] == [0, 2, 4] and providers.within_budget(pending, 2, 5).count() == 0
+    rows = spark.createDataFrame([("e", "secret text", 3.0, "API_ERROR")], "example_id string, content string, latency_ms double, error_class string")
+    assert providers.safe_projection(rows, ["example_id"]).columns == ["example_id", "latency_ms", "error_class"]
+    items = spark.createDataFrame([("c", "a", "b", True, ["PASS"]), ("d", "a", "b", False, ["REGRESSION", "MISSING", "REGRESSION"]), ("e", "a", "b", False, ["MISSING"])], "artifact_id string, baseline_id string, candidate_id string, passed boolean, statuses array<string>")
+    items = items.withColumns({c: F.lit("x") for c in ("verification_status", "data_kind", "claim_scope", "population_compatibility")})
+    assert [(r.result, r.regression_count) for r in evidence.comparison_items(items).orderBy("artifact_id").collect()] == [("PASS", 0), ("REGRESSION", 2), (None, 0)]
+
+
 def test_readiness_and_diversity(spark):
     ddl = "provider string, api_success_count long, parse_success_count long, provider_family string"
     ready = lambda *rows: tuple(validate.readiness(spark.createDataFrame(rows, ddl)).first())
