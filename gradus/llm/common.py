@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once. Texts are long, so the usual 10,000 would be tens of megabytes on both sides.
 BATCH_ROWS = 500
+#: With this seed, XXH64 of a string's bytes is what Spark's xxhash64 gives.
+SPARK_SEED = 42
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -28,12 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a fresh one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder if the executors are in the driver's own
+    process; anywhere else that folder would be another one on each machine, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="gradus-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if spark.sparkContext.applicationId not in _own:
+        _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="gradus-shared-")
+    return _own[spark.sparkContext.applicationId]
+
+
+_own: dict[str, str] = {}
 
 
 _cleaned: set[str] = set()
@@ -49,7 +59,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_drop, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.stash_path = path
+    return written
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Delete stashes that nothing reads any more: all that was made of them has been written, so a lost executor needs them no more."""
+    for written in stashes:
+        _drop(written.sparkSession, written.stash_path)
 
 
 def _drop(spark: SparkSession, root: str) -> None:
@@ -60,15 +78,23 @@ def _drop(spark: SparkSession, root: str) -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int):
-    """A broadcast bit set of fixed size in which each value of a long column has its bit: a first sieve, whose hits an exact join has to check.
+def bit_filter(keys: DataFrame, column: str, bits: int, *, hashed: bool = False):
+    """A broadcast bit set of fixed size in which each value of a column has its bit: a first sieve, whose hits an exact join has to check.
 
-    However many the keys, ``bits / 8`` bytes are gathered; more keys only let more through."""
-    at = keys.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at"))
+    However many the keys, ``bits / 8`` bytes are gathered; more keys only let more through. ``hashed``: the column holds hashes already."""
+    at = keys.select(F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(bits)).alias("at"))
     words = at.selectExpr("cast(at div 64 as int) as i", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
     mask = np.zeros(bits // 64, np.int64)
     mask[words.column("i").to_numpy()] = words.column("bits").to_numpy()
@@ -84,3 +110,16 @@ def maybe_in(mask, column: str, bits: int):
         return pd.Series((mask.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
 
     return hit(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
+def bit_mask(keys: DataFrame, column: str, *, hashed: bool = False):
+    """``bit_filter`` sized by its keys, and its bits: sixteen for each key, between 2^20 and 2^27 (16 MB) in all. Beyond that more passes, and the exact join has more to drop."""
+    n = keys.select(F.approx_count_distinct(column)).first()[0]
+    bits = 1 << min(27, max(20, (16 * int(n)).bit_length()))
+    return bit_filter(keys, column, bits, hashed=hashed), bits
+
+
+def sieve(keys: DataFrame, column: str):
+    """Condition: whether a row's ``column`` may be among those of ``keys``."""
+    mask, bits = bit_mask(keys, column)
+    return maybe_in(mask, column, bits)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradus.llm.common import small_batches
+from gradus.llm.common import free_name, small_batches
 
 #: Rejected is a text with a greater share of its words' characters inside n-grams found twice or more (by n), or inside repeated lines.
 NGRAM_SHARE = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -120,10 +120,11 @@ def score(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with the measures of FIELDS, base_failed and kept (clashing columns are replaced).
 
     ``base_failed``: under 10 words, or over 20 % of the words in repeated 5-grams. ``kept``: not failed, and every
-    share of characters within its limit. Null and empty texts have no words and fail. Repeated rows are judged alike."""
+    share of characters within its limit. Null and empty texts have no words and fail. Repeated rows are judged alike, an empty table stays empty."""
     small_batches(docs.sparkSession)
-    found = docs.withColumn("__measures", _measures(F.col(text)))
-    found = found.withColumns({n: F.col(f"__measures.{n}") for n in FIELDS}).drop("__measures")
+    own = free_name(docs, "measures")
+    found = docs.withColumn(own, _measures(F.col(text)))
+    found = found.withColumns({n: F.col(f"{own}.{n}") for n in FIELDS}).drop(own)
     found = found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     fine = F.col("dup_line_chars") <= LINE_SHARE * F.col("word_chars")
     for n, share in NGRAM_SHARE.items():

@@ -1,61 +1,144 @@
-"""Repeated passages: removal of each byte that a string of LENGTH bytes covers which also starts anywhere else.
+"""Repeated passages: removal of each byte that a string of LENGTH bytes covers which also starts anywhere else, and of passages of so many equal words.
 
 The method first thought of, external induced suffix sorting, takes every suffix through disk-backed priority queues; the README has
 its measured rate in Python, some fifteen times over the limits. Here a sparse sample of positions stands for the suffixes,
-chosen so that equal strings are always met:
+chosen so that equal strings are always met. Symbols are bytes or words:
 
-1. In each window of LENGTH bytes, the SAMPLE-gram of the smallest hash (leftmost at ties) is its anchor. Equal
-   windows have equal anchors at equal offsets. Windows in a row share anchors: one for every hundred bytes or so.
-2. An anchor's row has the hash of the anchor and of its context, the bytes that all windows of this anchor cover. Counts
+1. In each window of so many symbols, the sample-gram of the smallest hash (leftmost at ties) is its anchor. Equal
+   windows have equal anchors at equal offsets. Windows in a row share anchors: one for each few hundred bytes.
+2. An anchor's row has the hash of the anchor and of its context, the symbols that all windows of this anchor cover. Counts
    by both are summed before they move, so copies in any number are one row for each task. A context found twice or more:
    all its windows are repeated.
-3. An anchor found in different contexts, as at the ends of a shared passage: the contexts' bytes meet by anchor and their
+3. An anchor found in different contexts, as at the ends of a shared passage: the contexts' symbols meet by anchor and their
    windows are compared one by one. An anchor in very many contexts is not gathered; its windows are counted as rows.
-4. The repeated windows of a document are merged, and their bytes go.
+4. The repeated windows of a document are merged, and what they cover goes.
 
 Windows count as equal if 64-bit hashes of the anchor and of the context (or the window) are. All counts cover all documents.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import bit_filter, maybe_in, partitions, stash
+from gradus.llm.common import discard, partitions, sieve, stash
 
-LENGTH, SAMPLE = 400, 200
-#: Bytes of a text worked on at once (windows of the next part begin where those of the last end), and bits of the sieves.
-PART, BITS = 1 << 22, 1 << 24
+#: Bytes of a repeated string, and words of a repeated passage.
+LENGTH, WORDS = 400, 50
+#: Symbols of a text worked on at once (windows of the next part begin where those of the last end).
+PART = 1 << 20
 #: Contexts of one anchor that are compared in one task; of an anchor with more, windows are counted as rows.
-TOGETHER = 20_000
+TOGETHER = 4_000
 
 _random = np.random.default_rng(9)
-_TABLE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+_TABLES = _random.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _POSITION = np.uint64((1 << 24) - 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = b" \t\n\x0b\x0c\r"
+_INSIDE = np.array([i not in _SPACES for i in range(256)], np.int8)
 
 
-def _powers(base: int, n: int) -> np.uint64:
-    return np.uint64(pow(base, n, 1 << 64))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hashes(first: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Hashes of all runs of n, of those of half the length."""
-    if n == 1:
-        return first
-    half = _hashes(first, n // 2, base)
-    out = half[: len(half) - n // 2] * _powers(base, n // 2)
-    out += half[n // 2 :]
-    return out if n % 2 == 0 else out[: len(out) - 1] * np.uint64(base) + first[n - 1 :]
+@functools.cache
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+class _Runs:
+    """Hashes of runs of symbols by prefix sums: the sum of value times power, divided by the power of the run's place, so equal runs are equal wherever they lie."""
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        size = 1 << max(12, n.bit_length())
+        self.down = _powers(size, pow(int(_BASE), -1, 1 << 64))
+        up = _powers(size, int(_BASE))[:n]
+        values = (t[symbols] for t in _TABLES) if symbols.dtype == np.uint8 else (_mix(symbols + t[0]) for t in _TABLES)
+        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(v * up))) for v in values]
+
+    def all(self, n: int) -> np.ndarray:
+        """Of each run of n symbols, by the first table only."""
+        sums = self.sums[0]
+        return (sums[n:] - sums[: len(sums) - n]) * self.down[: len(sums) - n]
+
+    def at(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((s[end] - s[first]) * self.down[first] for s in self.sums)
+        return _mix(a) + b * _BASE
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a text is cut into. ``length``: symbols of a window, ``sample``: of the gram that is its anchor."""
+
+    words: bool
+    length: int
+    sample: int
+
+    def symbols(self, data: bytes) -> np.ndarray:
+        """Bytes, or hashes of words."""
+        if not self.words:
+            return np.frombuffer(data, np.uint8)
+        out = []
+        for at in range(0, len(data), PART):  # about PART bytes at once, cut at white space
+            lo, hi = (_space_before(data, x) for x in (at, min(at + PART, len(data))))
+            raw = np.frombuffer(data, np.uint8)[lo:hi]
+            first, end = _places(raw)
+            out.append(_Runs(raw).at(first, end))
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of several texts in a row, and where each text's begin and end among them."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        if not self.words:
+            return raw, begin, begin + sizes
+        first, end = _places(raw)
+        return _Runs(raw).at(first, end), np.searchsorted(first, begin), np.searchsorted(first, begin + sizes)
+
+    def spans(self, data: bytes, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+        """Maximal runs of bytes that repeated windows cover; ``first`` and ``last`` windows of runs, in any order."""
+        order = np.argsort(first, kind="stable")
+        first, end = first[order], np.maximum.accumulate(last[order] + self.length) if len(order) else last
+        new = np.concatenate(([True], first[1:] > end[:-1])) if len(order) else np.zeros(0, bool)
+        first, end = first[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(new) - 1]))] if len(order) else end
+        if self.words and len(first):
+            starts, ends = _places(np.frombuffer(data, np.uint8))
+            first, end = starts[first], ends[end - 1]
+        return list(zip(first.tolist(), end.tolist()))
+
+
+def _space_before(data: bytes, at: int) -> int:
+    """The end of the data, or the last place up to ``at`` that begins the data or follows white space."""
+    if at >= len(data):
+        return len(data)
+    while at > 0 and data[at - 1] not in _SPACES:
+        at -= 1
+    return at
+
+
+def _places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
+    edge = np.diff(_INSIDE[raw], prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def byte_strings(length: int = LENGTH, sample: int | None = None) -> Unit:
+    return Unit(False, length, sample or max(1, length // 6))
+
+
+def word_passages(words: int = WORDS, sample: int | None = None) -> Unit:
+    return Unit(True, words, sample or max(1, words // 8))
 
 
 def _minima(x: np.ndarray, n: int) -> np.ndarray:
@@ -67,53 +150,65 @@ def _minima(x: np.ndarray, n: int) -> np.ndarray:
     return out if width == n else np.minimum(out[: len(x) - n + 1], out[n - width : n - width + len(x) - n + 1])
 
 
-_BASE, _BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-def anchors(data: np.ndarray, length: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, last window) of each anchor of one part of a text."""
-    grams = _mix(_hashes(_TABLE[data], sample, _BASE))
+def anchors(symbols: np.ndarray, length: int, sample: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, context, place, first window, last window) of each anchor of texts that lie between ``begin`` and ``end``."""
+    whole = np.flatnonzero(end - begin >= length)
+    if not len(whole):
+        return (np.empty(0, np.int64),) * 5
+    runs = _Runs(symbols)
+    grams = _mix(runs.all(sample))
     low = _minima((grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64), length - sample + 1)
-    at = (low & _POSITION).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    return grams[at[first]].view(np.int64), at[first], first, last
-
-
-def _parts(text: str, length: int) -> Iterator[tuple[int, bytes]]:
-    data = text.encode()
-    for at in range(0, len(data) - length + 1, PART):
-        yield at, data[at : at + PART + length - 1]
+    step = np.zeros(len(symbols) + 1, np.int8)  # a text's windows begin between its begin and its end less a window
+    step[begin[whole]] = 1
+    step[end[whole] - length + 1] -= 1
+    window = np.flatnonzero(np.cumsum(step[: len(low)]))
+    at = (low[window] & _POSITION).astype(np.int64)
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    first = window[new]
+    last = window[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]
+    place = at[new]
+    context = _mix(runs.at(first, last + length) + (place - first).astype(np.uint64) * _BASE)
+    return grams[place].view(np.int64), context.view(np.int64), place, first, last
+
+
+def _together(texts: list[bytes]) -> Iterator[list[int]]:
+    """Texts of about PART bytes in all; a longer one alone."""
+    some, held = [], 0
+    for i, t in enumerate(texts):
+        if some and held + len(t) > PART:
+            yield some
+            some, held = [], 0
+        some.append(i)
+        held += len(t)
+    if some:
+        yield some
 
 
 _ANCHOR_DDL = "doc_id long, text_hash long, anchor long, context long, first long, last long, place long"
 
 
-def _context(data: bytes, place: int, first: int, last: int, length: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data[first : last + length], digest_size=8, salt=(place - first).to_bytes(4, "little")).digest(), "little", signed=True)
+def _anchor_rows(unit: Unit):
+    names = [f.split()[0] for f in _ANCHOR_DDL.split(", ")]
 
+    def rows(doc, text_hash, key, context, place, first, last) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, text_hash, key, context, first, last, place)], names=names)
 
-def _anchor_rows(length: int, sample: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hashes, keys, contexts, firsts, lasts, places = [], [], [], [], [], [], []
-
-            def rows() -> pa.RecordBatch:
-                flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, hashes, keys, firsts, lasts, places)]
-                out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*flat[:3], contexts, *flat[3:])], names=["doc_id", "text_hash", "anchor", "context", "first", "last", "place"])
-                for x in (docs, hashes, keys, contexts, firsts, lasts, places):
-                    x.clear()
-                return out
-
-            for doc, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for at, data in _parts(text or "", length):
-                    key, place, first, last = anchors(np.frombuffer(data, np.uint8), length, sample)
-                    contexts += [_context(data, *x, length) for x in zip(place.tolist(), first.tolist(), last.tolist())]
-                    for column, value in zip((docs, hashes, keys, firsts, lasts, places), (np.full(len(key), doc), np.full(len(key), text_hash), key, first + at, last + at, place + at)):
-                        column.append(value)
-                if len(contexts) > 100_000:
-                    yield rows()
-            yield rows()
+            doc, text_hash = (batch.column(i).to_numpy() for i in (0, 1))
+            texts = [t if isinstance(t, bytes) else t.encode() for t in batch.column(2).to_pylist()]
+            for some in _together(texts):
+                if len(some) == 1 and len(texts[some[0]]) > PART:
+                    symbols = unit.symbols(texts[some[0]])
+                    for at in range(0, len(symbols) - unit.length + 1, PART):
+                        part = symbols[at : at + PART + unit.length - 1]
+                        key, context, *where = anchors(part, unit.length, unit.sample, np.array([0]), np.array([len(part)]))
+                        yield rows(np.full(len(key), doc[some[0]]), np.full(len(key), text_hash[some[0]]), key, context, *(x + at for x in where))
+                    continue
+                symbols, begin, end = unit.many([texts[i] for i in some])
+                key, context, *where = anchors(symbols, unit.length, unit.sample, begin, end)
+                of = np.searchsorted(begin, where[0], side="right") - 1 if len(key) else np.empty(0, np.int64)
+                yield rows(doc[some][of], text_hash[some][of], key, context, *(x - begin[of] for x in where))
 
     return run
 
@@ -121,54 +216,62 @@ def _anchor_rows(length: int, sample: int):
 _PIECE_DDL = "anchor long, doc_id long, text_hash long, first long, place long, piece binary"
 
 
-def _pieces(length: int):
-    """For each wanted anchor of a text, a row with the bytes of its context."""
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Of a list of structs: where each row's items begin (and the end), and fields of all items."""
+    flat = column.flatten()
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(sizes))), *(flat.field(n).to_numpy() for n in names)
+
+
+def _pieces(unit: Unit):
+    """For each wanted anchor of a text, a row with the symbols of its context."""
+    width = 8 if unit.words else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            held = 0
-
-            def rows() -> pa.RecordBatch:
-                nonlocal out, held
-                got = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], names=["anchor", "doc_id", "text_hash", "first", "place", "piece"])
-                out, held = [[] for _ in range(6)], 0
-                return got
-
-            for doc, text_hash, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = text.encode()
-                for w in wanted:
-                    piece = data[w["first"] : w["last"] + length]
-                    held += len(piece)
-                    for column, value in zip(out, (w["anchor"], doc, text_hash, w["first"], w["place"], piece)):
-                        column.append(value)
-                if held > 8_000_000:
-                    yield rows()
-            yield rows()
+        for whole in batches:
+            for at in range(0, len(whole), 100):
+                batch = whole.slice(at, 100)
+                bounds, first, last, anchor, place = _listed(batch.column(3), "first", "last", "anchor", "place")
+                lo, hi, pieces = (first * width).tolist(), ((last + unit.length) * width).tolist(), []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    data = unit.symbols(text.encode()).tobytes()
+                    pieces += [data[a:b] for a, b in zip(lo[bounds[i] : bounds[i + 1]], hi[bounds[i] : bounds[i + 1]])]
+                doc, text_hash = (np.repeat(batch.column(i).to_numpy(), np.diff(bounds)) for i in (0, 1))
+                columns = [*(pa.array(x, pa.int64()) for x in (anchor, doc, text_hash, first, place)), pa.array(pieces, pa.binary())]
+                rows = pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "text_hash", "first", "place", "piece"])
+                for k in range(0, len(rows), 5000):
+                    yield rows.slice(k, 5000)
 
     return run
 
 
-def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, hash of anchor and offset, hash of window) of every window of the pieces."""
-    pieces = rows.column("piece").to_pylist()
+def _windows(rows: pa.Table, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first symbol, hash of anchor and offset, hash of window) of every window of the pieces."""
+    pieces = [np.frombuffer(p, np.uint64 if unit.words else np.uint8) for p in rows.column("piece").to_pylist()]
     sizes = np.array([len(p) for p in pieces], np.int64)
-    n = sizes - length + 1
+    n = sizes - unit.length + 1
     row = np.repeat(np.arange(len(pieces)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    window = _mix(_hashes(_TABLE[::-1][data], length, _BASE_2))[(np.cumsum(sizes) - sizes)[row] + inside]
+    window, held, some = [], 0, 0
+    for i, size in enumerate(sizes.tolist()):  # about PART symbols at once
+        held += size
+        if held >= PART or i == len(sizes) - 1:
+            own = sizes[some : i + 1]
+            begin = np.concatenate([np.arange(k - unit.length + 1) + e for k, e in zip(own.tolist(), (np.cumsum(own) - own).tolist())])
+            window.append(_mix(_Runs(np.concatenate(pieces[some : i + 1])).at(begin, begin + unit.length)))
+            some, held = i + 1, 0
+    window = np.concatenate(window) if window else np.empty(0, np.uint64)
     anchor, first, place = (rows.column(c).to_numpy() for c in ("anchor", "first", "place"))
     start = first[row] + inside
-    spot = _mix(anchor[row].view(np.uint64) + (place[row] - start).astype(np.uint64) * np.uint64(_BASE))
+    spot = _mix(anchor[row].view(np.uint64) + (place[row] - start).astype(np.uint64) * _BASE)
     return row, start, spot.view(np.int64), window.view(np.int64)
 
 
-def _match(length: int):
+def _match(unit: Unit):
     """Of pieces in order of their anchors: the runs of windows that another piece of the anchor has at the same offset."""
 
     def found(rows: pa.Table) -> pa.RecordBatch:
-        row, start, spot, window = _windows(rows, length)
+        row, start, spot, window = _windows(rows, unit)
         order = np.lexsort((window, spot))
         same = (spot[order][1:] == spot[order][:-1]) & (window[order][1:] == window[order][:-1])
         again = np.zeros(len(row), bool)
@@ -189,8 +292,8 @@ def _match(length: int):
             rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
             anchor = rows.column("anchor").to_numpy()
             cut = int(np.searchsorted(-(anchor != anchor[-1]).astype(np.int8), 0))  # where the last anchor's rows begin
-            for at in range(0, cut, cut or 1):
-                yield found(rows.slice(at, cut))
+            if cut:
+                yield found(rows.slice(0, cut))
             held = rows.slice(cut)
         if held is not None:
             yield found(held)
@@ -198,73 +301,119 @@ def _match(length: int):
     return run
 
 
-def _window_rows(length: int):
+def _window_rows(unit: Unit):
     """(doc_id, text_hash, start, place, window): pieces as rows for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                rows = pa.Table.from_batches([batch.slice(at, 2000)])
-                row, start, spot, window = _windows(rows, length)
+            for at in range(0, len(batch), 500):
+                rows = pa.Table.from_batches([batch.slice(at, 500)])
+                row, start, spot, window = _windows(rows, unit)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows.column("doc_id").to_numpy()[row], rows.column("text_hash").to_numpy()[row], start, spot, window)], names=["doc_id", "text_hash", "start", "place", "window"])
 
     return run
 
 
-def _cut(length: int):
+def _marks(docs: DataFrame, unit: Unit, name: str) -> DataFrame:
+    """(doc_id, text_hash, and ``name``: the repeated windows of a text as runs of their first symbols), written. ``docs``: doc_id, text_hash, text."""
+    docs = docs.select("doc_id", "text_hash", "text").where(F.octet_length("text") >= (2 * unit.length - 1 if unit.words else unit.length))
+    anchored = stash(docs.mapInArrow(_anchor_rows(unit), _ANCHOR_DDL), "repeats-anchors")
+    counts = stash(anchored.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("one")), "repeats-contexts")
+    # written, so that the join below can deal out the contexts of a frequent anchor
+    shared = stash(counts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1").drop("n"), "repeats-shared")
+    found = stash(counts.withColumnRenamed("n", "same").join(shared, "anchor").select("anchor", "context", "same", "one", "contexts"), "repeats-found")
+    discard(counts)
+    rows = stash(anchored.where(sieve(shared, "anchor")).join(found, ["anchor", "context"]), "repeats-rows")
+    discard(anchored, found)
+    whole = rows.where("same > 1").select("doc_id", "text_hash", "first", "last")
+    # one text for each context is enough: where there are more, all windows are repeated anyway
+    some = rows.where("contexts > 1 and doc_id = one")
+    wanted = some.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "anchor", "place")).alias("wanted"))
+    texts = docs.where(sieve(some, "doc_id")).join(wanted, ["doc_id", "text_hash"])
+    pieces = stash(texts.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_pieces(unit), _PIECE_DDL).join(shared, "anchor"), "repeats-pieces")
+    kind = "doc_id long, text_hash long, first long, last long"
+    few = pieces.where(F.col("contexts") <= TOGETHER).drop("contexts").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(_match(unit), kind)
+    windows = pieces.where(F.col("contexts") > TOGETHER).drop("contexts").mapInArrow(_window_rows(unit), "doc_id long, text_hash long, start long, place long, window long")
+    again = windows.groupBy("place", "window").agg(F.count("*").alias("n")).where("n > 1").select("place", "window")
+    many = windows.join(again, ["place", "window"]).select("doc_id", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
+    every = whole.unionByName(few).unionByName(many)
+    marks = stash(every.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias(name)), "repeats-marks")
+    discard(shared, rows, pieces)
+    return marks
+
+
+def _keyed(docs: DataFrame, text: str, id_col: str, own: list[str]) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+
+def _cut(strings: Unit | None, passages: Unit | None):
+    """(row, n_removed, n_spans, kept, passages): texts without their repeated strings, and without their repeated passages, as far as they are asked for."""
+    kinds = dict(zip(("n_removed", "n_spans", "kept", "passages"), (pa.int64(), pa.int64(), pa.binary(), pa.string())))
+
+    def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+        kept, at = [], 0
+        for first, end in spans:
+            kept.append(data[at:first])
+            at = end
+        return b"".join([*kept, data[at:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for row, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: list[list] = [[] for _ in kinds]
+            (f, f_first, f_last), (s, s_first, s_last) = (_listed(batch.column(i), "first", "last") for i in (2, 3))
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 data = (text or "").encode()
-                kept, at, spans = [], 0, 0
-                for first, end in sorted((w["first"], w["last"] + length) for w in found or ()):
-                    if not spans or first > at:
-                        kept.append(data[at:first])
-                        spans += 1
-                    at = max(at, end)
-                left = b"".join([*kept, data[at:]])
-                for column, value in zip(out, (row, len(data) - len(left), spans, left)):
+                spans = strings.spans(data, f_first[f[i] : f[i + 1]], f_last[f[i] : f[i + 1]]) if strings else []
+                left = without(data, spans) if strings else None
+                prose = without(data, passages.spans(data, s_first[s[i] : s[i + 1]], s_last[s[i] : s[i + 1]])).decode() if passages else None
+                for column, value in zip(out, (len(data) - len(left) if strings else None, len(spans), left, prose)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out[1:], (pa.int64(), pa.int64(), pa.binary())))], names=["row", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds.values()))], names=["row", *kinds])
 
     return run
 
 
-def repeated(docs: DataFrame, *, length: int = LENGTH, sample: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, first, last): the repeated windows of each text, as runs of their first bytes. ``docs``: doc_id, text_hash, text."""
-    docs = docs.select("doc_id", "text_hash", "text")
-    rows = stash(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, sample or length // 2), _ANCHOR_DDL), "repeats-anchors")
-    counts = stash(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("one")), "repeats-contexts")
-    found = counts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1")
-    found = stash(counts.withColumnRenamed("n", "same").join(found, "anchor").select("anchor", "context", "same", "one", "contexts"), "repeats-found")
-    rows = stash(rows.where(maybe_in(bit_filter(found, "anchor", BITS), "anchor", BITS)).join(found, ["anchor", "context"]), "repeats-rows")
-    whole = rows.where("same > 1").select("doc_id", "text_hash", "first", "last")
-    # one text for each context is enough: where there are more, all windows are repeated anyway
-    some = rows.where("contexts > 1 and doc_id = one")
-    wanted = some.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "anchor", "place")).alias("wanted"))
-    texts = docs.where(maybe_in(bit_filter(some, "doc_id", BITS), "doc_id", BITS)).join(wanted, ["doc_id", "text_hash"])
-    pieces = stash(texts.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_pieces(length), _PIECE_DDL).join(found.groupBy("anchor").agg(F.max("contexts").alias("contexts")), "anchor"), "repeats-pieces")
-    kind = "doc_id long, text_hash long, first long, last long"
-    few = pieces.where(F.col("contexts") <= TOGETHER).drop("contexts").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(_match(length), kind)
-    windows = pieces.where(F.col("contexts") > TOGETHER).drop("contexts").mapInArrow(_window_rows(length), "doc_id long, text_hash long, start long, place long, window long")
-    again = windows.groupBy("place", "window").agg(F.count("*").alias("n")).where("n > 1").select("place", "window")
-    many = windows.join(again, ["place", "window"]).select("doc_id", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(few).unionByName(many)
-
-
-def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, sample: int | None = None) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept, the remaining bytes (clashing columns are replaced).
-
-    Texts count as UTF-8 bytes, so what is kept may begin or end inside a character. A null text is empty, a text of under ``length``
-    bytes stays whole, and a repeated row is a repeat of all its windows, so both lose them."""
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    marks = stash(repeated(keyed, length=length, sample=sample).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("found")), "repeats-marks")
-    mask = bit_filter(marks, "doc_id", BITS)
-    sieved = keyed.withColumn("hit", maybe_in(mask, "doc_id", BITS))
-    cut = sieved.where("hit").join(marks, ["doc_id", "text_hash"], "left").select("row", "text", "found")
-    kind = docs.select(*[F.col(f"`{c}`") for c in own]).schema.simpleString()
-    cut = cut.mapInArrow(_cut(length), f"row {kind}, n_removed long, n_spans long, kept binary")
-    rest = sieved.where("not hit").select("row", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
-    return cut.unionByName(rest).select("row.*", F.coalesce(F.octet_length(F.col(f"row.`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")
+def _applied(keyed: DataFrame, marks: DataFrame, strings: Unit | None, passages: Unit | None) -> DataFrame:
+    """Rows with marks (found, short) are cut in workers; all others pass without leaving the JVM or moving."""
+    sieved = keyed.withColumn("hit", sieve(marks, "doc_id"))
+    kind = keyed.schema["row"].dataType.simpleString()
+    cut = sieved.where("hit").join(marks, ["doc_id", "text_hash"], "left").select("row", "text", "found", "short")
+    cut = cut.mapInArrow(_cut(strings, passages), f"row {kind}, n_removed long, n_spans long, kept binary, passages string")
+    none, whole = F.lit(0).cast("long"), F.coalesce("text", F.lit(""))
+    kept, prose = F.encode(whole, "UTF-8") if strings else F.lit(None).cast("binary"), whole if passages else F.lit(None).cast("string")
+    return cut.unionByName(sieved.where("not hit").select("row", none.alias("n_removed"), none.alias("n_spans"), kept.alias("kept"), prose.alias("passages")))
+
+
+def _no_marks():
+    return F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
+
+
+def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, sample: int | None = None, words: int = 0) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept, the remaining bytes; with ``words`` also passages, the text without passages of
+    that many words or more that start anywhere else too (clashing columns are replaced).
+
+    Texts count as UTF-8 bytes, so what is kept may begin or end inside a character; passages are whole words between ASCII white space, which may
+    differ. A null text is empty, a text of under ``length`` bytes stays whole, and a repeated row is a repeat of all its windows, so both lose them. An empty
+    table gives an empty one."""
+    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", *(["passages"] if words else []))]
+    keyed = _keyed(docs, text, id_col, own)
+    strings, passages = byte_strings(length, sample), word_passages(words) if words else None
+    marks = _marks(keyed, strings, "found")
+    if passages is None:
+        marks = marks.withColumn("short", _no_marks())
+    else:
+        single = [marks, _marks(keyed, passages, "short")]
+        marks = stash(single[0].join(single[1], ["doc_id", "text_hash"], "full"), "repeats-both")
+        discard(*single)
+    cut = _applied(keyed, marks, strings, passages)
+    extra = [] if passages is None else ["passages"]
+    return cut.select("row.*", F.coalesce(F.octet_length(F.col(f"row.`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept", *extra)
+
+
+def remove_passages(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """``docs`` without passages of ``words`` words or more that start anywhere else too. A null text stays null; rows without ids and repeated rows are treated
+    like all others."""
+    keyed = _keyed(docs, text, id_col, docs.columns)
+    passages = word_passages(words)
+    cut = _applied(keyed, _marks(keyed, passages, "short").withColumn("found", _no_marks()), None, passages)
+    return cut.select(*[(F.when(F.col(f"row.`{c}`").isNotNull(), F.col("passages")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

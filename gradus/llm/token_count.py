@@ -86,7 +86,8 @@ def frequent_chunks(docs: DataFrame, model: str, *, text: str = "text", id_col:
 
 
 def count_tokens(docs: DataFrame, model: str, *, text: str = "text", id_col: str = "doc_id", limit: int = 4096) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens and over_limit (clashing columns are replaced). A null text counts as empty: 0 bytes, 0 tokens."""
+    """``docs`` with n_bytes, n_tokens and over_limit (clashing columns are replaced). A null text counts as empty: 0 bytes, 0 tokens.
+    Repeated rows are counted alike, rows without an id like all others, and an empty table stays empty."""
     frequent = frequent_chunks(docs, model, text=text, id_col=id_col)
     table = docs.sparkSession.sparkContext.broadcast((hash(frozenset(frequent.items())), "\x00".join(frequent), bytes(frequent.values())))
 

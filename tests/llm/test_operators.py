@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.llm import ann, byte_bpe, near_dedup, packing, pii, quality, queries, repeats, token_count, toxicity, url_filter
+from gradus.llm import ann, byte_bpe, common, near_dedup, packing, pii, quality, queries, repeats, token_count, toxicity, url_filter
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SMALL = "/root/testdata/sf0.001"
@@ -229,6 +229,52 @@ def test_near_dedup_star(spark, monkeypatch):
     assert near_dedup.group(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_near_dedup_of_odd_rows(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b = " ".join(words[:60]), " ".join(words[100:160])
+    rows = [(5, a)] * 40 + [(3, a.upper()), (None, a), (None, None), (None, ""), (9, " \n"), (8, None), (8, None), (2, b), (7, b + " more")]
+    docs = spark.createDataFrame(rows, EMPTY).selectExpr("*", "'k' as key", "1 as node", "2 as n", "3 as label", "4 as component_id", "'s' as signature").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.group(docs).collect())
+    assert got == Counter({(5, 56, 3, False): 40, (3, 56, 3, True): 1, (None, 56, 3, True): 1, (None, 0, None, True): 2, (9, 0, 9, True): 1, (8, 0, 8, True): 2, (2, 56, 2, True): 1, (7, 57, 2, False): 1})
+
+
+def test_regions_of_any_size_hold_together():
+    """Many near copies of one text, all alike in their order's values: the parts that a large region is taken in stay one component."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    rows = []
+    for _ in range(3000):
+        own = base.copy()
+        own[rng.integers(0, len(own), 8)] = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+        rows.append(near_dedup.signature(np.unique(own)))
+    low = (np.array(rows) & np.uint32(15)).astype(np.uint8)
+    sketch = [x.tobytes() for x in (low[:, ::2] << 4) | low[:, 1::2]]
+    region = near_dedup._Region(0.8)
+    region.split(np.ones((3000, near_dedup.DEPTH), np.uint32), np.arange(3000), np.full(3000, 200), sketch)
+    first, second = region.pairs()
+    above = list(range(3000))
+
+    def find(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for x, y in zip(first.tolist(), second.tolist()):
+        above[find(x)] = find(y)
+    assert len({find(x) for x in range(3000)}) == 1 and len(first) < 6 * 3000
+
+
+def test_sketches_lose_no_pair_at_the_threshold():
+    """12,000 pairs whose sets share exactly 80 of 100 shingles: none falls below what the sketches let through."""
+    rng = np.random.default_rng(8)
+    lost = 0
+    for _ in range(12_000):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a, b = near_dedup.signature(x[:90]) & np.uint32(15), near_dedup.signature(x[10:]) & np.uint32(15)
+        lost += ((a == b).mean() - 1 / 16) / (15 / 16) < 0.8 - near_dedup.SLACK
+    assert lost == 0
+
+
 def test_repeats(spark, docs):
     rows = [*docs, docs[-1]]
     data = [(i, (t or "").encode()) for i, t in rows]
@@ -240,12 +286,54 @@ def test_repeats(spark, docs):
             if count[b[k : k + 400]] > 1:
                 gone[k : k + 400] = b"\1" * 400
         want[(i, len(b), sum(gone), len(re.findall(b"\1+", gone)), bytes(x for x, g in zip(b, gone) if not g))] += 1
-    for together in (20_000, 0):
-        repeats.TOGETHER = together
+    together = repeats.TOGETHER
+    for some in (together, 0):
+        repeats.TOGETHER = some
         got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(frame(spark, rows)).collect())
         assert got == want
-    repeats.TOGETHER = 20_000
-    assert repeats.remove_repeats(spark.createDataFrame([], EMPTY)).count() == 0
+    repeats.TOGETHER = together
+    both = repeats.remove_repeats(frame(spark, rows), words=50).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in both) == want
+    cut = [(i, b, [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]) for i, b in data]
+    cut = [(i, b, at, [b[x:y] for x, y in at]) for i, b, at in cut]
+    count = Counter(tuple(w[k : k + 50]) for _, _, _, w in cut for k in range(len(w) - 49))
+    want = Counter()
+    for i, b, at, w in cut:
+        gone = bytearray(len(b))
+        covered = bytearray(len(w))
+        for k in range(len(w) - 49):
+            if count[tuple(w[k : k + 50])] > 1:
+                covered[k : k + 50] = b"\1" * 50
+        for m in re.finditer(b"\1+", covered):
+            x, y = at[m.start()][0], at[m.end() - 1][1]
+            gone[x:y] = b"\1" * (y - x)
+        want[(i, bytes(x for x, g in zip(b, gone) if not g).decode())] += 1
+    assert Counter((r.doc_id, r.passages) for r in both) == want and any(t != b.decode() for (_, t), (_, b) in zip(want, data))
+    assert Counter((r.doc_id, r.text or "") for r in repeats.remove_passages(frame(spark, rows)).collect()) == want
+    for f in (repeats.remove_repeats, repeats.remove_passages):
+        assert f(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_repeats_of_rows_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    passage, own = (" ".join(f"{rng.integers(1 << 30):x}" for _ in range(60)) for _ in range(2))
+    rows = [(None, passage)] * 300 + [(3, f"here {passage} there")] * 300 + [(None, own), (5, ""), (6, None), (None, None)]
+    docs = spark.createDataFrame(rows, EMPTY).selectExpr("doc_id", "text", "1 as n_bytes", "2 as row", "3 as hit", "4 as found", "'k' as passages", "'z' as text_hash").repartition(5)
+    got = Counter((r.doc_id, r.text, r.n_removed, r.passages, r.row, r.hit, r.found, r.text_hash) for r in repeats.remove_repeats(docs, words=50).collect())
+    n = len(passage)
+    assert got == Counter({(None, passage, n, "", 2, 3, 4, "z"): 300, (3, f"here {passage} there", n + 11, "", 2, 3, 4, "z"): 300, (None, own, 0, own, 2, 3, 4, "z"): 1, (5, "", 0, "", 2, 3, 4, "z"): 1, (6, None, 0, "", 2, 3, 4, "z"): 1, (None, None, 0, "", 2, 3, 4, "z"): 1})
+    left = Counter((r.doc_id, r.text, r.n_bytes) for r in repeats.remove_passages(docs).collect())
+    assert left == Counter({(None, "", 1): 300, (3, "", 1): 300, (None, own, 1): 1, (5, "", 1): 1, (6, None, 1): 1, (None, None, 1): 1})
+
+
+def test_redaction_of_rows_and_clashing_columns(spark):
+    rows = [(7, "mail ann.lee@mail.example now")] * 50 + [(7, "nothing here"), (None, "call +49 30 1234567 99"), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, EMPTY).selectExpr("doc_id", "text", "'a' as __key", "'b' as __found", "1 as key", "2 as hit", "3 as found", "4 as row").repartition(3)
+    got = Counter(tuple(r) for r in pii.redact(docs).collect())
+    rest = ("a", "b", 1, 2, 3, 4)
+    assert got == Counter({(7, "mail <email> now", *rest): 50, (7, "nothing here", *rest): 1, (None, "call <phone>", *rest): 1, (None, None, *rest): 1, (8, "", *rest): 1})
+    assert pii.redact(spark.createDataFrame([], EMPTY)).count() == 0
+    assert pii.detect(spark.createDataFrame([], EMPTY)).count() == 0
 
 
 def test_ann(spark):
@@ -271,19 +359,66 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
 
 
-def test_ann_small_tables(spark):
-    for n in range(2, 11):
-        draw = np.random.default_rng(n)
-        vectors = draw.standard_normal((n, 64))
-        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").coalesce(1)
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        got = {}
-        for r in ann.search(rows, F.col("id") >= 0).collect():
-            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
-        for i in range(n):
-            assert len(got[i]) == min(5, n - 1)
-            if n <= 6:  # all others are found, so they are in exact order
-                assert [v for _, v in sorted(got[i])] == sorted(set(range(n)) - {i}, key=lambda j: -unit[i] @ unit[j])
+def found_by_ann(spark, vectors, every=1):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").coalesce(2)
+    got = defaultdict(list)
+    for r in ann.search(rows, F.col("id") % every == 0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    return {q: [v for _, v, _ in sorted(rows)] for q, rows in got.items()}
+
+
+def recall_of(vectors, got, k=5):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = total = 0
+    for q, mine in got.items():
+        scores = unit @ unit[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-min(k, len(scores) - 1)]
+        assert len(mine) == len(set(mine)) == min(k, len(vectors) - 1)
+        hits += sum(scores[v] >= least - 1e-12 for v in mine)
+        total += len(mine)
+    return hits / total
+
+
+def test_ann_is_complete_and_exact_on_small_tables(spark):
+    for n in (2, 3, 6, 9, 51, 200):
+        vectors = np.random.default_rng(n).standard_normal((n, 64))
+        got = found_by_ann(spark, vectors)
+        assert set(got) == set(range(n)) and recall_of(vectors, got) == 1
+    # one query, and all others in another direction
+    rng = np.random.default_rng(1)
+    vectors = np.concatenate([-np.ones((1, 16)), np.ones((8, 16)) + 1e-3 * rng.standard_normal((8, 16))])
+    assert recall_of(vectors, found_by_ann(spark, vectors, 100)) == 1
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters", "threes", "outliers"])
+def test_ann_recall(spark, kind):
+    rng = np.random.default_rng(3)
+    n = 2400
+    centres = {"random": n, "clusters": 40, "threes": 800, "outliers": 40}[kind]
+    vectors = rng.standard_normal((centres, 32))[np.arange(n) % centres] + 0.2 * rng.standard_normal((n, 32))
+    if kind == "outliers":
+        vectors[::10] = 3 * rng.standard_normal((n // 10, 32))
+    got = found_by_ann(spark, vectors, 30)
+    assert len(got) == n // 30 and recall_of(vectors, got) >= 0.9
+
+
+def test_ann_on_given_embeddings(spark):
+    table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    rows = [(i, np.array(v, np.float64)) for i, v in rows if v is not None and len(v) == 64 and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    ids = np.array([i for i, _ in rows])
+    unit = np.array([v / np.linalg.norm(v) for _, v in rows])
+    hits = total = 0
+    found = defaultdict(list)
+    for r in ann.search(table.withColumns({"query_id": F.lit(1), "rank": F.lit(2), "score": F.lit("s"), "bucket": F.lit(0)}), F.col("id") % 50 == 0).collect():
+        found[r.query_id].append(r.vec_id)
+    for q, mine in found.items():
+        scores = unit @ unit[np.flatnonzero(ids == q)[0]]
+        order = [ids[j] for j in np.lexsort((ids, -np.round(scores, 12))) if ids[j] != q][:5]
+        hits, total = hits + len(set(order) & set(mine)), total + len(mine)
+        assert len(mine) == 5
+    assert total and hits >= 0.9 * total
 
 
 def test_toxicity(spark):
@@ -300,12 +435,21 @@ def test_toxicity(spark):
         marks.append((i, int(toxic)))
     rows += [(900, ""), (901, None), (902, "word " * 20_000)]
     docs, labels = spark.createDataFrame(rows, EMPTY), spark.createDataFrame(marks + [(901, None), (None, 1)], "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit_table(docs, labels)).collect()}
+    model = toxicity.fit_table(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     held = [(got[i].predicted, y) for i, y in marks if got[i].held_out]
     assert sum(p == y for p, y in held) >= 0.95 * len(held)
     none = toxicity.fit_table(docs, labels.where("toxic = 0"))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+    # repeated rows change neither the model nor its scores; clashing columns are replaced, others stay; null and empty texts have one score
+    again = toxicity.fit_table(docs.unionByName(docs).unionByName(docs.where("doc_id < 5")), labels.unionByName(labels))
+    assert again == model
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (None, "x")], EMPTY).selectExpr("*", "'s' as score", "5 as held_out", "6 as kept")
+    rows = toxicity.score(odd, model).collect()
+    assert len(rows) == 4 and len({r.score for r in rows if not r.text}) == 1 and all(0 <= r.score <= 1 and r.kept == 6 and r.held_out in (True, False) for r in rows)
+    empty = spark.createDataFrame([], EMPTY)
+    assert toxicity.score(empty, toxicity.fit_table(empty, labels)).count() == 0
 
 
 def test_queries_have_the_columns_of_their_contracts(spark):
@@ -316,5 +460,43 @@ def test_queries_have_the_columns_of_their_contracts(spark):
         "op10_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     }
     assert set(columns) == set(queries.QUERIES)
-    for name in ("op1_url_filters", "op2_token_counts", "op5_quality_rules"):
-        assert set(columns[name].split()) <= set(queries.QUERIES[name](spark, SMALL).columns)
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.shuffle.partitions")
+    for name, run in queries.QUERIES.items():
+        found = run(spark, SMALL)
+        assert set(columns[name].split()) <= set(found.columns), name
+        assert found.count(), name
+    assert (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.shuffle.partitions")) == before
+
+
+def test_queries_are_registered():
+    import __spark_entry__
+
+    assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries()) and set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_shared_folder():
+    class Conf:
+        def __init__(self, own):
+            self.own = own
+
+        def get(self, key, default=None):
+            return self.own.get(key, default)
+
+    class Context:
+        applicationId = "app-of-this-test"
+
+        def __init__(self, master, own):
+            self.master, self.own = master, own
+
+        def getConf(self):
+            return Conf(self.own)
+
+    class Session:
+        def __init__(self, master, own, runtime=None):
+            self.sparkContext, self.conf = Context(master, own), Conf(runtime or {})
+
+    assert common.shared_dir(Session("yarn", {"spark.checkpoint.dir": "hdfs:///x"})) == "hdfs:///x" == common.shared_dir(Session("yarn", {}, {"spark.checkpoint.dir": "hdfs:///x"}))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session(master, {}))
+    assert common.shared_dir(Session("local[4]", {})) == common.shared_dir(Session("local", {}))
