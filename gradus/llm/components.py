@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import stash
+from gradus.llm.common import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,5 +24,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(down, "v")
         small = joined.select("v", F.col("m").alias("u")).unionByName(joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct()
-        now = stash(small, "components")
+        now, done = stash(small, "components"), now
+        discard(done)
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()

@@ -5,8 +5,8 @@
 2. Each of TREES orders sorts the representatives by its own DEPTH signature values. Range partitions follow the order, so a
    region of many similar documents spreads over partitions.
 3. A sweep through each partition takes the runs whose first LEAST values agree. A run of more than REGION is
-   split where deeper values differ, as deep as that region needs; what all values leave together is taken in pieces
-   that share its first member. Rows at the ends of partitions are swept once more with the neighbouring partition's.
+   split where deeper values differ, as deep as that region needs, and then by its sketches; what all these leave together is taken in pieces.
+   Such parts share the region's first member. Rows at the ends of partitions are swept once more with the neighbouring partition's.
 4. In a region, documents are compared by sketches (four bits of each signature value). A spanning forest of the
    closest pairs is handed on, a number of pairs linear in the rows, and confirmed on full sets.
 5. The confirmed pairs' components label the documents of each family (what all pairs of the forest hold together). Where a
@@ -22,18 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import bit_filter, maybe_in, partitions, stash
+from gradus.llm.common import discard, partitions, sieve, stash
 from gradus.llm.components import components
 
 TREES, DEPTH, LEAST, REGION, FAMILY = 20, 6, 3, 1024, 512
 HASHES = TREES * DEPTH
-#: How far below the wanted similarity a sketch's estimate may fall: over three of its standard errors at 0.8.
-SLACK = 0.13
-#: Bits of the filter that keeps texts without a candidate out of the confirmation; its size is fixed.
-FILTER_BITS = 1 << 23
+#: How far below the wanted similarity a sketch's estimate may fall: over five of its standard errors at 0.8. All trees share the sketch, so what falls
+#: below is lost for good: a pair at 0.8 with a chance under 1e-6.
+SLACK = 0.20
+#: Levels of four bits, from the sketch, that split a region further when the values of its order are used up.
+DEEPER = 8
 
 _random = np.random.default_rng(8)
 _A = (_random.integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -166,6 +167,25 @@ class _Region:
             cuts = np.flatnonzero(order[1:, depth] != order[:-1, depth]) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), m]):
                 self.split(order[lo:hi], node[lo:hi], n[lo:hi], sketch[lo:hi], depth + 1)
+        else:
+            self._deeper(node, n, sketch, int(order[0, 0]) % (HASHES // 2), 0)
+
+    def _deeper(self, node, n, sketch: list[bytes], at: int, level: int) -> None:
+        """A region that agrees in all values of its order: split by bytes of the sketch from a place that the region chooses, then taken in pieces. Each part has
+        the region's first member as well, which holds the parts together."""
+        m = len(node)
+        if m <= REGION:
+            self.add(node, n, sketch)
+        elif level < DEEPER // 2:
+            groups: dict[int, list[int]] = {}
+            for i, s in enumerate(sketch):
+                groups.setdefault(s[(at + level) % len(s)], []).append(i)
+            for own in groups.values():
+                pick = own if own[0] == 0 else [0, *own]
+                if len(pick) == m:
+                    self._deeper(node, n, sketch, at, DEEPER)
+                else:
+                    self._deeper(node[pick], n[pick], [sketch[i] for i in pick], at, level + 1)
         else:
             for lo in range(0, m, REGION - 1):
                 pick = np.unique(np.concatenate(([0], np.arange(lo, min(lo + REGION, m)))))
@@ -224,12 +244,14 @@ def _sweep(threshold: float):
                 region.split(values[lo:hi], node[lo:hi], n[lo:hi], sketch.slice(lo, hi - lo).to_pylist())
             yield _found(*region.pairs())
             if first:
-                yield ends(rows.slice(0, min(starts[1], REGION // 2)), part - 1)
+                yield ends(rows.slice(0, min(starts[1], REGION // 2)), 2 * part)
                 first = False
             if last:
                 lo = max(starts[-2], len(rows) - REGION // 2)
-                yield ends(rows.slice(lo), part)
+                yield ends(rows.slice(lo), 2 * part + 1)
             held = rows.slice(starts[stop]) if starts[stop] < len(rows) else None
+            if held is None and not last:  # a run too long to be held: its first member goes on with what follows
+                held = rows.slice(starts[stop - 1], 1)
 
         for batch in batches:
             if not len(batch):
@@ -266,20 +288,26 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     rows = nodes.select("node", "n", "signature").mapInArrow(_orders, _NODE_DDL)
     swept = rows.repartitionByRange(partitions(spark), "order", "node").sortWithinPartitions("order", "node").mapInArrow(_sweep(threshold), _OUT_DDL)
     swept = stash(swept, "near-dedup-forest")
-    border = swept.where("edge is not null").select("edge", "order", "node", "n", "sketch").groupBy("edge").applyInArrow(_border(threshold), "a long, b long")
+    ends = swept.where("edge is not null").select("edge", "order", "node", "n", "sketch")
+    # the end of a partition meets the beginning of the next one that has rows: a few numbers for each partition
+    used = ends.select(F.floor(F.col("edge") / 2).alias("part")).distinct()
+    before = used.select("part", F.lag("part").over(Window.orderBy("part")).alias("before"))
+    ends = ends.withColumn("part", F.floor(F.col("edge") / 2)).join(F.broadcast(before), "part")
+    border = ends.withColumn("border", F.when(F.col("edge") % 2 == 1, F.col("part")).otherwise(F.col("before"))).where("border is not null")
+    border = border.select("border", "order", "node", "n", "sketch").groupBy("border").applyInArrow(_border(threshold), "a long, b long")
     return swept.where("a is not null").select("a", "b").unionByName(border).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, own): the full sets of the wanted nodes (node, key), read from the texts again."""
-    mask = bit_filter(wanted, "node", FILTER_BITS)
+    there = sieve(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(i, shingle_set(t, words)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for _, x in out], pa.binary()), pa.array([x.view(np.int64) for _, x in out], pa.list_(pa.int64()))], names=["node", "key", "own"])
 
-    some = docs.where(maybe_in(mask, "doc_id", FILTER_BITS)).mapInArrow(run, "node long, key binary, own array<long>")
+    some = docs.where(there).mapInArrow(run, "node long, key binary, own array<long>")
     return some.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
 
 
@@ -372,12 +400,13 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
     nodes = stash(keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["doc_id"] == reps["node"])).select("node", keyed["key"], F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"]), "near-dedup-nodes")
     near = stash(_candidates(nodes, threshold_pct / 100), "near-dedup-pairs")
     links = stash(_confirm(docs, near, nodes, words, threshold_pct), "near-dedup-links")
-    labels = components(links)
+    labels = stash(components(links), "near-dedup-labels")
     more = stash(_crossing(docs, near, labels, nodes, words, threshold_pct), "near-dedup-more")
     if more.take(1):  # joined labels; a document that had no link is its own
         joined = components(more)
         old = joined.select(F.col("node").alias("component"), F.col("component").alias("new"))
         labels = labels.join(old, "component", "left").select("node", F.coalesce("new", "component").alias("component")).unionByName(joined).groupBy("node").agg(F.min("component").alias("component"))
-    whole = signed.select("doc_id", "n_shingles", "key").join(reps, "key", "left").join(labels, "node", "left")
+    whole = signed.where("key is not null").select("doc_id", "n_shingles", "key").join(reps, "key").join(labels, "node", "left")
+    whole = whole.select("doc_id", "n_shingles", "component", "node").unionByName(signed.where("key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("node")))
     own = F.coalesce("component", "node", "doc_id")
     return whole.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
