@@ -9,8 +9,8 @@
    follows. An instance scores one if known, else one minus the product of its patterns' doubts. Both are
    iterated. Patterns of CONFIDENCE and more make their instances known, which may support new patterns, and so on until nothing new is known.
 
-Patterns and instances stay in Spark. The patterns to be counted go to the workers in blocks of at most BLOCK, one pass for each
-block, so what is broadcast is bounded at any size of the corpus.
+Patterns and instances stay in Spark. To count patterns, one pass over the texts takes bit sets of them to the workers, of at most 16 MB at any
+size of the corpus, and an exact join drops what passes by chance.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradus.llm.common import stash
+from gradus.llm.common import SPARK_SEED, bit_mask, discard, sieve, stash
 
-SUPPORT, CONFIDENCE, STEPS, BLOCK = 3, 0.8, 2, 100_000
+SUPPORT, CONFIDENCE, STEPS = 3, 0.8, 2
+#: Words that a worker remembers, and pairs of words that it counts before it hands them on.
+CACHED = 200_000
 #: The added kind, after the base kinds in their order.
 KINDS = ("email", "ip", "card", "phone", "id")
 
@@ -132,23 +135,47 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCHEMA)], schema=_SCHEMA)
 
 
-def _occurrences(docs: DataFrame, contexts: list[str]) -> DataFrame:
-    """(context, total): how often each pair of words occurs."""
-    wanted: dict[str, dict[str, str]] = {}
-    for c in contexts:
-        first, second = c.split("\t")
-        wanted.setdefault(second, {})[first] = c
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _occurrences(docs: DataFrame, supported: DataFrame) -> DataFrame:
+    """(context, total): how often each pair of words that may be one of ``supported`` occurs. Two bit sets of bounded size go to the workers, one of second
+    words and one of pairs; what passes by chance finds no partner in the join that follows."""
+    first, second = (F.xxhash64(F.substring_index("context", "\t", n)) for n in (1, -1))
+    ends, end_bits = bit_mask(supported.select(second.alias("at")), "at", hashed=True)
+    pairs, pair_bits = bit_mask(supported.select(first.bitwiseXOR(F.shiftrightunsigned(second, 7)).alias("at")), "at", hashed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, total = shared.value, Counter()
+        end_mask, pair_mask = ends.value.tobytes(), pairs.value.tobytes()
+        own: dict[str, tuple[int, int | None]] = {}  # a word's hash as a first word, and as a second one if it may be one
+        total: Counter[str] = Counter()
+
+        def known(word: str) -> tuple[int, int | None]:
+            if len(own) >= CACHED:
+                own.clear()
+            h = xxhash.xxh64_intdigest(word.encode(), SPARK_SEED)
+            at = h & (end_bits - 1)
+            own[word] = h, h >> 7 if end_mask[at >> 3] >> (at & 7) & 1 else None
+            return own[word]
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["context", "total"])
+            total.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = (text or "").lower().split()
+                before = None
                 for i, w in enumerate(words):
-                    if w in want and i and (c := want[w].get(words[i - 1][-_LAST:])):
-                        total[c] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["context", "total"])
+                    if len(w) > _LAST:
+                        w = w[-_LAST:]
+                    h, as_second = own.get(w) or known(w)
+                    if as_second is not None and before is not None:
+                        at = (before ^ as_second) & (pair_bits - 1)
+                        if pair_mask[at >> 3] >> (at & 7) & 1:
+                            total[f"{words[i - 1][-_LAST:]}\t{w}"] += 1
+                    before = h
+            if len(total) > CACHED:
+                yield rows()
+        yield rows()
 
     return docs.select("text").mapInArrow(run, "context string, total long").groupBy("context").agg(F.sum("total").alias("total"))
 
@@ -164,22 +191,19 @@ def detect(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Da
     pairs = stash(slots.groupBy("context", "instance").agg(F.count("*").alias("n"), F.max("is_seed").alias("is_seed")), "pii-pairs")
     known = pairs.where("is_seed").select("instance").distinct()
     patterns = edges = None
+    made: list[DataFrame] = []
     for round_ in itertools.count():
         supported = pairs.where("context is not null").join(known, "instance", "left_semi").groupBy("context").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).select("context")
         if patterns is not None:
             supported = supported.join(patterns, "context", "left_anti")
         supported = stash(supported, f"pii-supported-{round_}")
-        n = supported.count()
-        if n:
-            blocks = -(-n // BLOCK)
-            counted = None
-            for b in range(blocks):
-                some = [c for (c,) in supported.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == b).collect()]
-                part = _occurrences(docs, some)
-                counted = part if counted is None else counted.unionByName(part)
+        made.append(supported)
+        if supported.take(1):
+            counted = _occurrences(docs, supported)
             counted = supported.join(counted, "context", "left").select("context", F.coalesce("total", F.lit(0)).alias("total"))
             patterns = stash(counted if patterns is None else patterns.unionByName(counted), f"pii-patterns-{round_}")
             edges = stash(pairs.join(patterns, "context"), f"pii-edges-{round_}")
+            made += [patterns, edges]
         elif patterns is None:
             break
         score = known.withColumn("score", F.lit(1.0))
@@ -189,11 +213,14 @@ def detect(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Da
             score = guessed.join(known.withColumn("sure", F.lit(1.0)), "instance", "full").select("instance", F.coalesce("sure", "guess").alias("score"))
         trusted = stash(trust.where(F.col("confidence") >= CONFIDENCE).select("context"), f"pii-trusted-{round_}")
         more = stash(edges.join(trusted, "context", "left_semi").select("instance").join(known, "instance", "left_anti").distinct(), f"pii-more-{round_}")
+        made += [trusted, more]
         if not more.take(1):
             break
         known = stash(known.unionByName(more), f"pii-known-{round_}")
-    seeds = pairs.where("is_seed").select("instance").distinct()
-    extra = slots.where("not is_seed").join(known.join(seeds, "instance", "left_anti"), "instance", "left_semi")
+        made.append(known)
+    learned = stash(known.join(pairs.where("is_seed").select("instance"), "instance", "left_anti").select("instance"), "pii-learned")
+    discard(pairs, *made)
+    extra = slots.where("not is_seed").join(learned, "instance", "left_semi")
     extra = extra.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     every = scanned.drop("found").join(extra, "row", "left").withColumn("found", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))))
     kinds = F.array(*map(F.lit, KINDS))
@@ -220,8 +247,12 @@ def _masked(texts: pd.Series, found: pd.Series) -> pd.Series:
 def redact(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; of spans that overlap, the first names the kind.
 
-    Rows are told apart by a hash of id and text, so rows without an id, or that repeat one, are treated alike."""
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text))
-    spans = detect(keyed, text=text, id_col="__key").where(F.size("found") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first("found").alias("__found"))
-    joined = keyed.join(spans, "__key", "left")
-    return joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("__found")))).drop("__key", "__found")
+    Rows are told apart by a hash of id and text, so rows without an id, or that repeat one, are treated alike. Only texts with spans move; null and
+    empty texts stay as they are, and an empty table stays empty."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"))
+    spans = detect(keyed, id_col="key").where(F.size("found") > 0).groupBy(F.col("doc_id").alias("key")).agg(F.first("found").alias("found"))
+    spans = stash(spans, "pii-spans")
+    sieved = keyed.withColumn("hit", sieve(spans, "key"))
+    hits = sieved.where("hit").join(spans, "key", "left").withColumn("masked", F.when(F.col("found").isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col("found"))))
+    every = hits.select("row", "masked").unionByName(sieved.where("not hit").select("row", F.col("text").alias("masked")))
+    return every.select(*[F.col("masked").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
