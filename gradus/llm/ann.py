@@ -4,8 +4,8 @@
 2. TABLES tables hash a unit vector by HASHES projections on Gaussian directions, cut into steps of WIDTH: its bucket. A bucket
    directory (at most STEPS ** HASHES buckets for each table, at any size of the data) has the occupied ones with their rows.
 3. A query visits buckets in the order of the estimated probability that a near neighbour lies there. For unit vectors of
-   cosine c, the neighbour's projection is normal around c times the query's; c is fitted to the table's size on a
-   bounded sample. It goes on until the probabilities add up to TARGET and the buckets hold k ids besides the query's own, or all
+   cosine c, the neighbour's projection is normal around c times the query's; each query's c is a low guess of its k-th neighbour's from a
+   bounded sample of rows, so a query far from all others looks farther. It goes on until the probabilities add up to TARGET and the buckets hold LEAST ids, and k besides the query's own, or all
    buckets are visited, so probes follow the data and have no cap.
 4. Buckets in a row fill blocks of BLOCK rows; a bucket that holds more is dealt over several by a hash of the id. Each block
    compares its rows with the queries that visit them, a chunk of queries at a time, and hands on each query's best.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import stash
 
-TABLES, HASHES, WIDTH, STEPS, TARGET, BLOCK, QUERIES, SAMPLE = 2, 6, 1.5, 6, 0.93, 8192, 50_000, 2048
+TABLES, HASHES, WIDTH, STEPS, TARGET, LEAST, BLOCK, QUERIES, SAMPLE = 2, 6, 1.5, 6, 0.93, 256, 2048, 50_000, 2048
 
 _GRID = np.linspace(-9, 9, 18_001)
 _PHI = np.array([0.5 * (1 + math.erf(z / math.sqrt(2))) for z in _GRID])
@@ -58,9 +58,10 @@ class _Hashing:
     def bucket(self, unit: np.ndarray, table: int) -> np.ndarray:
         return self.steps(unit, table) @ self.powers
 
-    def chances(self, unit: np.ndarray, table: int, buckets: np.ndarray, cosine: float) -> np.ndarray:
-        """For each query and bucket, the probability that a neighbour of the cosine is there."""
-        spread = math.sqrt(max(1e-6, 1 - cosine * cosine))
+    def chances(self, unit: np.ndarray, table: int, buckets: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """For each query and bucket, the probability that a neighbour of the query's cosine is there."""
+        cosine = cosine[:, None, None]
+        spread = np.sqrt(np.maximum(1e-6, 1 - cosine * cosine))
         bounds = (np.arange(1, STEPS) - STEPS // 2) * WIDTH
         at = (bounds[None, None, :] - self.offsets[table][None, :, None] - cosine * (unit @ self.directions[table])[:, :, None]) / spread
         below = np.interp(at, _GRID, _PHI)
@@ -78,12 +79,18 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(fine).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _cosine_of_kth(sample: np.ndarray, k: int, n: int) -> float:
-    """A low guess of the k-th largest cosine among n: that of a normal law with the sample's mean and spread."""
-    c = (sample @ sample.T)[np.triu_indices(len(sample), 1)]
-    tail = min(0.5, k / max(n, 1))
-    z = float(np.interp(1 - tail, _PHI, _GRID))
-    return float(np.clip(c.mean() + z * c.std(), 0.0, 0.99)) if len(c) else 0.0
+def _cosines_of_kth(queries: np.ndarray, sample: np.ndarray, k: int, n: int) -> np.ndarray:
+    """For each query a low guess of its k-th largest cosine among n rows: what a normal law with mean and spread of its cosines to the sample says, or the k-th in
+    the sample itself if that is less; in the whole table it is nearer, never farther."""
+    if len(sample) <= k + 1:
+        return np.zeros(len(queries))
+    c = queries @ sample.T
+    own = c > 1 - 1e-9  # the query itself, where it is in the sample
+    c[own] = np.nan
+    z = float(np.interp(1 - min(0.5, k / max(n, 1)), _PHI, _GRID))
+    normal = np.nanmean(c, axis=1) + z * np.nanstd(c, axis=1)
+    c[own] = -np.inf
+    return np.clip(np.minimum(normal, np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k]), 0.0, 0.99)
 
 
 def _compare(k: int):
@@ -142,7 +149,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
     reps = reps.where(F.size("v") == dimension)
     hashing = _Hashing(dimension)
     n = reps.count()
-    cosine = _cosine_of_kth(_unit(_matrix([v for v in sample if len(v) == dimension])), k, n)
+    some = spark.sparkContext.broadcast(_unit(_matrix([v for v in sample if len(v) == dimension])))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,6 +180,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64]
                 unit = _unit(_matrix(part["v"]))
+                cosine = _cosines_of_kth(unit, some.value, k, n)
                 rows: list[tuple] = []
                 for t, (buckets, first, size, ids) in enumerate(shared.value):
                     chance = hashing.chances(unit, t, buckets, cosine)
@@ -180,7 +188,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "v
                     mass = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
                     stop = (mass < TARGET * mass[:, -1:]).sum(1) + 1
                     held = np.cumsum(ids[order], axis=1)
-                    stop = np.minimum(np.maximum(stop, (held < k + 1).sum(1) + 1), len(buckets))
+                    stop = np.minimum(np.maximum(stop, (held < max(k + 1, LEAST)).sum(1) + 1), len(buckets))
                     for i, query_id in enumerate(part["query_id"]):
                         visit = order[i, : stop[i]]
                         lo, hi = first[visit] // BLOCK, (first[visit] + size[visit] - 1) // BLOCK
