@@ -23,10 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import partitions
+from gradus.llm.common import partitions, stash
 
 #: Characters of text that make a block, and words that make a row of positions.
 BLOCK, CHUNK = 5_000_000, 500_000
+#: Words whose ids a bucket's task keeps at most; beyond that a word may be encoded again.
+KNOWN = 1_000_000
 
 #: For texts of these characters, the pattern for letters and spaces of any script and this one cut the same way.
 _OTHER = re.compile("[^\x00-~¡§«»¿À-ÖØ-öø-ſ–—‘-„…€]")
@@ -155,6 +157,8 @@ def _encode(ranks_path: str):
                     word = data[a:b]
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         ids = known[word] = np.array(single(word), "<u4").tobytes()
                     out.append(ids)
                 yield _row([block], [0], [bucket], [n], [check], [_pack(np.array([len(x) // 4 for x in out], "<u4").tobytes() + b"".join(out))])
@@ -218,9 +222,12 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian 32-bit integers, one row for each row of ``docs``. Null and empty texts have none.
 
-    Texts are read and cut twice, once for the words and once for the positions, which costs less than keeping both; ``docs`` has to
-    give the same rows in the same order each time, as a table does. If it doesn't, a checksum of each block's words stops the query."""
+    Texts are read and cut twice, once for the words and once for the positions, which costs less than keeping both. Rows have to come in the same order each time, as
+    they do from a table: where a shuffle comes before, whose order a lost executor may change, the input is written first. A checksum of each block's words
+    stands guard over that. Repeated rows stay repeated, rows without an id keep their nulls, and an empty table gives an empty one."""
     buckets = partitions(docs.sparkSession)
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = stash(docs.select(id_col, text), "bpe-texts")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
     words = texts.mapInArrow(_split(pattern, buckets, 0), _DDL).repartition(buckets, "bucket").mapInArrow(_encode(ranks_path), _DDL)
     both = words.unionByName(texts.mapInArrow(_split(pattern, buckets, 1), _DDL)).repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket")

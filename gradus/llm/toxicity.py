@@ -1,5 +1,8 @@
 """Toxicity by compression distance.
 
+In one point this departs from training a dictionary on toxic text: that dictionary is trained on what toxic texts have beyond ordinary ones, since on
+whole toxic texts it learns ordinary language too and the difference drowns in noise (README has the figures).
+
 Two zstandard dictionaries are trained on labelled text: one on ordinary texts, one on what toxic texts have beyond them (the
 words that are much more frequent in toxic than in ordinary training texts, in their order). A text is cut into windows that overlap by half;
 each is compressed with the ordinary dictionary alone and with the toxic one put before it. The toxic dictionary shortens only
@@ -132,11 +135,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
-    """Fit on at most MOST_TOXIC toxic and MOST_ORDINARY other rows among those that are not held out."""
+    """Fit on at most MOST_TOXIC toxic and MOST_ORDINARY other ids among those that are not held out, those of the smallest hashes (ties by id). Rows without an id or a text,
+    and labels other than 0 and 1, take no part; an id with both labels is toxic. Empty tables, or too few texts of a kind, give a constant score."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label).alias("y"))
     hashed = known.withColumn("h", F.xxhash64(id_col))
     some = hashed.where("y = 1").orderBy("h", id_col).limit(MOST_TOXIC).unionByName(hashed.where("y = 0").orderBy("h", id_col).limit(MOST_ORDINARY))
-    rows = docs.select(id_col, F.col(text).alias("t")).join(F.broadcast(some), id_col).where("t is not null").select("h", "t", "y").toPandas().sort_values(["h", "t"])
+    # of rows that repeat an id, the text of the smallest hash counts, so as many texts reach the driver as ids were picked
+    rows = docs.select(id_col, F.col(text).alias("t")).join(F.broadcast(some), id_col).where("t is not null").groupBy("h", id_col, "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("h", "t", "y").toPandas().sort_values(["h", "t"])
     return fit(rows["t"].tolist(), [bool(y) for y in rows["y"]])
 
 
@@ -144,7 +149,7 @@ _scorers: dict[Model, _Scorer] = {}
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with held_out, score and predicted (clashing columns are replaced). A null text scores as an empty one."""
+    """``docs`` with held_out, score and predicted (clashing columns are replaced). A null text scores as an empty one, repeated rows score alike, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

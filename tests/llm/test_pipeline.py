@@ -37,3 +37,26 @@ def test_repeated_ids_of_different_texts(spark):
         assert len(got) == 5 and set(got) - {(4, other), (4, near)} == {(1, copied), (2, clean), (5, third), (5, clean + " " + third)}
         found = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.group(docs.repartition(n)).collect()}
         assert found == {(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True), (6, 4, False)}
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:80]), " ".join(words[:80]), " ".join([*words[100:160], "own", "mail a.b@mail.example"]), " ".join(["else", *words[100:160]]), None, ""]
+    rows = [(i, t, "en", "x", len(t or ""), "k", "r", 1, False, "t") for i, t in enumerate(texts)] + [(None, texts[0], "en", "x", 3, "k", "r", 1, False, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, row string, hit int, kept boolean, text_hash string")
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stash(stage(spark, some, SMALL), "test")
+            if name == "packing":
+                assert got.count() == (0 if some is not docs else 7)
+            else:
+                assert got.dtypes == some.dtypes and got.where("key <> 'k' or row <> 'r' or hit <> 1 or kept or text_hash <> 't'").count() == 0
+            found = {r.doc_id: r.text for r in got.collect()} if name != "packing" else {}
+            if some is docs and name == "quality rules":
+                assert set(found) == {0, 1, 2, 3, None}
+            if some is docs and name == "near duplicates":
+                assert set(found) == {0, 2, 4, 5, None}
+            if some is docs and name == "repeated passages":
+                assert found == {0: "", 1: "", 2: " own mail a.b@mail.example", 3: "else ", 4: None, 5: "", None: ""}
+            if some is docs and name == "personal data":
+                assert found[2].endswith("own mail <email>") and found[4] is None
