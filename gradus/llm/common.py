@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,25 +100,25 @@ def bit_filter(keys: DataFrame, column: str, bits: int, *, hashed: bool = False)
     return keys.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
 
 
-def maybe_in(mask, column: str, bits: int):
-    """Whether the value of ``column`` may be among the keys of ``mask``."""
-
-    @F.pandas_udf("boolean")
-    def hit(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((mask.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return hit(F.pmod(F.xxhash64(column), F.lit(bits)))
-
-
 def bit_mask(keys: DataFrame, column: str, *, hashed: bool = False):
     """``bit_filter`` sized by its keys, and its bits: sixteen for each key, between 2^20 and 2^27 (16 MB) in all. Beyond that more passes, and the exact join has more to drop."""
-    n = keys.select(F.approx_count_distinct(column)).first()[0]
-    bits = 1 << min(27, max(20, (16 * int(n)).bit_length()))
+    bits = _bits(keys, column)
     return bit_filter(keys, column, bits, hashed=hashed), bits
 
 
-def sieve(keys: DataFrame, column: str):
-    """Condition: whether a row's ``column`` may be among those of ``keys``."""
-    mask, bits = bit_mask(keys, column)
-    return maybe_in(mask, column, bits)
+def _bits(keys: DataFrame, column: str) -> int:
+    n = keys.select(F.approx_count_distinct(column)).first()[0]
+    return 1 << min(27, max(20, (16 * int(n)).bit_length()))
+
+
+def sieved(df: DataFrame, keys: DataFrame, column: str, name: str = "hit") -> DataFrame:
+    """``df`` with the column ``name``: whether a row's ``column`` may be among those of ``keys``.
+
+    A bit set as for ``bit_mask``, but as a table of 64-bit words that is broadcast and joined (two million rows at most), so no row leaves the JVM."""
+    bits = _bits(keys, column)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = keys.select(at(column).alias("at")).selectExpr("at div 64 as __word", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    place = free_name(df, "place")
+    joined = df.withColumn(place, at(column)).join(F.broadcast(words), F.expr(f"`{place}` div 64") == F.col("__word"), "left")
+    bit = F.expr(f"shiftright(__bits, cast(`{place}` % 64 as int)) & 1L = 1L")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__word", "__bits", place)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import discard, partitions, sieve, stash
+from gradus.llm.common import partitions, sieved, stash
 from gradus.llm.components import components
 
 TREES, DEPTH, LEAST, REGION, FAMILY = 20, 6, 3, 1024, 512
@@ -300,14 +300,12 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, own): the full sets of the wanted nodes (node, key), read from the texts again."""
-    there = sieve(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(i, shingle_set(t, words)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for _, x in out], pa.binary()), pa.array([x.view(np.int64) for _, x in out], pa.list_(pa.int64()))], names=["node", "key", "own"])
 
-    some = docs.where(there).mapInArrow(run, "node long, key binary, own array<long>")
+    some = sieved(docs, wanted.withColumnRenamed("node", "doc_id"), "doc_id").where("hit").select("doc_id", "text").mapInArrow(run, "node long, key binary, own array<long>")
     return some.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
 
 

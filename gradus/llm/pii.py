@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradus.llm.common import SPARK_SEED, bit_mask, discard, sieve, stash
+from gradus.llm.common import SPARK_SEED, bit_mask, discard, sieved, stash
 
 SUPPORT, CONFIDENCE, STEPS = 3, 0.8, 2
 #: Words that a worker remembers, and pairs of words that it counts before it hands them on.
-CACHED = 200_000
+CACHED = 100_000
 #: The added kind, after the base kinds in their order.
 KINDS = ("email", "ip", "card", "phone", "id")
 
@@ -252,7 +252,7 @@ def redact(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Da
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"))
     spans = detect(keyed, id_col="key").where(F.size("found") > 0).groupBy(F.col("doc_id").alias("key")).agg(F.first("found").alias("found"))
     spans = stash(spans, "pii-spans")
-    sieved = keyed.withColumn("hit", sieve(spans, "key"))
-    hits = sieved.where("hit").join(spans, "key", "left").withColumn("masked", F.when(F.col("found").isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col("found"))))
-    every = hits.select("row", "masked").unionByName(sieved.where("not hit").select("row", F.col("text").alias("masked")))
+    marked = sieved(keyed, spans, "key")
+    hits = marked.where("hit").join(spans, "key", "left").withColumn("masked", F.when(F.col("found").isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col("found"))))
+    every = hits.select("row", "masked").unionByName(marked.where("not hit").select("row", F.col("text").alias("masked")))
     return every.select(*[F.col("masked").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -28,12 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import discard, partitions, sieve, stash
+from gradus.llm.common import discard, partitions, sieved, stash
 
 #: Bytes of a repeated string, and words of a repeated passage.
 LENGTH, WORDS = 400, 50
-#: Symbols of a text worked on at once (windows of the next part begin where those of the last end).
-PART = 1 << 20
+#: Symbols of a text worked on at once (windows of the next part begin where those of the last end), and bytes of short texts that are worked on together.
+PART, CHUNK = 1 << 18, 1 << 16
 #: Contexts of one anchor that are compared in one task; of an anchor with more, windows are counted as rows.
 TOGETHER = 4_000
 
@@ -172,10 +172,10 @@ def anchors(symbols: np.ndarray, length: int, sample: int, begin: np.ndarray, en
 
 
 def _together(texts: list[bytes]) -> Iterator[list[int]]:
-    """Texts of about PART bytes in all; a longer one alone."""
+    """Texts of about CHUNK bytes in all; a longer one alone."""
     some, held = [], 0
     for i, t in enumerate(texts):
-        if some and held + len(t) > PART:
+        if some and held + len(t) > CHUNK:
             yield some
             some, held = [], 0
         some.append(i)
@@ -253,9 +253,9 @@ def _windows(rows: pa.Table, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.nda
     row = np.repeat(np.arange(len(pieces)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     window, held, some = [], 0, 0
-    for i, size in enumerate(sizes.tolist()):  # about PART symbols at once
+    for i, size in enumerate(sizes.tolist()):  # about CHUNK symbols at once
         held += size
-        if held >= PART or i == len(sizes) - 1:
+        if held >= CHUNK or i == len(sizes) - 1:
             own = sizes[some : i + 1]
             begin = np.concatenate([np.arange(k - unit.length + 1) + e for k, e in zip(own.tolist(), (np.cumsum(own) - own).tolist())])
             window.append(_mix(_Runs(np.concatenate(pieces[some : i + 1])).at(begin, begin + unit.length)))
@@ -323,13 +323,13 @@ def _marks(docs: DataFrame, unit: Unit, name: str) -> DataFrame:
     shared = stash(counts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where("n > 1").drop("n"), "repeats-shared")
     found = stash(counts.withColumnRenamed("n", "same").join(shared, "anchor").select("anchor", "context", "same", "one", "contexts"), "repeats-found")
     discard(counts)
-    rows = stash(anchored.where(sieve(shared, "anchor")).join(found, ["anchor", "context"]), "repeats-rows")
+    rows = stash(sieved(anchored, shared, "anchor").where("hit").drop("hit").join(found, ["anchor", "context"]), "repeats-rows")
     discard(anchored, found)
     whole = rows.where("same > 1").select("doc_id", "text_hash", "first", "last")
     # one text for each context is enough: where there are more, all windows are repeated anyway
     some = rows.where("contexts > 1 and doc_id = one")
     wanted = some.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "anchor", "place")).alias("wanted"))
-    texts = docs.where(sieve(some, "doc_id")).join(wanted, ["doc_id", "text_hash"])
+    texts = sieved(docs, some, "doc_id").where("hit").join(wanted, ["doc_id", "text_hash"])
     pieces = stash(texts.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_pieces(unit), _PIECE_DDL).join(shared, "anchor"), "repeats-pieces")
     kind = "doc_id long, text_hash long, first long, last long"
     few = pieces.where(F.col("contexts") <= TOGETHER).drop("contexts").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(_match(unit), kind)
@@ -375,13 +375,13 @@ def _cut(strings: Unit | None, passages: Unit | None):
 
 def _applied(keyed: DataFrame, marks: DataFrame, strings: Unit | None, passages: Unit | None) -> DataFrame:
     """Rows with marks (found, short) are cut in workers; all others pass without leaving the JVM or moving."""
-    sieved = keyed.withColumn("hit", sieve(marks, "doc_id"))
+    marked = sieved(keyed, marks, "doc_id")
     kind = keyed.schema["row"].dataType.simpleString()
-    cut = sieved.where("hit").join(marks, ["doc_id", "text_hash"], "left").select("row", "text", "found", "short")
+    cut = marked.where("hit").join(marks, ["doc_id", "text_hash"], "left").select("row", "text", "found", "short")
     cut = cut.mapInArrow(_cut(strings, passages), f"row {kind}, n_removed long, n_spans long, kept binary, passages string")
     none, whole = F.lit(0).cast("long"), F.coalesce("text", F.lit(""))
     kept, prose = F.encode(whole, "UTF-8") if strings else F.lit(None).cast("binary"), whole if passages else F.lit(None).cast("string")
-    return cut.unionByName(sieved.where("not hit").select("row", none.alias("n_removed"), none.alias("n_spans"), kept.alias("kept"), prose.alias("passages")))
+    return cut.unionByName(marked.where("not hit").select("row", none.alias("n_removed"), none.alias("n_spans"), kept.alias("kept"), prose.alias("passages")))
 
 
 def _no_marks():
