@@ -27,10 +27,10 @@ def ascii_tokens(text: Column) -> Column:
 
 
 def _fold(text: Column) -> Column:
-    """NFKC and case folding. For ASCII text that is lower case, so only other rows leave the JVM."""
+    """NFKC and case folding. For ASCII text and Latin letters with marks that is lower case, and two s for a sharp one, so only other rows leave the JVM."""
     text = F.coalesce(text, F.lit(""))
-    other = text.rlike(r"[^\x00-\x7F]")
-    return F.when(other, _folded(F.when(other, text))).otherwise(F.lower(text))
+    other = text.rlike(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
+    return F.when(other, _folded(F.when(other, text))).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def _grams(run: Column, n: int) -> Column:
@@ -40,9 +40,11 @@ def _grams(run: Column, n: int) -> Column:
 def tokens(text: Column) -> Column:
     """Ranking tokens of any text: NFKC, case folding, then runs of Thai, Latin letters or digits. A Thai run gives
     its bigrams, then its trigrams, or itself if it is one character. Only normalisation of non-ASCII text leaves the JVM."""
-    runs = F.regexp_extract_all(_fold(text), F.lit(MIXED_TOKEN), F.lit(0))
+    folded = _fold(text)
+    runs = F.regexp_extract_all(folded, F.lit(MIXED_TOKEN), F.lit(0))
     thai = lambda r: r.rlike(r"^[\x{0E00}-\x{0E7F}]")
-    return F.flatten(F.transform(runs, lambda r: F.when(thai(r) & (F.length(r) > 1), F.concat(_grams(r, 2), _grams(r, 3))).otherwise(F.array(r))))
+    grams = F.flatten(F.transform(runs, lambda r: F.when(thai(r) & (F.length(r) > 1), F.concat(_grams(r, 2), _grams(r, 3))).otherwise(F.array(r))))
+    return F.when(folded.rlike(r"[\x{0E00}-\x{0E7F}]"), grams).otherwise(runs)  # most texts have no Thai, and their tokens need no second look
 
 
 def overlap_tokens(text: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from gradus.functions.text import ascii_tokens, tokens
 
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
+# Terms and queries that are broadcast at most, and cells of documents by queries, and documents, that are worked on at once.
+MOST_TERMS, MOST_QUERIES, CELLS, ROWS = 500_000, 20_000, 200_000, 1000
 
 
 def check_k(k: int) -> int:
@@ -45,14 +50,128 @@ def rank(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= check_k(k))
 
 
+def _scale(n: Column) -> Column:
+    return F.when(n > 200, 1e12).otherwise(1e15)
+
+
+class _Terms:
+    """The queries' terms, as far as they fit in a broadcast: query ids, the vocabulary, and for each token the queries that ask for it."""
+
+    def __init__(self, rows: list):
+        self.queries = [r.query_id for r in rows]
+        self.scale = np.array([r.scale for r in rows])
+        self.vocabulary = sorted({t for r in rows for t in r.terms})
+        number = {t: i for i, t in enumerate(self.vocabulary)}
+        pairs = sorted((number[t], q) for q, r in enumerate(rows) for t in r.terms)
+        self.asked = np.array([q for _, q in pairs], np.int64)
+        self.first = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(self.vocabulary) + 1))
+
+    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, token, how often) of the batch's tokens that a query asks for; documents by their place."""
+        lists = batch.column("terms")
+        sizes = np.diff(lists.offsets.to_numpy())
+        found = pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string()))
+        at = pc.fill_null(found, -1).to_numpy()
+        key = (np.repeat(np.arange(len(batch)), sizes) * len(self.vocabulary) + at)[at >= 0]
+        key, tf = np.unique(key, return_counts=True)
+        return key // len(self.vocabulary), key % len(self.vocabulary), tf
+
+
+def _collected(queries: DataFrame, tokenizer: Callable[[Column], Column]) -> _Terms | None:
+    """The queries' terms on the driver, or None if they are more than MOST_TERMS or MOST_QUERIES."""
+    terms = queries.select("query_id", F.array_distinct(tokenizer(F.col("text"))).alias("terms")).withColumn("scale", _scale(F.size("terms"))).where("size(terms) > 0")
+    size = terms.agg(F.count("*").alias("q"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first()
+    return _Terms(terms.orderBy("query_id").collect()) if size.q <= MOST_QUERIES and size.n <= MOST_TERMS else None
+
+
+def _best(shared, weigh, k: int):
+    """Scores all queries over batches of documents, and hands on each query's best ``k`` of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: _Terms = shared.value
+        m = len(terms.queries)
+        step = max(1, min(ROWS, CELLS // m))
+        query, units, ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
+
+        def cut() -> None:
+            nonlocal query, units, ids
+            place = np.unique(ids.astype(str), return_inverse=True)[1] if len(ids) else ids
+            order = np.lexsort((place, -units, query))
+            query, units, ids = query[order], units[order], ids[order]
+            start = np.searchsorted(query, query, side="left")
+            keep = np.arange(len(query)) - start < k
+            query, units, ids = query[keep], units[keep], ids[keep]
+
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                doc, token, tf = terms.counts(batch)
+                part = weigh(token, tf, batch.column("length").to_numpy()[doc])
+                n = (terms.first[1:] - terms.first[:-1])[token]
+                of = terms.asked[np.arange(n.sum()) + np.repeat(terms.first[token] - (np.cumsum(n) - n), n)]
+                grid = np.zeros(len(batch) * m, np.int64)
+                np.add.at(grid, np.repeat(doc, n) * m + of, np.floor(np.repeat(part, n) * terms.scale[of] + 0.5).astype(np.int64))
+                grid = grid.reshape(-1, m)
+                if len(batch) > 4 * k:  # of many documents, those below a query's k-th best go first
+                    low = np.partition(grid, len(batch) - k, axis=0)[len(batch) - k]
+                    where, of = np.nonzero((grid >= low) & (grid > 0))
+                else:
+                    where, of = np.nonzero(grid)
+                names = np.array(batch.column("document_id").to_pylist(), object)
+                named = names[where] != None  # noqa: E711  a document without an id counts in the statistics but can't be named
+                where, of = where[named], of[named]
+                query, units, ids = np.concatenate((query, of)), np.concatenate((units, grid[where, of])), np.concatenate((ids, names[where]))
+                if len(query) > 4 * k * m + 100_000:
+                    cut()
+        cut()
+        yield pa.RecordBatch.from_arrays([pa.array([terms.queries[q] for q in query], pa.string()), pa.array(list(ids), pa.string()), pa.array(units / terms.scale[query], pa.float64())], names=["query_id", "document_id", "score"])
+
+    return run
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, document_id, score, rank). Only documents that share a token with the query appear.
 
-    Tokens of no query are dropped before postings are counted. Parts of a score are added up as integers of 15 decimal places (12 for queries
-    of over 200 tokens, so that sums fit), which makes a score the same for every order and partitioning, and equal documents equal."""
+    Where the queries' terms fit in a broadcast (MOST_TERMS), the corpus is read twice and hardly anything moves: once for the frequencies of these terms and the mean
+    length, which are counted when this is called, and once for scores, of which each task hands on its best ``k`` for each query. Beyond that, postings of the
+    queries' tokens are joined (``bm25_joined``). Both add up parts of a score as integers of 15 decimal places (12 for queries of over 200 tokens, so that sums fit): a
+    score is the same for every order and partitioning, and equal documents are equal."""
+    terms = _collected(queries, tokenizer)
+    if terms is None:
+        return bm25_joined(corpus, queries, k, tokenizer=tokenizer, k1=k1, b=b)
+    docs, spark = tokenized(corpus, tokenizer), corpus.sparkSession
+    schema = "query_id string, document_id string, score double"
+    if not terms.queries:
+        return rank(spark.createDataFrame([], schema), k)
+    shared = spark.sparkContext.broadcast(terms)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, length = np.zeros(len(shared.value.vocabulary) + 1, np.int64), 0, 0
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                _, token, _ = shared.value.counts(batch.slice(at, ROWS))
+                df[:-1] += np.bincount(token, minlength=len(df) - 1)
+            n, length = n + len(batch), length + int(pc.sum(batch.column("length")).as_py() or 0)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*df[some], n], pa.int64()), pa.array([*[0] * len(some), length], pa.int64())], names=["token", "df", "length"])
+
+    rows = docs.mapInArrow(frequencies, "token long, df long, length long").groupBy("token").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+    total = F.first(F.when(F.col("token") == -1, F.col("df")), ignorenulls=True)
+    one = rows.agg(total.alias("n_docs"), F.max("length").alias("total"))
+    rows = rows.where("token >= 0").crossJoin(F.broadcast(one)).select("token", "n_docs", "total", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    found = rows.toPandas()  # as many rows as the queries have different tokens
+    idf = np.zeros(len(terms.vocabulary))
+    idf[found["token"].to_numpy()] = found["idf"].to_numpy()
+    average = float(found["total"].iloc[0] / found["n_docs"].iloc[0]) if len(found) else 1.0
+    weigh = lambda token, tf, length: idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+    return rank(docs.select("document_id", "terms", "length").mapInArrow(_best(shared, weigh, check_k(k)), schema), k)
+
+
+def bm25_joined(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` for any number of queries, by joins: tokens of no query are dropped before postings are counted, and scores are grouped by query and document."""
     docs = tokenized(corpus, tokenizer)
     terms = queries.select("query_id", F.array_distinct(tokenizer(F.col("text"))).alias("terms"))
-    terms = terms.select("query_id", F.when(F.size("terms") > 200, 1e12).otherwise(1e15).alias("scale"), F.explode("terms").alias("token"))
+    terms = terms.select("query_id", _scale(F.size("terms")).alias("scale"), F.explode("terms").alias("token"))
     wanted = terms.select("token").distinct()
     used = docs.select("document_id", "length", F.explode("terms").alias("token")).join(wanted, "token", "left_semi")
     used = used.groupBy("document_id", "length", "token").agg(F.count("*").alias("tf"))
@@ -65,10 +184,17 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[
 
 
 def shared_tokens(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """A plainer ranking to compare with: how many different query tokens a document has."""
-    terms = query_terms(queries, tokenizer)
-    have = tokenized(corpus, tokenizer).select("document_id", F.explode(F.array_distinct("terms")).alias("token"))
-    return rank(have.join(terms, "token").groupBy("query_id", "document_id").agg(F.count("*").cast("double").alias("score")), k)
+    """A plainer ranking to compare with: how many different query tokens a document has. In one pass over the corpus where the terms fit in a broadcast, else by a join."""
+    docs, spark, schema = tokenized(corpus, tokenizer), corpus.sparkSession, "query_id string, document_id string, score double"
+    terms = _collected(queries, tokenizer)
+    if terms is None:
+        have = docs.select("document_id", F.explode(F.array_distinct("terms")).alias("token"))
+        return rank(have.join(query_terms(queries, tokenizer), "token").groupBy("query_id", "document_id").agg(F.count("*").cast("double").alias("score")), k)
+    if not terms.queries:
+        return rank(spark.createDataFrame([], schema), k)
+    terms.scale = np.ones(len(terms.queries))
+    one = lambda token, tf, length: np.ones(len(token))
+    return rank(docs.select("document_id", "terms", "length").mapInArrow(_best(spark.sparkContext.broadcast(terms), one, check_k(k)), schema), k)
 
 
 def rankings(ranked: DataFrame) -> DataFrame:
@@ -77,4 +203,4 @@ def rankings(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.col("rows.document_id").alias("retrieved"), F.col("rows.score").alias("scores"))
 
 
-__all__ = ["ascii_tokens", "bm25", "check_k", "corpus_statistics", "postings", "query_terms", "rank", "rankings", "shared_tokens", "tokenized", "tokens"]
+__all__ = ["ascii_tokens", "bm25", "bm25_joined", "check_k", "corpus_statistics", "postings", "query_terms", "rank", "rankings", "shared_tokens", "tokenized", "tokens"]

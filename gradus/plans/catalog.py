@@ -403,6 +403,11 @@ def stratified_sample(spark, d):
     return sampling.stratified(v.scored(spark, d), ["task_type", "human"], 20, 7).select("example_id", "task_type", "human", F.col("draw").cast("long").alias("draw"))
 
 
+@query(f"""with {v.SCORED} select example_id, task_type, human, draw from (select *, row_number() over (partition by task_type, human order by md5('11:' || example_id), example_id) as draw from scored) where draw <= 2""")
+def consistency_subsample(spark, d):
+    return sampling.stratified(v.scored(spark, d), ["task_type", "human"], 2, 11).select("example_id", "task_type", "human", F.col("draw").cast("long").alias("draw"))
+
+
 @query(f"with {v.SCORED} select task_type || ':' || human as stratum, count(*) as n from scored group by all")
 def stratum_counts(spark, d):
     return v.scored(spark, d).groupBy(F.concat_ws(":", "task_type", "human").alias("stratum")).agg(F.count("*").alias("n"))

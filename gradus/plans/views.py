@@ -36,28 +36,34 @@ def rank_b(spark, d) -> DataFrame:
 def qrels(spark, d) -> DataFrame:
     """A document is relevant to a topic whose text it contains.
 
-    Texts meet by the hash of four words inside the topic, so no document is compared with every topic; what meets is then checked."""
-    anchor = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(4)), " "))
+    The longest words inside a topic (not at its ends, which may be parts of words) have to be words of the document: documents that have them all are looked
+    up by word, without their texts, and only those are read again and checked."""
     words = F.split("text", r"\s+")
-    asked = topics(spark, d).select("query_id", F.col("text").alias("topic"), F.size(words).alias("n"), anchor(words, F.lit(2)).alias("anchor"))
-    docs = corpus(spark, d).select("document_id", "text", words.alias("w"))
-    places = docs.where("size(w) >= 4").select("document_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: anchor(F.col("w"), i)))).alias("anchor"))
-    long = places.join(asked.where("n > 5"), "anchor").where("contains(text, topic)")
-    short = docs.join(asked.where("n <= 5"), F.expr("contains(text, topic)"))  # topics of few words, if there are any
-    return long.select("query_id", "document_id").unionByName(short.select("query_id", "document_id")).withColumn("relevance", F.lit(1).cast("long"))
+    inside = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+    longest = F.slice(F.sort_array(F.transform(inside, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))), asc=False), 1, 3)
+    asked = topics(spark, d).select("query_id", F.col("text").alias("topic"), longest["word"].alias("anchors"))
+    anchors = asked.select("query_id", F.size("anchors").alias("n"), F.explode("anchors").alias("word"))
+    docs = corpus(spark, d)
+    have = docs.select("document_id", F.explode(F.array_distinct(words)).alias("word")).join(anchors, "word")
+    pairs = have.groupBy("query_id", "document_id").agg(F.count("*").alias("found"), F.first("n").alias("n")).where("found = n").select("query_id", "document_id")
+    found = docs.join(pairs, "document_id").join(asked, "query_id").where("contains(text, topic)").select("query_id", "document_id")
+    bare = asked.where("size(anchors) = 0")
+    if bare.take(1):  # topics of one or two words have no word inside
+        found = found.unionByName(docs.join(F.broadcast(bare), F.expr("contains(text, topic)")).select("query_id", "document_id"))
+    return found.withColumn("relevance", F.lit(1).cast("long"))
 
 
 def examples(spark, d) -> DataFrame:
-    """Labelled documents with their tokens, two supports and meta data: example_id, task_type, model, quality, human, human_quality, n_chars, support_a, support_b."""
-    context = table(spark, d, "benchmark").select(F.explode(overlap_tokens(F.col("text"))).alias("t")).distinct().agg(F.collect_set("t").alias("context"))
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").crossJoin(F.broadcast(context))
-    t = overlap_tokens(F.col("text"))
-    docs = docs.select(F.col("doc_id").alias("example_id"), F.col("lang").alias("task_type"), F.col("source").alias("model"), "quality", "toxic", "n_chars", t.alias("t"), "context")
-    a = classify.overlap_support(F.col("t"), F.col("context"))
-    b = (F.col("n_chars") % 100) / 100
+    """Labelled documents with two supports and meta data: example_id, task_type, model, quality, human, human_quality, n_chars, support_a, support_b, support_c.
+
+    The common context is all tokens of the benchmark: a table to join with, not a list to carry along."""
+    context = table(spark, d, "benchmark").select(F.explode(overlap_tokens(F.col("text"))).alias("t")).distinct()
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    docs = docs.select(F.col("doc_id").alias("example_id"), F.col("lang").alias("task_type"), F.col("source").alias("model"), "quality", "toxic", "n_chars", overlap_tokens(F.col("text")).alias("t"))
+    docs = classify.with_common_support(docs, "example_id", "t", context, "support_a")
     c = F.pmod(F.col("example_id") * 37, F.lit(101)) / 100
     human = F.when(F.col("toxic") == 1, classify.POSITIVE).otherwise(classify.NEGATIVE)
-    return docs.select("example_id", "task_type", "model", "quality", "n_chars", human.alias("human"), a.alias("support_a"), b.alias("support_b"), F.least(c, F.lit(1.0)).alias("support_c"))
+    return docs.select("example_id", "task_type", "model", "quality", "n_chars", human.alias("human"), "support_a", ((F.col("n_chars") % 100) / 100).alias("support_b"), F.least(c, F.lit(1.0)).alias("support_c"))
 
 
 def scored(spark, d, which: str = "a", threshold: float = 0.4) -> DataFrame:

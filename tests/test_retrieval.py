@@ -107,6 +107,34 @@ def test_transitions(spark):
     assert transitions.metric_deltas(x, y).count() == 2
 
 
+def test_bm25_in_one_pass_equals_joins(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    docs = [(f"d{i}", " ".join(draw.choices(words, k=draw.randint(0, 40)))) for i in range(300)] + [("x", None), ("dup", "waa wba"), ("dup2", "waa wba")]
+    asked = [(f"q{i}", " ".join(draw.choices(words, k=draw.randint(0, 12)))) for i in range(20)] + [("long", " ".join(words * 5)), ("other", "nothing known"), ("none", "")]
+    corpus = spark.createDataFrame(docs, "document_id string, text string").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    for cells in (retrieval.CELLS, 50):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        one = sorted(map(tuple, retrieval.bm25(corpus, queries, 7).select("query_id", "rank", "document_id", "score").collect()))
+        assert one == sorted(map(tuple, retrieval.bm25_joined(corpus, queries, 7).select("query_id", "rank", "document_id", "score").collect())) and len(one) > 100
+    shared = sorted(map(tuple, retrieval.shared_tokens(corpus, queries, 7).select("query_id", "rank", "document_id", "score").collect()))
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 3)
+    assert shared == sorted(map(tuple, retrieval.shared_tokens(corpus, queries, 7).select("query_id", "rank", "document_id", "score").collect()))
+    assert one == sorted(map(tuple, retrieval.bm25(corpus, queries, 7).select("query_id", "rank", "document_id", "score").collect()))
+    monkeypatch.undo()
+    assert retrieval.bm25(corpus, queries.where("query_id = 'none'"), 3).count() == 0 == retrieval.bm25(corpus.limit(0), queries, 3).count()
+
+
+def test_transition_filters(spark):
+    rows = spark.createDataFrame([("1", "PASS", "PASS", "STABLE_PASS"), ("12", "PASS", "RETRIEVAL_MISS", "INTRODUCED_FAILURE"), ("3", "RETRIEVAL_MISS", "PASS", "RESOLVED_FAILURE")], "query_id string, baseline_category string, candidate_category string, transition string")
+    ids = lambda **f: sorted(r.query_id for r in transitions.filter_transitions(rows, **f).collect())
+    assert ids(candidate_category="PASS") == ["1", "3"] and ids(category="RETRIEVAL_MISS") == ["12", "3"] and ids(contains="1", transition="STABLE_PASS") == ["1"]
+    assert ids(changed=transitions.changed_records(rows, spark.createDataFrame([("1",)], "query_id string"))) == ["1", "12", "3"]
+
+
 MIXED = ["Die Straße nach Ａachen ist länger als jede andere Straße", "la niña come 3,5 kilos de piñas cada día en Perú", "plain words about the road", "ไทย ก ٣4", "THE ROAD is long", ""]
 
 
