@@ -1,4 +1,4 @@
-"""Queries of the ten training-data operators over the driver's tables, and SQL where it can express them."""
+"""Queries of the thirteen training-data operators over the driver's tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import ann, byte_bpe, near_dedup, packing, pii, quality, repeats, token_count, toxicity, url_filter
+from gradus.llm import ann, byte_bpe, clusters, contamination, near_dedup, packing, phrases, pii, quality, repeats, token_count, toxicity, url_filter
 from gradus.llm.common import table
 
 
@@ -113,6 +113,72 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+_WORDS11 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11_SQL = rf"""
+with d as (select doc_id, {_WORDS11} as w from documents),
+b as (select item_id::varchar as item, w, least(len(w), 10) as n from (select item_id, {_WORDS11} as w from benchmark) where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as win from (select *, unnest(range(1, len(w) - n + 2)) as i from b)),
+hit as (select distinct doc_id, i, n, item from (select doc_id, i, k.n, array_to_string(w[i : i + k.n - 1], ' ') as win from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), (select distinct n from b) k where i + k.n - 1 <= len(w)) join win using (n, win)),
+inside as (select doc_id, count(distinct i + j) as n_hit from (select doc_id, i, unnest(range(n)) as j from hit) group by doc_id),
+items as (select doc_id, count(*) filter (item is not null) as n_items, sha256(coalesce(string_agg(item, ',' order by item), '')) as items_sha256 from (select distinct doc_id, item from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
+from d left join inside using (doc_id) left join items using (doc_id)
+"""
+
+
+def _rounds(n: int) -> str:
+    """CTEs of Lloyd's rounds: a0 to a{n} assign, c1 to c{n} move."""
+    assign = "a{0} as (select vec_id, min(row(distance, num)) as best from (select vec_id, num, list_sum(list_transform(range(1, 65), lambda j: (v.q[j] - c.q[j]) * (v.q[j] - c.q[j])))::bigint as distance from v, c{0} c) group by vec_id)"
+    floor = "(s - ((s % n) + n) % n) // n"
+    move = (
+        "c{1} as (select num, coalesce(m.q, c.q) as q from c{0} c left join (select num, list(" + floor + " order by j) as q from (select best[2] as num, j, sum(q[j])::bigint as s, count(*) as n "
+        "from (select best, q, unnest(range(1, 65)) as j from a{0} join v using (vec_id)) group by all) group by num) m using (num))"
+    )
+    return ", ".join([x for i in range(n) for x in (assign.format(i), move.format(i, i + 1))] + [assign.format(n)])
+
+
+OP12_SQL = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('2:' || vec_id::varchar)) - 1 as num, q from v qualify num < 40),
+{_rounds(5)},
+r as (select vec_id, best[2]::int as cluster, best[1] as distance from a5)
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  sha256(array_to_string(c5.q, ',')) as centroid_sha256 from r join c5 on c5.num = r.cluster
+"""
+
+
+OP13_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from p),
+g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 6) r(k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*) as a from g group by all),
+t as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and a >= 100),
+inner_ as (select distinct lang, array_to_string(w[i : i + m - 1], ' ') as phrase, a from (select lang, string_split(phrase, ' ') as w, a, m, unnest(range(1, k - m + 2)) as i from c, range(2, 5) r(m) where m < k)),
+alive as (select c.* from c where not exists (select 1 from inner_ i where i.lang = c.lang and i.phrase = c.phrase and i.a >= c.a)),
+cut as (select lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') as head, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') as rest from (select *, unnest(range(1, k)) as j from alive)),
+s as (select cut.lang, cut.phrase, cut.a, j, h.a as l, r.a as r, n, ((1000::hugeint * cut.a * n) // (h.a::hugeint * r.a))::bigint as score
+  from cut join f h on h.lang = cut.lang and h.phrase = head join f r on r.lang = cut.lang and r.phrase = rest join t on t.lang = cut.lang),
+weak as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from weak qualify rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -124,10 +190,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_repeats": op9_repeats,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_decontamination": op11_decontamination,
+    "op12_clusters": op12_clusters,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
     "op8_near_dedup": OP8_SQL,
+    "op11_decontamination": OP11_SQL,
+    "op12_clusters": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
