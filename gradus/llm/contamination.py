@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import discard, free_name, stash
+from gradus.llm.common import discard, free_name, sieved, stash
 
 WINDOW = 10
 #: Rows of the benchmark's hashes, or windows, up to which they are broadcast (some 100 MB of windows at most); beyond, both sides are shuffled.
@@ -88,7 +88,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
         cut = split.select(one, two, F.explode(all_runs).alias("r")).select(one, two, "r.*")
         met = cut.join(_broadcast(hashes), ["length", "hash"], "left_semi").groupBy(one, two).agg(F.collect_set(F.struct("length", "at", "last")).alias("runs"))
         met = stash(met, "document-runs")
-        near = docs.select(*keys, F.col(text).alias("text")).join(met, [one, two])
+        near = sieved(docs.select(*keys, F.col(text).alias("text")), met, one, "near").where("near").drop("near").join(met, [one, two])
         near = near.select(one, two, words("text").alias("w"), "runs")
         place = F.transform(F.col("runs"), lambda r: F.transform(F.sequence(r["at"], r["last"]), lambda i: F.struct(r["length"].alias("length"), i.alias("at"))))
         starts = near.withColumn("place", F.flatten(place)).select(one, two, F.explode(F.transform("place", lambda p: F.struct(p["length"].alias("length"), p["at"].alias("at"), _window(F.col("w"), p["at"], p["length"]).alias("window")))).alias("p"))
