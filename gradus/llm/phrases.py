@@ -29,15 +29,16 @@ HOT = 200_000
 #: Buckets of word counts that go to every task, 4 bytes each: sixteen for each frequent word, within these bounds.
 FEWEST_BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 22
 #: Bytes of text, and words of fragments, that are worked on together.
-TOGETHER, WORDS = 6_000_000, 600_000
+TOGETHER, WORDS = 9_000_000, 600_000
 #: Words that a task counts before it hands counts on.
 COUNTED = 500_000
 
-_END = b"."  # no word holds it
+# No word holds these: the border of a piece, or a pivot's place in its fragment, and the end of a fragment.
+_END, _CUT = b".", b"!"
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else 46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, bytes]]:
+def _texts(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[dict[str, bytes]]:
     """By language, prepared bytes: A-Z lower, borders of pieces as full stops. Long texts are cut at borders; a piece is never cut."""
     own: dict[str, list[bytes]] = {}
     size = 0
@@ -45,11 +46,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, bytes]]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data, at = text.encode().translate(_CLASS), 0
             while at < len(data):
-                end = len(data) if len(data) - at <= TOGETHER else data.find(_END, at + TOGETHER)
+                end = len(data) if len(data) - at <= together else data.find(_END, at + together)
                 part = data[at : end if end >= 0 else len(data)]
                 own.setdefault(lang, []).append(part)
                 size, at = size + len(part), at + len(part)
-                if size >= TOGETHER:
+                if size >= together:
                     yield {k: _END.join(v) for k, v in own.items()}
                     own, size = {}, 0
     if own:
@@ -61,21 +62,23 @@ def _tokens(data: bytes) -> list[bytes]:
     return data.replace(_END, b" . ").split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
-
-    def rows() -> Iterator[pa.RecordBatch]:
+def _count_words(together: int):
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
             own.pop(_END, None)
             yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
 
-    for texts in _texts(batches):
-        for lang, data in texts.items():
-            counts.setdefault(lang, Counter()).update(_tokens(data))
-        if sum(map(len, counts.values())) > COUNTED:
-            yield from rows()
-            counts = {}
-    yield from rows()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for texts in _texts(batches, together):
+            for lang, data in texts.items():
+                counts.setdefault(lang, Counter()).update(_tokens(data))
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from rows(counts)
+                counts = {}
+        yield from rows(counts)
+
+    return run
 
 
 def _shifted(a: np.ndarray, by: int) -> np.ndarray:
@@ -102,8 +105,8 @@ def _reach(rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def _fragments(tokens: list[bytes], lang: str, bounds: np.ndarray, least: int, longest: int) -> Iterator[tuple]:
-    """(key, part, lang, pivot, parts, fragments, places, counts) for each pivot, or part of one, of these words."""
+def _fragments(tokens: list[bytes], lang: str, bounds: np.ndarray, least: int, longest: int, hot: int) -> Iterator[tuple]:
+    """(key, part, lang, pivot, parts, fragments, counts) for each pivot, or part of one, of these words. A fragment has a full stop for its pivot."""
     words = sorted(set(tokens))
     index = dict(zip(words, range(len(words)), strict=True))
     ids = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
@@ -130,9 +133,10 @@ def _fragments(tokens: list[bytes], lang: str, bounds: np.ndarray, least: int, l
         one ^= one >> np.uint64(29)
         two = (two + value * np.uint64(0xD6E8FEB86659FD93) + np.uint64(j + longest)) * np.uint64(0xC2B2AE3D27D4EB4F)
         two ^= two >> np.uint64(31)
-    parts = np.maximum(1, -(-bound[ids[at]] // HOT))
+    parts = np.maximum(1, -(-bound[ids[at]] // hot))
     part = (two % parts.astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((one, part, rank[at]))
+    after_next, before_last = rank[np.minimum(at + 1, len(rank) - 1)], rank[np.maximum(at - 1, 0)]  # neighbours in the order share words, so they take less room
+    order = np.lexsort((one, np.where(before > 0, before_last, 0), np.where(after > 0, after_next, 0), part, rank[at]))
     at, before, after, one, two, parts, part = (x[order] for x in (at, before, after, one, two, parts, part))
     pivot = ids[at]
     new = np.ones(len(at), bool)
@@ -140,43 +144,43 @@ def _fragments(tokens: list[bytes], lang: str, bounds: np.ndarray, least: int, l
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(at))).astype(np.int32)
     at, before, after, parts, part, pivot = (x[first] for x in (at, before, after, parts, part, pivot))
-    lines = [b" ".join(tokens[a:b]) for a, b in zip((at - before).tolist(), (at + after + 1).tolist(), strict=True)]
-    places = before.astype(np.int8)
+    lines = [b" ".join((*tokens[a:p], _END, *tokens[p + 1 : b])) for a, p, b in zip((at - before).tolist(), at.tolist(), (at + after + 1).tolist(), strict=True)]
     signed = hashes.view(np.int64)
     starts = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-        yield int(signed[pivot[a]]), int(part[a]), lang, words[pivot[a]], int(parts[a]), b"\n".join(lines[a:b]), places[a:b].tobytes(), counts[a:b].tobytes()
+        yield int(signed[pivot[a]]), int(part[a]), lang, words[pivot[a]], int(parts[a]), b"\n".join(lines[a:b]), counts[a:b].tobytes()
 
 
-_ROUTED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("pivot", pa.binary()), ("parts", pa.int64()), ("lines", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
+_ROUTED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("pivot", pa.binary()), ("parts", pa.int64()), ("lines", pa.binary()), ("counts", pa.binary())])
 
 
-def _route(bounds, least: int, longest: int):
+def _route(bounds, least: int, longest: int, hot: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(batches):
+        for texts in _texts(batches, together):
             for lang, data in texts.items():
-                rows = list(_fragments(_tokens(data), lang, bounds.value, least, longest))
+                rows = list(_fragments(_tokens(data), lang, bounds.value, least, longest, hot))
                 for i in range(0, len(rows), 2000):
                     yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*rows[i : i + 2000], strict=True), _ROUTED, strict=True)], schema=_ROUTED)
 
     return run
 
 
-def _ngrams(groups: list[tuple[str, bool, list[tuple[bytes, bytes, bytes]]]], least: int, longest: int) -> list[tuple[str, bytes, int]]:
+def _ngrams(groups: list[tuple[str, bytes, bool, list[tuple[bytes, bytes]]]], least: int, longest: int) -> list[tuple[str, bytes, int]]:
     """(lang, phrase, count) of the n-grams that hold their fragment's pivot; of whole groups only those found often enough."""
-    data = b" . ".join(lines.replace(b"\n", b" . ") for _, _, rows in groups for lines, _, _ in rows)
-    tokens = data.split(b" ")
-    places = np.concatenate([np.frombuffer(p, np.int8) for _, _, rows in groups for _, p, _ in rows]).astype(np.int64)
-    counts = np.concatenate([np.frombuffer(c, np.int32) for _, _, rows in groups for _, _, c in rows]).astype(np.int64)
-    group = np.repeat(np.arange(len(groups)), [sum(len(p) for _, p, _ in rows) for _, _, rows in groups])
-    whole = np.array([w for _, w, _ in groups])
-    words = sorted(set(tokens))
+    tokens = b" ! ".join(lines.replace(b"\n", b" ! ") for *_, rows in groups for lines, _ in rows).split(b" ")
+    counts = np.concatenate([np.frombuffer(c, np.int32) for *_, rows in groups for _, c in rows]).astype(np.int64)
+    group = np.repeat(np.arange(len(groups)), [sum(len(c) // 4 for _, c in rows) for *_, rows in groups])
+    whole = np.array([w for _, _, w, _ in groups])
+    words = sorted({*tokens, *(p for _, p, *_ in groups)})
     index = dict(zip(words, range(len(words)), strict=True))
     ids = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-    end = ids == index.get(_END, -1)
+    end = ids == index.get(_CUT, -1)
     fragment = np.cumsum(end)
     start = np.concatenate([[0], np.flatnonzero(end) + 1])
     offset = np.arange(len(ids)) - start[fragment]
+    pivots = np.flatnonzero(ids == index[_END])
+    places = offset[pivots]  # one in each fragment
+    ids[pivots] = np.array([index[p] for _, p, *_ in groups])[group]
     size = np.diff(np.append(start, len(ids) + 1)) - 1
     at = np.flatnonzero(~end & (offset <= places[fragment]))
     gram, found = np.unique(group[fragment[at]] * len(words) + ids[at], return_inverse=True)[1], []
@@ -191,8 +195,8 @@ def _ngrams(groups: list[tuple[str, bool, list[tuple[bytes, bytes, bytes]]]], le
         own = group[fragment[at[first]]]
         often = (total >= least) | (~whole[own] & (total > 0))
         for i in np.flatnonzero(often).tolist():
-            p = at[first[i]]
-            found.append((groups[own[i]][0], b" ".join(tokens[p : p + n]), int(total[i])))
+            p, (lang, pivot, *_) = at[first[i]], groups[own[i]]
+            found.append((lang, b" ".join(tokens[p : p + n]).replace(_END, pivot), int(total[i])))
         keep = ~held | often[gram]  # what is too rare with its pivot stays so when it grows
         at, gram = at[keep], gram[keep]
     return found
@@ -206,22 +210,22 @@ def _mine(least: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, size, last = [], 0, None
         for batch in batches:
-            for _, part, lang, pivot, parts, lines, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, part, lang, pivot, parts, lines, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (lang, pivot, part) != last:
                     if size >= WORDS:
                         yield rows(groups)
                         groups, size = [], 0
-                    groups.append((lang, parts == 1, []))
+                    groups.append((lang, pivot, parts == 1, []))
                     last = lang, pivot, part
-                groups[-1][2].append((lines, places, counts))
-                size += lines.count(b" ") + len(places)
+                groups[-1][3].append((lines, counts))
+                size += lines.count(b" ") + len(counts) // 4
         if groups:
             yield rows(groups)
 
     return run
 
 
-def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, hot: int = HOT, together: int = TOGETHER) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of 2 to ``longest`` words that occur ``least`` times or more.
 
     Everything is counted by language (null: ``und``): n all words, a the phrase, l and r the parts of its weakest cut, with score floor(1000 a n / (l r)); of equal
@@ -230,7 +234,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_count_words(together), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stash(counts, "phrase-words")
     words = counts.where(F.col("n") >= least)
     many = words.count()
@@ -238,7 +242,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     largest = words.groupBy(F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)).cast("int").alias("at")).agg(F.least(F.max("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     bounds = np.zeros(buckets, np.int32)
     bounds[largest.column("at").to_numpy()] = largest.column("n").to_numpy()
-    routed = texts.mapInArrow(_route(spark.sparkContext.broadcast(bounds), least, longest), "key long, part long, lang string, pivot binary, parts long, lines binary, places binary, counts binary")
+    routed = texts.mapInArrow(_route(spark.sparkContext.broadcast(bounds), least, longest, hot, together), "key long, part long, lang string, pivot binary, parts long, lines binary, counts binary")
     routed = routed.repartition("key", "part").sortWithinPartitions("key", "lang", "pivot", "part")
     mined = routed.mapInArrow(_mine(least, longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return _ranked(stash(mined, "phrases"), words.selectExpr("lang", "word as phrase", "n as a"), counts.groupBy("lang").agg(F.sum("n").alias("n")), top)
