@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 ASCII_TOKEN = r"[a-z]+|[0-9]+(?:[.,][0-9]+)?"
 MIXED_TOKEN = r"[\x{0E00}-\x{0E7F}]+|[a-z]+|\p{Nd}+(?:[.,]\p{Nd}+)?"
 OVERLAP_TOKEN = r"[A-Za-z0-9]+|[\p{L}\p{N}]+"
+# Characters that count as space at the ends of an id.
+SPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 TRUTHY = ("1", "true", "yes")
 
 
@@ -52,7 +54,12 @@ def overlap_tokens(text: Column) -> Column:
 
 def normalized_question(text: Column) -> Column:
     """Folded text with nothing but word characters and the Thai block."""
-    return F.regexp_replace(_folded(text), r"[^\p{L}\p{N}_\x{0E00}-\x{0E7F}]+", "")
+    return F.regexp_replace(_fold(text), r"[^\p{L}\p{N}_\x{0E00}-\x{0E7F}]+", "")
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def truthy(value: Column) -> Column:

@@ -4,13 +4,15 @@ from difflib import SequenceMatcher
 import pytest
 
 from gradus.functions import text as tx
-from gradus.operators import validate
+from gradus.functions import gestalt
+from gradus.operators import similar, validate
 from gradus.plans import catalog
 
 
-@pytest.mark.parametrize("block", [validate.BLOCK, 7])
-def test_long_texts_against_brute_force(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(validate, "BLOCK", block)
+@pytest.mark.parametrize(("bits", "walked"), [(similar.SIEVE_BITS, gestalt.PAIRS), (1 << 10, -1)])
+def test_long_texts_against_brute_force(spark, tmp_path, monkeypatch, bits, walked):
+    monkeypatch.setattr(similar, "SIEVE_BITS", bits)
+    monkeypatch.setattr(gestalt, "PAIRS", walked)
     draw = random.Random(3)
     letters = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, range(0x4E00, 0x4F00)))  # rare ones, since the matcher anchors on no frequent character
     words = ["".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(300)]
