@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.text import safe_ratio
+from gradus.operators.order import numbered
 
 POSITIVE, NEGATIVE = "HALLUCINATED", "GROUNDED"
 RATES = ("precision", "recall", "f1", "accuracy", "specificity", "balanced_accuracy", "false_positive_rate", "false_negative_rate")
@@ -133,11 +134,7 @@ def calibration(scored: DataFrame, probability: Column, outcome: Column, bins: i
 def length_quartiles(rows: DataFrame, length: Column, key: str = "example_id") -> DataFrame:
     """``rows`` with quartile (Q1 to Q4): four times the rank by length and key over the number of rows, not ntile.
 
-    A rank over everything is asked for; it is counted by length first, so a single partition ranks different lengths, not rows, and
-    rows of one length are ranked among themselves."""
-    rows = rows.withColumn("__len", length)
-    sizes = rows.groupBy("__len").agg(F.count("*").alias("__n"))
-    before = sizes.withColumns({"__before": F.sum("__n").over(Window.orderBy("__len")) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy())})
-    ranked = rows.join(before, "__len").withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy("__len").orderBy(key)) - 1)
-    quartile = F.concat(F.lit("Q"), (F.least(F.lit(3), F.floor(F.col("__rank") * 4 / F.col("__all"))) + 1).cast("string"))
-    return ranked.withColumn("quartile", quartile).drop("__len", "__n", "__before", "__all", "__rank")
+    The rank over everything is summed up over ranges of the order, so neither many rows nor many of one length meet in a task."""
+    ranked = numbered(rows.withColumn("__len", length), F.col("__len"), F.col(key), name="__place").crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))
+    quartile = F.concat(F.lit("Q"), (F.least(F.lit(3), F.floor((F.col("__place") - 1) * 4 / F.col("__all"))) + 1).cast("string"))
+    return ranked.withColumn("quartile", quartile).drop("__len", "__all", "__place")

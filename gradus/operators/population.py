@@ -19,7 +19,7 @@ CLAIM_SCOPES = ("INTEGRATION_ONLY", "PROTOCOL_SPECIFIC", "BENCHMARK_RESULT")
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: n_records, fingerprint. The same for any order of rows.
 
-    Each record's hash is summed as a number, in four parts of 64 bits that cannot cancel, so the rows are never gathered or sorted."""
+    Each record's hash is summed as a number, in four parts of 60 bits that cannot cancel, so the rows are never gathered or sorted."""
     line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(line, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
     return rows.select(line.alias("__l"), *columns).agg(F.count("*").alias("n_records"), *parts).select("n_records", F.sha2(F.concat_ws(":", F.col("n_records").cast("string"), *[F.col(f"p{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import safe_ratio
+from gradus.operators.order import numbered, percentiles, running
 
 # Names that providers give to token counts, in order of preference, and the preference order of judges.
 TOKEN_ALIASES = {
@@ -21,6 +22,12 @@ FAMILIES = (
     ("Gemini", ("gemini", "gemma", "google")), ("DeepSeek", ("deepseek",)), ("Qwen", ("qwen",)), ("Mistral", ("mistral",)), ("Meta/Llama", ("llama", "meta")),
     ("Claude", ("claude", "anthropic")), ("OpenAI", ("openai", "gpt-")), ("xAI", ("grok", "xai")), ("Nova", ("nova",)), ("Perplexity", ("perplexity",)),
 )
+# Words of an error that say which limit was reached, in order.
+RATE_LIMITS = (
+    ("RPD", ("requestsperday", "requests_per_day", "rpd")),
+    ("TPM", ("tokensperminute", "tokens_per_minute", "tpm")),
+    ("RPM", ("requestsperminute", "requests_per_minute", "rpm")),
+)
 NO_CHAT = ("embedding", "rerank", "vision", "image", "audio", "tts")
 PREFERRED = ("deepseek-v4-flash", "deepseek-v4-pro", "qwen3.6-flash", "qwen3.5-9b", "mistral-medium-3.1", "llama-4-scout", "llama-4-maverick")
 
@@ -44,9 +51,10 @@ def safe_projection(rows: DataFrame, key: list[str], allowed: tuple[str, ...] =
 
 def latency(rows: DataFrame, by: str | None = None, column: str = "latency_ms") -> DataFrame:
     """count, mean, p50 and p95 by nearest rank; zeros for no rows."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by `{column}`)")
-    aggs = [F.count(column).alias("count"), F.coalesce(F.avg(column), F.lit(0.0)).alias("mean"), F.coalesce(at(0.5), F.lit(0.0)).alias("p50"), F.coalesce(at(0.95), F.lit(0.0)).alias("p95")]
-    return rows.groupBy(by).agg(*aggs) if by else rows.agg(*aggs)
+    aggs = [F.count(column).alias("count"), F.coalesce(F.avg(column), F.lit(0.0)).alias("mean")]
+    at = percentiles(rows, column, {"p50": 0.5, "p95": 0.95}, by)
+    out = rows.groupBy(by).agg(*aggs).join(at.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by") if by else rows.agg(*aggs).crossJoin(at)
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("p50", "p95")})
 
 
 def usage(rows: DataFrame, by: str | None = None, column: str = "usage") -> DataFrame:
@@ -147,9 +155,8 @@ def rate_limit_dimension(status: Column, error: Column) -> Column:
     """Only for 429, by words of the body's error: requests per day before tokens and requests per minute, else OTHER."""
     text = F.lower(F.coalesce(error, F.lit("")))
     out = F.when(status != 429, F.lit(None))
-    for name, unit in (("RPD", "requests day"), ("TPM", "tokens minute"), ("RPM", "requests minute")):
-        what, per = unit.split()
-        out = out.when(text.contains(f"{what}per{per}") | text.contains(f"{what}_per_{per}") | text.contains(name.lower()), name)
+    for name, terms in RATE_LIMITS:
+        out = out.when(F.greatest(*[text.contains(t) for t in terms]), name)
     return out.otherwise("OTHER")
 
 
@@ -196,9 +203,9 @@ def streaks(attempts: DataFrame, by: str, order: list[str], limit: int = 3) -> D
     """Each attempt with the gap to the one before, the length of the run of rate limits that it ends, and whether the breaker is open: after ``limit`` in a row, or at
     once if ``rate_limit_dimension`` is there and says that a day's requests are used up."""
     ordered = Window.partitionBy(by).orderBy(*order)
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     limited = F.col("error_class") == "API_RATE_LIMIT"
-    rows = attempts.withColumn("limited", F.coalesce(limited, F.lit(False))).withColumn("reset", F.sum((~F.col("limited")).cast("int")).over(running))
+    rows = attempts.withColumn("limited", F.coalesce(limited, F.lit(False))).withColumn("reset", F.sum((~F.col("limited")).cast("int")).over(upto))
     run = Window.partitionBy(by, "reset").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("streak", F.sum(F.col("limited").cast("int")).over(run))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -210,9 +217,10 @@ def streaks(attempts: DataFrame, by: str, order: list[str], limit: int = 3) -> D
 
 
 def full_run_breaker(attempts: DataFrame, by: str, order: list[str], failures: int = 10, least_valid: float = 0.98, after: int = 100) -> DataFrame:
-    """(by, stop_at): the first attempt that makes too many failures, or too few valid ones after enough of them."""
-    running = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = attempts.withColumns({"nth": F.count("*").over(running), "valid": F.sum(F.col("api_success").cast("int")).over(running)})
+    """(by, stop_at): the number of the first attempt that makes too many failures, or too few valid ones after enough of them; null if none does.
+
+    Valid is an attempt with a prediction (``label``), whatever the call itself gave. A provider's log of any length is summed over ranges of its order."""
+    rows = running(attempts.select(by, *order, "label"), [F.col(c) for c in order], {"nth": F.lit(1), "valid": F.when(F.col("label").isNotNull(), 1).otherwise(0)}, partition=[by])
     stop = (F.col("nth") - F.col("valid") >= failures) | ((F.col("nth") >= after) & (F.col("valid") / F.col("nth") < least_valid))
     return rows.groupBy(by).agg(F.min(F.when(stop, F.col("nth"))).alias("stop_at"))
 
@@ -224,7 +232,7 @@ def recommend(summaries: DataFrame) -> DataFrame:
     worst = {"balanced_accuracy": 0.0, "f1": 0.0, "false_positive_rate": 1.0, "p95": float("inf"), "total_tokens": float("inf")}
     rows = summaries.where("missing_count = 0 and api_success_rate = 1.0 and parse_success_rate = 1.0").withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(w)) for c, w in worst.items()})
     order = [F.desc("balanced_accuracy"), F.desc("f1"), F.asc("false_positive_rate"), F.desc("parse_success_rate"), F.asc("p95"), F.asc("total_tokens"), F.asc("provider")]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return numbered(rows, *order)
 
 
 def recommendation(summaries: DataFrame) -> DataFrame:
@@ -242,8 +250,9 @@ def token_estimate(rows: DataFrame, output_tokens: int, column: str = "prompt")
 def lengths(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(field, min, p50, p95, max, mean) of characters."""
     long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.length(c).alias("n")) for c in columns])))
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by n)")
-    return long.groupBy("field").agg(F.min("n").alias("min"), at(0.5).cast("long").alias("p50"), at(0.95).cast("long").alias("p95"), F.max("n").alias("max"), F.avg("n").alias("mean"))
+    at = percentiles(long, "n", {"p50": 0.5, "p95": 0.95}, "field")
+    out = long.groupBy("field").agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean")).join(at, "field", "left")
+    return out.select("field", "min", F.col("p50").cast("long").alias("p50"), F.col("p95").cast("long").alias("p95"), "max", "mean")
 
 
 def model_family(name: Column) -> Column:

@@ -21,8 +21,9 @@ def grades(truth: DataFrame) -> DataFrame:
 
 
 def qrel_grades(queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Grades of all ``queries``; one that no judgment names has an empty map."""
-    found = qrels.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("document_id", F.col("relevance").cast("double")))).alias("grades"))
+    """Grades of all ``queries``; one that no judgment names has an empty map. Of several judgments of one pair the highest counts."""
+    one = qrels.groupBy("query_id", "document_id").agg(F.max("relevance").alias("relevance"))
+    found = one.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("document_id", F.col("relevance").cast("double")))).alias("grades"))
     return queries.select("query_id").join(found, "query_id", "left").withColumn("grades", F.coalesce("grades", F.create_map().cast("map<string,double>")))
 
 

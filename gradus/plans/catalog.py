@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import text as tx
 from gradus.operators import benchmarks, classify, evidence, jobs, paired, population, providers, ranking, regression, retrieval, sampling, thresholds, transitions, validate
+from gradus.operators.order import numbered
 from gradus.plans import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -624,13 +625,19 @@ def technical_reliability(spark, d):
     return _round(providers.technical_reliability(v.attempts(spark, d), "provider"))
 
 
+@query(f"""with {v.ATTEMPTS}, r as (select provider, row_number() over w as nth, count(label) over w as valid from attempts window w as (partition by provider order by ts, event_id rows unbounded preceding))
+select provider, min(nth) filter (nth - valid >= 10 or nth >= 100 and valid / nth < 0.98) as stop_at from r group by provider""")
+def full_run_breaker(spark, d):
+    return providers.full_run_breaker(v.attempts(spark, d), "provider", ["ts", "event_id"])
+
+
 @query(f"""with {v.ATTEMPTS}, m as (select user_id as example_id, row_number() over (order by user_id desc) as position from (select distinct user_id from events)),
 f as (select example_id, case when http_status = 401 then 'API_AUTH_ERROR' when http_status = 429 then 'API_RATE_LIMIT' when http_status = 503 then 'API_SERVER_ERROR' when k % 2 <> 0 then 'PERSISTED_SCHEMA_VALIDATION_SUBTYPE_UNKNOWN'
   when k % 3 = 0 then 'OUTPUT_TOKEN_LIMIT' else 'PERSISTED_PARSE_ERROR_SUBTYPE_UNKNOWN' end as category from attempts where status <> 'SUCCESS' and provider = 'click')
 select category, position, example_id from f join m using (example_id)""")
 def failure_breakdown(spark, d):
     rows = _failed(spark, d).where("provider = 'click'").withColumn("finish_reason", F.when(F.col("k") % 3 == 0, "length").otherwise("stop"))
-    manifest = v.table(spark, d, "events").select(F.col("user_id").alias("example_id")).distinct().withColumn("position", F.row_number().over(Window.orderBy(F.desc("example_id"))).cast("long"))
+    manifest = numbered(v.table(spark, d, "events").select(F.col("user_id").alias("example_id")).distinct(), F.desc("example_id"), name="position")
     return providers.failure_breakdown(rows, manifest)
 
 
