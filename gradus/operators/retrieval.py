@@ -110,7 +110,7 @@ def _best(shared, weigh, k: int):
                 n = (terms.first[1:] - terms.first[:-1])[token]
                 of = terms.asked[np.arange(n.sum()) + np.repeat(terms.first[token] - (np.cumsum(n) - n), n)]
                 grid = np.zeros(len(batch) * m, np.int64)
-                np.add.at(grid, np.repeat(doc, n) * m + of, np.floor(np.repeat(part, n) * terms.scale[of] + 0.5).astype(np.int64))
+                np.add.at(grid, np.repeat(doc, n) * m + of, np.rint(np.repeat(part, n) * terms.scale[of]).astype(np.int64))
                 grid = grid.reshape(-1, m)
                 if len(batch) > 4 * k:  # of many documents, those below a query's k-th best go first
                     low = np.partition(grid, len(batch) - k, axis=0)[len(batch) - k]
@@ -179,7 +179,7 @@ def bm25_joined(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Cal
     idf = df.crossJoin(F.broadcast(corpus_statistics(docs))).select("token", "avg_length", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     parts = used.join(idf, "token").select("token", "document_id", weight.alias("part")).join(terms, "token")
-    scores = parts.groupBy("query_id", "document_id", "scale").agg(F.sum(F.round(F.col("part") * F.col("scale")).cast("long")).alias("units"))
+    scores = parts.groupBy("query_id", "document_id", "scale").agg(F.sum(F.rint(F.col("part") * F.col("scale")).cast("long")).alias("units"))
     return rank(scores.select("query_id", "document_id", (F.col("units") / F.col("scale")).alias("score")), k)
 
 
