@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradus import schemas
-from gradus.functions.text import span_issues, truthy
+from gradus.functions.text import span_issues, stripped, truthy
+from gradus.sources import delimited
 
 MAX_INPUT_BYTES = 10 * 1024 * 1024
 
@@ -174,37 +175,89 @@ def checked_file(spark: SparkSession, path: str, sha256: str | None = None) -> D
 
 
 def registered_input(spark: SparkSession, path: str, kind: str, sha256: str | None = None) -> DataFrame:
-    """One row: kind, records, length, sha256 of a file of ground truth or predictions within the size limit. Any issue, or another hash than the one expected, is an error."""
+    """One row: kind, records, length, sha256 of a file of ground truth or predictions within the size limit. Any issue, or another hash than the one expected, is an error.
+
+    What can be known before any record is read is an InputError at once: UNSUPPORTED_KIND, UNSUPPORTED_FORMAT (not .jsonl), INVALID_REFERENCE_PATH (not absolute, or a network share), NOT_A_FILE,
+    UNREADABLE_INPUT, INPUT_TOO_LARGE, EMPTY_INPUT, INVALID_UTF8."""
     if kind not in ("ground_truth", "predictions"):
         raise InputError("UNSUPPORTED_KIND", kind)
+    if not path.lower().endswith(".jsonl"):
+        raise InputError("UNSUPPORTED_FORMAT", path)
+    _check_path(spark, path, MAX_INPUT_BYTES)
+    text = spark.read.option("lineSep", "\n").text(path)
+    seen = text.agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"), F.count_if(F.trim(F.make_valid_utf8("value")) != "").alias("some")).first()
+    if seen.bad:
+        raise InputError("INVALID_UTF8", path)
+    if not seen.some:
+        raise InputError("EMPTY_INPUT", path)
     records, issues = (ground_truth if kind == "ground_truth" else predictions)(spark, path)
     file = checked_file(spark, path, sha256).select("length", "sha256", F.length("content").alias("read"))
     n = strict(records, issues).agg(F.count("*").alias("records"))
     return n.crossJoin(file.where("read = length")).select(F.lit(kind).alias("kind"), "records", "length", "sha256")
 
 
-def mapped_csv(spark: SparkSession, path: str, kind: str, mapping: dict[str, str], delimiter: str = "|") -> DataFrame:
-    """Ground truth or predictions from two named columns of a CSV file; the ids of a cell are split, trimmed and blanks dropped."""
+def _check_path(spark: SparkSession, path: str, most: int | None = None) -> None:
+    """Whether ``path`` is an absolute path of a regular file that can be read, by the file system it names (links are followed)."""
+    bare = path.split("://", 1)[1] if "://" in path else path.removeprefix("file:")
+    if path.startswith(("\\\\", "//")) or "://" not in path and not bare.startswith("/"):
+        raise InputError("INVALID_REFERENCE_PATH", path)
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        regular, size = status.isFile(), status.getLen()
+    except Exception as e:
+        raise InputError("UNREADABLE_INPUT", path) from e
+    if not regular:
+        raise InputError("NOT_A_FILE", path)
+    if most is not None and size > most:
+        raise InputError("INPUT_TOO_LARGE", path)
+
+
+def mapped_csv(spark: SparkSession, path: str, kind: str, mapping: dict[str, str], delimiter: str = "|", *, most_bytes: int | None = None) -> DataFrame:
+    """``csv_records`` of which any issue fails the query."""
+    return strict(*csv_records(spark, path, kind, mapping, delimiter, most_bytes=most_bytes))
+
+
+def csv_records(spark: SparkSession, path: str, kind: str, mapping: dict[str, str], delimiter: str = "|", *, most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ground truth or predictions from two named columns of a CSV file of any size, and issues: INVALID_UTF8, INVALID_CSV (also rows of another length than the header), INVALID_RECORD (no query id, or
+    documents that repeat) and DUPLICATE_QUERY_ID; these are left out. The ids of a cell are split, trimmed and blanks dropped.
+
+    An InputError at once are UNSUPPORTED_KIND, INVALID_MAPPING, UNSUPPORTED_FORMAT (not .csv), NOT_A_FILE, UNREADABLE_INPUT, INPUT_TOO_LARGE (with ``most_bytes``), EMPTY_INPUT, DUPLICATE_HEADERS
+    and MISSING_COLUMN."""
     if kind not in ("ground_truth", "predictions"):
         raise InputError("UNSUPPORTED_KIND", kind)
-    if len(delimiter) != 1 or set(mapping) != {"query_id", "document_ids"} or len(set(mapping.values())) != 2:
+    names = {k: v.strip() for k, v in mapping.items()}
+    if len(delimiter) != 1 or set(names) != {"query_id", "document_ids"} or len(set(names.values())) != 2 or not all(names.values()):
         raise InputError("INVALID_MAPPING", "a mapping names one column for query_id and another for document_ids, and a delimiter of one character")
-    head = spark.read.text(path).limit(1).collect()
-    if not head:
-        raise InputError("EMPTY_INPUT", path)
-    import csv
-
-    names = [h.strip() for h in next(csv.reader([head[0][0].lstrip("﻿")]))]
-    if len(set(names)) != len(names):
-        raise InputError("DUPLICATE_HEADERS", ", ".join(names))
-    if missing := set(mapping.values()) - set(names):
+    if not path.lower().endswith(".csv"):
+        raise InputError("UNSUPPORTED_FORMAT", path)
+    _check_path(spark, path, most_bytes)
+    rows, issues = delimited.table(spark, path)
+    # the header is the first row, after any blank ones: the least line of a file is a partial minimum, not a sort
+    first = rows.agg(F.min(F.struct("line", "nth", "fields")).alias("head")).first().head
+    if first is None:
+        broken = issues.agg(F.min("code").alias("code")).first().code
+        raise InputError(broken or "EMPTY_INPUT", path)
+    head = [h.strip() for h in first.fields]
+    if len(set(head)) != len(head) or not all(head):
+        raise InputError("DUPLICATE_HEADERS", ", ".join(head))
+    if missing := set(names.values()) - set(head):
         raise InputError("MISSING_COLUMN", ", ".join(sorted(missing)))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, mode="FAILFAST", multiLine=True, encoding="UTF-8")
-    ids = F.filter(F.transform(F.split(F.coalesce(F.col(f"`{mapping['document_ids']}`"), F.lit("")), "\\" + delimiter), lambda x: F.trim(x)), lambda x: x != "")
-    rows = rows.select(F.trim(F.col(f"`{mapping['query_id']}`")).alias("query_id"), ids.alias("relevant" if kind == "ground_truth" else "retrieved"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("query_id"))
-    return rows.withColumn("query_id", F.when(nth > 1, F.raise_error(F.concat(F.lit("DUPLICATE_QUERY_ID "), "query_id"))).otherwise(F.col("query_id")))
+    body = rows.where((F.col("line") > first.line) | (F.col("line") == first.line) & (F.col("nth") > first.nth))
+    if not body.take(1) and not issues.take(1):
+        raise InputError("EMPTY_INPUT", path)
+    at = F.concat(F.lit("line "), F.col("line").cast("string"))
+    ragged = F.size("fields") != len(head)
+    issues = issues.unionByName(body.where(ragged).select(*_issue("INVALID_CSV", at, F.lit(None))))
+    cell = lambda k: F.get("fields", F.lit(head.index(names[k])))
+    ids = F.filter(F.transform(F.split(cell("document_ids"), "\\Q" + delimiter + "\\E", -1), stripped), lambda x: x != "")
+    own = body.where(~ragged).select("line", stripped(cell("query_id")).alias("query_id"), ids.alias("ids"))
+    bad = (F.col("query_id") == "") | (F.size(F.array_distinct("ids")) != F.size("ids"))
+    issues = issues.unionByName(own.where(bad).select(*_issue("INVALID_RECORD", at, F.col("query_id"))))
+    again = own.groupBy("query_id").agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n > 1")
+    issues = issues.unionByName(again.select(*_issue("DUPLICATE_QUERY_ID", at, F.col("query_id"))))
+    good = own.where(~bad).join(again, "query_id", "left_anti")
+    return good.select("query_id", F.col("ids").alias("relevant" if kind == "ground_truth" else "retrieved")), issues
 
 
 def model_catalog(spark: SparkSession, responses: DataFrame) -> DataFrame:
