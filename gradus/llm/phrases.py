@@ -106,7 +106,7 @@ def _reach(rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fragments(tokens: list[bytes], lang: str, bounds: np.ndarray, least: int, longest: int, hot: int) -> Iterator[tuple]:
-    """(key, part, lang, pivot, parts, fragments, counts) for each pivot, or part of one, of these words. A fragment has a full stop for its pivot."""
+    """(head, body) for each pivot, or part of one, of these words: which one it is, and its different fragments with their numbers. A fragment has a full stop for its pivot."""
     words = sorted(set(tokens))
     index = dict(zip(words, range(len(words)), strict=True))
     ids = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
@@ -145,13 +145,34 @@ def _fragments(tokens: list[bytes], lang: str, bounds: np.ndarray, least: int, l
     counts = np.diff(np.append(first, len(at))).astype(np.int32)
     at, before, after, parts, part, pivot = (x[first] for x in (at, before, after, parts, part, pivot))
     lines = [b" ".join((*tokens[a:p], _END, *tokens[p + 1 : b])) for a, p, b in zip((at - before).tolist(), at.tolist(), (at + after + 1).tolist(), strict=True)]
-    signed = hashes.view(np.int64)
     starts = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-        yield int(signed[pivot[a]]), int(part[a]), lang, words[pivot[a]], int(parts[a]), b"\n".join(lines[a:b]), counts[a:b].tobytes()
+        yield _head(words[pivot[a]], int(part[a]), int(parts[a]), lang), _body(lines[a:b], counts[a:b])
 
 
-_ROUTED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("pivot", pa.binary()), ("parts", pa.int64()), ("lines", pa.binary()), ("counts", pa.binary())])
+def _head(pivot: bytes, part: int, parts: int, lang: str) -> bytes:
+    return b"%b\n%d %d %b" % (pivot, part, parts, lang.encode())
+
+
+def _unhead(head: bytes) -> tuple[str, bytes, bool]:
+    """(lang, pivot, whether it has one part)."""
+    pivot, rest = head.split(b"\n", 1)
+    _, parts, lang = rest.split(b" ", 2)
+    return lang.decode(), pivot, parts == b"1"
+
+
+def _body(lines: list[bytes], counts: np.ndarray) -> bytes:
+    """Numbers take a byte each, or four if one of them needs more."""
+    kind = "<u1" if counts.max() < 256 else "<u4"
+    return len(lines).to_bytes(4, "little") + kind[-1:].encode() + counts.astype(kind).tobytes() + b"\n".join(lines)
+
+
+def _unbody(body: bytes) -> tuple[bytes, np.ndarray]:
+    n, width = int.from_bytes(body[:4], "little"), int(body[4:5])
+    return body[5 + n * width :], np.frombuffer(body, f"<u{width}", n, 5).astype(np.int64)
+
+
+_ROUTED = pa.schema([("head", pa.binary()), ("body", pa.binary())])
 
 
 def _route(bounds, least: int, longest: int, hot: int, together: int):
@@ -165,11 +186,11 @@ def _route(bounds, least: int, longest: int, hot: int, together: int):
     return run
 
 
-def _ngrams(groups: list[tuple[str, bytes, bool, list[tuple[bytes, bytes]]]], least: int, longest: int) -> list[tuple[str, bytes, int]]:
+def _ngrams(groups: list[tuple[str, bytes, bool, list[tuple[bytes, np.ndarray]]]], least: int, longest: int) -> list[tuple[str, bytes, int]]:
     """(lang, phrase, count) of the n-grams that hold their fragment's pivot; of whole groups only those found often enough."""
     tokens = b" ! ".join(lines.replace(b"\n", b" ! ") for *_, rows in groups for lines, _ in rows).split(b" ")
-    counts = np.concatenate([np.frombuffer(c, np.int32) for *_, rows in groups for _, c in rows]).astype(np.int64)
-    group = np.repeat(np.arange(len(groups)), [sum(len(c) // 4 for _, c in rows) for *_, rows in groups])
+    counts = np.concatenate([c for *_, rows in groups for _, c in rows])
+    group = np.repeat(np.arange(len(groups)), [sum(len(c) for _, c in rows) for *_, rows in groups])
     whole = np.array([w for _, _, w, _ in groups])
     words = sorted({*tokens, *(p for _, p, *_ in groups)})
     index = dict(zip(words, range(len(words)), strict=True))
@@ -210,15 +231,16 @@ def _mine(least: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, size, last = [], 0, None
         for batch in batches:
-            for _, part, lang, pivot, parts, lines, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, pivot, part) != last:
+            for head, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if head != last:
                     if size >= WORDS:
                         yield rows(groups)
                         groups, size = [], 0
-                    groups.append((lang, pivot, parts == 1, []))
-                    last = lang, pivot, part
+                    groups.append((*_unhead(head), []))
+                    last = head
+                lines, counts = _unbody(body)
                 groups[-1][3].append((lines, counts))
-                size += lines.count(b" ") + len(counts) // 4
+                size += lines.count(b" ") + len(counts)
         if groups:
             yield rows(groups)
 
@@ -242,8 +264,8 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     largest = words.groupBy(F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)).cast("int").alias("at")).agg(F.least(F.max("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     bounds = np.zeros(buckets, np.int32)
     bounds[largest.column("at").to_numpy()] = largest.column("n").to_numpy()
-    routed = texts.mapInArrow(_route(spark.sparkContext.broadcast(bounds), least, longest, hot, together), "key long, part long, lang string, pivot binary, parts long, lines binary, counts binary")
-    routed = routed.repartition("key", "part").sortWithinPartitions("key", "lang", "pivot", "part")
+    routed = texts.mapInArrow(_route(spark.sparkContext.broadcast(bounds), least, longest, hot, together), "head binary, body binary")
+    routed = routed.repartition("head").sortWithinPartitions("head")
     mined = routed.mapInArrow(_mine(least, longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return _ranked(stash(mined, "phrases"), words.selectExpr("lang", "word as phrase", "n as a"), counts.groupBy("lang").agg(F.sum("n").alias("n")), top)
 
