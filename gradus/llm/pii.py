@@ -44,7 +44,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPACE = " \t\n\x0b\x0c\r"
 _AROUND = "\"'`.,;:!?()[]{}<>|#*$%&="
-_LAST = 64
+#: Characters beyond which a word of a context, and an instance, go by a hash of the whole.
+LONG_WORD, LONG_INSTANCE = 64, 256
 
 
 def luhn(digits: str) -> bool:
@@ -84,20 +85,24 @@ def _token_start(text: str, at: int) -> int:
     return at
 
 
+def _named(word: str, most: int) -> str:
+    """A word itself, or a hash of a longer one; no word begins like the latter."""
+    return word if len(word) <= most else " " + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
 def _context(text: str, start: int) -> str | None:
-    """The two words before the token at ``start``, lower-cased, the last 64 characters of each; None if there are fewer."""
+    """The two words before the token at ``start``, lower-cased; None if there are fewer."""
     low = max(0, start - 400)
     while True:
         before = text[low:start].split()
-        whole = low == 0 or len(before) > 2 or len(before) == 2 and (len(before[0]) >= _LAST or text[low - 1 : low + 1].strip() != text[low - 1 : low + 1])
-        if whole:
-            return "\t".join(w.lower()[-_LAST:] for w in before[-2:]) if len(before) >= 2 else None
+        if low == 0 or len(before) > 2:
+            return "\t".join(_named(w.lower(), LONG_WORD) for w in before[-2:]) if len(before) >= 2 else None
         low = max(0, start - 4 * (start - low))
 
 
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """(start, end, instance, context, is_seed) of seeds and of other tokens with a digit or @. A context may be None: no pattern, but a known instance is found."""
-    out = [(a, b, text[a:b].lower()[:256], _context(text, _token_start(text, a)), True) for a, _, b in base]
+    out = [(a, b, _named(text[a:b].lower(), LONG_INSTANCE), _context(text, _token_start(text, a)), True) for a, _, b in base]
     ends = sorted((a, b) for a, _, b in base)
     done = k = reach = 0
     while m := _ANY.search(text, done):
@@ -112,7 +117,7 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             reach = max(reach, ends[k][1])
             k += 1
         if len(token) >= 4 and reach <= start:
-            out.append((start + left, start + left + len(token), token.lower()[:256], _context(text, start), False))
+            out.append((start + left, start + left + len(token), _named(token.lower(), LONG_INSTANCE), _context(text, start), False))
     return out
 
 
@@ -165,13 +170,13 @@ def _occurrences(docs: DataFrame, supported: DataFrame) -> DataFrame:
                 words = (text or "").lower().split()
                 before = None
                 for i, w in enumerate(words):
-                    if len(w) > _LAST:
-                        w = w[-_LAST:]
+                    if len(w) > LONG_WORD:
+                        w = words[i] = _named(w, LONG_WORD)
                     h, as_second = own.get(w) or known(w)
                     if as_second is not None and before is not None:
                         at = (before ^ as_second) & (pair_bits - 1)
                         if pair_mask[at >> 3] >> (at & 7) & 1:
-                            total[f"{words[i - 1][-_LAST:]}\t{w}"] += 1
+                            total[f"{words[i - 1]}\t{w}"] += 1
                     before = h
             if len(total) > CACHED:
                 yield rows()

@@ -199,3 +199,19 @@ def test_scores_beyond_64_bits(spark):
     words = spark.createDataFrame([("en", "a", 5 * 10**15), ("en", "b", 7 * 10**15)], "lang string, phrase string, a long")
     got = phrases._ranked(one, words, spark.createDataFrame([("en", 9 * 10**17)], "lang string, n long"), 5).first()
     assert got.score == 1000 * 4 * 10**15 * 9 * 10**17 // (35 * 10**30)
+
+
+# ---- long tokens and words in personal data ----------------------------------------------------------------------
+
+
+def test_long_tokens_are_told_apart(spark):
+    same, word = "k9" * 200, "w" * 80
+    seeds = [f"write to user{i}@mail.example now" for i in range(6)]
+    texts = [*seeds, f"please write to {same}a here", f"other words {same}b here", f"other words {same}a here"]
+    # words that end alike are two contexts: only the first one precedes seeds
+    texts += [f"x {'a' + word} {'b' + word} one{i}@mail.example" for i in range(6)] + [f"x {'a' + word} {'b' + word} id-77", f"x {'c' + word} {'d' + word} id-88"]
+    from gradus.llm import pii
+
+    got = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[6] == f"id:16:{16 + len(same) + 1}" and got[7] == "" and got[8].startswith("id:12:")
+    assert got[15].startswith("id:") and got[16] == ""
