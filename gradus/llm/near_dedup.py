@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import partitions, sieved, stash
+from gradus.llm.common import discard, partitions, sieved, stash
 from gradus.llm.components import components
 
 TREES, DEPTH, LEAST, REGION, FAMILY = 20, 6, 3, 1024, 512
@@ -282,12 +282,13 @@ def _border(threshold: float):
     return run
 
 
-def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), distinct: pairs to confirm. ``nodes``: node, n, signature."""
+def _candidates(nodes: DataFrame, threshold: float, made: list[DataFrame]) -> DataFrame:
+    """(a, b), distinct: pairs to confirm. ``nodes``: node, n, signature; ``made`` gets the tables that are written."""
     spark = nodes.sparkSession
     rows = nodes.select("node", "n", "signature").mapInArrow(_orders, _NODE_DDL)
     swept = rows.repartitionByRange(partitions(spark), "order", "node").sortWithinPartitions("order", "node").mapInArrow(_sweep(threshold), _OUT_DDL)
     swept = stash(swept, "near-dedup-forest")
+    made.append(swept)
     ends = swept.where("edge is not null").select("edge", "order", "node", "n", "sketch")
     # the end of a partition meets the beginning of the next one that has rows: a few numbers for each partition
     used = ends.select(F.floor(F.col("edge") / 2).alias("part")).distinct()
@@ -309,10 +310,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return some.join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, threshold_pct: int, made: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = _sets(docs, stash(ends.join(nodes.select("node", "key"), "node"), "near-dedup-ends"), words)
+    made.append(stash(ends.join(nodes.select("node", "key"), "node"), "near-dedup-ends"))
+    some = _sets(docs, made[-1], words)
     left = pairs.join(some.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(some.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
     shared = F.size(F.array_intersect("own_a", "own_b"))
@@ -355,19 +357,21 @@ def _across(threshold_pct: int):
     return run
 
 
-def _crossing(docs: DataFrame, near: DataFrame, labels: DataFrame, nodes: DataFrame, words: int, threshold_pct: int) -> DataFrame:
+def _crossing(docs: DataFrame, near: DataFrame, labels: DataFrame, nodes: DataFrame, words: int, threshold_pct: int, made: list[DataFrame]) -> DataFrame:
     """Links that the forest missed, as pairs (a, b) of labels: between the components of a family, the documents that candidate pairs hold together.
 
     A family's largest label needs no comparison within itself. Its members, and the others, are dealt over blocks of at most about
     FAMILY, and each two blocks that differ in labels are compared at once on full sets: rows are members of blocks, not pairs."""
     members = components(near).withColumnRenamed("component", "family").join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
     members = stash(members, "near-dedup-members")
+    made.append(members)
     sizes = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
     sizes = sizes.select("family", "main", F.ceil(F.col("n_main") / FAMILY).alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / FAMILY).alias("others"))
     rows = members.join(sizes, "family")
     salt = F.xxhash64("node")
     block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others")))
     rows = stash(rows.withColumn("block", block).join(nodes.select("node", "key"), "node"), "near-dedup-family")
+    made.append(rows)
     with_sets = rows.drop("key").join(_sets(docs, rows.select("node", "key"), words), "node")
     meets = F.when(F.col("label") == F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("mains") - 1))
     dealt = with_sets.select("family", "label", "block", "own", F.explode(meets).alias("other"))
@@ -396,10 +400,15 @@ def group(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", words:
     if reps.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").take(1):
         return _group_rows(docs, words, threshold_pct)
     nodes = stash(keyed.join(reps, (keyed["key"] == reps["key"]) & (keyed["doc_id"] == reps["node"])).select("node", keyed["key"], F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"]), "near-dedup-nodes")
-    near = stash(_candidates(nodes, threshold_pct / 100), "near-dedup-pairs")
-    links = stash(_confirm(docs, near, nodes, words, threshold_pct), "near-dedup-links")
+    made: list[DataFrame] = []
+    near = stash(_candidates(nodes, threshold_pct / 100, made), "near-dedup-pairs")
+    discard(*made)
+    made = [near, nodes]
+    links = stash(_confirm(docs, near, nodes, words, threshold_pct, made), "near-dedup-links")
     labels = stash(components(links), "near-dedup-labels")
-    more = stash(_crossing(docs, near, labels, nodes, words, threshold_pct), "near-dedup-more")
+    discard(links)
+    more = stash(_crossing(docs, near, labels, nodes, words, threshold_pct, made), "near-dedup-more")
+    discard(*made)
     if more.take(1):  # joined labels; a document that had no link is its own
         joined = components(more)
         old = joined.select(F.col("node").alias("component"), F.col("component").alias("new"))
