@@ -1,0 +1,80 @@
+import time
+
+import pytest
+
+from gradus.streaming import evaluation as ev
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def run(spark, tmp_path):
+    """Writes attempts as files and reads them as a stream, going on from the checkpoints of the calls before."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+
+    def call(rows, name="q", per=None, **rules):
+        folder = tmp_path / name
+        made = [(p, e, n, api, label, error, after, dimension) for p, e, n, api, label, error, after, dimension in rows]
+        for i in range(0, len(made), per or max(1, len(made))):
+            spark.createDataFrame(made[i : i + (per or len(made))], ev.ATTEMPT).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        few = {k: rules.pop(k) for k in ("retries", "regenerations", "interval") if k in rules}
+        source = spark.readStream.schema(ev.ATTEMPT).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+        q = ev.decisions(ev.steps(source, **few), **rules).writeStream.format("parquet").option("checkpointLocation", str(folder / "c")).outputMode("append").trigger(availableNow=True).start(str(folder / "out"))
+        q.awaitTermination(200)
+        return [tuple(r) for r in spark.read.parquet(str(folder / "out")).orderBy("sequence", "attempt").collect()]
+
+    yield call
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def fine(p, e, n):
+    return (p, e, n, True, "GROUNDED", None, None, None)
+
+
+def failed(p, e, n, error, *, api=False, after=None, dimension=None):
+    return (p, e, n, api, None, error, after, dimension)
+
+
+def test_retries_regenerations_and_successes(run):
+    rows = [failed("p", "a", 1, "API_TIMEOUT"), failed("p", "a", 2, "API_SERVER_ERROR"), failed("p", "a", 3, "API_TIMEOUT"), failed("p", "b", 4, "API_AUTH_ERROR"), failed("p", "c", 5, "API_QUOTA_ERROR")]
+    rows += [failed("p", "d", 6, "PARSE_ERROR", api=True), fine("p", "d", 7), fine("p", "d", 8), failed("q", "d", 1, "PARSE_ERROR", api=True), failed("p", "e", 9, "API_RATE_LIMIT", after=17.0), failed("p", "f", 10, "API_RATE_LIMIT")]
+    got = {(p, n): (attempt, status, action, delay) for p, _, n, attempt, status, action, delay, _ in run(rows, regenerations={"p": 1}, interval=10.0) if action != "DUE"}
+    assert [got["p", n] for n in range(1, 11)] == [
+        (1, "FAILED", "RETRY", 0.1), (2, "FAILED", "RETRY", 0.2), (3, "FAILED", "GIVE_UP", None), (1, "FAILED", "GIVE_UP", None), (1, "FAILED", "GIVE_UP", None), (1, None, "REGENERATE", None), (2, "SUCCESS", "DONE", None),
+        (2, "SUCCESS", "SKIP", None), (1, "FAILED", "RETRY", 17.0), (1, "FAILED", "RETRY", 10.0),
+    ]
+    assert got["q", 1] == (1, "FAILED", "GIVE_UP", None)
+
+
+def stops(rows):
+    first = {}
+    for p, _, n, *_, action, _, reason in rows:
+        if reason and action != "DUE":
+            first.setdefault(p, (n, reason))
+    return first
+
+
+def test_reasons_to_stop(run):
+    limited = lambda p, n, **more: failed(p, f"e{n}", n, "API_RATE_LIMIT", **more)
+    rows = [limited("three", n) for n in range(1, 6)] + [limited("day", 1), limited("day", 2, dimension="RPD"), fine("day", "x", 3)]
+    rows += [limited("reset", 1), limited("reset", 2), fine("reset", "x", 3), limited("reset", 4), limited("reset", 5)] + [fine("long", f"e{n}", n) for n in range(1, 13)]
+    rows += [failed("bad", f"e{n}", n, "PARSE_ERROR", api=True) for n in range(1, 13)]
+    assert stops(run(rows, budget=11)) == {"three": (3, ev.BLOCKED), "day": (2, ev.QUOTA), "long": (12, ev.BUDGET), "bad": (10, ev.UNRELIABLE)}
+    late = [fine("late", f"e{n}", n) if n not in (3, 50, 98) else failed("late", f"e{n}", n, "PARSE_ERROR", api=True) for n in range(1, 130)]
+    assert stops(run(late, "late")) == {"late": (100, ev.UNRELIABLE)}
+
+
+def test_restart_in_the_middle(run):
+    rows = [fine("p", f"e{n}", n) if n % 4 else failed("p", f"e{n}", n, "API_RATE_LIMIT" if n % 8 else "API_TIMEOUT") for n in range(1, 41)] + [fine("p", "e4", 41), failed("p", "e8", 42, "API_TIMEOUT"), failed("p", "e8", 43, "API_TIMEOUT"), fine("p", "e1", 44)]
+    rules = {"budget": 43, "interval": 0.0}
+    whole = [r for r in run(rows, "whole", **rules) if r[5] != "DUE"]
+    run(rows[:17], "parts", per=6, **rules)
+    time.sleep(0.5)
+    got = run(rows[17:], "parts", per=9, **rules)
+    assert [r for r in got if r[5] != "DUE"] == whole and whole[-1][5] == "SKIP" and len(whole) == 44
+    # retries whose time came while the stream was down are due when it goes on
+    assert {r[1] for r in got if r[5] == "DUE"} >= {"e4", "e12"}
