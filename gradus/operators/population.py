@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradus.functions.canonical import canonical
+
 # Configuration that two local runs have to share, and metadata that two published runs have to.
 RUN_FIELDS = ("annotation_policy", "benchmark", "dataset_name", "dataset_revision", "dataset_version", "evaluator_config", "evaluator_versions", "language", "quality_filter", "split", "top_k")
 POPULATION_FIELDS = ("dataset_name", "dataset_version", "dataset_revision", "evaluation_type", "benchmark", "language", "split", "top_k", "evaluator_versions")
@@ -30,6 +34,47 @@ def ordered_fingerprint(rows: DataFrame, line: Column) -> DataFrame:
     return rows.select(line.alias("l")).agg(F.count("*").alias("n_records"), F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("fingerprint"))
 
 
+def run_fingerprints(truth: DataFrame, predicted: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, ground_truth_fingerprint, ground_truth_query_ids_fingerprint, prediction_query_ids_fingerprint, ground_truth_query_count, prediction_query_count): SHA-256 of the canonical JSON of each run's
+    queries with their relevant documents, and of the ids of its queries, all sorted and each once.
+
+    ``truth``: run, query_id, relevant (arrays of ids; those of a repeated query are put together). ``predicted``: run, query_id. A digest is a chain, so a run's queries pass through one task,
+    in order, but one at a time: none is held. Rows without a run or a query aren't queries; a side that has none is an empty list."""
+    one = truth.where(f"`{run}` is not null and query_id is not null").select(run, "query_id", F.explode_outer("relevant").alias("d")).groupBy(run, "query_id").agg(F.sort_array(F.collect_set("d")).alias("own"))
+    ids = predicted.where(f"`{run}` is not null and query_id is not null").select(run, "query_id").distinct()
+    rows = one.select(F.col(run).alias("run"), F.lit(0).alias("side"), F.col("query_id").cast("string").alias("q"), "own").unionByName(ids.select(F.col(run).alias("run"), F.lit(1).alias("side"), F.col("query_id").cast("string").alias("q"), F.array().cast("array<string>").alias("own")))
+    kind = truth.schema[run].dataType.simpleString()
+    sides = rows.repartition("run", "side").sortWithinPartitions("run", "side", "q").mapInArrow(_chained, f"run {kind}, side int, n long, whole string, ids string")
+    empty = hashlib.sha256(b"[]").hexdigest()
+    pick = lambda side, c, other: F.coalesce(F.max(F.when(F.col("side") == side, F.col(c))), F.lit(other))
+    out = sides.groupBy("run").agg(pick(0, "whole", empty).alias("ground_truth_fingerprint"), pick(0, "ids", empty).alias("ground_truth_query_ids_fingerprint"), pick(1, "ids", empty).alias("prediction_query_ids_fingerprint"), pick(0, "n", 0).alias("ground_truth_query_count"), pick(1, "n", 0).alias("prediction_query_count"))
+    return out.withColumnRenamed("run", run)
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the sorted rows of each run and side, that of whole rows and that of their ids."""
+    key, whole, ids, n, kind = None, None, None, 0, None
+
+    def closed() -> pa.RecordBatch:
+        whole.update(b"]")
+        ids.update(b"]")
+        return pa.record_batch([pa.array([v], t) for v, t in ((key[0], kind), (key[1], pa.int32()), (n, pa.int64()), (whole.hexdigest(), pa.string()), (ids.hexdigest(), pa.string()))], ["run", "side", "n", "whole", "ids"])
+
+    for batch in batches:
+        kind = batch.schema.field("run").type
+        for run, side, q, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (run, side):
+                if key is not None:
+                    yield closed()
+                key, whole, ids, n = (run, side), hashlib.sha256(b"["), hashlib.sha256(b"["), 0
+            comma = "," if n else ""
+            whole.update((comma + canonical([q, own])).encode())
+            ids.update((comma + canonical(q)).encode())
+            n += 1
+    if key is not None:
+        yield closed()
+
+
 def _sides(pairs: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
     """``pairs`` (baseline_id, candidate_id) with both runs as structs a and b."""
     whole = F.struct(*runs.columns)

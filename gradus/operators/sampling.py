@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.operators.order import percentiles, running
+
 POSITIVE = "HALLUCINATED"
+# The strata of a pilot, task type and label.
+STRATA = ("QA:GROUNDED", "QA:HALLUCINATED", "Summary:GROUNDED", "Summary:HALLUCINATED", "Data2txt:GROUNDED", "Data2txt:HALLUCINATED")
 
 
 def stratified(rows: DataFrame, strata: Sequence[str], per_stratum: int, seed: int, key: str = "example_id") -> DataFrame:
@@ -19,6 +24,24 @@ def stratified(rows: DataFrame, strata: Sequence[str], per_stratum: int, seed: i
     return rows.withColumn("draw", F.row_number().over(draw)).where(F.col("draw") <= per_stratum)
 
 
+def seeded(rows: DataFrame, stratum: Column, per_stratum: int, seed: int, *, key: str = "example_id", strata: Sequence[str] = STRATA) -> DataFrame:
+    """(stratum, key): the ids that ``random.Random(seed)`` samples from the sorted ids of each of ``strata``, stratum by stratum in order of their names.
+
+    A sample depends on how many ids a stratum has, and not on which: the generator draws places on the driver, and the ids at these places are looked up. Ids are
+    numbered over ranges, so no stratum is gathered. Strings sort by code points. Rows of other strata, and rows without an id, aren't drawn; repeated ids count each time."""
+    if per_stratum < 1:
+        raise ValueError("per_stratum must be positive")
+    own = rows.select(stratum.alias("stratum"), F.col(key)).where(F.col("stratum").isin(*strata) & F.col(key).isNotNull())
+    sizes = {r.stratum: r.n for r in own.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # as many rows as strata
+    generator, drawn = random.Random(seed), []
+    for name in sorted(strata):
+        n = sizes.get(name, 0)
+        drawn += [(name, place + 1) for place in generator.sample(range(n), min(per_stratum, n))]
+    places = rows.sparkSession.createDataFrame(drawn, "stratum string, place long")
+    numbered = running(own, [F.col(key)], {"place": F.lit(1)}, partition=["stratum"])
+    return numbered.join(F.broadcast(places), ["stratum", "place"]).select("stratum", key)
+
+
 def _measures(tp, tn, fp, fn) -> dict[str, np.ndarray]:
     ratio = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
@@ -48,4 +71,4 @@ def bootstrap(scored: DataFrame, *, replicates: int = 10_000, level: float = 0.9
         return spark.createDataFrame([], "metric string, low double, high double")
     values = spark.range(replicates).mapInPandas(draw, "metric string, value double")
     side = (1 - level) / 2
-    return values.groupBy("metric").agg(F.percentile("value", F.lit(side)).alias("low"), F.percentile("value", F.lit(1 - side)).alias("high"))
+    return percentiles(values, "value", {"low": side, "high": 1 - side}, "metric", linear=True)

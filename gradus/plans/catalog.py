@@ -409,6 +409,20 @@ def consistency_subsample(spark, d):
     return sampling.stratified(v.scored(spark, d), ["task_type", "human"], 2, 11).select("example_id", "task_type", "human", F.col("draw").cast("long").alias("draw"))
 
 
+@query()
+def seeded_pilot_sample(spark, d):
+    rows = v.scored(spark, d).withColumn("example_id", F.col("example_id").cast("string"))
+    strata = [r[0] for r in rows.select(F.concat_ws(":", "task_type", "human")).distinct().orderBy(F.concat_ws(":", "task_type", "human")).collect()]  # task types by label
+    return sampling.seeded(rows, F.concat_ws(":", "task_type", "human"), 20, 20260825, strata=strata)
+
+
+@query()
+def run_fingerprints(spark, d):
+    """Each language's documents as a run: the words of its sources as relevant ids, its documents as queries."""
+    rows = v.table(spark, d, "documents").select(F.col("lang").alias("run_id"), F.col("doc_id").cast("string").alias("query_id"), F.array("source", F.concat_ws("-", "source", "lang")).alias("relevant"))
+    return population.run_fingerprints(rows, rows.where("doc_id % 3 > 0"))
+
+
 @query(f"with {v.SCORED} select task_type || ':' || human as stratum, count(*) as n from scored group by all")
 def stratum_counts(spark, d):
     return v.scored(spark, d).groupBy(F.concat_ws(":", "task_type", "human").alias("stratum")).agg(F.count("*").alias("n"))

@@ -1,0 +1,91 @@
+import hashlib
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from gradus.functions import canonical
+from gradus.operators import population, sampling
+from gradus.plans import catalog
+
+
+def drawn(ids, strata, k, seed):
+    generator, out = random.Random(seed), set()
+    for s in sorted(strata):
+        own = sorted(ids.get(s, []))
+        out |= {(s, i) for i in generator.sample(own, min(k, len(own)))}
+    return out
+
+
+def test_seeded_samples(spark):
+    draw = random.Random(1)
+    rows = [(draw.choice(("QA", "Summary", "Data2txt", "Else")), draw.choice(("GROUNDED", "HALLUCINATED")), f"{draw.choice(['r', 'é', '日', 'Z', '𝒳'])}{i}") for i in range(900)]
+    rows += [("QA", "GROUNDED", f"hot-{i}") for i in range(1500)] + [("Summary", "GROUNDED", None)]
+    rows = [r for r in rows if (r[0], r[1]) != ("Data2txt", "GROUNDED")] + [("Data2txt", "GROUNDED", "one"), ("Data2txt", "GROUNDED", "two")]
+    ids: dict = {}
+    for task, label, i in rows:
+        if i is not None:
+            ids.setdefault(f"{task}:{label}", []).append(i)
+    df = spark.createDataFrame(rows, "task_type string, human string, example_id string").repartition(6)
+    stratum = F.concat_ws(":", "task_type", "human")
+    for k, seed in ((20, 20260825), (2, 20260826), (5, 7)):
+        got = [tuple(r) for r in sampling.seeded(df, stratum, k, seed).collect()]
+        assert set(got) == drawn(ids, sampling.STRATA, k, seed) and len(got) == len(set(got))
+    pilot = sampling.seeded(df, stratum, 20, 20260825)
+    own: dict = {}
+    for s, i in [tuple(r) for r in pilot.collect()]:
+        own.setdefault(s, []).append(i)
+    assert {tuple(r) for r in sampling.seeded(pilot, F.col("stratum"), 2, 20260826).collect()} == drawn(own, sampling.STRATA, 2, 20260826)
+    assert sampling.seeded(df.limit(0), stratum, 3, 1).count() == 0
+
+
+def test_seeded_query(spark):
+    got = {tuple(r) for r in catalog.QUERIES["seeded_pilot_sample"](spark, "/root/testdata/sf0.001").collect()}
+    ids: dict = {}
+    from gradus.plans import views
+
+    for r in views.scored(spark, "/root/testdata/sf0.001").collect():
+        ids.setdefault(f"{r.task_type}:{r.human}", []).append(str(r.example_id))
+    assert got == drawn(ids, ids, 20, 20260825) and got
+
+
+def test_canonical_json(spark):
+    values = [
+        {"b": 1, "a": [1.0, 1e16, 1e-7, 123456789.123, -0.0, 10**30, True, None]}, "é \x7f\x01\"\\/\t", [], {}, {"é": {"z": "", "a": "日本"}}, 0.1 + 0.2, "𝒳", 5e-324, 1.7976931348623157e308, {"10": 1, "9": 2, "": 3},
+    ]
+    rows = [json.dumps(v, indent=1, ensure_ascii=i % 2 == 0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(list(enumerate([*rows, None, "no json {"])), "i int, t string")
+    got = {r.i: r for r in df.select("i", canonical.canonical_json("t").alias("c"), canonical.canonical_digest("t").alias("d")).collect()}
+    for i, v in enumerate(values):
+        want = json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        assert got[i].c == want and got[i].d == hashlib.sha256(want.encode()).hexdigest()
+    assert got[len(values)].c is None and got[len(values) + 1].d is None
+
+
+def digest(value):
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+
+
+def test_run_fingerprints(spark):
+    draw = random.Random(4)
+    truth = [(draw.choice(["a", "b", "hot", "hot", "hot"]), f"q{draw.choice('é日z\"')}{i}", [draw.choice(["d1", "d2", "D\\3", "ü"]) for _ in range(draw.randint(0, 4))]) for i in range(600)]
+    truth += [("a", truth[0][1], ["x"]), ("only", "q", None), (None, "q", ["d"]), ("a", None, ["d"])]
+    predicted = [(r, q) for r, q, _ in truth if draw.random() < 0.6] + [("late", "q9"), ("late", "q9"), ("late", "q10")]
+    got = {r.run_id: tuple(r)[1:] for r in population.run_fingerprints(spark.createDataFrame(truth, "run_id string, query_id string, relevant array<string>").repartition(5), spark.createDataFrame(predicted, "run_id string, query_id string")).collect()}
+    runs = {r for r, *_ in truth + predicted if r is not None}
+    assert set(got) == runs
+    for run in runs:
+        own: dict = {}
+        for r, q, docs in truth:
+            if r == run and q is not None:
+                own.setdefault(q, set()).update(docs or [])
+        ids = sorted({q for r, q in predicted if r == run and q is not None})
+        assert got[run] == (digest([[q, sorted(own[q])] for q in sorted(own)]), digest(sorted(own)), digest(ids), len(own), len(ids))
+
+
+def test_fingerprints_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.run_id: r for r in catalog.QUERIES["run_fingerprints"](spark, "/root/testdata/sf0.001").collect()}
+    for lang, r in got.items():
+        own = sorted((str(x.doc_id), sorted({x.source, f"{x.source}-{lang}"})) for x in rows if x.lang == lang)
+        assert r.ground_truth_fingerprint == digest([list(x) for x in own]) and r.ground_truth_query_count == len(own)
