@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradus.functions import scoring
+
 # Labels and fields of a decision, and lengths of its texts and of error texts.
 LABELS = ("GROUNDED", "HALLUCINATED")
 FIELDS = ("label", "confidence", "unsupported_claims", "reason")
@@ -130,20 +131,8 @@ def usage_projection(usage: Column) -> Column:
 
 
 def evaluate(rows: DataFrame, call: Callable[[list[tuple[str, str]]], list[float]], *, batch: int = 16, threshold: float = 0.5) -> DataFrame:
-    """Support of (context, response) pairs by an injected model, in batches within each task; a wrong number of scores is an error.
+    """Support of (context, response) pairs by an injected model (``scoring.score``), with score and predicted label.
 
     ``rows``: example_id, context, response. The callable is sent to the workers; it loads its model there."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pairs = list(zip(pdf["context"], pdf["response"]))
-            scores: list[float] = []
-            for at in range(0, len(pairs), batch):
-                some = call(pairs[at : at + batch])
-                if len(some) != len(pairs[at : at + batch]):
-                    raise ValueError("the model gave another number of scores than it was asked for")
-                scores += [float(s) for s in some]
-            yield pd.DataFrame({"example_id": pdf["example_id"], "support": pd.Series(scores, dtype="float64")})
-
-    scored = rows.select("example_id", "context", "response").mapInPandas(run, "example_id string, support double")
+    scored = scoring.score(rows, lambda: call, batch=batch)
     return scored.select("example_id", "support", (1 - F.col("support")).alias("score"), F.when(F.col("support") >= threshold, LABELS[0]).otherwise(LABELS[1]).alias("predicted"))

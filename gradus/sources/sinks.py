@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradus.sources import store
 
-def canonical_json(value, path: str | None = None, *, exclusive: bool = False) -> str:
-    """Sorted keys, two spaces, text as it is, a newline at the end. Given a path, the file appears whole or not at all; ``exclusive``: only where none is yet."""
+
+def canonical_json(value, path: str | None = None, *, exclusive: bool = False, spark: SparkSession | None = None) -> str:
+    """Sorted keys, two spaces, text as it is, a newline at the end. Given a path, the file appears whole or not at all; ``exclusive``: only where none is yet. With a session the
+    path may be on any file system that Spark can write, else it is the driver's own."""
     text = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n"
-    if path is not None:
+    if path is not None and spark is not None:
+        store.write(spark, path, text.encode(), replace=not exclusive)
+    elif path is not None:
         temporary = f"{path}.tmp-{uuid.uuid4().hex}"
         try:
             with open(temporary, "x", encoding="utf-8") as f:
@@ -47,8 +52,11 @@ def preparation_manifest(spark: SparkSession, summary: dict, files: list[str], p
     return manifest
 
 
-def export_bundle(directory: str, files: dict[str, object]) -> None:
-    """Several JSON documents as one folder that appears whole, and only where none is yet."""
+def export_bundle(directory: str, files: dict[str, object], *, spark: SparkSession | None = None) -> None:
+    """Several JSON documents as one folder that appears whole, and only where none is yet. With a session the folder may be on any file system that Spark can write."""
+    if spark is not None:
+        store.export(spark, directory, {name: canonical_json(value).encode() for name, value in files.items()})
+        return
     if os.path.lexists(directory):
         raise FileExistsError(directory)
     temporary = f"{directory}.tmp-{uuid.uuid4().hex}"

@@ -1,0 +1,84 @@
+import json
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+
+from gradus.sources import sinks, store
+
+STATE = "provider string, example_id string, status string, n int"
+
+
+def test_files_appear_once(spark, tmp_path):
+    path = f"{tmp_path}/a.json"
+    store.write(spark, path, b"one")
+    with pytest.raises(store.Conflict):
+        store.write(spark, path, b"two")
+    assert store.read(spark, path) == b"one" == open(path, "rb").read()
+    store.write(spark, path, b"three" * 1000, replace=True)
+    store.write(spark, f"file://{path}", "é".encode(), replace=True)
+    assert store.read(spark, path) == "é".encode() and os.listdir(tmp_path) == ["a.json"]
+
+
+def test_of_many_writers_one_is_first(spark, tmp_path):
+    def one(n):
+        try:
+            store.write(spark, f"{tmp_path}/x", str(n).encode() * 5000)
+            return n
+        except store.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [n for n in pool.map(one, range(1, 25)) if n is not None]
+    assert len(won) == 1 and store.read(spark, f"{tmp_path}/x") == str(won[0]).encode() * 5000 and os.listdir(tmp_path) == ["x"]
+
+
+def test_export(spark, tmp_path):
+    store.export(spark, f"{tmp_path}/b", {"a.json": b"{}", "b.json": b"[]"})
+    assert sorted(os.listdir(tmp_path / "b")) == ["a.json", "b.json"]
+    with pytest.raises(store.Conflict):
+        store.export(spark, f"{tmp_path}/b", {"c": b""})
+    with pytest.raises(ValueError):
+        store.export(spark, f"{tmp_path}/c", {"../c": b""})
+    assert os.listdir(tmp_path) == ["b"]
+
+
+def test_json_through_the_session(spark, tmp_path):
+    text = sinks.canonical_json({"b": 1, "a": "é"}, f"file://{tmp_path}/x.json", exclusive=True, spark=spark)
+    assert (tmp_path / "x.json").read_text() == text
+    with pytest.raises(store.Conflict):
+        sinks.canonical_json({}, f"{tmp_path}/x.json", exclusive=True, spark=spark)
+    sinks.export_bundle(f"{tmp_path}/bundle", {"a.json": {"x": 1}}, spark=spark)
+    assert json.loads((tmp_path / "bundle" / "a.json").read_text()) == {"x": 1}
+
+
+def test_snapshots(spark, tmp_path):
+    path = f"{tmp_path}/state"
+    rows = lambda *r: spark.createDataFrame(list(r), STATE)
+    assert store.revision(spark, path) == 0 and store.snapshot(spark, path) is None
+    assert store.commit(rows(("p", "a", "FAILED", 1)), path, 0) == 1
+    before = store.snapshot(spark, path)
+    with pytest.raises(store.Conflict):
+        store.commit(rows(("p", "b", "FAILED", 2)), path, 0)
+    assert [tuple(r) for r in store.snapshot(spark, path).collect()] == [("p", "a", "FAILED", 1)] and len(os.listdir(f"{path}/rows")) == 1
+    assert store.upsert(rows(("p", "a", "SUCCESS", 3), ("p", "c", "FAILED", 3)), path, ["provider", "example_id"]) == 2
+    assert store.upsert(rows(("p", "a", "FAILED", 4), ("p", "c", "SUCCESS", 4)), path, ["provider", "example_id"]) == 3
+    assert sorted(tuple(r) for r in store.snapshot(spark, path).collect()) == [("p", "a", "SUCCESS", 3), ("p", "c", "SUCCESS", 4)]
+    assert before.count() == 1 and store.snapshot(spark, path, 1).first().status == "FAILED"
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    path = f"{tmp_path}/state"
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda n: store.upsert(spark.createDataFrame([("p", f"e{n}", "SUCCESS", n)], STATE), path, ["provider", "example_id"], tries=20), range(6)))
+    assert sorted(done) == [1, 2, 3, 4, 5, 6] and {r.n for r in store.snapshot(spark, path).collect()} == set(range(6))
+
+
+def test_half_written_rows_are_never_seen(spark, tmp_path):
+    path = f"{tmp_path}/state"
+    store.commit(spark.createDataFrame([("p", "a", "FAILED", 1)], STATE), path, 0)
+    bad = spark.range(8).selectExpr("'p' as provider", "cast(id as string) as example_id", "if(id = 7, raise_error('lost'), 'SUCCESS') as status", "1 as n")
+    with pytest.raises(Exception, match="lost"):
+        store.commit(bad, path, 1)
+    assert store.revision(spark, path) == 1 and store.snapshot(spark, path).count() == 1
+    assert json.loads(store.read(spark, f"{path}/commits/{1:020d}.json"))["rows"].startswith("rows/")
