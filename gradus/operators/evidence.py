@@ -59,8 +59,9 @@ def run_artifact(run: DataFrame, metrics: DataFrame, per_query: DataFrame | None
     values = metrics.where(finite(F.col("value"))).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round("value", 12))))).alias("metrics"))
     out = run.join(values, "run_id", "left").select(F.col("run_id").alias("artifact_id"), F.lit("run").alias("artifact_type"), F.lit("public-evidence-v1").alias("schema_version"), "verification_status", "data_kind", "claim_scope", F.struct(*[c for c in PUBLIC_FIELDS if c in run.columns]).alias("run"), F.array_sort(F.array_distinct("limitations")).alias("limitations"), "metrics")
     if per_query is not None:
-        rows = per_query.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "category"))).alias("queries"))
-        out = out.join(rows.withColumnRenamed("run_id", "artifact_id"), "artifact_id", "left").withColumn("queries", F.when(F.col("data_kind") == "SYNTHETIC_FIXTURE", F.col("queries")))
+        shown = run.where("data_kind = 'SYNTHETIC_FIXTURE'").select("run_id")
+        rows = per_query.join(shown, "run_id", "left_semi").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "category"))).alias("queries"))
+        out = out.join(rows.withColumnRenamed("run_id", "artifact_id"), "artifact_id", "left")
     return out
 
 

@@ -11,6 +11,7 @@ from gradus.functions import text as tx
 from gradus.operators import benchmarks, classify, evidence, jobs, paired, population, providers, ranking, regression, retrieval, sampling, thresholds, transitions, validate
 from gradus.operators.order import numbered
 from gradus.plans import views as v
+from gradus.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -389,14 +390,16 @@ def high_confidence_errors(spark, d):
 
 @query("select count(*) as responses, count(distinct source) as sources, count(*) filter (toxic = 1) as hallucinated, count(*) filter (quality = 1) as good from documents join labels using (doc_id)")
 def dataset_summary(spark, d):
-    rows = v.table(spark, d, "documents").select("doc_id", "source").join(v.table(spark, d, "labels"), "doc_id")
-    return rows.agg(F.count("*").alias("responses"), F.countDistinct("source").alias("sources"), F.expr("count_if(toxic = 1)").alias("hallucinated"), F.expr("count_if(quality = 1)").alias("good"))
+    rows = v.table(spark, d, "documents").select("doc_id", F.col("source").alias("source_id")).join(v.table(spark, d, "labels"), "doc_id")
+    rows = rows.select("source_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("quality"), F.when(F.col("toxic") == 1, "HALLUCINATED").otherwise("GROUNDED").alias("human"))
+    return benchmarks.dataset_summary(rows)
 
 
 @query("select case when quality = 1 then 'good' else 'poor' end as quality, quality <> 1 as excluded, count(*) as n from labels group by all")
 def exclusion_reasons(spark, d):
-    good = F.col("quality") == 1
-    return v.table(spark, d, "labels").groupBy(F.when(good, "good").otherwise("poor").alias("quality"), (~good).alias("excluded")).agg(F.count("*").alias("n"))
+    rows = v.table(spark, d, "labels").select(F.when(F.col("quality") == 1, "good").otherwise("poor").alias("quality"))
+    sides = benchmarks.quality_filter(rows).withColumn("excluded", F.lit(False)).unionByName(benchmarks.quality_filter(rows, ["poor"]).withColumn("excluded", F.lit(True)))
+    return sides.groupBy("quality", "excluded").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {v.SCORED} select example_id, task_type, human, draw from (select *, row_number() over (partition by task_type, human order by md5('7:' || example_id), example_id) as draw from scored) where draw <= 20""")
@@ -489,14 +492,23 @@ def full_length_slices(spark, d):
     return _round(_full(spark, d)["length_slices"])
 
 
-@query(f"""with {v.SCORED}, one as (select count(*) filter (quality = 1) as good, count(distinct example_id) filter (quality = 1) as ids, (select count(*) from documents c join benchmark t on contains(c.text, t.text)) as issues from scored)
-select r.name as "check", r.passed as passed from (select unnest([{{name: 'total', passed: true}}, {{name: 'included', passed: good = 0}}, {{name: 'validation_issues', passed: issues = 0}}, {{name: 'unique_included_ids', passed: good = ids}},
-{{name: 'excluded_quality_counts', passed: true}}, {{name: 'response_checksum', passed: true}}, {{name: 'source_checksum', passed: false}}]) as r from one)""")
+@query(f"""with {v.EXAMPLES}, p as (select example_id, case when example_id % 97 = 0 then 1 - quality else quality end as quality from examples where example_id % 89 <> 0),
+n as (select (select count(*) from p) as total, (select count(*) from p where quality = 1) as included, (select count(*) from p where quality <> 1) as excluded, (select count(*) from labels) as all_, (select count(*) from labels where quality = 1) as good, (select count(*) from labels where quality <> 1) as poor,
+  (select count(*) from ((select doc_id from labels where doc_id % 89 <> 0) except (select example_id from p))) + (select count(*) from ((select example_id from p) except (select doc_id from labels where doc_id % 89 <> 0))) as ids,
+  (select count(*) from ((select doc_id, quality from labels) except (select example_id, quality from p))) + (select count(*) from ((select example_id, quality from p) except (select doc_id, quality from labels))) as pairs,
+  (select count(*) from documents c join benchmark t on contains(c.text, t.text)) as issues, (select count(distinct example_id) from p where quality = 1) as ids_included)
+select r.name as "check", r.passed as passed from (select unnest([{{name: 'total', passed: total = all_}}, {{name: 'included', passed: included = good}}, {{name: 'excluded', passed: excluded = poor}}, {{name: 'validation_issues', passed: issues = 0}},
+{{name: 'unique_included_ids', passed: ids_included = included}}, {{name: 'excluded_quality_counts', passed: excluded = poor}}, {{name: 'ids_checksum', passed: ids = 0}}, {{name: 'quality_checksum', passed: pairs = 0}}]) as r from n)""")
 def population_checks(spark, d):
-    rows = _examples(spark, d).select("example_id", "quality")
-    n, poor = rows.count(), rows.where("quality = 'poor'").count()
-    expected = {"total": n, "included": 0, "excluded_by_quality": {"poor": poor}, "checksums": {"response": "a", "source": "b"}}
-    return validate.population_checks(rows, v.qrels(spark, d), expected, {"response": "a", "source": "c"})
+    """The prepared examples (some are gone, some of another quality) against the labels that they were made of: totals, and digests of ids (of those that were to be kept) and of ids with quality."""
+    frozen = v.table(spark, d, "labels").select(F.col("doc_id").alias("example_id"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("quality"))
+    kept = _examples(spark, d).select("example_id", "quality").where("example_id % 89 <> 0")
+    kept = kept.withColumn("quality", F.when(F.col("example_id") % 97 == 0, F.when(F.col("quality") == "good", "poor").otherwise("good")).otherwise(F.col("quality")))
+    digest = lambda rows, *columns: population.fingerprint(rows, columns).first().fingerprint
+    n = {r.quality: r["count"] for r in frozen.groupBy("quality").count().collect()}
+    expected = {"total": sum(n.values()), "included": n.get("good", 0), "excluded": n.get("poor", 0), "excluded_by_quality": {"poor": n.get("poor", 0)}}
+    expected["checksums"] = {"ids": digest(frozen.where("example_id % 89 <> 0"), "example_id"), "quality": digest(frozen, "example_id", "quality")}
+    return validate.population_checks(kept, v.qrels(spark, d), expected, {"ids": digest(kept, "example_id"), "quality": digest(kept, "example_id", "quality")})
 
 
 @query(f"""with {v.EXAMPLES}, m as (select example_id, task_type || ':' || case when example_id % 9 = 0 then 'OTHER' else human end as stratum, task_type, case when example_id % 7 = 0 then 'GROUNDED' else human end as human, human as own, quality, example_id % 11 = 0 as gone from examples)
@@ -530,6 +542,21 @@ def local_recommendation(spark, d):
     return population.local_recommendation(local, metrics.where("evaluator = 'b'"), wins)
 
 
+@query(f"""with {v.PREDICTIONS}, p as (select evaluator, count(*) filter (human = 'HALLUCINATED' and predicted = 'HALLUCINATED') as tp, count(*) filter (human <> 'HALLUCINATED' and predicted <> 'HALLUCINATED') as tn,
+count(*) filter (human <> 'HALLUCINATED' and predicted = 'HALLUCINATED') as fp, count(*) filter (human = 'HALLUCINATED' and predicted <> 'HALLUCINATED') as fn, count(*) filter (score > 0.97) as missing from predictions group by 1),
+m as (select evaluator, missing, {v.RATES} from p), w as (select count(*) filter (a and not b) as local_only, count(*) filter (b and not a) as other_only from correct)
+select case when x.missing > 0 then 'INCONCLUSIVE' when x.balanced_accuracy >= y.balanced_accuracy and x.f1 >= y.f1 and x.false_positive_rate <= y.false_positive_rate and local_only >= other_only then 'RECOMMEND_FULL_LOCAL_RUN' else 'RECOMMEND_NO_FULL_LOCAL_RUN' end as status,
+'OWNER_AUTHORIZATION_REQUIRED' as decision_gate, local_only, other_only from m x, m y, w where x.evaluator = 'b' and y.evaluator = 'a'""")
+def local_recommendation_with_gaps(spark, d):
+    """The same for evaluator b as the local one, whose least sure answers count as missing."""
+    rows = v.predictions(spark, d)
+    metrics = _round(classify.confusion(rows, ["evaluator"]))
+    wins = paired_categories(spark, d).agg(F.expr("count_if(category = 'A_ONLY')").alias("local_only"), F.expr("count_if(category = 'B_ONLY')").alias("other_only"))
+    missing = rows.where("evaluator = 'b'").agg(F.count_if(F.col("score") > 0.97).alias("missing_count"))
+    local = metrics.where("evaluator = 'b'").crossJoin(missing).withColumn("parse_success_rate", F.lit(1.0))
+    return population.local_recommendation(local, metrics.where("evaluator = 'a'"), wins)
+
+
 @query("""select min(id) as model_id from (select case when (p_partkey % 3) = 0 then '0:' else '1:' end as plain, 'm-' || p_partkey || case when p_size % 4 = 0 then ':free' else '' end as id, p_type from part)
 where contains(id, ':free') and p_type <> 'ECONOMY' and plain = (select min(case when (p_partkey % 3) = 0 then '0:' else '1:' end) from part where p_size % 4 = 0 and p_type <> 'ECONOMY')""")
 def free_model(spark, d):
@@ -850,3 +877,122 @@ def public_text_violations(spark, d):
 def unsafe_texts(spark, d):
     rows = v.table(spark, d, "documents").select("doc_id", F.lit("text").alias("field"), evidence.text_violation(F.col("text"), 1_000_000).alias("code"))
     return rows.where("code is not null")
+
+
+# ---- operators over the same views -----------------------------------------------------------------------------
+
+_VALUES = f"""{v.RUNS}, values_ as (select artifact_id as run_id, m.name as metric, case when m.name = 'mrr_at_10' and k % 6 = 0 then 'nan'::double else (k * m.times % 101)::double / 100 end as value from runs,
+(select unnest([{{name: 'mrr_at_10', times: 7}}, {{name: 'ndcg_at_10', times: 11}}, {{name: 'precision_at_5', times: 13}}, {{name: 'recall_at_5', times: 17}}]) as m))"""
+
+
+def _metrics(spark, d) -> DataFrame:
+    """Metrics of the published runs, in long form; some are no numbers."""
+    runs = v.runs(spark, d).select(F.col("artifact_id").alias("run_id"), F.substring("artifact_id", 5, 20).cast("long").alias("k"))
+    made = F.array(*[F.struct(F.lit(n).alias("metric"), ((F.col("k") * by) % 101 / 100).alias("value")) for n, by in (("mrr_at_10", 7), ("ndcg_at_10", 11), ("precision_at_5", 13), ("recall_at_5", 17))])
+    rows = runs.select("run_id", "k", F.inline(made))
+    return rows.select("run_id", "metric", F.when((F.col("metric") == "mrr_at_10") & (F.col("k") % 6 == 0), float("nan")).otherwise(F.col("value")).alias("value"))
+
+
+@query(f"with {_VALUES} select x.metric, x.value as baseline, y.value as candidate, round(y.value - x.value, 9) as delta from values_ x join values_ y using (metric) where x.run_id = 'run-1' and y.run_id = 'run-2'")
+def metric_deltas(spark, d):
+    of = lambda run: _metrics(spark, d).where(F.col("run_id") == run).select("metric", "value")
+    return _round(paired.metric_deltas(of("run-1"), of("run-2")))
+
+
+@query(f"with {_VALUES} select run_id, metric, value, nth from (select *, row_number() over (partition by run_id order by metric) as nth from values_ where not isnan(value)) where nth <= 3")
+def first_metrics(spark, d):
+    return evidence.first_metrics(_metrics(spark, d).where(evidence.finite(F.col("value")))).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query(f"""with {_VALUES}, q as (select 'run-' || (o_orderkey % 50) as run_id, cast(o_orderkey as varchar) as query_id, o_orderstatus as category from orders),
+m as (select run_id, string_agg(metric || '=' || round(value, 6), ',' order by metric) as metrics from values_ where not isnan(value) group by 1), p as (select run_id, count(*) as n, min(query_id) as first from q group by 1)
+select artifact_id, verification_status, data_kind, claim_scope, dataset_version as version, top_k::int as top_k, metrics, case when data_kind = 'SYNTHETIC_FIXTURE' then coalesce(n, 0) else 0 end as queries, case when data_kind = 'SYNTHETIC_FIXTURE' then first end as first_query
+from runs left join m on m.run_id = artifact_id left join p on p.run_id = artifact_id""")
+def run_artifacts(spark, d):
+    """Public forms of all runs, their nested parts as text and counts."""
+    runs = v.runs(spark, d).withColumnsRenamed({"artifact_id": "run_id"}).withColumns({"limitations": F.array(F.lit("b"), F.lit("a"), F.lit("b")), "secret_token": F.lit("x")})
+    queries = v.table(spark, d, "orders").select(F.concat(F.lit("run-"), (F.col("o_orderkey") % 50).cast("string")).alias("run_id"), F.col("o_orderkey").cast("string").alias("query_id"), F.col("o_orderstatus").alias("category"))
+    out = evidence.run_artifact(runs, _metrics(spark, d), queries)
+    pairs = F.transform(F.map_entries("metrics"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 6).cast("string")))
+    return out.select(
+        "artifact_id", "verification_status", "data_kind", "claim_scope", F.col("run.dataset_version").alias("version"), F.col("run.top_k").alias("top_k"), F.array_join(F.array_sort(pairs), ",").alias("metrics"),
+        F.coalesce(F.array_size("queries"), F.lit(0)).cast("long").alias("queries"), F.get("queries", F.lit(0))["query_id"].alias("first_query"),
+    )
+
+
+@query(f"with {v.RUNS} select artifact_id, artifact_type, verification_status, data_kind, claim_scope from runs union all select artifact_id, artifact_type, verification_status, data_kind, claim_scope from comparisons")
+def artifact_index(spark, d):
+    return evidence.index(v.runs(spark, d), v.comparisons(spark, d))
+
+
+_DELTAS = f"""{_VALUES}, c as (select c.artifact_id, baseline_id, candidate_id, 'ndcg_at_10' as metric, round((substr(candidate_id, 5)::bigint * 11 % 101)::double / 100 - (substr(baseline_id, 5)::bigint * 11 % 101)::double / 100, 9) + case when substr(c.artifact_id, 5)::bigint % 8 = 0 then 0.5 else 0 end as delta from comparisons c)"""
+
+
+@query(f"""with {_DELTAS} select c.artifact_id, c.metric, round(delta, 9) as delta, round(y.value - x.value, 9) as recomputed, coalesce(abs(delta - (y.value - x.value)) < 1e-9, false) as matches
+from c left join values_ x on x.run_id = baseline_id and x.metric = c.metric left join values_ y on y.run_id = candidate_id and y.metric = c.metric""")
+def recomputed_deltas(spark, d):
+    """Stored differences, some of them changed, against the runs' own metrics."""
+    metrics = _metrics(spark, d).withColumnRenamed("run_id", "artifact_id")
+    own = v.comparisons(spark, d).select("artifact_id", "baseline_id", "candidate_id", F.lit("ndcg_at_10").alias("metric"))
+    value = lambda c: F.substring(c, 5, 20).cast("long") * 11 % 101 / 100
+    changed = F.when(F.substring("artifact_id", 5, 20).cast("long") % 8 == 0, 0.5).otherwise(0.0)
+    return _round(population.recomputed_deltas(own.withColumn("delta", value("candidate_id") - value("baseline_id") + changed), metrics))
+
+
+_STATUSES = "s as (select 'cmp-' || (o_orderkey % 300) as artifact_id, case when o_orderstatus = 'P' then 'REGRESSION' when o_orderpriority = '1-URGENT' then null else 'PASS' end as status, (o_orderkey % 300) % 2 = 0 as passed from orders)"
+
+
+@query(f"with {_STATUSES} select artifact_id, first(passed) as passed, bool_and(coalesce(status = 'PASS', false)) as recomputed, first(passed) = bool_and(coalesce(status = 'PASS', false)) as matches from s group by 1")
+def recomputed_verdicts(spark, d):
+    k = F.col("o_orderkey") % 300
+    rows = v.table(spark, d, "orders").select(F.concat(F.lit("cmp-"), k.cast("string")).alias("artifact_id"), (k % 2 == 0).alias("passed"), F.when(F.col("o_orderstatus") == "P", "REGRESSION").when(F.col("o_orderpriority") != "1-URGENT", "PASS").alias("status"))
+    return population.recomputed_verdicts(rows)
+
+
+@query(f"with {v.EXAMPLES}, e as (select example_id, case when example_id % 3 = 0 then 'train' else 'test' end as split, case when quality = 1 then 'good' else 'poor' end as quality from examples) select example_id from e where split = 'test' and quality = 'good'")
+def eligible_examples(spark, d):
+    rows = _examples(spark, d).withColumn("split", F.when(F.col("example_id") % 3 == 0, "train").otherwise("test"))
+    return benchmarks.eligible(rows).select("example_id")
+
+
+@query(f"with {v.ATTEMPTS}, r as (select provider || '-' || example_id as run_id, case when k % 29 = 0 then 'v2' else 'v1' end as model_version from attempts) select run_id, count(distinct model_version) as versions from r group by 1 having count(distinct model_version) > 1")
+def model_version_changes(spark, d):
+    rows = v.attempts(spark, d).select(F.concat_ws("-", "provider", F.col("example_id").cast("string")).alias("run_id"), F.when(F.col("k") % 29 == 0, "v2").otherwise("v1").alias("model_version"))
+    return validate.version_changes(rows)
+
+
+@query("""with p as (select cast(l_orderkey as varchar) as query_id, list(cast(l_partkey % 40 as varchar) order by l_linenumber) as docs, count(*) - case when l_orderkey % 5 = 0 then 1 else 0 end as n_scores from lineitem group by l_orderkey)
+select 'DUPLICATE_DOCUMENT' as code, query_id as record_id from p where len(list_distinct(docs)) <> len(docs) union all select 'SCORES_LENGTH', query_id from p where n_scores <> len(docs)""")
+def validate_predictions(spark, d):
+    rows = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 40).cast("string").alias("doc")))).alias("rows"))
+    scores = F.when(F.col("l_orderkey") % 5 == 0, F.slice("rows", 1, F.size("rows") - 1)).otherwise(F.col("rows"))
+    rows = rows.select(F.col("l_orderkey").cast("string").alias("query_id"), F.col("rows.doc").alias("retrieved_document_ids"), F.transform(scores, lambda r: r["l_linenumber"].cast("double")).alias("scores"))
+    return validate.predictions(rows).select("code", "record_id")
+
+
+@query(f"""with {v.ATTEMPTS} select event_id, case when label = 'HALLUCINATED' then confidence else round(1 - confidence, 12) end as score, round(1 - case when label = 'HALLUCINATED' then confidence else round(1 - confidence, 12) end, 9) as support from attempts where label is not null""")
+def decision_scores(spark, d):
+    rows = v.attempts(spark, d).where("label is not null")
+    return rows.select("event_id", *[c.alias(n) for n, c in classify.from_decision(F.col("label"), F.col("confidence")).items()]).withColumn("support", F.round("support", 9))
+
+
+_INFO = """i as (select conv_id, turn, case turn % 4 when 0 then 'QA' when 1 then 'Summary' when 2 then 'Data2txt' else 'else' end as task_type,
+  case turn % 4 when 0 then to_json({passages: text, question: role}) when 1 then to_json(text) when 2 then to_json({b: turn, a: role}) else text end as info, text, role from conversations)"""
+
+
+@query(f"""with {_INFO}, c as (select *, case turn % 4 when 2 then '{{"a":"' || role || '","b":' || turn || '}}' else text end as context from i) select conv_id, turn, context, context as premise from c""")
+def source_contexts(spark, d):
+    """What a response was given, from objects with passages, strings, other objects and plain text, by family of the task."""
+    text, turn = F.col("text"), F.col("turn")
+    kind = F.get(F.array(*map(F.lit, ("QA", "Summary", "Data2txt", "else"))), (turn % 4).cast("int"))
+    info = F.when(turn % 4 == 0, F.to_json(F.struct(text.alias("passages"), F.col("role").alias("question")))).when(turn % 4 == 1, F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)).when(turn % 4 == 2, F.to_json(F.struct(turn.alias("b"), F.col("role").alias("a")))).otherwise(text)
+    rows = v.table(spark, d, "conversations").select("conv_id", "turn", kind.alias("kind"), info.alias("info"))
+    rows = rows.withColumn("context", readers.source_context(F.col("info")))
+    return rows.select("conv_id", "turn", "context", readers.premise(F.col("kind"), F.col("info"), F.col("context")).alias("premise"))
+
+
+@query(f"""with {_VALUES}, p as (select unnest(['precision_at_10', 'recall_at_10', 'hit_rate_at_10', 'mrr', 'ndcg_at_10']) as metric), a as (select metric, value from values_ where run_id = 'run-1'), b as (select metric, value from values_ where run_id = 'run-2')
+select metric, a.value as current, b.value as baseline, case when a.value is null or b.value is null then 'MISSING' when a.value < b.value then 'REGRESSION' else 'PASS' end as status from p left join a using (metric) left join b using (metric)""")
+def workspace_policy(spark, d):
+    of = lambda run: _metrics(spark, d).where(F.col("run_id") == run).select("metric", "value")
+    return regression.compare(of("run-1"), of("run-2"), regression.rules_frame(spark, regression.retrieval_policy(10))).select("metric", "current", "baseline", "status")
