@@ -130,6 +130,20 @@ def usage_projection(usage: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+# What a record keeps of a provider's quota.
+QUOTA = ("daily_quota_tokens", "daily_usage_tokens", "daily_remaining_tokens")
+
+
+def quota_projection(quota: Column) -> Column:
+    """Three numbers of a JSON object, as a map of name and number; null unless all of them are there as numbers (not as texts or truth values)."""
+    v = F.try_parse_json(quota)
+    number = lambda k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, f"$.{k}", "double"))
+    whole = F.lit(True)
+    for k in QUOTA:
+        whole &= number(k).isNotNull()
+    return F.when(whole, F.create_map(*[x for k in QUOTA for x in (F.lit(k), number(k))]))
+
+
 def evaluate(rows: DataFrame, call: Callable[[list[tuple[str, str]]], list[float]], *, batch: int = 16, threshold: float = 0.5) -> DataFrame:
     """Support of (context, response) pairs by an injected model (``scoring.score``), with score and predicted label.
 

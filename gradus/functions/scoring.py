@@ -31,7 +31,7 @@ def gate(spark: SparkSession, manifest_path: str, approved: Mapping[str, object]
 
     Nothing of the model is read before this holds. Its ``files`` (name to SHA-256) are what ``score`` checks on each worker."""
     try:
-        rows = spark.read.option("wholetext", True).text(manifest_path).collect()  # one small file
+        rows = spark.read.text(manifest_path, wholetext=True).collect()  # one small file
         found = json.loads(rows[0][0])
     except Exception as e:
         raise GateError("manifest", f"{manifest_path} cannot be read") from e

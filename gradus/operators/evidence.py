@@ -121,5 +121,35 @@ def first_metrics(metrics: DataFrame, n: int = 3) -> DataFrame:
     return metrics.withColumn("nth", nth).where(F.col("nth") <= n)
 
 
+# Metrics that aren't written like other words, and months as British English shortens them.
+TITLES = {"Ndcg": "nDCG", "Mrr": "MRR"}
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec")
+
+
+def _worded(name: Column, rest) -> Column:
+    return F.array_join(F.transform(F.split(name, "_", -1), lambda p: F.concat(F.substring(p, 1, 1), rest(F.substr(p, F.lit(2))))), " ")
+
+
 def metric_title(name: Column) -> Column:
-    return F.initcap(F.regexp_replace(F.regexp_replace(name, r"_at_(\d+)$", "@$1"), "_", " "))
+    """``ndcg_at_10`` as nDCG@10: words with a capital, the cut-off behind an @."""
+    k = F.regexp_extract(name, r"^(?s)(.*)_at_([0-9]+)$", 2)
+    base = F.when(k != "", F.regexp_extract(name, r"^(?s)(.*)_at_([0-9]+)$", 1)).otherwise(name)
+    pretty = F.array_join(F.transform(F.split(base, "_", -1), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), " ")
+    for plain, own in TITLES.items():
+        pretty = F.when(pretty == plain, own).otherwise(pretty)
+    return F.when(k != "", F.concat(pretty, F.lit("@"), k)).otherwise(pretty)
+
+
+def metric_value(value: Column) -> Column:
+    """Three decimal places, rounded half up from the number's shortest form, without zeros at the end."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.3f", value.cast("double")), "0+$", ""), r"\.$", "")
+
+
+def label_title(value: Column) -> Column:
+    """``CURATED_DATASET`` as Curated Dataset."""
+    return _worded(value, F.lower)
+
+
+def day_title(at: Column) -> Column:
+    """The day of a timestamp as in 3 Sept 2026; in UTC if the session is."""
+    return F.concat_ws(" ", F.dayofmonth(at).cast("string"), F.get(F.array(*map(F.lit, MONTHS)), F.month(at) - 1), F.year(at).cast("string"))

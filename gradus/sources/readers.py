@@ -161,7 +161,7 @@ def catalog(spark: SparkSession, path) -> DataFrame:
 
 def artifact(spark: SparkSession, path) -> DataFrame:
     """A JSON document with an object as its root."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    rows = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     return rows.select(F.when(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), F.col("v")).otherwise(F.raise_error(F.lit("the root has to be an object"))).alias("v"))
 
 

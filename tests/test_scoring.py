@@ -50,7 +50,7 @@ APPROVED = {"repository": "r", "revision": "v1", "security_status": "approved",
 def test_gate(spark, tmp_path):
     path = tmp_path / "manifest.json"
     put = lambda value: path.write_text(value if isinstance(value, str) else json.dumps(value))
-    put(APPROVED | {"more": 1})
+    put(json.dumps(APPROVED | {"more": 1}, indent=2))
     assert scoring.gate(spark, str(path), APPROVED, revision="v1")["more"] == 1
     changed = [("repository", "x"), ("revision", "v2"), ("security_status", "pending"), ("custom_code_hashes", {"a.py": "1", "b.py": "3"}), ("weight_file", {"name": "w"})]
     for field, value in [*changed, *((f, None) for f in APPROVED)]:
