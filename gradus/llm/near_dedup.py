@@ -10,8 +10,8 @@
 4. In a region, documents are compared by sketches (four bits of each signature value). A spanning forest of the
    closest pairs is handed on, a number of pairs linear in the rows, and confirmed on full sets.
 5. The confirmed pairs' components label the documents of each family (what all pairs of the forest hold together). Where a
-   family has several labels, its members are compared across labels on full sets, block by block, so no link is missed that the forest
-   did not need. Components of all links are the result.
+   family has several labels, its members meet across labels by the rarest of their shingles and are compared on full sets, so no link is missed that the
+   forest did not need. Components of all links are the result.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import discard, partitions, sieved, stash
 from gradus.llm.components import components
+from gradus.llm.prefix_join import linked_labels
 
-TREES, DEPTH, LEAST, REGION, FAMILY = 20, 6, 3, 1024, 512
+TREES, DEPTH, LEAST, REGION = 20, 6, 3, 1024
 HASHES = TREES * DEPTH
 #: How far below the wanted similarity a sketch's estimate may fall: over five of its standard errors at 0.8. All trees share the sketch, so what falls
 #: below is lost for good: a pair at 0.8 with a chance under 1e-6.
@@ -321,62 +322,17 @@ def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, th
     return both.where(100 * shared >= threshold_pct * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
 
 
-def _across(threshold_pct: int):
-    """Links between different labels of one or two blocks of a family, one for each two labels that it joins."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        label, block = (rows.column(c).to_numpy() for c in ("label", "block"))
-        own = rows.column("own").combine_chunks()
-        sizes = np.diff(own.offsets.to_numpy())
-        flat = np.unique(own.flatten().to_numpy(), return_inverse=True)[1]
-        start = np.cumsum(sizes) - sizes
-        left = np.flatnonzero(block == block.min())
-        above: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while above.get(x, x) != x:
-                x = above[x]
-            return x
-
-        a, b = [], []
-        here = np.zeros(len(flat) + 1, np.int32)
-        for i in left:
-            own_i = flat[start[i] : start[i] + sizes[i]]
-            here[own_i] = 1
-            shared = np.add.reduceat(here[flat], start)
-            here[own_i] = 0
-            near = (100 * shared >= threshold_pct * (sizes + sizes[i] - shared)) & (label != label[i])
-            for j in np.flatnonzero(near):
-                x, y = find(int(label[i])), find(int(label[j]))
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-                    a.append(min(label[i], label[j]))
-                    b.append(max(label[i], label[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
 def _crossing(docs: DataFrame, near: DataFrame, labels: DataFrame, nodes: DataFrame, words: int, threshold_pct: int, made: list[DataFrame]) -> DataFrame:
     """Links that the forest missed, as pairs (a, b) of labels: between the components of a family, the documents that candidate pairs hold together.
 
-    A family's largest label needs no comparison within itself. Its members, and the others, are dealt over blocks of at most about
-    FAMILY, and each two blocks that differ in labels are compared at once on full sets: rows are members of blocks, not pairs."""
+    Sets of a family meet by their rarest shingles, never all with all, so a family that a template holds together below the threshold is no more work than its rows."""
     members = components(near).withColumnRenamed("component", "family").join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
     members = stash(members, "near-dedup-members")
-    made.append(members)
-    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
-    sizes = sizes.select("family", "main", F.ceil(F.col("n_main") / FAMILY).alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / FAMILY).alias("others"))
-    rows = members.join(sizes, "family")
-    salt = F.xxhash64("node")
-    block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others")))
-    rows = stash(rows.withColumn("block", block).join(nodes.select("node", "key"), "node"), "near-dedup-family")
-    made.append(rows)
-    with_sets = rows.drop("key").join(_sets(docs, rows.select("node", "key"), words), "node")
-    meets = F.when(F.col("label") == F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("others") + F.col("mains") - 1))
-    dealt = with_sets.select("family", "label", "block", "own", F.explode(meets).alias("other"))
-    dealt = dealt.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "label", "block", "own")
-    return dealt.groupBy("family", "x", "y").applyInArrow(_across(threshold_pct), "a long, b long").distinct()
+    several = members.groupBy("family").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").select("family")
+    rows = stash(members.join(several, "family", "left_semi").join(nodes.select("node", "key"), "node"), "near-dedup-family")
+    sets = stash(_sets(docs, rows.select("node", "key"), words).join(rows.drop("key"), "node"), "near-dedup-sets")
+    made += [members, rows, sets]
+    return linked_labels(sets, threshold_pct)
 
 
 def _group_rows(docs: DataFrame, words: int, threshold_pct: int) -> DataFrame:

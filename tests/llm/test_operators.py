@@ -213,7 +213,7 @@ def test_near_dedup(spark, docs, words):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
-def test_near_dedup_star(spark, monkeypatch):
+def test_near_dedup_star(spark):
     """Copies that are linked with their base alone: the forest can't show all links, the families have to."""
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
@@ -223,7 +223,6 @@ def test_near_dedup_star(spark, monkeypatch):
         for k in rng.choice(299, 18 + i % 16, replace=False):
             own[k] = f"x{i}-{k}"
         rows.append((i, " ".join(own)))
-    monkeypatch.setattr(near_dedup, "FAMILY", 16)
     got = {r.doc_id: r.component_id for r in near_dedup.group(spark.createDataFrame(rows, EMPTY), words=2).collect()}
     assert got == {i: c for i, (_, c) in components_of(rows, 2).items()}
     assert near_dedup.group(spark.createDataFrame([], EMPTY)).count() == 0
