@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.functions.cutting import cut
 from gradus.functions.text import ascii_tokens, tokens
 
 # The usual parameters of BM25.
@@ -24,10 +26,21 @@ def check_k(k: int) -> int:
     return k
 
 
+def _text(corpus: DataFrame) -> Column:
+    """A title, if there is one, comes before the text."""
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), "text") if "title" in corpus.columns else F.col("text")
+
+
 def tokenized(corpus: DataFrame, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """(document_id, terms, length). A title, if there is one, comes before the text."""
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), "text") if "title" in corpus.columns else F.col("text")
-    return corpus.select("document_id", tokenizer(text).alias("terms")).withColumn("length", F.size("terms"))
+    """(document_id, terms, length)."""
+    return corpus.select("document_id", tokenizer(_text(corpus)).alias("terms")).withColumn("length", F.size("terms"))
+
+
+def _read(corpus: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """What a worker counts tokens of: texts, which it cuts itself, or the tokens of another tokenizer than the usual one."""
+    if tokenizer is tokens:
+        return corpus.select("document_id", _text(corpus).alias("text"))
+    return tokenized(corpus, tokenizer).select("document_id", "terms")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -62,19 +75,30 @@ class _Terms:
         self.scale = np.array([r.scale for r in rows])
         self.vocabulary = sorted({t for r in rows for t in r.terms})
         number = {t: i for i, t in enumerate(self.vocabulary)}
+        self.number: dict[bytes, int] | None = None  # made by each worker
         pairs = sorted((number[t], q) for q, r in enumerate(rows) for t in r.terms)
         self.asked = np.array([q for _, q in pairs], np.int64)
         self.first = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(self.vocabulary) + 1))
 
-    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, token, how often) of the batch's tokens that a query asks for; documents by their place."""
-        lists = batch.column("terms")
-        sizes = np.diff(lists.offsets.to_numpy())
-        found = pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string()))
-        at = pc.fill_null(found, -1).to_numpy()
-        key = (np.repeat(np.arange(len(batch)), sizes) * len(self.vocabulary) + at)[at >= 0]
+    def counts(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, token, how often) of the batch's tokens that a query asks for, documents by their place; and how many tokens each document has."""
+        if "text" in batch.schema.names:
+            if self.number is None:
+                self.number = {t.encode(): i for i, t in enumerate(self.vocabulary)}
+            get, hits, lengths = self.number.get, [], []
+            for text in batch.column("text").to_pylist():
+                own = cut(text)
+                lengths.append(len(own))
+                hits.append([i for t in own if (i := get(t)) is not None])
+            length = np.array(lengths, np.int64)
+            key = np.repeat(np.arange(len(batch)), [len(h) for h in hits]) * len(self.vocabulary) + np.fromiter(chain.from_iterable(hits), np.int64)
+        else:
+            lists = batch.column("terms")
+            length = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())), -1).to_numpy()
+            key = (np.repeat(np.arange(len(batch)), length) * len(self.vocabulary) + at)[at >= 0]
         key, tf = np.unique(key, return_counts=True)
-        return key // len(self.vocabulary), key % len(self.vocabulary), tf
+        return key // len(self.vocabulary), key % len(self.vocabulary), tf, length
 
 
 def _collected(queries: DataFrame, tokenizer: Callable[[Column], Column]) -> _Terms | None:
@@ -105,8 +129,8 @@ def _best(shared, weigh, k: int):
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
-                doc, token, tf = terms.counts(batch)
-                part = weigh(token, tf, batch.column("length").to_numpy()[doc])
+                doc, token, tf, length = terms.counts(batch)
+                part = weigh(token, tf, length[doc])
                 n = (terms.first[1:] - terms.first[:-1])[token]
                 of = terms.asked[np.arange(n.sum()) + np.repeat(terms.first[token] - (np.cumsum(n) - n), n)]
                 grid = np.zeros(len(batch) * m, np.int64)
@@ -132,14 +156,14 @@ def _best(shared, weigh, k: int):
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, document_id, score, rank). Only documents that share a token with the query appear.
 
-    Where the queries' terms fit in a broadcast (MOST_TERMS), the corpus is read twice and hardly anything moves: once for the frequencies of these terms and the mean
+    Where the queries' terms fit in a broadcast (MOST_TERMS), the corpus is read twice, cut and counted by workers in one go, and hardly anything moves: once for the frequencies of these terms and the mean
     length, which are counted when this is called, and once for scores, of which each task hands on its best ``k`` for each query. Beyond that, postings of the
     queries' tokens are joined (``bm25_joined``). Both add up parts of a score as integers of 15 decimal places (12 for queries of over 200 tokens, so that sums fit): a
     score is the same for every order and partitioning, and equal documents are equal."""
     terms = _collected(queries, tokenizer)
     if terms is None:
         return bm25_joined(corpus, queries, k, tokenizer=tokenizer, k1=k1, b=b)
-    docs, spark = tokenized(corpus, tokenizer), corpus.sparkSession
+    docs, spark = _read(corpus, tokenizer), corpus.sparkSession
     schema = "query_id string, document_id string, score double"
     if not terms.queries:
         return rank(spark.createDataFrame([], schema), k)
@@ -149,9 +173,10 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[
         df, n, length = np.zeros(len(shared.value.vocabulary) + 1, np.int64), 0, 0
         for batch in batches:
             for at in range(0, len(batch), ROWS):
-                _, token, _ = shared.value.counts(batch.slice(at, ROWS))
+                _, token, _, own = shared.value.counts(batch.slice(at, ROWS))
                 df[:-1] += np.bincount(token, minlength=len(df) - 1)
-            n, length = n + len(batch), length + int(pc.sum(batch.column("length")).as_py() or 0)
+                length += int(own.sum())
+            n += len(batch)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*df[some], n], pa.int64()), pa.array([*[0] * len(some), length], pa.int64())], names=["token", "df", "length"])
 
@@ -164,7 +189,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[
     idf[found["token"].to_numpy()] = found["idf"].to_numpy()
     average = float(found["total"].iloc[0] / found["n_docs"].iloc[0]) if len(found) else 1.0
     weigh = lambda token, tf, length: idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-    return rank(docs.select("document_id", "terms", "length").mapInArrow(_best(shared, weigh, check_k(k)), schema), k)
+    return rank(docs.mapInArrow(_best(shared, weigh, check_k(k)), schema), k)
 
 
 def bm25_joined(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens, k1: float = K1, b: float = B) -> DataFrame:
@@ -185,16 +210,16 @@ def bm25_joined(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Cal
 
 def shared_tokens(corpus: DataFrame, queries: DataFrame, k: int, *, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """A plainer ranking to compare with: how many different query tokens a document has. In one pass over the corpus where the terms fit in a broadcast, else by a join."""
-    docs, spark, schema = tokenized(corpus, tokenizer), corpus.sparkSession, "query_id string, document_id string, score double"
+    docs, spark, schema = _read(corpus, tokenizer), corpus.sparkSession, "query_id string, document_id string, score double"
     terms = _collected(queries, tokenizer)
     if terms is None:
-        have = docs.select("document_id", F.explode(F.array_distinct("terms")).alias("token"))
+        have = tokenized(corpus, tokenizer).select("document_id", F.explode(F.array_distinct("terms")).alias("token"))
         return rank(have.join(query_terms(queries, tokenizer), "token").groupBy("query_id", "document_id").agg(F.count("*").cast("double").alias("score")), k)
     if not terms.queries:
         return rank(spark.createDataFrame([], schema), k)
     terms.scale = np.ones(len(terms.queries))
     one = lambda token, tf, length: np.ones(len(token))
-    return rank(docs.select("document_id", "terms", "length").mapInArrow(_best(spark.sparkContext.broadcast(terms), one, check_k(k)), schema), k)
+    return rank(docs.mapInArrow(_best(spark.sparkContext.broadcast(terms), one, check_k(k)), schema), k)
 
 
 def rankings(ranked: DataFrame) -> DataFrame:

@@ -165,3 +165,27 @@ def test_queries_rank_all_documents(spark, tmp_path):
     assert {(r.token, r.df, r.cf) for r in run("bm25_postings_stats")} == {(t, sum(t in x for x in docs.values()), sum(x.count(t) for x in docs.values())) for x in docs.values() for t in x}
     assert [tuple(r) for r in run("bm25_corpus_stats")] == [(6, round(mean, 9))]
     assert {(r.query_id, r.document_id) for r in run("containment_qrels")} == {("1", "1")}
+
+
+def test_cutting_equals_the_column(spark):
+    import random
+
+    from gradus.functions import text as tx
+    from gradus.functions.cutting import cut
+
+    draw = random.Random(6)
+    letters = [*"abzABZ019.,;' \n\t-", "é", "ß", "ẞ", "Ü", "ÿ", "×", "÷", "«", "½", "²", "µ", "ª", "\xa0", "ﬁ", "Ａ", "１", "٣", "ก", "ข", "๑", "日", "İ", "Σ", "ς", "ſ", "K", "𝒳", "𝟘", "\x00", "\x85", "é"]
+    texts = ["".join(draw.choices(letters if n % 3 else letters[:24], k=draw.randint(0, 30))) for n in range(3000)] + [None, "", "1.2,3 4,5.6", "ก", "กข", "กขค1", "Straße 12,5", "x" * 5000]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(docs).select("text", tx.tokens(F.col("text")).alias("terms")).collect()
+    for r in rows:
+        assert [t.encode() for t in r.terms] == cut(r.text), r.text
+
+
+def test_both_ways_of_bm25_are_equal_to_the_bit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    asked = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    one, two = ({(r.query_id, r.document_id): r.score for r in f(docs, asked, 10).collect()} for f in (retrieval.bm25, retrieval.bm25_joined))
+    assert one == two and len(one) == 400
+    other = {(r.query_id, r.document_id): r.score for r in retrieval.bm25(docs, asked, 10, tokenizer=lambda c: retrieval.tokens(c)).collect()}
+    assert other == one
