@@ -140,7 +140,7 @@ def _batch(rows: tuple, part: int, schema: pa.Schema) -> pa.RecordBatch:
 def pack(docs: DataFrame, path: str, *, text: str = "text", id_col: str = "doc_id", end_id: int = 2, window: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), ids_crc32, doc_tokens, sequence_id, offset.
 
-    The end of a document is an id too, so every row, also one of a null or empty text, has at least one piece.
+    The end of a document is an id too, so every row, also one of a null or empty text, has at least one piece. Repeated rows are packed as often as they occur, rows without an id keep their null.
     No rows: no pieces."""
     encoded = stash(encode_documents(docs, path, text=text, id_col=id_col, end_id=end_id), "packing")
     totals = sorted(encoded.groupBy("part").agg(F.sum("doc_tokens")).collect())

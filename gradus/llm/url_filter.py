@@ -68,7 +68,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", default:
 
     Of the rules that fit, the one with the most characters of host and path wins; at equal
     length the one with the longer host, then the greater rule string, then the greater verdict (``block``).
-    A null url, or one without ``://``, has an empty host and path, fits no rule and gets ``default``. Repeated rows stay repeated."""
+    A null url, or one without ``://``, has an empty host and path, fits no rule and gets ``default``. Repeated rows stay repeated, an empty table stays empty, and without rules every row gets ``default``."""
     spark = urls.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
