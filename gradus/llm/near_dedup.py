@@ -332,7 +332,7 @@ def _crossing(docs: DataFrame, near: DataFrame, labels: DataFrame, nodes: DataFr
     rows = stash(members.join(several, "family", "left_semi").join(nodes.select("node", "key"), "node"), "near-dedup-family")
     sets = stash(_sets(docs, rows.select("node", "key"), words).join(rows.drop("key"), "node"), "near-dedup-sets")
     made += [members, rows, sets]
-    return linked_labels(sets, threshold_pct)
+    return linked_labels(sets, threshold_pct, made)
 
 
 def _group_rows(docs: DataFrame, words: int, threshold_pct: int) -> DataFrame:
