@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.operators import classify, ranking, retrieval, validate
+from gradus.operators import classify, evidence, population, ranking, regression, retrieval, validate
 
 # Cut-offs that are reported besides top_k, and splits by the names that files use.
 CUTS = (1, 5, 10)
@@ -43,6 +43,44 @@ def dataset_summary(examples: DataFrame) -> DataFrame:
     )
 
 
+def preparation_summary(examples: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: responses, sources, hallucination_responses, hallucination_spans, split_counts and quality_counts (maps), validation_issues.
+
+    ``examples``: source_id, split, quality and spans (an array; a response with any span is hallucinated); ``issues``: a row for each."""
+    n = examples.agg(
+        F.count("*").alias("responses"), F.countDistinct("source_id").alias("sources"), F.count_if(F.size("spans") > 0).alias("hallucination_responses"),
+        F.coalesce(F.sum(F.greatest(F.size("spans"), F.lit(0)).cast("long")), F.lit(0)).alias("hallucination_spans"),
+    )
+    by = lambda c: examples.groupBy(c).agg(F.count("*").alias("n")).where(F.col(c).isNotNull()).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"{c}_counts"))
+    return n.crossJoin(by("split")).crossJoin(by("quality")).crossJoin(issues.agg(F.count("*").alias("validation_issues")))
+
+
+def evidence_bundle(runs: DataFrame, truth: DataFrame, predictions: dict[str, DataFrame], k: int, rules: Sequence[tuple], comparison: dict[str, str]) -> dict[str, DataFrame]:
+    """Public evidence of retrieval runs and of one comparison: frames (artifact_id, and what the artifact says) by their part: runs, comparison, index.
+
+    ``runs``: run_id, claims and PUBLIC_FIELDS; ``predictions``: query_id and retrieved, by run; ``comparison``: artifact_id, baseline_id and candidate_id, which takes the claims of its baseline. ``sinks.write_bundle`` writes them."""
+    spark = runs.sparkSession
+    scored = {run: ranking.per_query(truth, rows, [k]) for run, rows in predictions.items()}
+    values, queries = None, None
+    for run, rows in scored.items():
+        own = ranking.long_metrics(rows, k).withColumn("run_id", F.lit(run))
+        each = rows.select(F.lit(run).alias("run_id"), "query_id", "category")
+        values, queries = (own, each) if values is None else (values.unionByName(own), queries.unionByName(each))
+    public = evidence.run_artifact(runs, values, queries)
+    of = lambda name: ranking.long_metrics(scored[comparison[name]], k)
+    compared = regression.compare(of("candidate_id"), of("baseline_id"), regression.rules_frame(spark, rules))
+    one = evidence.comparison_artifact(comparison["artifact_id"], comparison["baseline_id"], comparison["candidate_id"], compared)
+    claims = runs.where(F.col("run_id") == comparison["baseline_id"]).select("verification_status", "data_kind", "claim_scope")
+    pair = spark.createDataFrame([(comparison["artifact_id"], comparison["baseline_id"], comparison["candidate_id"])], "comparison_id string, baseline_id string, candidate_id string")
+    fields = runs.withColumnRenamed("run_id", "artifact_id")
+    for f in population.POPULATION_FIELDS:
+        if f not in fields.columns:
+            fields = fields.withColumn(f, F.lit(None).cast("string"))
+    match = population.population_match(pair, fields).select("population_compatibility")
+    one = one.crossJoin(claims).crossJoin(match)
+    return {"runs": public, "comparison": one, "index": evidence.index(public, one)}
+
+
 def counts(topics: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: query_count, corpus_count, qrel_count."""
     one = lambda df, name: df.agg(F.count("*").alias(name))

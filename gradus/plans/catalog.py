@@ -996,3 +996,13 @@ select metric, a.value as current, b.value as baseline, case when a.value is nul
 def workspace_policy(spark, d):
     of = lambda run: _metrics(spark, d).where(F.col("run_id") == run).select("metric", "value")
     return regression.compare(of("run-1"), of("run-2"), regression.rules_frame(spark, regression.retrieval_policy(10))).select("metric", "current", "baseline", "status")
+
+
+@query(f"""with {v.EXAMPLES}, e as (select example_id, model, case when example_id % 3 = 0 then 'train' else 'test' end as split, case when quality = 1 then 'good' else 'poor' end as quality, case when human = 'HALLUCINATED' then 1 + example_id % 3 else 0 end as spans from examples)
+select count(*) as responses, count(distinct model) as sources, count(*) filter (spans > 0) as hallucination_responses, sum(spans)::bigint as hallucination_spans, count(*) filter (split = 'test') as test, count(*) filter (split = 'train') as train, count(*) filter (quality = 'good') as good,
+count(*) filter (quality = 'poor') as poor, (select count(*) from documents c join benchmark t on contains(c.text, t.text)) as validation_issues from e""")
+def preparation_summary(spark, d):
+    rows = _examples(spark, d).select(F.col("model").alias("source_id"), F.when(F.col("example_id") % 3 == 0, "train").otherwise("test").alias("split"), "quality", F.when(F.col("human") == "HALLUCINATED", F.array_repeat(F.lit("s"), (1 + F.col("example_id") % 3).cast("int"))).otherwise(F.array().cast("array<string>")).alias("spans"))
+    one = benchmarks.preparation_summary(rows, v.qrels(spark, d))
+    of = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0))
+    return one.select("responses", "sources", "hallucination_responses", "hallucination_spans", of("split_counts", "test").alias("test"), of("split_counts", "train").alias("train"), of("quality_counts", "good").alias("good"), of("quality_counts", "poor").alias("poor"), "validation_issues")

@@ -145,6 +145,23 @@ def public_artifact(rows: DataFrame) -> DataFrame:
     return rows.select("artifact_id", F.to_json(F.struct(*sorted(rows.columns))).alias("json"))
 
 
+def write_bundle(parts: dict[str, DataFrame], directory: str, *, most: int = 10_000) -> list[str]:
+    """The parts of ``benchmarks.evidence_bundle`` as one folder that appears whole: a file for each artifact, by its id, and index.json. Returns the files' names.
+
+    A bundle is for people and small: with over ``most`` artifacts, or an id that is no safe name, nothing is written."""
+    from gradus.operators.evidence import safe_identifier
+
+    spark = parts["index"].sparkSession
+    made = public_artifact(parts["runs"]).unionByName(public_artifact(parts["comparison"])).withColumn("safe", safe_identifier(F.col("artifact_id")))
+    rows = made.limit(most + 1).collect()
+    if len(rows) > most or not all(r.safe for r in rows) or len({r.artifact_id for r in rows}) < len(rows):
+        raise ValueError("a bundle needs few artifacts, each with a safe name of its own")
+    listed = [json.loads(r[0]) for r in parts["index"].orderBy("artifact_id").select(F.to_json(F.struct("*"))).collect()]
+    files = {f"{r.artifact_id}.json": json.loads(r.json) for r in rows} | {"index.json": {"artifact_type": "index", "schema_version": "public-evidence-v1", "artifacts": listed}}
+    store.export(spark, directory, {name: canonical_json(value).encode() for name, value in files.items()})
+    return sorted(files)
+
+
 def load_public_artifacts(spark: SparkSession, path) -> DataFrame:
     """(artifact_id, artifact_type, v): one JSON object in a line, read as VARIANT; an unknown schema version or type, or no id, is an error."""
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").alias("v"))

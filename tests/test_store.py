@@ -3,6 +3,7 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.sources import sinks, store
 
@@ -82,3 +83,25 @@ def test_half_written_rows_are_never_seen(spark, tmp_path):
         store.commit(bad, path, 1)
     assert store.revision(spark, path) == 1 and store.snapshot(spark, path).count() == 1
     assert json.loads(store.read(spark, f"{path}/commits/{1:020d}.json"))["rows"].startswith("rows/")
+
+
+def test_evidence_bundle(spark, tmp_path):
+    from gradus.operators import benchmarks, regression
+
+    truth = spark.createDataFrame([("q1", ["a"]), ("q2", ["b", "c"]), ("q3", ["d"])], "query_id string, relevant array<string>")
+    found = {"run-a": [("q1", ["a"]), ("q2", ["x", "b", "c"]), ("q3", ["d"])], "run-b": [("q1", ["a"]), ("q2", ["x", "y"]), ("q3", ["z", "d"])]}
+    predictions = {n: spark.createDataFrame(rows, "query_id string, retrieved array<string>") for n, rows in found.items()}
+    claims = ("VERIFIED", "SYNTHETIC_FIXTURE", "INTEGRATION_ONLY", "fixture", 3, ["b", "a"], "secret")
+    runs = spark.createDataFrame([("run-a", *claims), ("run-b", *claims)], "run_id string, verification_status string, data_kind string, claim_scope string, dataset_name string, top_k int, limitations array<string>, api_key string")
+    parts = benchmarks.evidence_bundle(runs, truth, predictions, 3, regression.retrieval_policy(3), {"artifact_id": "cmp-1", "baseline_id": "run-a", "candidate_id": "run-b"})
+    names = sinks.write_bundle(parts, f"{tmp_path}/bundle")
+    assert names == ["cmp-1.json", "index.json", "run-a.json", "run-b.json"] == sorted(p.name for p in (tmp_path / "bundle").iterdir())
+    a, b, c, index = (json.loads((tmp_path / "bundle" / n).read_text()) for n in ("run-a.json", "run-b.json", "cmp-1.json", "index.json"))
+    assert a["metrics"]["mrr"] == round((1 + 1 / 2 + 1) / 3, 12) and a["limitations"] == ["a", "b"] and "api_key" not in json.dumps(a) and len(b["queries"]) == 3
+    assert c["passed"] is False and c["population_compatibility"] == "MATCHED" and {x["metric"]: x["status"] for x in c["comparisons"]}["mrr"] == "REGRESSION"
+    assert [x["artifact_id"] for x in index["artifacts"]] == ["cmp-1", "run-a", "run-b"] and index["artifacts"][0]["data_kind"] == "SYNTHETIC_FIXTURE"
+    with pytest.raises(store.Conflict):
+        sinks.write_bundle(parts, f"{tmp_path}/bundle")
+    with pytest.raises(ValueError):
+        sinks.write_bundle(parts | {"comparison": parts["comparison"].withColumn("artifact_id", F.lit("../x"))}, f"{tmp_path}/other")
+    assert not (tmp_path / "other").exists()
