@@ -219,14 +219,14 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", id_col: str = "doc_id", steady: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian 32-bit integers, one row for each row of ``docs``. Null and empty texts have none.
 
-    Texts are read and cut twice, once for the words and once for the positions, which costs less than keeping both. Rows have to come in the same order each time, as
-    they do from a table: where a shuffle comes before, whose order a lost executor may change, the input is written first. A checksum of each block's words
+    Texts are read and cut twice, once for the words and once for the positions, which costs less than keeping both. Rows have to come in the same order each time. ``steady`` says that they do, as
+    they do where ``docs`` only reads a table and picks columns or rows; else the input is written first, since a lost executor may change the order after a shuffle. A checksum of each block's words
     stands guard over that. Repeated rows stay repeated, rows without an id keep their nulls, and an empty table gives an empty one."""
     buckets = partitions(docs.sparkSession)
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+    if not steady:
         docs = stash(docs.select(id_col, text), "bpe-texts")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
     words = texts.mapInArrow(_split(pattern, buckets, 0), _DDL).repartition(buckets, "bucket").mapInArrow(_encode(ranks_path), _DDL)
