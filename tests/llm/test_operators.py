@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on the smallest table and on odd rows: nulls, empty and long texts, ties, repeated rows,
+"""The first ten operators against brute force, on the smallest table and on odd rows: nulls, empty and long texts, ties, repeated rows,
 empty tables and clashing columns."""
 
 import base64
@@ -456,7 +456,8 @@ def test_queries_have_the_columns_of_their_contracts(spark):
         "op1_url_filters": "page_id host path rule verdict", "op2_token_counts": "doc_id n_bytes n_tokens over_limit", "op3_toxicity": "doc_id held_out score predicted", "op4_ann": "query_id rank vec_id score",
         "op5_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
         "op7_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op8_near_dedup": "doc_id n_shingles component_id kept", "op9_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
-        "op10_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op10_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op11_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op12_clusters": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op13_collocations": "lang rank phrase a l r n score",
     }
     assert set(columns) == set(queries.QUERIES)
     before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.shuffle.partitions")
