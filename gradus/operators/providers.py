@@ -213,7 +213,7 @@ def streaks(attempts: DataFrame, by: str, order: list[str], limit: int = 3) -> D
     stop = F.col("streak") >= limit
     if "rate_limit_dimension" in attempts.columns:
         stop |= F.col("limited") & F.col("rate_limit_dimension").eqNullSafe("RPD")
-    return rows.withColumns({"gap_seconds": gap, "open": F.max(stop).over(running)}).drop("limited", "reset")
+    return rows.withColumns({"gap_seconds": gap, "open": F.max(stop).over(upto)}).drop("limited", "reset")
 
 
 def full_run_breaker(attempts: DataFrame, by: str, order: list[str], failures: int = 10, least_valid: float = 0.98, after: int = 100) -> DataFrame:
