@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.functions import text as tx
 from gradus.functions import gestalt
@@ -35,3 +36,16 @@ def test_long_texts_against_brute_force(spark, tmp_path, monkeypatch, bits, walk
     assert any(len(texts[i]) > 400 and r < 1 for i, _, r in wanted)
     got = [tuple(r) for r in catalog.QUERIES["near_duplicate_docs"](spark, str(tmp_path)).collect()]
     assert set(got) == wanted and len(got) == len(wanted)
+
+
+def test_normalised_questions(spark):
+    import re
+    import unicodedata
+
+    draw = random.Random(8)
+    letters = [*"aZ09_ .,!?-\n\x00", "é", "ß", "ẞ", "Þ", "ÿ", "×", "÷", "«", "½", "µ", "ª", "\xa0", "ﬁ", "Ａ", "ก", "๑", "ั", "日", "İ", "Σ", "ς", "𝒳"]
+    texts = ["".join(draw.choices(letters if n % 2 else letters[:19], k=draw.randint(0, 20))) for n in range(2000)] + ["", None]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(docs).select("text", tx.normalized_question(F.col("text")).alias("t")).collect()
+    for r in rows:
+        assert r.t == re.sub(r"[^\w\u0E00-\u0E7F]+", "", unicodedata.normalize("NFKC", r.text or "").casefold()), r.text
