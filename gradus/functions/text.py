@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -28,14 +29,10 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ASCII_TOKEN), F.lit(0))
 
 
-#: Anything but ASCII and Latin letters with marks.
-_OTHER = r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]"
-
-
 def _fold(text: Column) -> Column:
     """NFKC and case folding. For ASCII text and Latin letters with marks that is lower case, and two s for a sharp one, so only other rows leave the JVM."""
     text = F.coalesce(text, F.lit(""))
-    other = text.rlike(_OTHER)
+    other = text.rlike(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
     return F.when(other, _folded(F.when(other, text))).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
@@ -56,22 +53,34 @@ def overlap_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(OVERLAP_TOKEN), F.lit(0)), F.lower))
 
 
-# Bytes of Latin-1: capitals to small letters, and what is neither letter, digit nor underscore.
+# Bytes of Latin-1: capitals to small letters, what is neither letter, digit nor underscore, and signs that normalisation may change.
 _SMALL = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 _NO_WORD = bytes(c for c in range(128) if not (chr(c).isalnum() or c == 95))
+_SIGNS = bytes([*range(0x80, 0xC0), 0xD7, 0xF7])
+_NOT_ASKED = re.compile("[^\\w\u0e00-\u0e7f]+")
+
+
+def _question(text: str | None) -> str:
+    if not text:
+        return ""
+    try:
+        data = text.encode("latin-1")
+        plain = text.isascii() or len(data.translate(None, _SIGNS)) == len(data)
+    except UnicodeEncodeError:
+        plain = False
+    if plain:
+        return data.replace(b"\xdf", b"ss").translate(_SMALL, _NO_WORD).decode("latin-1")
+    return _NOT_ASKED.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
 @F.pandas_udf(T.StringType())
-def _squeezed(texts: pd.Series) -> pd.Series:
-    """Word characters of folded text, for texts of ASCII and Latin letters with marks."""
-    return texts.map(lambda t: None if t is None else t.encode("latin-1").replace(b"\xdf", b"ss").translate(_SMALL, _NO_WORD).decode("latin-1"))
+def _questions(texts: pd.Series) -> pd.Series:
+    return texts.map(_question)
 
 
 def normalized_question(text: Column) -> Column:
-    """Folded text with nothing but word characters and the Thai block."""
-    text = F.coalesce(text, F.lit(""))
-    other = text.rlike(_OTHER)
-    return F.when(other, F.regexp_replace(_folded(F.when(other, text)), r"[^\p{L}\p{N}_\x{0E00}-\x{0E7F}]+", "")).otherwise(_squeezed(F.when(~other, text)))
+    """Folded text with nothing but word characters and the Thai block; empty for null. Texts of ASCII and Latin letters with marks go through tables of bytes."""
+    return _questions(text)
 
 
 def stripped(text: Column) -> Column:
