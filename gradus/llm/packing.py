@@ -9,8 +9,9 @@ them becomes several pieces. All sequences are full but the last one.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -22,13 +23,28 @@ from pyspark.sql import functions as F
 from gradus.llm.common import stash
 
 #: Entries of a worker's two caches, and bytes of ids in a batch that a worker hands back.
-WORDS, PARTS, BATCH = 80_000, 80_000, 4 << 20
+WORDS, PARTS, BATCH = 300_000, 150_000, 4 << 20
 
 #: Characters of which white space, lower case and composition are the same everywhere; other texts go to the library whole.
 _OTHER = re.compile("[^\t-\r -~¡§«»¿À-ÖØ-öø-įı-ňŊ-ž–—‘-„…€]")
 _PART = re.compile("[a-zß-öø-ž]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\ra-zß-öø-ž0-9]+")
 
 
+class _Cache(dict):
+    """Makes what it misses; begins anew when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """Ids of a text by a word-level BPE file of the tokenizers library, as little-endian 32-bit integers.
 
@@ -48,8 +64,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = _Cache(self._word, WORDS), _Cache(self._part, PARTS)
         self.coder = self._coder(spec)
         probe = "Straße d'été, it's 2024 naïve-co. I'LL (foo)... Œuvre 'tis «¡ÀÈÎ!» ça x1y2 #42"
         if self.coder is not None and np.frombuffer(self.encode(probe), "<u4").tolist() != self.library.encode(probe, add_special_tokens=False).ids:
@@ -73,30 +88,17 @@ class WordEncoder:
         return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= PARTS:
-                self.parts.clear()
-            found = self.parts[part] = np.array(self.coder.encode_single_piece(part.encode() + b"\xff"), "<u4").tobytes()
-        return found
+        ids = self.coder.encode_single_piece(part.encode() + b"\xff")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            parts = _PART.findall(word)
-            found = self.words[word] = self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
-        return found
+        parts = _PART.findall(word)
+        return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         if self.coder is None or _OTHER.search(text) or self.special.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self._word, words))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 _encoders: dict[str, WordEncoder] = {}

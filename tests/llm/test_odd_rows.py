@@ -83,3 +83,16 @@ def test_search(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(frame, F.col("id") == 0, k=5).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 2), (0, 2, 3), (0, 3, 1)]
     assert ann.search(frame.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_missed_words_are_made_once(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 5)
+    encoder = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    made = []
+    monkeypatch.setattr(encoder.words, "make", lambda word: made.append(word) or encoder._word(word))
+    encoder.words.clear()
+    text = "one two one three it's x1y2 one two"
+    assert encoder.encode(text) == np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert made == ["one", "two", "three", "it's", "x1y2"]  # a miss doesn't begin the text anew
+    encoder.encode("six seven")
+    assert set(encoder.words) == {"six", "seven"}
