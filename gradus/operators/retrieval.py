@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -18,6 +19,8 @@ from gradus.functions.text import ascii_tokens, tokens
 K1, B = 1.2, 0.75
 # Terms and queries that are broadcast at most, and cells of documents by queries, and documents, that are worked on at once.
 MOST_TERMS, MOST_QUERIES, CELLS, ROWS = 500_000, 20_000, 200_000, 1000
+# Different tokens that a worker counts before it hands them on.
+HELD = 400_000
 
 
 def check_k(k: int) -> int:
@@ -48,6 +51,42 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "length", F.explode("terms").alias("token")).groupBy("token", "document_id", "length").agg(F.count("*").alias("tf"))
 
 
+def token_statistics(corpus: DataFrame, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(token, df, cf, max_tf): documents that have a token, its occurrences, and the most in one document.
+
+    Workers cut and count, and hand on a row for each of a portion's tokens (HELD different ones and those of one more document at most), not one for each token of each document. Where
+    ids repeat, which is looked up when this is called, rows of one id are one document, and tokens are grouped by it."""
+    if corpus.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        own = tokenized(corpus, tokenizer).select("document_id", F.explode("terms").alias("token")).groupBy("token", "document_id").agg(F.count("*").alias("tf"))
+        return own.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    docs = _read(corpus, tokenizer).drop("document_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, cf, most = {}, {}, {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t.decode() if isinstance(t, bytes) else t for t in cf], pa.string()), pa.array([df[t] for t in cf], pa.int64()), pa.array(cf.values(), pa.int64()), pa.array([most.get(t, 1) for t in cf], pa.int64())], ["token", "df", "cf", "max_tf"])
+
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                tf = Counter(row or () if batch.schema.names[0] == "terms" else cut(row))
+                for t, n in tf.items():
+                    if t in cf:
+                        df[t] += 1
+                        cf[t] += n
+                    else:
+                        df[t], cf[t] = 1, n
+                    if n > 1 and n > most.get(t, 1):
+                        most[t] = n
+                if len(cf) >= HELD:
+                    yield counted()
+                    df, cf, most = {}, {}, {}
+        yield counted()
+
+    found = docs.mapInArrow(run, "token string, df long, cf long, max_tf long")
+    return found.groupBy("token").agg(*[how(c).alias(c) for how, c in ((F.sum, "df"), (F.sum, "cf"), (F.max, "max_tf"))])
+
+
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """One row: n_docs, avg_length."""
     return docs.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
@@ -228,4 +267,4 @@ def rankings(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.col("rows.document_id").alias("retrieved"), F.col("rows.score").alias("scores"))
 
 
-__all__ = ["ascii_tokens", "bm25", "bm25_joined", "check_k", "corpus_statistics", "postings", "query_terms", "rank", "rankings", "shared_tokens", "tokenized", "tokens"]
+__all__ = ["ascii_tokens", "bm25", "bm25_joined", "check_k", "corpus_statistics", "postings", "query_terms", "rank", "rankings", "shared_tokens", "token_statistics", "tokenized", "tokens"]

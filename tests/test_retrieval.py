@@ -189,3 +189,27 @@ def test_both_ways_of_bm25_are_equal_to_the_bit(spark):
     assert one == two and len(one) == 400
     other = {(r.query_id, r.document_id): r.score for r in retrieval.bm25(docs, asked, 10, tokenizer=lambda c: retrieval.tokens(c)).collect()}
     assert other == one
+
+
+def test_token_statistics(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(retrieval, "HELD", 3)
+    texts = [*MIXED, "one two two", "two three 3.5 3.5 3.5", "", None, "one one one one"]
+    for ids in (range(len(texts)), [1] * 4 + [None] * 2 + [*range(6, len(texts))]):
+        rows = spark.createDataFrame([(None if i is None else str(i), t) for i, t in zip(ids, texts, strict=True)], "document_id string, text string").repartition(3)
+        for tokenizer in (retrieval.tokens, retrieval.ascii_tokens):
+            cut = {t: r for t, r in rows.select("text", tokenizer(F.col("text")).alias("terms")).collect()}
+            documents = {}
+            for i, t in zip(ids, texts, strict=True):
+                documents.setdefault(i, Counter()).update(cut[t] or [])
+            found = retrieval.token_statistics(rows, tokenizer)
+            wanted = {t: (sum(t in d for d in documents.values()), sum(d[t] for d in documents.values()), max(d[t] for d in documents.values())) for d in documents.values() for t in d}
+            assert {r.token: (r.df, r.cf, r.max_tf) for r in found.collect()} == wanted
+
+
+def test_token_statistics_move_no_postings(spark):
+    rows = spark.range(0, 3000, 1, 3).select(F.col("id").cast("string").alias("document_id"), F.lit("a b c a").alias("text"))
+    found = retrieval.token_statistics(rows)
+    assert sorted(map(tuple, found.collect())) == [("a", 3000, 6000, 2), ("b", 3000, 3000, 1), ("c", 3000, 3000, 1)]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
